@@ -138,12 +138,16 @@ class Words:
         np.cumsum(self.lengths, out=offsets[1:])
         return pa.Array.from_buffers(pa.large_string(), len(self), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[self.solid])])
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, the same in every process."""
+    def hashes(self, first_bytes: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word (or of its first bytes), the same in every process."""
         if not len(self):
             return np.empty(0, np.uint64)
         lengths = self.lengths
-        packed = self.data[self.solid].astype(np.uint64)
+        if first_bytes:
+            lengths = np.minimum(lengths, first_bytes)
+            packed = self.data[ragged(self.starts, lengths)].astype(np.uint64)
+        else:
+            packed = self.data[self.solid].astype(np.uint64)
         packed += np.uint64(1)
         first = np.cumsum(lengths) - lengths
         position = np.arange(len(packed)) - np.repeat(first, lengths)

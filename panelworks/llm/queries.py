@@ -11,9 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import ogg, packing, repair, repetition, sharding, spm
+from panelworks.llm import lm, neardup, ogg, packing, repair, repetition, sharding, spm, toxicity, urlfilter
 
 N_SHARDS = 8
+#: A document is toxic from this score on.
+TOXIC = 0.7
+URL_RULES = (
+    urlfilter.Rule("allow", "org"),
+    urlfilter.Rule("block", "example.org", "/es/"),
+    urlfilter.Rule("block", "example.org", "/en/1"),
+    urlfilter.Rule("allow", "com", "/fr/"),
+    urlfilter.Rule("block", "com", "/de/"),
+)
 
 
 def vocabulary_file(name: str) -> str:
@@ -32,10 +41,28 @@ def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op3_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    model = urlfilter.train(urlfilter.labelled_by(pages, URL_RULES))
+    return urlfilter.judge(pages, URL_RULES, model)
+
+
 def op4_spm_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.round_trip(documents(spark, sf_dir), vocabulary_file("piece_bpe_32k.model"))
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(spark, documents(spark, sf_dir)).drop("bits_per_byte")
+
+
 def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.write_and_read(documents(spark, sf_dir), vocabulary_file("word_bpe_49k.json"))
 
@@ -52,15 +79,23 @@ def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.assess(documents(spark, sf_dir))
 
 
+def op10_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_rendezvous_shards,
+        op2_ftrl_toxicity,
+        op3_url_trees,
         op4_spm_agenda,
+        op5_context_mixing,
         op6_repair_ids,
         op7_pattern_packing,
         op8_ogg_media,
         op9_repetition_coverage,
+        op10_signature_join,
     )
 }
 
