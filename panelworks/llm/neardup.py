@@ -115,18 +115,23 @@ def components(edges: DataFrame) -> DataFrame:
             return materialise(renamed, "roots")
 
 
-def _postings(nodes: DataFrame, coordinates: int) -> DataFrame:
-    """(node, token): one posting for each of the first coordinates."""
-    part = F.slice("sig", 1, coordinates) if coordinates < K else F.col("sig")
-    return nodes.select("node", F.posexplode(part).alias("at", "value")).select("node", F.xxhash64("at", "value").alias("token"))
+def screen(described: DataFrame) -> DataFrame:
+    """(node, sig) of the nodes that collide with another one in the first K - T + 1 coordinates.
+
+    Here a node goes by a 64-bit hash of its digest; if two share it, both stay. Copies need
+    no separate pass: a value is shared if the least and the largest hash under it differ.
+    """
+    own = F.xxhash64("node").alias("h")
+    first = described.select(own, F.posexplode(F.slice("sig", 1, K - T + 1)).alias("at", "value")).select("h", F.xxhash64("at", "value").alias("token"))
+    shared = first.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("token")
+    found = first.join(shared, "token", "left_semi").select("h").distinct()
+    kept = described.select("node", "sig", own).join(found, "h", "left_semi")
+    return materialise(kept.groupBy("node").agg(F.first("sig").alias("sig")), "screened")
 
 
-def prefix_postings(nodes: DataFrame) -> DataFrame:
+def prefix_postings(screened: DataFrame) -> DataFrame:
     """(node, token) of the postings that a pair with T collisions must share one of."""
-    first = _postings(nodes, K - T + 1)
-    shared = first.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    screened = materialise(nodes.join(first.join(shared, "token", "left_semi").select("node").distinct(), "node", "left_semi"), "screened")
-    every = _postings(screened, K)
+    every = screened.select("node", F.posexplode("sig").alias("at", "value")).select("node", F.xxhash64("at", "value").alias("token"))
     often = every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     # At most K postings of a node meet in each window.
     own = W.partitionBy("node")
@@ -283,8 +288,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     ship_package(docs.sparkSession)
     described = materialise(_describe(docs, key, text, width), "signatures")
     usable = described.where("node IS NOT NULL AND key_ IS NOT NULL")
-    nodes = materialise(usable.groupBy("node").agg(F.min("key_").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
-    postings = materialise(prefix_postings(nodes), "postings")
+    nodes = materialise(usable.groupBy("node").agg(F.min("key_").alias("rep"), F.first("n").alias("n")), "nodes")
+    postings = materialise(prefix_postings(screen(usable)), "postings")
     hubs = postings.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
     canopies = components(postings.join(hubs, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     links = _links(docs, nodes, canopies, key, text, width, percent)
