@@ -1,10 +1,6 @@
 """Registered queries over the driver's tables, each beside its DuckDB SQL."""
 
-from __future__ import annotations
+from panelworks.queries import encoded, rollups, scored  # noqa: F401
+from panelworks.queries.base import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
