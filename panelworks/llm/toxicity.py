@@ -19,7 +19,7 @@ from panelworks.llm.common import Words, mix, multipliers, ship_package, slices
 #: Bits of a feature's index.
 BITS = 20
 #: Labelled texts used for training, at most, of either label; taken in the order of their keys' MD5.
-SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 3000, 6000
+SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1500, 3000
 
 #: Lengths in bytes of the word beginnings that are features.
 STEMS = (4, 5, 6)
@@ -129,13 +129,13 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1).cast(pa.int32()), pa.array(found, pa.binary())], ["key_", "label_", "found"])
 
     sample = rows.mapInArrow(run, "key_ string, label_ int, found binary").groupBy("key_").agg(F.min_by(F.struct("label_", "found"), "found").alias("r")).select("key_", "r.*")
-    collected = sorted((r["key_"], r["label_"], bytes(r["found"])) for r in sample.collect())
-    texts = [(y, np.frombuffer(x, "<i4").astype(np.int64)) for _, y, x in collected]
-    in_texts = np.zeros(1 << BITS, np.int64)
-    for _, present in texts:
+    texts = sorted((r["key_"], r["label_"], bytes(r["found"])) for r in sample.collect())
+    rows = [(y, np.frombuffer(x, "<i4")) for _, y, x in texts]
+    in_texts = np.zeros(1 << BITS, np.int32)
+    for _, present in rows:
         in_texts[present] += 1
     often = in_texts >= MIN_TEXTS
-    return fit_ftrl([(y, present[often[present]]) for y, present in texts])
+    return fit_ftrl([(y, present[often[present]]) for y, present in rows])
 
 
 def score_array(text: pa.Array, model: Model, table: np.ndarray) -> np.ndarray:
