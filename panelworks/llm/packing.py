@@ -1,7 +1,7 @@
 """Best-fit packing: repeat counts of few-document patterns by non-negative least squares.
 
 The number of pieces of each length is all that packing needs, and that histogram has at
-most ``limit`` entries whatever the corpus. Patterns of one to four lengths that fill a sequence
+most ``limit`` entries whatever the corpus. Patterns of two to four lengths that fill a sequence
 are fitted to it, the repeat counts are rounded down, and what remains is packed best-fit
 by whole multiplicities. The plan so made has a bounded number of rows and is applied to
 all pieces by their number within their length.
@@ -53,36 +53,35 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, limit: int = 4096, end: int
     return rows.mapInArrow(run, f"key_ {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("key_", key)
 
 
-def patterns(histogram: np.ndarray, limit: int, most: int = 30_000) -> list[tuple[int, ...]]:
-    """Patterns of up to four lengths (descending) that fill a sequence as far as the histogram has them.
+def patterns(histogram: np.ndarray, limit: int, most: int = 40_000) -> list[tuple[int, ...]]:
+    """Patterns of two to four lengths (descending) that fill a sequence.
 
-    histogram[l] is the number of pieces of length l. All pairs that fill a sequence come
-    first, then triples and quadruples whose larger members come from a spread of the
-    lengths (the more of them the more pieces they have); ``most`` bounds how many there are.
+    histogram[l] is the number of pieces of length l. All pairs come first, then triples and
+    quadruples whose larger members come from a spread of the lengths (the more of them the
+    more pieces they have); ``most`` bounds how many there are. A length alone is no pattern:
+    it would fit any histogram and fill nothing.
     """
     have = np.flatnonzero(histogram)
     have = have[have > 0].tolist()
     there = set(have)
-    out: list[tuple[int, ...]] = [(a,) for a in have]
-    out += [(a, limit - a) for a in have if 2 * a >= limit and limit - a in there]
+    out: list[tuple[int, ...]] = [(a, limit - a) for a in have if 2 * a >= limit and limit - a in there]
     weight = np.cumsum([int(histogram[a]) for a in have], dtype=np.float64)
-    spread = sorted({have[int(np.searchsorted(weight, q * weight[-1]))] for q in np.linspace(0.002, 0.998, 96)}) if have else []
-    for parts in (1, 2):
-        for a in reversed(have):
-            if len(out) >= most:
+    spread = sorted({have[int(np.searchsorted(weight, q * weight[-1]))] for q in np.linspace(0.01, 0.99, 32)}) if have else []
+    triples, quadruples = [], []
+    for a in have:
+        for i, b in enumerate(spread):
+            if b > a:
                 break
-            for b in spread:
-                if b > a:
-                    break
-                if parts == 1:
-                    c = limit - a - b
-                    if 0 < c <= b and c in there:
-                        out.append((a, b, c))
-                elif a + b < limit:
-                    for c in spread[::6]:
-                        d = limit - a - b - c
-                        if c <= b and 0 < d <= c and d in there:
-                            out.append((a, b, c, d))
+            c = limit - a - b
+            if 0 < c <= b and c in there:
+                triples.append((a, b, c))
+            for c in spread[i % 3 : i + 1 : 3]:
+                d = limit - a - b - c
+                if 0 < d <= c and d in there:
+                    quadruples.append((a, b, c, d))
+    for found in (triples, quadruples):
+        room = (most - len(out)) // (2 if found is triples else 1)
+        out += found[:: max(1, -(-len(found) // max(1, room)))]
     return out[:most]
 
 
@@ -128,7 +127,7 @@ def round_down(histogram: np.ndarray, chosen: list[tuple[int, ...]], x: np.ndarr
     for i in sorted(range(len(chosen)), key=lambda i: (-full[i], -x[i], chosen[i])):
         p = chosen[i]
         n = min([round(x[i]), *(left[v] // p.count(v) for v in p)])
-        if n > 0 and len(p) > 1:
+        if n > 0:
             out.append((p, n))
             for v in p:
                 left[v] -= n
