@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import itertools
 import os
 import tempfile
@@ -17,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a Python worker; longer single texts form a slice alone.
-SLICE_BYTES = 4 << 20
+#: Operators that hold many numbers for each word take less.
+SLICE_BYTES, SMALL_SLICE = 4 << 20, 2 << 20
 
 _WORD_SPACE = bytes(range(9, 14))
 _TO_SPACE = bytes.maketrans(_WORD_SPACE, b" " * len(_WORD_SPACE))
@@ -89,6 +92,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLIC
             end = max(start + 1, int(np.searchsorted(size, before + max_bytes, "right")))
             yield batch.slice(start, end - start), text.slice(start, end - start)
             start = end
+        del batch, text
+        _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def utf8_buffer(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

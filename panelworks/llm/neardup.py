@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import Words, materialise, multipliers, ship_package, slices, window_hashes
+from panelworks.llm.common import SMALL_SLICE, Words, materialise, multipliers, ship_package, slices, window_hashes
 
 #: Coordinates of a signature, and collisions from which a pair is compared. A pair at
 #: similarity 0.75 has 48 on average with standard deviation 3.5: 34 misses about one in 20,000.
@@ -80,7 +80,7 @@ def _describe(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     kind = docs.select(key).schema[0].dataType.simpleString()
 
     def run(batches):
-        for piece, texts in slices(batches, "text_"):
+        for piece, texts in slices(batches, "text_", SMALL_SLICE):
             sets = shingle_sets(texts, width)
             sig = signatures(sets).view(np.int64)
             node = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -242,7 +242,7 @@ def _links(docs: DataFrame, nodes: DataFrame, canopies: DataFrame, key: str, tex
     members = materialise(wanted.join(sizes.select("root", blocks.alias("blocks")), "root"), "members")
 
     def run(batches):
-        for piece, texts in slices(batches, "text_"):
+        for piece, texts in slices(batches, "text_", SMALL_SLICE):
             sets = shingle_sets(texts, width)
             node = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
             sig = pa.array([s.tobytes() for s in signatures(sets)], pa.binary())

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from panelworks.llm.common import Words, mix, multipliers, ship_package, slices, utf8_buffer, window_hashes
+from panelworks.llm.common import SMALL_SLICE, Words, mix, multipliers, ship_package, slices, utf8_buffer, window_hashes
 
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -123,7 +123,7 @@ def assess(docs: DataFrame, rules: Rules = Rules(), *, key: str = "doc_id", text
     wanted = columns(rules)
 
     def run(batches):
-        for piece, texts in slices(batches, "text_"):
+        for piece, texts in slices(batches, "text_", SMALL_SLICE):
             found = measure(texts, rules)
             yield pa.RecordBatch.from_arrays([piece.column(0), *[pa.array(found[c], t) for c, t, _ in wanted]], ["key_", *[c for c, _, _ in wanted]])
 
@@ -137,7 +137,7 @@ def keep(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text") -> Data
     at = docs.columns.index(text)
 
     def run(batches):
-        for piece, texts in slices(batches, docs_names[at]):
+        for piece, texts in slices(batches, docs_names[at], SMALL_SLICE):
             yield piece.filter(pa.array(measure(texts, rules)["kept"]))
 
     docs_names = [f"c{i}" for i in range(len(docs.columns))]
