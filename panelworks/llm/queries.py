@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import lm, neardup, ogg, packing, repair, repetition, sharding, spm, toxicity, urlfilter
+from panelworks.llm import lm, neardup, ogg, oracles, packing, repair, repetition, sharding, spm, toxicity, urlfilter
 
 N_SHARDS = 8
 #: A document is toxic from this score on.
@@ -99,4 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    op9_repetition_coverage.__name__: oracles.repetition_sql(),
+    op10_signature_join.__name__: oracles.near_duplicate_sql(),
+}
