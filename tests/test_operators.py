@@ -200,8 +200,8 @@ def test_shapley_values_add_up(spark):
 
 
 def test_readers(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("ID - Gbase,Date,n\ns1,2024-01-01,5\ns2,NA,x\nUnknown,2024-01-02,\n")
-    df = io.read_csv(spark, str(tmp_path / "a.csv"), "`ID - Gbase` string, Date date, n long", null_values=io.NULL_TOKENS, rename={"ID - Gbase": "id"})
+    (tmp_path / "a.csv").write_text("ID - Key,Date,n\ns1,2024-01-01,5\ns2,NA,x\nUnknown,2024-01-02,\n")
+    df = io.read_csv(spark, str(tmp_path / "a.csv"), "`ID - Key` string, Date date, n long", null_values=io.NULL_TOKENS, rename={"ID - Key": "id"})
     assert [tuple(r) for r in df.collect()] == [("s1", day("2024-01-01"), 5), ("s2", None, None), (None, day("2024-01-02"), None)]
     (tmp_path / "labels.csv").write_text("gtvid,actual_label\nA,1\n,1\nB,\n")
     assert rows(io.read_labels(spark, str(tmp_path / "labels.csv")), "gtvid", "actual_label") == [("A", 1), ("B", 0)]
