@@ -9,6 +9,7 @@ import itertools
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -77,8 +78,12 @@ def text_digest(text: str = "text"):
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cut Arrow batches so that each piece holds about ``max_bytes`` of ``column``.
 
-    Yields the piece and its text column with nulls replaced by empty strings.
+    Yields the piece and its text column with nulls replaced by empty strings. Operators
+    that ask for less than SLICE_BYTES need the memory that word caches of others hold.
     """
+    if max_bytes < SLICE_BYTES:
+        for cache in list(_CACHES):
+            cache.forget()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -208,12 +213,25 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+#: All caches of the process.
+_CACHES: weakref.WeakSet[WordCache] = weakref.WeakSet()
+
+
 class WordCache:
     """Ids of words already encoded by this process; emptied when it holds ``limit`` words."""
 
     def __init__(self, limit: int = 400_000):
         self.limit = limit
+        #: Further tables that are emptied by :meth:`forget`.
+        self.others: list[dict] = []
+        self._clear()
+        _CACHES.add(self)
+
+    def forget(self) -> None:
+        """Give up all words, and the further tables."""
         self._clear()
+        for table in self.others:
+            table.clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}

@@ -39,6 +39,7 @@ class WordTokenizer:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.bytes = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
         self.runs: dict[str, bytes] = {}
+        self.cache.others.append(self.runs)
 
     def _run(self, run: str) -> bytes:
         """Ids of one stretch of the pre-tokenizer, four bytes each (a tuple would take four times the memory)."""
