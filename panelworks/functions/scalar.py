@@ -131,3 +131,24 @@ def erf_approximation(x: Column) -> Column:
     for c in reversed(a):
         poly = (poly + c) * t
     return F.signum(x) * (1 - poly * F.exp(-x * x))
+
+
+def gate_probability(mu: Column, sigma: float = 0.5) -> Column:
+    """Probability that a stochastic gate with mean parameter mu is open, by the logistic approximation."""
+    return sigmoid(1.702 * (0.5 + mu) / sigma)
+
+
+def gate_value(mu: Column) -> Column:
+    """The gate itself without noise: 0.5 + mu within [0, 1]."""
+    return clip(0.5 + mu, 0.0, 1.0)
+
+
+def show(x: Column, kind: str) -> Column:
+    """A value for people: ``currency``, ``percent`` (of a share), ``count`` or ``yes_no``; null as N/A."""
+    text = {
+        "currency": lambda: F.concat(F.lit("$"), F.format_number(x.cast("double"), 2)),
+        "percent": lambda: F.concat(F.format_number(x.cast("double") * 100, 1), F.lit("%")),
+        "count": lambda: F.format_number(x.cast("double"), 0),
+        "yes_no": lambda: F.when(x.cast("boolean"), "Yes").otherwise("No"),
+    }[kind]()
+    return F.when(x.isNull(), "N/A").otherwise(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -96,3 +96,23 @@ def coverage(a: DataFrame, b: DataFrame) -> DataFrame:
     both = x.join(y, "id", "full")
     n, shared = F.count("a_"), F.count_if(F.col("a_").isNotNull() & F.col("b_").isNotNull())
     return both.agg(n.alias("n_first"), shared.alias("n_shared"), F.try_divide(shared, n).alias("share"), F.count_if(F.col("a_").isNull()).alias("n_only_second"))
+
+
+def newest_complete(experiments: DataFrame, by: str = "task") -> DataFrame:
+    """For each ``by`` the experiment created last among those marked complete (ties: the greatest name)."""
+    rest = [c for c in experiments.columns if c != by]
+    last = F.max_by(F.struct(*rest), F.struct("created", "name")).alias("r_")
+    return experiments.where("complete").groupBy(by).agg(last).select(by, "r_.*")
+
+
+def beyond_newest(experiments: DataFrame, keep: int = 10) -> DataFrame:
+    """The experiments that retention drops: all but the ``keep`` created last (ties by name)."""
+    newest = experiments.orderBy(F.desc("created"), F.desc("name")).limit(keep).select("name")
+    return experiments.join(newest, "name", "left_anti")
+
+
+def temporal_split(panel: DataFrame, train_until: Column, gap_days: int = 30) -> DataFrame:
+    """``part``: train up to a date, test after it and a gap; rows in the gap are left out."""
+    day = F.col("date")
+    part = F.when(day <= train_until, "train").when(day > F.date_add(train_until, gap_days), "test")
+    return panel.withColumn("part", part).where(F.col("part").isNotNull())

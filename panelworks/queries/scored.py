@@ -57,7 +57,7 @@ def quintile_agreement(spark, d):
     return rounded(scoring.compare_scores(c.select("id", F.col("p").alias("score")), c.select("id", F.col("q").alias("score"))))
 
 
-@query(f"WITH {PEOPLE} SELECT id, p AS a, q AS b, {R('abs(p - q)')} AS diff FROM people ORDER BY abs(p - q) DESC, id LIMIT 20")
+@query(f"WITH {PEOPLE} SELECT id, {R('p')} AS a, {R('q')} AS b, {R('abs(p - q)')} AS diff FROM people ORDER BY abs(p - q) DESC, id LIMIT 20")
 def largest_differences(spark, d):
     c = people(spark, d)
     return rounded(scoring.largest_differences(c.select("id", F.col("p").alias("score")), c.select("id", F.col("q").alias("score"))))
