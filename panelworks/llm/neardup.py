@@ -125,7 +125,8 @@ def screen(described: DataFrame) -> DataFrame:
     first = described.select(own, F.posexplode(F.slice("sig", 1, K - T + 1)).alias("at", "value")).select("h", F.xxhash64("at", "value").alias("token"))
     shared = first.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("token")
     found = first.join(shared, "token", "left_semi").select("h").distinct()
-    kept = described.select("node", "sig", own).join(found, "h", "left_semi")
+    # What has been found grows with the corpus: a shuffled join at every size, not a broadcast.
+    kept = described.select("node", "sig", own).join(found.hint("merge"), "h", "left_semi")
     return materialise(kept.groupBy("node").agg(F.first("sig").alias("sig")), "screened")
 
 
@@ -252,7 +253,7 @@ def _links(docs: DataFrame, nodes: DataFrame, canopies: DataFrame, key: str, tex
     rows = rows.join(members.select("rep").distinct(), "rep", "left_semi").select("text_")
     sets = rows.mapInArrow(run, "node binary, sig binary, items binary")
     # Of rows that share a key and a set, one is taken; a key's other sets find no member.
-    placed = members.select("node", "root", "blocks").join(sets, "node")
+    placed = members.select("node", "root", "blocks").hint("merge").join(sets, "node")
     mine = F.pmod(F.hash("node"), F.col("blocks"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.withColumn("mine", mine).withColumn("other", others)
