@@ -8,6 +8,12 @@ are combined by weights that a gate selects, and the mixture is refined by an ad
 table. After an escape follows the word itself: its bytes are coded in the same manner from
 the one to five bytes before, interpolated with the word's own training count.
 
+The counts of a word's contexts are exact at every size: pairs of a context and a symbol are
+counted by a shuffle. What follows a very frequent word (before, or as language) is held
+whole - FREQUENT times HEAD numbers at most - and broadcast; what follows any other word stays
+distributed, and the tokens after such a word are sent to it as (word before, language, match,
+symbol). Spelling contexts are hashed into tables of a fixed size.
+
 Counts are gathered over all training texts. Only the mixing weights and the refinement
 (some hundred numbers) are fitted online on a bounded sample, each bit's own count taken
 out first.
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 
 from panelworks.llm.common import SMALL_SLICE, Words, materialise, multipliers, ragged, ship_package, slices
 
-#: Words with a code of their own, at most; words counted as very frequent; bits of a hashed table.
+#: Words with a code of their own, at most; words counted as very frequent; bits of a spelling table.
 HEAD, FREQUENT, BITS = 131_072, 256, 19
 #: Words seen less often have no code: they stand for the words that training lacks.
 LEAST = 2
@@ -42,6 +48,9 @@ END = "\n"
 #: A table travels in so many parts; each part is summed over so many tasks at a time.
 PARTS, TOGETHER = 64, 128
 EVENTS = 1 << 19
+#: Bits of a symbol in a packed pair; training pairs, about, that one task holds; tokens it scores at once.
+WIDTH, BUCKET_PAIRS, LATER = 18, 100_000, 1 << 19
+MASK = (1 << WIDTH) - 1
 
 
 def held_out(key: Column) -> Column:
@@ -110,6 +119,21 @@ def confidence(zero, one):
     return np.minimum(np.log2(zero + one + 1) / 3, 3).astype(np.int64)
 
 
+def pack(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Log-odds in steps of 1/400 and the confidence of counts, in 16 bits."""
+    s = np.rint(np.clip(stretch(zero, one), -20, 20) * 400).astype(np.int64) + 8192
+    return (s << 2 | confidence(zero, one)).astype(np.uint16)
+
+
+#: What counts of 0 and 0 give.
+UNSEEN = 8192 << 2
+
+
+def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log-odds, confidence) of packed counts."""
+    return ((packed >> 2).astype(np.float32) - 8192) * np.float32(1 / 400), packed & 3
+
+
 @dataclass
 class Mixer:
     """Gated weights, and the refinement table over (row, bucket of the mixture's log-odds)."""
@@ -175,22 +199,37 @@ class WordModel:
         self.code = Code(np.append(np.maximum(counts, 1), max(1, escaped)))
         self.escape = len(words)
         self.index = {w: i for i, w in enumerate(words)}
-        self.tables: np.ndarray | None = None
+        #: Row of every context that is held whole; -1 of others.
+        self.row = np.full(self.escape + 2, -1)
+        self.row[: min(FREQUENT, self.escape)] = np.arange(min(FREQUENT, self.escape))
+        self.row[self.escape :] = FREQUENT, FREQUENT + 1
+        #: Packed counts (word before or language, row, node).
+        self.dense: np.ndarray | None = None
+        self.pairs: DataFrame | None = None
+        self.buckets = 1
         self.mixer: Mixer | None = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "fast")}
+        state = {k: v for k, v in self.__dict__.items() if k not in ("index", "root", "pairs")}
+        if self.dense is not None:
+            state["dense"] = self.dense.shape, [zlib.compress(x.tobytes(), 1) for half in self.dense for x in half]
+        return state
 
     def __setstate__(self, state):
         self.__dict__ |= state
         self.index = {w: i for i, w in enumerate(self.words)}
+        if self.dense is not None:
+            shape, rows = self.dense
+            flat = np.empty((shape[0] * shape[1], shape[2]), np.uint16)
+            for i, x in enumerate(rows):
+                flat[i] = np.frombuffer(zlib.decompress(x), np.uint16)
+            self.dense = flat.reshape(shape)
 
     def symbols(self, text: pa.Array) -> Tokens:
         return Tokens(text, self)
 
     def contexts(self, t: Tokens) -> list[np.ndarray]:
-        """Context hashes of every token: word before, last very frequent word."""
-        odd = multipliers(12)
+        """Contexts of every token: word before, last very frequent word."""
         none = np.int64(self.escape + 1)
         n = len(t.symbol)
         at = np.arange(n)
@@ -202,8 +241,7 @@ class WordModel:
         before = np.full(n, -1)
         before[1:] = last[:-1]
         language = np.where(before >= t.first[t.doc], t.symbol[np.maximum(before, 0)], none) if n else before
-        hashed = lambda x: x.astype(np.uint64)
-        return [hashed(one) * odd[5], hashed(language) * odd[8]]
+        return [one, language]
 
     def matches(self, t: Tokens) -> np.ndarray:
         """Symbol that followed the same two words when they came last in the text; -1 if they had not."""
@@ -241,66 +279,93 @@ class WordModel:
         out[at] = np.where(agree, 2 * guess - 1, 0)
         return out
 
-    def gather(self, texts: pa.Array, tables: np.ndarray) -> None:
-        """Add the bits of all tokens to ``tables`` (context, slot, bit)."""
-        t = Tokens(texts, self)
-        context = self.contexts(t)
-        for low, high in t.chunks(self.code):
-            owner, _, node, bit = self.code.events(t.symbol[low:high])
-            for k, c in enumerate(context):
-                key = slots(c[low:high][owner], node) * 2 + bit
-                tables[k] += np.bincount(key, minlength=2 << BITS).reshape(-1, 2)
-
-    def _inputs(self, t: Tokens, context, match, low: int, high: int, leave_out: bool):
-        owner, depth, node, bit = self.code.events(t.symbol[low:high])
-        if leave_out:
-            z, o = self.code.zero[node], self.code.one[node]
-            # The code's own counts are kept: without the bit itself an even node would speak against it.
-            inputs, sure = [stretch(z, o)], []
-            for k, c in enumerate(context):
-                pair = self.tables[k][slots(c[low:high][owner], node)].astype(np.float64)
-                z, o = np.maximum(pair[:, 0] - (bit == 0), 0), np.maximum(pair[:, 1] - (bit == 1), 0)
-                inputs.append(stretch(z, o))
-                sure.append(confidence(z, o))
-        else:
-            root, stretched, sureness = self._fast()
-            inputs, sure = [root[node]], []
-            for k, c in enumerate(context):
-                s = slots(c[low:high][owner], node)
-                inputs.append(stretched[k][s])
-                sure.append(sureness[k][s])
-        guess = self.expected(match[low:high], owner, depth, bit)
-        inputs.append(guess)
-        gate = (sure[0].astype(np.int64) * 4 + sure[1]) * 2 + (guess != 0)
-        return owner, bit, inputs, gate, np.minimum(depth, 15)
+    def packed_pairs(self, t: Tokens) -> list[np.ndarray]:
+        """(context, symbol) of every token as one number, for the word before and for the language."""
+        one, language = self.contexts(t)
+        return [one << WIDTH | t.symbol, language + self.escape + 2 << WIDTH | t.symbol]
 
-    def _fast(self):
-        if "fast" not in self.__dict__:
-            self.fast = (
-                stretch(self.code.zero, self.code.one).astype(np.float32),
-                [stretch(x[:, 0].astype(np.float64), x[:, 1]).astype(np.float32) for x in self.tables],
-                [confidence(x[:, 0].astype(np.float64), x[:, 1]).astype(np.int8) for x in self.tables],
-            )
-        return self.fast
+    def node_counts(self, pair: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(context and node as one number, zeros, ones) of the pairs' bits, and of every bit its pair and place therein."""
+        owner, _, node, bit = self.code.events(pair & MASK)
+        key, at = np.unique((pair >> WIDTH)[owner] * max(1, self.escape) + node, return_inverse=True)
+        total = np.bincount(at, weights=c[owner], minlength=len(key))
+        one = np.bincount(at, weights=c[owner] * bit, minlength=len(key))
+        return key, total - one, one, owner, at
 
-    def tune(self, texts: pa.Array) -> None:
-        """Fit the weights on texts that the tables have counted, each bit's own count left out."""
+    def tune(self, texts: pa.Array, seen: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Fit the weights on training texts, each bit's own count left out.
+
+        ``seen``: the texts' pairs in order, and the zeros and ones of all their bits.
+        """
         self.mixer = Mixer.new(32, 5, 16)
         t = Tokens(texts, self)
-        context, match = self.contexts(t), self.matches(t)
-        for rate in RATES:
-            for low, high in t.chunks(self.code):
-                _, bit, inputs, gate, row = self._inputs(t, context, match, low, high, True)
-                self.mixer.learn(inputs, gate, row, bit, rate)
+        match = self.matches(t)
+        pairs, zero, one = seen
+        length = self.code.length[pairs & MASK]
+        begin = np.cumsum(length) - length
+        place = [begin[np.searchsorted(pairs, p)] for p in self.packed_pairs(t)] if len(pairs) else []
+        for rate in RATES if len(pairs) else ():
+            for low, high in chunks(self.code, t.symbol):
+                owner, depth, node, bit = self.code.events(t.symbol[low:high])
+                # The code's own counts are kept: without the bit itself an even node would speak against it.
+                inputs, sure = [stretch(self.code.zero[node], self.code.one[node])], []
+                for p in place:
+                    at = p[low:high][owner] + depth
+                    z, o = np.maximum(zero[at] - (bit == 0), 0), np.maximum(one[at] - (bit == 1), 0)
+                    inputs.append(stretch(z, o))
+                    sure.append(confidence(z, o))
+                guess = self.expected(match[low:high], owner, depth, bit)
+                gate = (sure[0] * 4 + sure[1]) * 2 + (guess != 0)
+                self.mixer.learn([*inputs, guess], gate, np.minimum(depth, 15), bit, rate)
+
+    def _score(self, symbol: np.ndarray, match: np.ndarray, language: np.ndarray, before) -> np.ndarray:
+        """log10 probability of every symbol's code; ``before(low, owner, depth, node)`` gives the packed counts after the word before."""
+        if "root" not in self.__dict__:
+            self.root = stretch(self.code.zero, self.code.one).astype(np.float32)
+        out = np.zeros(len(symbol))
+        for low, high in chunks(self.code, symbol):
+            owner, depth, node, bit = self.code.events(symbol[low:high])
+            first, sure = unpack(before(low, owner, depth, node))
+            second, sure2 = unpack(self.dense[1].reshape(-1).take(language[low:high][owner] * self.dense.shape[2] + node))
+            guess = self.expected(match[low:high], owner, depth, bit)
+            gate = (sure.astype(np.int64) * 4 + sure2) * 2 + (guess != 0)
+            bits = self.mixer.log10_of(bit, [self.root[node], first, second, guess], gate, np.minimum(depth, 15))
+            out[low:high] = np.bincount(owner, weights=bits, minlength=high - low)
+        return out
 
-    def score(self, t: Tokens) -> np.ndarray:
-        """log10 probability of every token's code."""
+    def score(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of every token's code, or 0; and the tokens to be scored later, as indices and packed."""
+        one, language = self.contexts(t)
+        match, language, row = self.matches(t), self.row[language], self.row[one]
+        own, later = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
         out = np.zeros(len(t.symbol))
-        context, match = self.contexts(t), self.matches(t)
-        for low, high in t.chunks(self.code):
-            owner, bit, inputs, gate, row = self._inputs(t, context, match, low, high, False)
-            out[low:high] = np.bincount(owner, weights=self.mixer.log10_of(bit, inputs, gate, row), minlength=high - low)
-        return out
+        flat, nodes, row = self.dense[0].reshape(-1), self.dense.shape[2], row[own]
+        out[own] = self._score(t.symbol[own], match[own], language[own], lambda low, owner, depth, node: flat.take(row[low + owner] * nodes + node))
+        packed = ((one[later] << WIDTH | t.symbol[later]) << 9 | language[later]) << WIDTH | match[later] + 1
+        return out, later, packed
+
+    def score_later(self, packed: np.ndarray, key: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """log10 probability of packed tokens (in order), by the packed counts ``value`` of the contexts and nodes ``key``."""
+        pair, of = np.unique(packed >> WIDTH + 9, return_inverse=True)
+        owner, _, node, _ = self.code.events(pair & MASK)
+        wanted = (pair >> WIDTH)[owner] * max(1, self.escape) + node
+        at = np.minimum(np.searchsorted(key, wanted), max(0, len(key) - 1))
+        found = np.where(key[at] == wanted, value[at], np.uint16(UNSEEN)) if len(key) else np.full(len(wanted), UNSEEN, np.uint16)
+        length = self.code.length[pair & MASK]
+        begin = (np.cumsum(length) - length)[of]
+        symbol, language = packed >> WIDTH + 9 & MASK, packed >> WIDTH & 511
+        return self._score(symbol, (packed & MASK) - 1, language, lambda low, owner, depth, node: found[begin[low + owner] + depth])
+
+
+def chunks(code: Code, symbol: np.ndarray):
+    """Ranges of symbols with about EVENTS code bits."""
+    total = np.cumsum(code.length[symbol])
+    low = 0
+    while low < len(symbol):
+        before = total[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(total, before + EVENTS, "right")))
+        yield low, high
+        low = high
 
 
 class Tokens:
@@ -324,16 +389,6 @@ class Tokens:
         self.rare_at, self.rare_word = at[rare], index[rare]
         self.counts = words.counts + 1
 
-    def chunks(self, code: Code):
-        """Ranges of tokens with about EVENTS code bits."""
-        total = np.cumsum(code.length[self.symbol])
-        low = 0
-        while low < len(self.symbol):
-            before = total[low - 1] if low else 0
-            high = max(low + 1, int(np.searchsorted(total, before + EVENTS, "right")))
-            yield low, high
-            low = high
-
 
 class SpellingModel:
     """Bytes of a word and an end byte, from the one to five bytes before."""
@@ -462,7 +517,7 @@ def _sum_tables(rows: DataFrame, gather, contexts: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """All that scoring needs; its size does not depend on the corpus, but for ``rare``."""
+    """All that scoring needs; its size does not depend on the corpus, but for ``rare`` and ``word.pairs``."""
 
     word: WordModel
     spelling: SpellingModel
@@ -494,10 +549,10 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Model:
     head_counts = np.array([c for c, _ in top], np.int64)
     once = counts.where("c = 1").count()
     word = WordModel([w for _, w in top], head_counts, tokens - int(head_counts.sum()), tokens, types)
-    word.tables = _sum_tables(training.select("text_"), _gather_words(spark.sparkContext.broadcast(word)), 2)
     order = [F.md5(F.col("key_").cast("string")), "key_", "text_"]
     sample = training.where("octet_length(text_) <= 65536").orderBy(*order).limit(TUNE_TEXTS).collect()
-    word.tune(pa.array([r["text_"] for r in sample], pa.string()))
+    fitted = pa.array([r["text_"] for r in sample], pa.string())
+    word.tune(fitted, count_contexts(training, word, fitted))
     letters = np.zeros(256, np.int64)
     tune_words = [r["word"] for r in rare.where("octet_length(word) <= 1024").orderBy(F.md5("word"), "word").limit(TUNE_WORDS).collect()]
     for w in tune_words:
@@ -510,15 +565,135 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Model:
     return Model(word, spelling, share, word.escaped, rare)
 
 
-def _gather_words(shared):
-    def gather(batches):
-        tables = None
+def count_contexts(training: DataFrame, word: WordModel, fitted: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count all contexts of the training texts into ``word``; gives what ``WordModel.tune`` needs of the texts ``fitted``."""
+    context = training.sparkSession.sparkContext
+    shared = context.broadcast(word)
+    names = ["pair", "c"]
+
+    def pairs(batches):
+        kept, size = [], 0
+
+        def whole():
+            pair, at = np.unique(np.concatenate([p for p, _ in kept]), return_inverse=True)
+            c = np.bincount(at, weights=np.concatenate([c for _, c in kept])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(c)], names)
+
         for _, texts in slices(batches, "text_", SMALL_SLICE):
-            tables = np.zeros((2, 1 << BITS, 2), np.int64) if tables is None else tables
-            shared.value.gather(texts, tables)
-        return tables
+            for p in shared.value.packed_pairs(Tokens(texts, shared.value)):
+                kept.append(np.unique(p, return_counts=True))
+                size += len(kept[-1][0])
+            if size > 1 << 21:
+                yield whole()
+                kept, size = [], 0
+        if kept:
+            yield whole()
+
+    word.pairs = materialise(training.select("text_").mapInArrow(pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")), "pairs")
+    word.buckets = max(16, word.pairs.count() // BUCKET_PAIRS)
+    needed = context.broadcast(np.unique(np.concatenate(word.packed_pairs(Tokens(fitted, word)))))
+    nodes, first_language = word.escape, word.escape + 2
+
+    def tables(group: pa.Table) -> pa.Table:
+        model = shared.value
+        pair, c = group.column("pair").to_numpy(), group.column("c").to_numpy()
+        key, zero, one, owner, at = model.node_counts(pair, c)
+        number, dense = group.column("g")[0].as_py(), None
+        if number < 0:
+            full = np.full(nodes, UNSEEN, np.uint16)
+            full[key % max(1, nodes)] = pack(zero, one)
+            dense = zlib.compress(full.tobytes(), 1)
+        wanted = np.isin(pair, needed.value)
+        at = at[wanted[owner]]
+        data = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in (pair[wanted], zero[at], one[at])]
+        return pa.table({"g": pa.array([number], pa.int64()), "dense": pa.array([dense], pa.binary()), **{n: pa.array([x], pa.binary()) for n, x in zip(("pair", "zero", "one"), data, strict=True)}})
+
+    rows = word.pairs.withColumn("g", _group(word))
+    word.dense = np.full((2, FREQUENT + 2, nodes), UNSEEN, np.uint16)
+    seen = []
+    for r in rows.groupBy("g").applyInArrow(tables, "g long, dense binary, pair binary, zero binary, one binary").toLocalIterator():
+        if r["dense"] is not None:
+            at = -1 - r["g"]
+            half = int(at >= first_language)
+            word.dense[half, word.row[at - half * first_language]] = np.frombuffer(zlib.decompress(r["dense"]), np.uint16)
+        seen.append([np.frombuffer(zlib.decompress(r[n]), "<i8") for n in ("pair", "zero", "one")])
+    if not seen:
+        return (np.empty(0, np.int64),) * 3
+    # The pairs of all groups in order, and their bits with them.
+    pair, zero, one = (np.concatenate(x) for x in zip(*seen, strict=True))
+    length = word.code.length[pair & MASK]
+    order = np.argsort(pair)
+    at = ragged((np.cumsum(length) - length)[order], length[order])
+    return pair[order], zero[at], one[at]
+
+
+def _group(word: WordModel) -> Column:
+    """Of a pair: -1 - its context if that is held whole, else its bucket."""
+    context = F.shiftright("pair", WIDTH)
+    return F.when((context < min(FREQUENT, word.escape)) | (context >= word.escape), -1 - context).otherwise(context % word.buckets)
+
+
+def _squeeze(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, the first byte of each before the second of each."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+
+
+def _expand(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _score_later(later: DataFrame, word: WordModel, shared) -> DataFrame:
+    """(row, later) from rows (bucket, first, code, offset) of tokens whose word before is not held whole."""
+    kind = "bucket long, pair long, c long, first long, code binary, offset binary"
 
-    return gather
+    def run(batches):
+        model = shared.value[0]
+        current, pairs, table, tokens, size = None, [], None, [], 0
+
+        def flush():
+            nonlocal table, tokens, size
+            if table is None:
+                pair, c = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 2
+                key, zero, one, _, _ = model.node_counts(pair, c)
+                table = key, pack(zero, one)
+                pairs.clear()
+            code, row = (np.concatenate(x) for x in zip(*tokens, strict=True))
+            order = np.argsort(code, kind="stable")
+            got = model.score_later(code[order], *table)
+            row, at = np.unique(row[order], return_inverse=True)
+            tokens, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.bincount(at, weights=got))], ["row", "later"])
+
+        for b in batches:
+            bucket, is_pair = b.column(0).to_numpy(), b.column(4).is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(bucket * 2 + ~is_pair)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
+                if low == high:
+                    continue
+                if bucket[low] != current:
+                    if tokens:
+                        yield flush()
+                    current, table, pairs = bucket[low], None, []
+                piece = b.slice(low, high - low)
+                if is_pair[low]:
+                    pairs.append((piece.column(1).to_numpy(), piece.column(2).to_numpy()))
+                    continue
+                for first, code, offset in zip(*(piece.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+                    tokens.append((np.cumsum(_expand(code, "<i8")), first + _expand(offset, "<i4").astype(np.int64)))
+                    size += len(tokens[-1][0])
+                    if size > LATER:
+                        yield flush()
+        if tokens:
+            yield flush()
+
+    none = lambda t: F.lit(None).cast(t)
+    pairs = word.pairs.withColumn("bucket", _group(word).cast("long")).where("bucket >= 0")
+    pairs = pairs.select("bucket", "pair", "c", none("long").alias("first"), none("binary").alias("code"), none("binary").alias("offset"))
+    later = later.select("bucket", none("long").alias("pair"), none("long").alias("c"), "first", "code", "offset")
+    both = pairs.unionByName(later).repartition("bucket").sortWithinPartitions("bucket", F.col("code").isNotNull())
+    assert both.columns == [x.split()[0] for x in kind.split(", ")]
+    return both.mapInArrow(run, "row long, later double").groupBy("row").agg(F.sum("later").alias("later"))
 
 
 def _gather_spelling(shared):
@@ -545,15 +720,18 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     word, norm = model.word, math.log10(model.word.tokens + model.word.types + 1)
     shared = spark.sparkContext.broadcast((word, model.spelling))
     kind = docs.select(key).schema[0].dataType.simpleString()
-    names = ["key_", "n_bytes", "n_tokens", "n_known", "base", "score", "rare"]
+    buckets = word.buckets
+    fields = f"key_ {kind}, n_bytes long, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,n:int,spelled:double>>, row long, bucket long, code binary, offset binary"
+    names = [*"key_ n_bytes n_tokens n_known base score rare row bucket code offset".split()]
 
     def run(batches):
         words, spelling = shared.value
+        row = TaskContext.get().partitionId() << 33
         base = np.append(np.log10(words.counts + 1.0) - norm, 0.0)
         for piece, texts in slices(batches, "text_", SMALL_SLICE):
             t = Tokens(texts, words)
             per = lambda x: np.bincount(t.doc, weights=x, minlength=len(texts))
-            own = words.score(t)
+            own, later, packed = words.score(t)
             pair = t.doc[t.rare_at] * max(1, len(t.names)) + t.rare_word
             pair, times = np.unique(pair, return_counts=True)
             owner, name = np.divmod(pair, max(1, len(t.names)))
@@ -563,20 +741,32 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
             struct = pa.StructArray.from_arrays([t.names.take(pa.array(name)).cast(pa.string()), pa.array(times, pa.int32()), pa.array(spelled[at])], ["word", "n", "spelled"])
             rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)
             known = (t.symbol != words.escape).astype(np.float64)
-            columns = [piece.column(0), piece.column(1), pa.array(t.counts), pa.array(per(known).astype(np.int64)), pa.array(per(base[t.symbol])), pa.array(per(own)), rare]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns = [piece.column(0), piece.column(1), pa.array(t.counts), pa.array(per(known).astype(np.int64)), pa.array(per(base[t.symbol])), pa.array(per(own)), rare, pa.array(row + np.arange(len(texts)))]
+            empty = [pa.nulls(len(texts), k) for k in (pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *empty], names)
+            # Tokens to be scored later, by bucket and in order; a row of its own for every bucket.
+            bucket = (packed >> 2 * WIDTH + 9) % buckets
+            order = np.lexsort((packed, bucket))
+            bucket, packed, doc = bucket[order], packed[order], t.doc[later[order]].astype("<i4")
+            ends = [*(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else []
+            parts = list(zip([0, *ends], ends))
+            data = [pa.array([_squeeze(np.diff(packed[a:b], prepend=0)) for a, b in parts], pa.binary()), pa.array([_squeeze(doc[a:b]) for a, b in parts], pa.binary())]
+            empty = [pa.nulls(len(parts), x.type) for x in columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([row] * len(parts), pa.int64()), pa.array([bucket[a] for a, _ in parts], pa.int64()), *data], names)
+            row += len(texts)
 
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("key_"), F.octet_length(whole).cast("long").alias("n_bytes"), whole.alias("text_"))
-    scored = rows.mapInArrow(run, f"key_ {kind}, n_bytes long, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,n:int,spelled:double>>")
-    scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    both = materialise(rows.mapInArrow(run, fields), "scored")
+    scored = both.where("bucket IS NULL").drop("bucket", "code", "offset")
+    later = _score_later(both.where("bucket IS NOT NULL").select("bucket", F.col("row").alias("first"), "code", "offset"), word, shared)
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(model.rare, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     share, total = model.known_share, max(1, model.rare_tokens)
     mixed = F.log10(F.lit(share / total) * F.col("c") + (1 - share) * F.pow(F.lit(10.0), F.greatest(F.col("spelled"), F.lit(-290.0))))
     mixed = F.when((F.col("c") == 0) & (F.col("spelled") < -290), F.col("spelled") + math.log10(1 - share)).otherwise(mixed)
     of = rare.groupBy("row").agg(F.sum(F.col("n") * (F.log10(F.col("c") + 1.0) - norm)).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * mixed).alias("rare_score"))
-    out = scored.drop("rare").join(of, "row", "left").fillna(0, ["rare_base", "rare_known", "rare_score"])
-    total_score = F.col("score") + F.col("rare_score")
+    out = scored.drop("rare").join(of, "row", "left").join(later, "row", "left").fillna(0, ["rare_base", "rare_known", "rare_score", "later"])
+    total_score = F.col("score") + F.col("rare_score") + F.col("later")
     return out.select(
         F.col("key_").alias(key),
         held_out(F.col("key_")).alias("held_out"),
