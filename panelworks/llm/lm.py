@@ -482,6 +482,18 @@ def count_words(training: DataFrame) -> DataFrame:
     return training.select("text_").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def count_letters(words: DataFrame) -> DataFrame:
+    """(byte, n) over the column word, each word with a space after it."""
+
+    def run(batches):
+        total = np.zeros(256, np.int64)
+        for _, piece in slices(batches, "word", SMALL_SLICE):
+            total += np.bincount(np.frombuffer(b" ".join([*piece.cast(pa.large_binary()).to_pylist(), b""]), np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], ["byte", "n"])
+
+    return words.select("word").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+
+
 def _sum_tables(rows: DataFrame, gather, contexts: int) -> np.ndarray:
     """Tables (context, slot, bit) summed over all tasks' tables, which ``gather(batches)`` gives.
 
@@ -554,9 +566,9 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Model:
     fitted = pa.array([r["text_"] for r in sample], pa.string())
     word.tune(fitted, count_contexts(training, word, fitted))
     letters = np.zeros(256, np.int64)
+    for r in count_letters(rare).collect():  # at most 256 rows
+        letters[r["byte"]] = r["n"]
     tune_words = [r["word"] for r in rare.where("octet_length(word) <= 1024").orderBy(F.md5("word"), "word").limit(TUNE_WORDS).collect()]
-    for w in tune_words:
-        letters += np.bincount(np.frombuffer(w.encode() + b" ", np.uint8), minlength=256)
     spelling = SpellingModel(letters)
     spelling.tables = _sum_tables(rare.select("word"), _gather_spelling(spark.sparkContext.broadcast(spelling)), ORDERS)
     spelling.tune(pa.array(tune_words, pa.string()))

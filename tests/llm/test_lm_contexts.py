@@ -53,3 +53,11 @@ def test_context_counts_are_exact(spark):
                 assert abs(got[i]["score"] - whole) < 0.002 * abs(whole) + 1e-3
         assert len(packed) == len(later) and np.all(own[later] == 0)
     assert late > 100
+
+
+def test_letters_cover_all_rare_words(spark):
+    """The spelling code's byte counts come from every word without a code, not from a sample of them."""
+    words = [f"x{i:05d}" for i in range(lm.TUNE_WORDS + 500)]
+    got = {r["byte"]: r["n"] for r in lm.count_letters(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    want = np.bincount(np.frombuffer(" ".join([*words, ""]).encode(), np.uint8), minlength=256)
+    assert [got[i] for i in range(256)] == want.tolist()
