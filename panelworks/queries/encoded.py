@@ -108,7 +108,7 @@ def filter_options(spark, d):
  FROM customer c0 WHERE c0.c_custkey % 97 = 0 AND (c0.c_custkey % 2 = 0 OR c0.c_custkey % 3 > 0 OR c0.c_custkey % 5 = 0)""")
 def site_detail_partial(spark, d):
     c = table(spark, d, "customer").withColumn("id", F.col("c_custkey"))
-    ids = spark.range(0, 100_000, 97)
+    ids = c.where("id % 97 = 0").select("id")
     details = c.where("id % 2 = 0").select("id", F.col("c_mktsegment").alias("segment"))
     coordinates = c.where("id % 3 > 0").select("id", (F.col("id") * 2).alias("lat"))
     metrics = c.where("id % 5 = 0").select("id", (F.col("id") * 3).alias("revenue"))
