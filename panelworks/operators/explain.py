@@ -8,7 +8,6 @@ from collections.abc import Callable, Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -102,22 +101,34 @@ def hash_split(df: DataFrame, key: str, shares: Sequence[float] = (0.7, 0.15, 0.
     return numbered.withColumn("part", part.cast("int")).drop("at_", "n_")
 
 
+#: Reference rows that a row is compared with at once, about.
+GOWER_BLOCK = 4096
+
+
 def gower_knn(queries: DataFrame, reference: DataFrame, numeric: Sequence[str], categorical: Sequence[str], k: int = 10) -> DataFrame:
     """(id, score): 1 / (1 + mean Gower distance to the k nearest reference rows (rid)).
 
-    Numeric parts are |a - b| over the column's range in the reference. The reference set is
-    a chosen sample of known good rows; it is broadcast, and must not exceed 10,000 rows.
+    Numeric parts are |a - b| over the column's range in the reference. The reference set may
+    have any size: it is cut into blocks of about ``GOWER_BLOCK`` rows, every block gives each
+    id its k nearest rows, and these are merged per id.
     """
-    if reference.limit(10_001).count() > 10_000:
-        raise ValueError("the reference set has more than 10,000 rows")
     ranges = reference.agg(*[F.nullif(F.max(c) - F.min(c), F.lit(0.0)).alias(f"range_{c}") for c in numeric])
     other = reference.select("rid", *[F.col(c).alias(f"r_{c}") for c in (*numeric, *categorical)]).crossJoin(ranges)
-    parts = [F.coalesce(F.abs(F.col(c) - F.col(f"r_{c}")) / F.col(f"range_{c}"), F.lit(0.0)) for c in numeric]
-    parts += [(~F.col(c).eqNullSafe(F.col(f"r_{c}"))).cast("double") for c in categorical]
-    distance = sum(parts[1:], parts[0]) / len(parts)
-    near = queries.select("id", *numeric, *categorical).crossJoin(F.broadcast(other)).select("id", distance.alias("d"), "rid")
-    ranked = near.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("d", "rid"))).where(F.col("r") <= k)
-    return ranked.groupBy("id").agg((1 / (1 + F.avg("d"))).alias("score"))
+
+    def distance(row: Column) -> Column:
+        parts = [F.coalesce(F.abs(F.col(c) - row[f"r_{c}"]) / row[f"range_{c}"], F.lit(0.0)) for c in numeric]
+        parts += [(~F.col(c).eqNullSafe(row[f"r_{c}"])).cast("double") for c in categorical]
+        return sum(parts[1:], parts[0]) / len(parts)
+
+    count = reference.count()
+    block = F.pmod(F.xxhash64("rid"), F.lit(max(1, -(-count // GOWER_BLOCK))))
+    blocks = other.groupBy(block.alias("block_")).agg(F.collect_list(F.struct(*other.columns)).alias("rows_"))
+    # Small references are broadcast, so that the crossing stays spread over the queries' tasks.
+    near = queries.select("id", *numeric, *categorical).crossJoin(F.broadcast(blocks) if count <= 10_000 else blocks)
+    nearest = F.slice(F.array_sort(F.transform("rows_", lambda x: F.struct(distance(x).alias("d"), x["rid"].alias("rid")))), 1, k)
+    merged = near.select("id", nearest.alias("n_")).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("n_"))), 1, k).alias("n_"))
+    total = F.aggregate("n_", F.lit(0.0), lambda s, x: s + x["d"])
+    return merged.select("id", (1 / (1 + total / F.size("n_"))).alias("score"))
 
 
 def top_features(shap: DataFrame, k: int = 10) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from panelworks.operators import explain
 from panelworks.queries import QUERIES
 
 
@@ -9,3 +12,15 @@ def test_site_details_beyond_100_000(spark, tmp_path):
     spark.createDataFrame([(97 * 1032, "A"), (97, "B")], "c_custkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
     got = {r["id"]: r["segment"] for r in QUERIES["site_detail_partial"](spark, str(tmp_path)).collect()}
     assert got == {97 * 1032: "A", 97: None}
+
+
+def test_gower_with_a_large_reference(spark):
+    rng = np.random.default_rng(1)
+    n = 12_000
+    x, s = np.round(rng.random(n), 3), rng.choice(list("abc"), n)
+    ref = spark.createDataFrame([(i, float(x[i]), str(s[i])) for i in range(n)], "rid long, x double, s string")
+    rows = [(1, 0.25, "a"), (2, 0.5, "z"), (3, None, "b"), (4, 2.0, None)]
+    got = {r["id"]: r["score"] for r in explain.gower_knn(spark.createDataFrame(rows, "id long, x double, s string"), ref, ["x"], ["s"]).collect()}
+    for i, a, b in rows:
+        d = (0 if a is None else abs(a - x) / (x.max() - x.min())) / 2 + (s != str(b)) / 2
+        assert abs(got[i] - 1 / (1 + np.sort(d)[:10].mean())) < 1e-9
