@@ -9,7 +9,6 @@ import itertools
 import os
 import tempfile
 import uuid
-import weakref
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -78,12 +77,8 @@ def text_digest(text: str = "text"):
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cut Arrow batches so that each piece holds about ``max_bytes`` of ``column``.
 
-    Yields the piece and its text column with nulls replaced by empty strings. Operators
-    that ask for less than SLICE_BYTES need the memory that word caches of others hold.
+    Yields the piece and its text column with nulls replaced by empty strings.
     """
-    if max_bytes < SLICE_BYTES:
-        for cache in list(_CACHES):
-            cache.forget()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -101,6 +96,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLIC
         _give_back()
 
 
+def merged(batches: Iterator[pa.RecordBatch], least_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches joined to larger ones of about ``least_bytes``."""
+    held, size = [], 0
+    for batch in itertools.chain(batches, (None,)):
+        if batch is not None:
+            held.append(batch)
+            size += batch.nbytes
+        if held and (batch is None or size >= least_bytes):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+
+
 def _give_back() -> None:
     """Return freed memory to the system: a worker lives on between tasks beside others."""
     pa.default_memory_pool().release_unused()
@@ -138,8 +145,8 @@ class Words:
         before[1:] = solid[:-1]
         self.starts = np.flatnonzero(solid & (~before | first))
         self.ends = np.flatnonzero(before & (~solid | first))
-        self.doc = np.searchsorted(offsets, self.starts, "right") - 1
-        self.counts = np.bincount(self.doc, minlength=len(text))
+        self.counts = np.diff(np.searchsorted(self.starts, offsets))
+        self.doc = np.repeat(np.arange(len(text)), self.counts)
         self.solid = solid[:-1]
 
     def __len__(self) -> int:
@@ -213,57 +220,42 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-#: All caches of the process.
-_CACHES: weakref.WeakSet[WordCache] = weakref.WeakSet()
-
-
 class WordCache:
-    """Ids of words already encoded by this process; emptied when it holds ``limit`` words."""
+    """Ids of words that this process has encoded, at most ``limit`` words.
 
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
-        #: Further tables that are emptied by :meth:`forget`.
-        self.others: list[dict] = []
-        self._clear()
-        _CACHES.add(self)
+    The words are an Arrow array that is searched as a whole; once it is full new words are
+    encoded each time they come, and when most are new it starts over with those.
+    """
 
-    def forget(self) -> None:
-        """Give up all words, and the further tables."""
+    def __init__(self, limit: int = 200_000):
+        self.limit = limit
         self._clear()
-        for table in self.others:
-            table.clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.int32)
-        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-        self.used = 0
-
-    def get(self, words: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, lengths) in ``self.ids`` of different words; ``encode`` gives (ids, lengths) of unknown ones."""
-        names = words.to_pylist()
-        at = np.fromiter(map(self.index.get, names, itertools.repeat(-1)), np.int64, len(names))
+        self.words = pa.array([], pa.large_string())
+        self.ids = np.empty(0, np.int32)
+        self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def get(self, words: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths): where the ids of each of the different words lie; ``encode`` gives (ids, lengths) of unknown ones."""
+        kind, words = words.type, words.cast(pa.large_string())
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
         unknown = np.flatnonzero(at < 0)
-        if len(unknown) and len(self.index) and len(self.index) + len(unknown) > self.limit:
+        if not len(unknown):
+            return self.ids, self.starts[at], self.lengths[at]
+        if len(self.words) and len(self.words) + len(unknown) > self.limit and 2 * len(unknown) > len(words):
             self._clear()
-            at[:], unknown = -1, np.arange(len(names))
-        if len(unknown):
-            ids, lengths = encode(words.take(pa.array(unknown)))
-            known = len(self.index)
-            self.ids = self._room(self.ids, self.used, len(ids))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.starts, self.lengths = (self._room(x, known, len(unknown)) for x in (self.starts, self.lengths))
-            self.starts[known : known + len(unknown)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[known : known + len(unknown)] = lengths
-            self.used += len(ids)
-            at[unknown] = np.arange(known, known + len(unknown))
-            self.index.update(zip((names[i] for i in unknown.tolist()), range(known, known + len(unknown))))
-        return self.starts[at], self.lengths[at]
-
-    @staticmethod
-    def _room(x: np.ndarray, used: int, more: int) -> np.ndarray:
-        if used + more <= len(x):
-            return x
-        out = np.empty(1 << (used + more).bit_length(), x.dtype)
-        out[:used] = x[:used]
-        return out
+            unknown = np.arange(len(words))
+        new = words.take(pa.array(unknown))
+        ids, lengths = encode(new.cast(kind))
+        all_ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        all_starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        all_lengths = np.concatenate([self.lengths, lengths])
+        at[unknown] = np.arange(len(self.starts), len(all_starts))
+        room = min(len(new), self.limit - len(self.words))
+        if room > 0:
+            self.words = pa.concat_arrays([self.words, new.slice(0, room)])
+            kept = len(self.words)
+            self.starts, self.lengths = all_starts[:kept].copy(), all_lengths[:kept].copy()
+            self.ids = all_ids[: int(self.starts[-1] + self.lengths[-1])].copy()
+        return all_ids, all_starts[at], all_lengths[at]

@@ -58,7 +58,7 @@ class Vocabulary:
                     pairs[ids[p[:k]] * n + ids[p[k:]]] = (rank[i], i)
         self.n = n
         self._table(pairs)
-        self.cache = {True: WordCache(), False: WordCache()}
+        self.cache = {True: WordCache(400_000), False: WordCache(400_000)}
         self.digits = [str(i).encode() + b"," for i in range(n)]
         self.digit_length = np.array([len(x) for x in self.digits], np.int64)
         self.digit_start = np.cumsum(self.digit_length) - self.digit_length
@@ -228,10 +228,10 @@ def encode_texts(text: pa.Array, vocab: Vocabulary, check: bool = True) -> tuple
             _compare(stretches, ids, lengths, vocab)
         return ids, lengths
 
-    starts, lengths = vocab.cache[check].get(code.dictionary, unknown)
+    known, starts, lengths = vocab.cache[check].get(code.dictionary, unknown)
     index = code.indices.to_numpy()
     each = lengths[index] if len(index) else np.empty(0, np.int64)
-    out = vocab.cache[check].ids[ragged(starts[index], each)] if len(index) else np.empty(0, np.int64)
+    out = known[ragged(starts[index], each)] if len(index) else np.empty(0, np.int64)
     bound = np.concatenate([[0], np.cumsum(each)])
     ends = np.cumsum(counts)
     return out, bound[ends] - bound[ends - counts]

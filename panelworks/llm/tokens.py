@@ -1,14 +1,14 @@
-"""Token ids of whole texts by the tokenizers library, word by word with a cache.
+"""Token ids of whole texts by the rules of a tokenizers file, word by word with a cache.
 
 For vocabularies whose pieces never cross a space or a line end, a text's ids are those of
-its words one after another. Every word is encoded once in a process; plain words go
-straight to the library's BPE model, and all others through its whole pipeline.
+its words one after another, and every word is encoded once in a process. Plain words go in
+batches to tiktoken's byte-pair merger, fed with the file's own merges; all others go through
+the tokenizers library's whole pipeline.
 """
 
 from __future__ import annotations
 
 import json
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,53 +17,95 @@ import pyarrow.compute as pc
 
 from panelworks.llm.common import WordCache, ragged
 
+#: Ends a stretch inside the merger; plain words hold no control characters.
+_END = "\x01"
+#: Fixed value: the pre-tokenizer's stretches. In plain words they are runs of letters, single digits, and runs of other characters.
+STRETCHES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Class of a byte of a plain word: letter (all beyond ASCII are), digit, line end, other.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[*range(97, 123), *range(128, 256)]] = 0
+_CLASS[48:58] = 1
+_CLASS[10] = 2
+
+
+def merger(vocabulary: dict[str, int], merges: list[tuple[str, str]], suffix: str):
+    """(tiktoken encoding, id of each of its ranks or -1) that merges as the ranked pairs say.
+
+    A stretch is its UTF-8 bytes and one end byte, which joins the last byte first (that is
+    what the suffix stands for). Merging by the rank of the joined piece is the same as by
+    the rank of the pair if no two pairs make one piece, which is checked.
+    """
+    import tiktoken
+
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in shown)}
+    end = _END.encode()
+
+    def raw(piece: str) -> bytes:
+        whole = piece.endswith(suffix)
+        return bytes(byte[c] for c in (piece[: -len(suffix)] if whole else piece)) + (end if whole else b"")
+
+    # Single bytes, then bytes that end a stretch, then the merges in order.
+    pieces = [bytes([b]) for b in range(256)] + [bytes([b]) + end for b in range(256)]
+    names = {v: k for k, v in byte.items()}
+    ids = [vocabulary.get(names[b], -1) for b in range(256)] + [vocabulary.get(names[b] + suffix, -1) for b in range(256)]
+    for a, b in merges:
+        pieces.append(raw(a) + raw(b))
+        ids.append(vocabulary[a + b])
+    ranks = {p: i for i, p in enumerate(pieces)}
+    if len(ranks) != len(pieces):
+        raise ValueError("two merges make the same piece")
+    encoding = tiktoken.Encoding("merges", pat_str=rf"[^{_END}\n]+{_END}|\n", mergeable_ranks=ranks, special_tokens={})
+    return encoding, np.array(ids, np.int32)
+
 
 class WordTokenizer:
     """A tokenizer file whose pre-tokenizer drops white space and lower-cases."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.cache = WordCache(800_000)
+        self.cache = WordCache()
         spec = json.loads(self.library.to_str())
         steps = [x["type"] for x in spec["normalizer"]["normalizers"]]
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         if steps != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or not split["invert"]:
             raise ValueError("this tokenizer's words do not stand alone")
+        model = spec["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.merger, self.id_of = merger(model["vocab"], merges, model["end_of_word_suffix"])
         #: What a plain word may hold: visible ASCII and letters up to U+024F, composed and with a lower case of one letter.
-        self.plain = regex.compile("[!-~À-įı-ɏ]+")
-        self.parts = regex.compile(split["pattern"]["Regex"]).findall
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.bytes = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
-        self.runs: dict[str, bytes] = {}
-        self.cache.others.append(self.runs)
-
-    def _run(self, run: str) -> bytes:
-        """Ids of one stretch of the pre-tokenizer, four bytes each (a tuple would take four times the memory)."""
-        if (ids := self.runs.get(run)) is None:
-            if len(self.runs) > 400_000:
-                self.runs.clear()
-            written = run if run.isascii() else run.encode().decode("latin-1").translate(self.bytes)
-            ids = self.runs[run] = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        if not self.plain.fullmatch(word) or "<|" in word:
-            return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
-        word = word.lower()
-        if word.isalpha():
-            return self._run(word)
-        if word[:-1].isalpha() and word[-1] in ".,;:!?|":
-            return self._run(word[:-1]) + self._run(word[-1])
-        return b"".join(map(self._run, self.parts(word)))
+        #: (Without the apostrophe, with which some stretches begin, and the two signs among the letters.)
+        self.plain = "^[!-&(-~À-ÖØ-öø-įı-ɏ]+$"
+        if split["pattern"]["Regex"] != STRETCHES:
+            raise ValueError("another pre-tokenizer than the one that is built in")
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of plain words: lower-cased, cut into stretches and merged, all in one go."""
+        if not len(words):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        text = np.frombuffer("\n".join([*words.to_numpy(zero_copy_only=False), ""]).lower().encode(), np.uint8)
+        kind = _CLASS[text]
+        last = np.flatnonzero(((kind[:-1] != kind[1:]) | (kind[:-1] == 1)) & (kind[:-1] != 2))
+        cut = np.insert(text, last + 1, ord(_END)).tobytes().decode()
+        found = self.merger.encode_to_numpy(cut, disallowed_special=())
+        line = found == 10  # the line end's rank
+        return self.id_of[found[~line]], np.diff(np.flatnonzero(line), prepend=-1) - 1
 
     def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found = [self._word(w) for w in words.to_pylist()]
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join(found), np.uint32).astype(np.int32), lengths
+        plain = pc.and_(pc.match_substring_regex(words, self.plain), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
+        ids, lengths = self._plain(words.filter(pa.array(plain)))
+        if plain.all():
+            return ids, lengths
+        odd = [x.ids for x in self.library.encode_batch(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        each = np.empty(len(words), np.int64)
+        each[plain], each[~plain] = lengths, [len(x) for x in odd]
+        out = np.empty(int(each.sum()), np.int32)
+        of_plain = np.repeat(plain, each)
+        out[of_plain] = ids
+        out[~of_plain] = np.fromiter((i for x in odd for i in x), np.int32)
+        return out, each
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each) of a null-free string array."""
@@ -72,10 +114,10 @@ class WordTokenizer:
         code = parts.flatten().dictionary_encode()
         if not len(code):
             return np.empty(0, np.int32), np.zeros(len(text), np.int64)
-        starts, lengths = self.cache.get(code.dictionary, self._encode)
+        known, starts, lengths = self.cache.get(code.dictionary, self._encode)
         index = code.indices.to_numpy()
         each = lengths[index]
-        ids = self.cache.ids[ragged(starts[index], each)]
+        ids = known[ragged(starts[index], each)]
         bound = np.concatenate([[0], np.cumsum(each)])
         ends = np.cumsum(counts)
         return ids, bound[ends] - bound[ends - counts]

@@ -120,7 +120,7 @@ def test_grammar_decodes_any_part():
     r = np.random.default_rng(3)
     ids = np.concatenate([r.integers(0, 30, 4000), np.tile(r.integers(0, 200, 50), 60), np.full(500, 7)]).astype(np.int32)
     counts = np.array([1, 999, 3000, 0, len(ids) - 4000])
-    block = repair.Block(repair.to_bytes(ids, counts, 49408))
+    block = repair.Shard(repair.to_bytes(ids, counts, 49408))
     assert np.array_equal(block.all(), ids) and len(block.rules) > 20 and len(block.symbols) < len(ids) * 0.6
     assert np.array_equal(block.lengths, repair.expansion_lengths(block.rules, 49408))
     ends = np.cumsum(counts)
