@@ -2,13 +2,15 @@
 
 The encoder keeps, for every stretch of text, an agenda of its adjacent symbol pairs ordered
 by score and then from left to right; the best pair is joined and its two neighbours are
-scored anew, until no pair is a piece. The agendas of all stretches of an Arrow batch are
-worked in lockstep: each step pops the best pair of every stretch at once.
+scored anew, until no pair is a piece. The agendas of all short stretches of an Arrow batch
+are worked in lockstep: each step pops the best pair of every stretch at once. Long stretches
+have an agenda of buckets by score, so that a step costs what it joins and not the stretch.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from functools import lru_cache
 
@@ -21,6 +23,8 @@ from panelworks.llm.common import WordCache, ragged, ship_package, slices, utf8_
 
 SPACE = "\u2581"
 _NONE = np.int64(1) << np.int64(62)
+#: Symbols from which a stretch counts as long.
+LONG = 256
 
 
 class Vocabulary:
@@ -143,10 +147,14 @@ class Vocabulary:
             made[at] = joined
 
         score(np.arange(size))
+        counts = np.bincount(owner, minlength=n)
+        if counts.max() > LONG:
+            long = counts[owner] > LONG
+            self._join_long(np.flatnonzero(long & (agenda < _NONE)), agenda >> shift, symbol, made, alive, nxt, prv)
+            agenda[long] = _NONE
         active = np.flatnonzero(agenda < _NONE)
         live = np.unique(owner[active])
         first = np.zeros(n + 1, np.int64)
-        counts = np.bincount(owner, minlength=n)
         first[1:] = np.cumsum(counts)
         while len(live):
             length = counts[live]
@@ -173,6 +181,78 @@ class Vocabulary:
         return alive
 
 
+    def _join_long(self, at: np.ndarray, rank: np.ndarray, symbol: np.ndarray, made: np.ndarray, alive: np.ndarray, nxt: np.ndarray, prv: np.ndarray) -> None:
+        """Join pairs by an agenda of buckets, one for each rank, the best bucket first.
+
+        Where a pair is worse than what it is made of, joining a bucket adds to later buckets
+        only, and all its pairs can be joined at once, from left to right where they overlap.
+        If a join makes a pair that is no worse, the step is undone and only the leftmost pair
+        joined, so that the better one comes next.
+        """
+        buckets: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def add(places: np.ndarray) -> None:
+            order = np.argsort(rank[places], kind="stable")
+            places = places[order]
+            r = rank[places]
+            cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
+            for part in np.split(places, cuts) if len(places) else ():
+                own = int(rank[part[0]])
+                if own not in buckets:
+                    buckets[own] = []
+                    heapq.heappush(queue, own)
+                buckets[own].append(part)
+
+        add(at)
+        while queue:
+            best = heapq.heappop(queue)
+            top = np.sort(np.concatenate(buckets.pop(best)))
+            top = top[alive[top] & (rank[top] == best)]
+            top = top[np.append(True, top[1:] != top[:-1])] if len(top) else top
+            if len(top) > 1:
+                # Of pairs that overlap in a row the first, third, ... are joined.
+                index = np.arange(len(top))
+                follows = np.append(False, nxt[top[:-1]] == top[1:])
+                top = top[(index - np.maximum.accumulate(np.where(follows, 0, index))) % 2 == 0]
+            if not len(top):
+                continue
+            places, ranks, joined = self._joined(top, symbol, made, alive, nxt, prv)
+            if len(top) > 1 and ((ranks >= 0) & (ranks <= best)).any():
+                self._part(top, symbol, alive, nxt, prv)
+                top, rest = top[:1], top[1:]
+                places, ranks, joined = self._joined(top, symbol, made, alive, nxt, prv)
+                buckets[best] = [rest]
+                heapq.heappush(queue, best)
+            rank[self.gone] = -1
+            rank[places], made[places] = ranks, joined
+            add(places[ranks >= 0])
+
+    def _joined(self, top, symbol, made, alive, nxt, prv):
+        """Join the pairs at ``top``: (places whose pair is another now, its rank, its piece)."""
+        self.gone = gone = nxt[top]
+        self.before = symbol[top]
+        after = nxt[gone]
+        symbol[top] = made[top]
+        alive[gone] = False
+        nxt[top] = after
+        linked = after >= 0
+        prv[after[linked]] = top[linked]
+        left = prv[top]
+        places = np.concatenate([top, left[left >= 0]])
+        right = nxt[places]
+        return places, *self.find(symbol[places], np.where(right >= 0, symbol[right], -1))
+
+    def _part(self, top, symbol, alive, nxt, prv) -> None:
+        """Undo the last :meth:`_joined`."""
+        symbol[top] = self.before
+        alive[self.gone] = True
+        after = nxt[top]
+        nxt[top] = self.gone
+        linked = after >= 0
+        prv[after[linked]] = self.gone[linked]
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     """The vocabulary of a model file, kept for the process."""
