@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -87,6 +88,20 @@ def test_encoding_of_random_texts():
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == vocab.library.encode(texts)
 
 
+def test_encoding_of_long_texts_without_spaces():
+    """A million characters without a cut take seconds, and odd runs are joined in the library's order."""
+    vocab = spm.vocabulary(PIECES)
+    r = random.Random(7)
+    long = "".join(r.choices("etaoinshrdluETAöé日", k=1_000_000))
+    began = time.process_time()
+    ids, _ = spm.encode_texts(pa.array([long]), vocab, check=False)
+    assert time.process_time() - began < 15  # about 2 on an idle core
+    assert ids.tolist() == vocab.library.encode(long)
+    odd = ["a" * 3001, "the" * 700, "abab" * 500 + "ba" * 300, "".join(r.choices("ab", k=2000)), "日" * 400 + "x" * 400]
+    ids, counts = spm.encode_texts(pa.array(odd), vocab, check=False)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == vocab.library.encode(odd)
+
+
 # Tokens, files, packing
 
 
@@ -116,6 +131,64 @@ def test_id_files(docs, rows):
     assert keys == sorted(keys)
 
 
+def test_plain_words_merge_as_the_library_says():
+    """All plain words' stretches, over the whole vocabulary and random strings."""
+    own, lib = tokens.tokenizer(TOKENS), library()
+    r = random.Random(4)
+    alphabet = "abcdefghijklmnopqrstuvwxyzäöüßéèñ0123456789.,;:!?#*$%&|-_()\"/ABCÀÉ×'"
+    words = ["".join(r.choice(alphabet) for _ in range(r.randrange(1, 14))) for _ in range(5000)]
+    words += [w.replace("</w>", "") for w in list(lib.get_vocab())[::9] if "<|" not in w and w.isascii()]
+    words = [w for w in words if w.strip()]
+    ids, lengths = own._encode(pa.array(words))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [x.ids for x in lib.encode_batch(words, add_special_tokens=False)]
+
+
+def test_word_cache_gives_the_same_when_full():
+    own, small = tokens.tokenizer(TOKENS), tokens.WordTokenizer(TOKENS)
+    small.cache.limit = 5
+    for text in (["a bb ccc", "dd ee"], ["ff gg hh a bb"], ["new words come again and again", "a"], [""]):
+        for x, y in zip(own.encode(pa.array(text)), small.encode(pa.array(text)), strict=True):
+            assert np.array_equal(x, y)
+    assert len(small.cache.words) <= 5
+
+
+def plain_pairs(s):
+    return Counter(zip(s, s[1:]))
+
+
+def test_grammar_leaves_no_pair_that_would_shorten_the_file():
+    r = np.random.default_rng(8)
+    ids = np.concatenate([np.tile(r.integers(0, 40, 30), 40), r.integers(0, 12, 3000), np.full(333, 5)]).astype(np.int32)
+    s, _, rules = repair.compress(ids, np.zeros(len(ids), int), 100)
+    left = plain_pairs(s.tolist())
+    # Overlapping occurrences (aaa) count once for every two.
+    assert max((n for (a, b), n in left.items() if a != b), default=0) < repair.LEAST
+    assert len({tuple(x) for x in rules.tolist()}) == len(rules)
+    used = Counter(s.tolist()) + Counter(rules.ravel().tolist())
+    assert all(used[100 + i] for i in range(len(rules)))
+
+
+def test_damaged_shards_raise():
+    data = repair.to_bytes(np.arange(50, dtype=np.int32) % 7, np.array([20, 0, 30]), 49408)
+    assert repair.Shard(data).document(1).tolist() == []
+    for at in (0, len(data) // 2, len(data) - 1):
+        with pytest.raises(ValueError):
+            repair.Shard(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
+    with pytest.raises(ValueError):
+        repair.Shard(data[:10])
+
+
+def test_files_with_several_shards(docs, rows, monkeypatch):
+    monkeypatch.setattr(repair, "SHARD_IDS", 300)
+    sizes = [len(library().encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows]
+    got = repair.write_and_read(docs, TOKENS).collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(sizes)
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 def test_grammar_decodes_any_part():
     r = np.random.default_rng(3)
     ids = np.concatenate([r.integers(0, 30, 4000), np.tile(r.integers(0, 200, 50), 60), np.full(500, 7)]).astype(np.int32)
@@ -432,10 +505,13 @@ def test_codes_are_prefix_free():
 
 def test_spelling_probabilities_sum_below_one():
     m = lm.SpellingModel(np.bincount(np.frombuffer(b"ab ab ba ", np.uint8), minlength=256))
-    m.tables = np.zeros((lm.ORDERS, 1 << lm.BITS, 2), np.int64)
+    tables = np.zeros((lm.ORDERS, 1 << lm.BITS, 2), np.int64)
     words = pa.array(["ab", "ba", "abab"])
-    m.gather(words, m.tables)
-    m.tune(words)
+    m.gather(words, tables)
+    m.tables = lm.pack(tables[:, :, 0], tables[:, :, 1])
+    learner = m.learner()
+    m.learn(learner, words)
+    m.mixer = learner.result(learner.sums())
     every = ["".join(x) for n in (1, 2, 3) for x in __import__("itertools").product("abcd", repeat=n)]
     p = 10 ** m.score(pa.array(every))
     assert 0 < p.sum() < 1 and p[every.index("ab")] > p[every.index("cd")]
