@@ -42,15 +42,20 @@ def _frequent(key: np.ndarray, bar: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _places(key: np.ndarray, pair: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The level of the pair that each key is, or -1; pairs that share a slot with a lower level are passed over."""
+    """The level of the pair that each key is, or -1 (by hash tables, as binary search costs more)."""
     bits = max(8, (4 * len(pair)).bit_length())
-    slot = lambda x: (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
-    order = np.argsort(-level)  # of two in one slot the lower level is written last
-    table, names = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, np.uint64)
-    at = slot(pair[order])
-    table[at], names[at] = level[order], pair[order]
-    at = slot(key)
-    return np.where(names[at] == key, table[at], -1)
+    out = np.full(len(key), -1, np.int32)
+    odd, todo = 0x9E3779B97F4A7C15, np.arange(len(pair))
+    while len(todo):  # pairs that share a slot with another one wait for the next table
+        slot = lambda x: (x * np.uint64(odd) >> np.uint64(64 - bits)).view(np.int64)  # noqa: B023, E731
+        table = np.full(1 << bits, -1, np.int64)
+        at = slot(pair[todo])
+        table[at] = todo
+        found = table[slot(key)]
+        out = np.where((found >= 0) & (pair[found] == key), level[found], out)
+        todo = todo[table[at] != todo]
+        odd = odd * 0xD1342543DE82EF95 % (1 << 64) | 1
+    return out
 
 
 def _winners(touch: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -59,6 +64,8 @@ def _winners(touch: np.ndarray, level: np.ndarray) -> np.ndarray:
     In a run of one pair every second one stays out; of different pairs that overlap the one
     of the lowest level (the most frequent) wins.
     """
+    if not len(level):
+        return np.empty(0, np.bool_)
     same = np.concatenate([[False], touch & (level[1:] == level[:-1])])
     index = np.arange(len(level), dtype=np.int32)
     odd = ((index - np.maximum.accumulate(np.where(same, 0, index))) & 1).astype(np.bool_)
@@ -76,12 +83,13 @@ class _Rules:
     def __init__(self, terminals: int):
         self.terminals, self.pairs, self.symbol = terminals, [], {}
 
-    def choose(self, key: np.ndarray, bar: int, touching) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def choose(self, key: np.ndarray, bar: int, touching, patient: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places that are replaced, their new symbols, places of frequent pairs that are not) of the pairs ``key``.
 
         ``touching(places)`` says which of them overlap the next one. Rules are made for pairs
         that occur ``bar`` times and win LEAST times or more; pairs that are rules already
-        are replaced anywhere.
+        are replaced anywhere. ``patient``: while nothing wins, the best pair that wins too
+        few times stands back for the others.
         """
         pair, n = _frequent(key, bar)
         if not len(pair):
@@ -94,6 +102,11 @@ class _Rules:
         level = level[hit]
         win = _winners(touching(hit), level)
         used = np.bincount(level[win], minlength=len(pair))
+        every = hit
+        while patient and len(hit) and used.max() < LEAST:
+            hit, level = hit[level > level.min()], level[level > level.min()]
+            win = _winners(touching(hit), level)
+            used = np.bincount(level[win], minlength=len(pair))
         number = np.full(len(pair), -1, np.int64)
         some = np.flatnonzero(used)
         for r, p, u in zip(some.tolist(), pair[order[some]].tolist(), used[some].tolist(), strict=True):
@@ -104,7 +117,7 @@ class _Rules:
             number[r] = own
         new = number[level]
         win &= new >= 0
-        return hit[win], new[win], hit[~win]
+        return hit[win], new[win], every if patient else hit[~win]
 
 
 def compress(ids: np.ndarray, doc: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +177,10 @@ def _finish(s, last, won, lost, made, pairs_of):
         at = np.sort(np.concatenate([won.astype(np.int32), left[left >= 0], lost[~gone[lost]].astype(np.int32)]))
         at = at[np.concatenate([[True], at[1:] != at[:-1]])]
         at = at[~last[at]]
-        won, new, lost = made.choose(pairs_of(s[at], s[after[at]]), LEAST, lambda hit: after[at[hit[:-1]]] == at[hit[1:]])  # noqa: B023
+        key, touching = pairs_of(s[at], s[after[at]]), lambda hit: after[at[hit[:-1]]] == at[hit[1:]]  # noqa: B023, E731
+        won, new, lost = made.choose(key, LEAST, touching)
+        if not len(won):
+            won, new, lost = made.choose(key, LEAST, touching, patient=True)
         won, lost = at[won], at[lost]
         s[won] = new
         last[won] = last[after[won]]
