@@ -1,22 +1,25 @@
-"""LM scoring: logistic mixing of hashed-context bit predictors.
+"""LM scoring: logistic mixing of context bit predictors.
 
 A text is its tokens: words (A-Z lower-cased) and one end. Frequent words, the end and an
-escape have binary codes (Huffman over the training counts); every code bit is predicted by
-several contexts - none, the word before, the last very frequent word (which tells the language),
-and the word that followed when the same two words came last in this text - whose log-odds
-are combined by weights that a gate selects, and the mixture is refined by an adaptive
-table. After an escape follows the word itself: its bytes are coded in the same manner from
-the one to five bytes before, interpolated with the word's own training count.
+escape have binary codes (Huffman over the training counts). Every code bit is predicted by
+two contexts - the word before, and that word's class (the very frequent word that follows it
+most often, which tells the language) - whose log-odds are combined by weights that a gate
+selects, and the mixture is refined by an adaptive table. (Without a context the two sides of
+a code bit are about even by Huffman's rule.) Before the code stands
+one more bit: whether the word that followed the same two words when they came last in the
+text follows again. After an escape comes the word itself: its bytes are coded in the same
+manner from the one to four bytes before, interpolated with the word's own training count.
 
 The counts of a word's contexts are exact at every size: pairs of a context and a symbol are
-counted by a shuffle. What follows a very frequent word (before, or as language) is held
-whole - FREQUENT times HEAD numbers at most - and broadcast; what follows any other word stays
-distributed, and the tokens after such a word are sent to it as (word before, language, match,
-symbol). Spelling contexts are hashed into tables of a fixed size.
-
-Counts are gathered over all training texts. Only the mixing weights and the refinement
-(some hundred numbers) are fitted online on a bounded sample, each bit's own count taken
-out first.
+counted by a shuffle. What follows a very frequent word is held whole - FREQUENT times HEAD
+numbers at most - and broadcast; what follows any other word stays distributed, and the
+tokens after such a word are sent to it. A token's probability depends on its pair (and the
+match) alone, so every pair is computed once by a task. Spelling contexts are hashed into
+tables of a fixed size.
+
+Counts, mixing weights and refinement cover all training texts. Weights are fitted by online
+Newton steps over blocks of bits, each bit's own count taken out first; groups of contexts do
+so apart, and their results are summed weighted by their curvature.
 """
 
 from __future__ import annotations
@@ -28,29 +31,35 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import SMALL_SLICE, Words, materialise, multipliers, ragged, ship_package, slices
+from panelworks.llm.common import Words, materialise, merged, multipliers, ship_package, slices
 
-#: Words with a code of their own, at most; words counted as very frequent; bits of a spelling table.
-HEAD, FREQUENT, BITS = 131_072, 256, 19
+#: Words with a code of their own, at most, and their bytes, at most; all others are spelled.
+HEAD, HEAD_BYTES = 131_072, 64
 #: Words seen less often have no code: they stand for the words that training lacks.
 LEAST = 2
-#: Bytes before that predict a spelling's next one.
-ORDERS = 5
-#: Steps of the online fit, from pass to pass.
-RATES = (0.002, 0.0005)
-#: Training texts, and rarer words, on which the mixing weights are fitted, at most.
-TUNE_TEXTS, TUNE_WORDS = 256, 8192
+#: Very frequent words: contexts that are broadcast, and (the first CLASSES of them) classes of contexts.
+FREQUENT, CLASSES = 256, 64
+#: Bytes before that predict a spelling's next one; bits of a spelling table.
+ORDERS, BITS = 4, 19
+#: Bytes of words that are spelled at once.
+SPELLING_BYTES = 4 << 20
+#: Longest run of matches that is told apart.
+RUNS = 16
 END = "\n"
 #: A table travels in so many parts; each part is summed over so many tasks at a time.
-PARTS, TOGETHER = 64, 128
+PARTS, TOGETHER = 16, 128
+#: Code bits that are worked at once.
 EVENTS = 1 << 19
-#: Bits of a symbol in a packed pair; training pairs, about, that one task holds; tokens it scores at once.
-WIDTH, BUCKET_PAIRS, LATER = 18, 100_000, 1 << 19
+#: Bits of a symbol; training pairs, about, that one task holds; tokens that a task gathers before it sends them.
+WIDTH, BUCKET_PAIRS, LATER = 18, 100_000, 1 << 21
 MASK = (1 << WIDTH) - 1
+#: Depths of code bits that are refined apart, and the steps of the refinement table.
+DEPTHS, STEPS = 16, 33
 
 
 def held_out(key: Column) -> Column:
@@ -127,31 +136,34 @@ def pack(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 #: What counts of 0 and 0 give.
 UNSEEN = 8192 << 2
+_VALUE = ((np.arange(1 << 16) >> 2) - 8192).astype(np.float32) / np.float32(400)
 
 
 def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log-odds, confidence) of packed counts."""
-    return ((packed >> 2).astype(np.float32) - 8192) * np.float32(1 / 400), packed & 3
+    return _VALUE.take(packed), packed & np.uint16(3)
+
+
+def _without_own() -> np.ndarray:
+    """[bit, packed counts] -> packed counts without one such bit; those of many counts stay as they are."""
+    out = np.tile(np.arange(1 << 16, dtype=np.uint16), (2, 1))
+    n, one = np.array([(n, o) for n in range(30, 0, -1) for o in range(n + 1)]).T
+    at = pack(n - one, one)
+    out[0, at] = pack(np.maximum(n - one - 1, 0), one)
+    out[1, at] = pack(n - one, np.maximum(one - 1, 0))
+    return out
+
+
+WITHOUT_OWN = _without_own()
 
 
 @dataclass
 class Mixer:
-    """Gated weights, and the refinement table over (row, bucket of the mixture's log-odds)."""
+    """Gated weights (the last input is 1), and the refinement over (row, step of the mixture's log-odds)."""
 
     weights: np.ndarray
     table: np.ndarray
 
-    @classmethod
-    def new(cls, gates: int, inputs: int, rows: int) -> Mixer:
-        edge = 1 / (1 + np.exp(-(np.arange(33) - 16) / 2))
-        return cls(np.full((gates, inputs), 1.0 / max(1, inputs - 1)), np.tile(edge, (rows, 1)))
-
-    def _refine(self, s: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        place = np.clip(s, -7.99, 7.99) * 2 + 16
-        low = place.astype(np.int64)
-        part = place - low
-        return (1 - part) * self.table[row, low] + part * self.table[row, low + 1], low, part
-
     def log10_of(self, bit: np.ndarray, inputs: list[np.ndarray], gate: np.ndarray, row: np.ndarray) -> np.ndarray:
         """log10 probability of each bit, in single precision (sums are made in double)."""
         if "single" not in self.__dict__:
@@ -164,7 +176,7 @@ class Mixer:
         place = np.clip(s, -7.99, 7.99) * np.float32(2) + np.float32(16)
         at = place.astype(np.int32)
         place -= at
-        at += (row * np.int32(33)).astype(np.int32)
+        at += row * np.int32(STEPS)
         low = table.take(at)
         at += 1
         refined = low + place * (table.take(at) - low)
@@ -177,184 +189,204 @@ class Mixer:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "single"}
 
-    def learn(self, inputs: list[np.ndarray], gate: np.ndarray, row: np.ndarray, bit: np.ndarray, rate: float, batch: int = 256) -> None:
-        """Online, in the order given: a step on the log loss for every batch of bits."""
-        x = np.stack([*inputs, np.ones(len(gate))], 1)
-        for low in range(0, len(gate), batch):
-            xb, g, r, y = x[low : low + batch], gate[low : low + batch], row[low : low + batch], bit[low : low + batch]
-            s = np.clip((self.weights[g] * xb).sum(1), -16, 16)
-            np.add.at(self.weights, g, rate * (y - 1 / (1 + np.exp(-s)))[:, None] * xb)
-            refined, at, part = self._refine(s, r)
-            error = 0.02 * (y - refined)
-            np.add.at(self.table, (r, at), error * (1 - part))
-            np.add.at(self.table, (r, at + 1), error * part)
+
+class Learner:
+    """Online Newton steps on the log loss of gated mixtures, and counts for the refinement table."""
+
+    def __init__(self, gates: int, inputs: int, rows: int):
+        self.shape = gates, inputs + 1, rows
+        self.start = np.full((gates, inputs + 1), 1.0 / inputs)
+        self.start[:, -1] = 0
+        self.prior = 200.0 * np.eye(inputs + 1)
+        self.weights, self.curve = self.start.copy(), np.tile(self.prior, (gates, 1, 1))
+        self.seen = np.zeros((2, rows * STEPS))
+
+    def learn(self, inputs: list[np.ndarray], gate: np.ndarray, row: np.ndarray, bit: np.ndarray, times: np.ndarray, block: int = 1 << 15) -> None:
+        """In the order given; ``times``: how often each bit was seen."""
+        for low in range(0, len(gate), block):
+            x = np.empty((len(gate[low : low + block]), self.shape[1]))
+            for i, v in enumerate(inputs):
+                x[:, i] = v[low : low + block]
+            x[:, -1] = 1
+            g, r, y, n = gate[low : low + block], row[low : low + block], bit[low : low + block], times[low : low + block]
+            s = np.clip(np.einsum("ij,ij->i", self.weights[g], x), -16, 16)
+            place = np.clip(s, -7.99, 7.99) * 2 + 16
+            at = place.astype(np.int64)
+            part = place - at
+            at += r * STEPS
+            size = self.shape[2] * STEPS
+            for k, w in ((0, n * (1 - part)), (1, n * part)):
+                self.seen[0] += np.bincount(at + k, w * y, size)
+                self.seen[1] += np.bincount(at + k, w, size)
+            p = 1 / (1 + np.exp(-s))
+            error, curve = n * (y - p), n * np.maximum(p * (1 - p), 1e-3)
+            order = np.argsort(g.astype(np.uint8), kind="stable")
+            ends = np.cumsum(np.bincount(g, minlength=self.shape[0]))
+            for i in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+                own = order[ends[i - 1] if i else 0 : ends[i]]
+                xi = x[own]
+                self.curve[i] += (xi * curve[own, None]).T @ xi
+                self.weights[i] += np.linalg.solve(self.curve[i], xi.T @ error[own])
+
+    def sums(self) -> np.ndarray:
+        """What is to be summed over learners, as one array."""
+        curve = self.curve - self.prior
+        moved = np.einsum("gij,gj->gi", self.curve, self.weights) - self.start @ self.prior
+        return np.concatenate([curve.ravel(), moved.ravel(), self.seen.ravel()])
+
+    def result(self, sums: np.ndarray) -> Mixer:
+        """The mixer of learners' summed arrays."""
+        gates, k, rows = self.shape
+        curve = sums[: gates * k * k].reshape(gates, k, k) + self.prior
+        moved = sums[gates * k * k : gates * k * (k + 1)].reshape(gates, k) + self.start @ self.prior
+        one, all_ = sums[gates * k * (k + 1) :].reshape(2, rows * STEPS)
+        edge = np.tile(1 / (1 + np.exp(-(np.arange(STEPS) - 16) / 2)), rows)
+        return Mixer(np.linalg.solve(curve, moved[..., None])[..., 0], ((one + 20 * edge) / (all_ + 20)).reshape(rows, STEPS))
+
+
+def _summed(stats: DataFrame, size: int) -> np.ndarray:
+    """The sum of the arrays in the column stats: ``size`` rows come to the driver."""
+    out = np.zeros(size)
+    for r in stats.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+        out[r["i"]] = r["x"]
+    return out
 
 
 class WordModel:
     """Codes, counts and weights of the words that have codes."""
 
     def __init__(self, words: list[str], counts: np.ndarray, escaped: int, tokens: int, types: int):
-        self.words, self.counts = words, counts
+        self.words, self.counts = pa.array(words, pa.large_string()), counts
         self.tokens, self.types, self.escaped = tokens, types, escaped
         self.code = Code(np.append(np.maximum(counts, 1), max(1, escaped)))
         self.escape = len(words)
-        self.index = {w: i for i, w in enumerate(words)}
+        #: Contexts are the symbols before, and ``none`` at a text's begin.
+        self.none = self.escape + 1
+        self.end = words.index(END) if END in words else self.escape
         #: Row of every context that is held whole; -1 of others.
         self.row = np.full(self.escape + 2, -1)
         self.row[: min(FREQUENT, self.escape)] = np.arange(min(FREQUENT, self.escape))
         self.row[self.escape :] = FREQUENT, FREQUENT + 1
-        #: Packed counts (word before or language, row, node).
-        self.dense: np.ndarray | None = None
+        self.class_of = np.full(self.escape + 2, CLASSES, np.int32)
+        #: Packed counts (row or class, node); a class of none has no counts.
+        self.dense = np.full((FREQUENT + 2, self.escape), UNSEEN, np.uint16)
+        self.classes = np.full((CLASSES + 1, self.escape), UNSEEN, np.uint16)
+        #: log10 of the chance that a match holds, and that it does not, by the run of matches before.
+        self.match_odds = np.full((2, RUNS), math.log10(0.5))
         self.pairs: DataFrame | None = None
         self.buckets = 1
         self.mixer: Mixer | None = None
 
     def __getstate__(self):
-        state = {k: v for k, v in self.__dict__.items() if k not in ("index", "root", "pairs")}
-        if self.dense is not None:
-            state["dense"] = self.dense.shape, [zlib.compress(x.tobytes(), 1) for half in self.dense for x in half]
+        state = {k: v for k, v in self.__dict__.items() if k not in ("known", "pairs")}
+        for name in ("dense", "classes"):
+            state[name] = state[name].shape, [zlib.compress(x.tobytes(), 1) for x in state[name]]
         return state
 
     def __setstate__(self, state):
         self.__dict__ |= state
-        self.index = {w: i for i, w in enumerate(self.words)}
-        if self.dense is not None:
-            shape, rows = self.dense
-            flat = np.empty((shape[0] * shape[1], shape[2]), np.uint16)
+        for name in ("dense", "classes"):
+            shape, rows = state[name]
+            table = np.empty(shape, np.uint16)
             for i, x in enumerate(rows):
-                flat[i] = np.frombuffer(zlib.decompress(x), np.uint16)
-            self.dense = flat.reshape(shape)
-
-    def symbols(self, text: pa.Array) -> Tokens:
-        return Tokens(text, self)
-
-    def contexts(self, t: Tokens) -> list[np.ndarray]:
-        """Contexts of every token: word before, last very frequent word."""
-        none = np.int64(self.escape + 1)
-        n = len(t.symbol)
-        at = np.arange(n)
-        one = np.full(n, none)
-        one[1:] = t.symbol[:-1]
-        one[t.first] = none
-        common = np.where(t.symbol < FREQUENT, at, -1)
-        last = np.maximum.accumulate(common) if n else common
-        before = np.full(n, -1)
-        before[1:] = last[:-1]
-        language = np.where(before >= t.first[t.doc], t.symbol[np.maximum(before, 0)], none) if n else before
-        return [one, language]
-
-    def matches(self, t: Tokens) -> np.ndarray:
-        """Symbol that followed the same two words when they came last in the text; -1 if they had not."""
-        n = len(t.symbol)
-        if n < 3:
-            return np.full(n, -1)
-        key = t.symbol.astype(np.uint64)
-        odd = multipliers(12)
-        pair = np.zeros(n, np.uint64)
-        pair[2:] = (key[1:-1] * odd[9] + key[:-2] * odd[10]) ^ (t.doc[2:].astype(np.uint64) * odd[11])
-        inside = np.arange(n) - t.first[t.doc] >= 2
-        at = np.flatnonzero(inside)
-        order = at[np.argsort(pair[at], kind="stable")]
-        out = np.full(n, -1)
-        same = pair[order[1:]] == pair[order[:-1]]
-        out[order[1:][same]] = t.symbol[order[:-1][same]]
-        return out
-
-    def expected(self, match: np.ndarray, owner: np.ndarray, depth: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """+1 or -1: the bit that the matched word expects while it agrees so far; else 0."""
-        if not (match >= 0).any():
-            return np.zeros(len(owner), np.float32)
-        m = match[owner]
-        at = np.flatnonzero(m >= 0)
-        mm, d = m[at], depth[at]
-        inside = d < self.code.length[mm]
-        guess = np.where(inside, self.code.bit.take(self.code.start[mm] + d, mode="clip"), -1)
-        wrong = guess != bit[at]
-        # Wrong bits of the same token before: tokens begin at depth 0, and come whole.
-        total = np.cumsum(wrong) - wrong
-        begin = np.flatnonzero(d == 0)
-        before = np.repeat(total[begin], np.diff(np.append(begin, len(d))))
-        agree = inside & (total == before)
-        out = np.zeros(len(owner), np.float32)
-        out[at] = np.where(agree, 2 * guess - 1, 0)
+                table[i] = np.frombuffer(zlib.decompress(x), np.uint16)
+            setattr(self, name, table)
+
+    def context(self, t: Tokens) -> np.ndarray:
+        """The symbol before every token."""
+        out = np.empty(len(t.symbol), np.int64)
+        out[1:] = t.symbol[:-1]
+        out[t.first] = self.none
         return out
 
-    def packed_pairs(self, t: Tokens) -> list[np.ndarray]:
-        """(context, symbol) of every token as one number, for the word before and for the language."""
-        one, language = self.contexts(t)
-        return [one << WIDTH | t.symbol, language + self.escape + 2 << WIDTH | t.symbol]
+    def matches(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places with a match, whether it holds, run of matches that held right before, below RUNS).
 
-    def node_counts(self, pair: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(context and node as one number, zeros, ones) of the pairs' bits, and of every bit its pair and place therein."""
-        owner, _, node, bit = self.code.events(pair & MASK)
-        key, at = np.unique((pair >> WIDTH)[owner] * max(1, self.escape) + node, return_inverse=True)
-        total = np.bincount(at, weights=c[owner], minlength=len(key))
-        one = np.bincount(at, weights=c[owner] * bit, minlength=len(key))
-        return key, total - one, one, owner, at
-
-    def tune(self, texts: pa.Array, seen: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """Fit the weights on training texts, each bit's own count left out.
-
-        ``seen``: the texts' pairs in order, and the zeros and ones of all their bits.
+        A match is the symbol that followed the same two symbols when they came last in the text.
         """
-        self.mixer = Mixer.new(32, 5, 16)
-        t = Tokens(texts, self)
-        match = self.matches(t)
-        pairs, zero, one = seen
-        length = self.code.length[pairs & MASK]
-        begin = np.cumsum(length) - length
-        place = [begin[np.searchsorted(pairs, p)] for p in self.packed_pairs(t)] if len(pairs) else []
-        for rate in RATES if len(pairs) else ():
-            for low, high in chunks(self.code, t.symbol):
-                owner, depth, node, bit = self.code.events(t.symbol[low:high])
-                # The code's own counts are kept: without the bit itself an even node would speak against it.
-                inputs, sure = [stretch(self.code.zero[node], self.code.one[node])], []
-                for p in place:
-                    at = p[low:high][owner] + depth
-                    z, o = np.maximum(zero[at] - (bit == 0), 0), np.maximum(one[at] - (bit == 1), 0)
-                    inputs.append(stretch(z, o))
-                    sure.append(confidence(z, o))
-                guess = self.expected(match[low:high], owner, depth, bit)
-                gate = (sure[0] * 4 + sure[1]) * 2 + (guess != 0)
-                self.mixer.learn([*inputs, guess], gate, np.minimum(depth, 15), bit, rate)
-
-    def _score(self, symbol: np.ndarray, match: np.ndarray, language: np.ndarray, before) -> np.ndarray:
-        """log10 probability of every symbol's code; ``before(low, owner, depth, node)`` gives the packed counts after the word before."""
-        if "root" not in self.__dict__:
-            self.root = stretch(self.code.zero, self.code.one).astype(np.float32)
+        n = len(t.symbol)
+        position = np.arange(n) - t.first[t.doc]
+        at = np.flatnonzero(position >= 2)
+        if not len(at):
+            return at, np.empty(0, np.bool_), at
+        odd = multipliers(12)
+        key = t.symbol.astype(np.uint64)
+        pair = (key[at - 1] * odd[9] + key[at - 2] * odd[10]) ^ (t.doc[at].astype(np.uint64) * odd[11])
+        # Equal pairs in order of place: the hash's upper bits and the place in one number.
+        shift = np.uint64(int(n).bit_length())
+        both = np.sort((pair >> shift << shift) | at.astype(np.uint64))
+        place = (both & ((np.uint64(1) << shift) - np.uint64(1))).view(np.int64)
+        same = np.flatnonzero(both[1:] >> shift == both[:-1] >> shift)
+        now, last = place[same + 1], place[same]
+        true = (t.symbol[now - 1] == t.symbol[last - 1]) & (t.symbol[now - 2] == t.symbol[last - 2])
+        now, last = now[true], last[true]
+        held = t.symbol[now] == t.symbol[last]
+        hit = np.zeros(n, np.bool_)
+        hit[now[held]] = True
+        index = np.arange(n)
+        miss = np.maximum.accumulate(np.where(hit, -1, index))
+        run = np.minimum(now - 1 - miss[now - 1], np.minimum(position[now] - 2, RUNS - 1))
+        return now, held, np.maximum(run, 0)
+
+    def node_counts(self, pair: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(context and node as one number, zeros, ones, depth) of the pairs' bits."""
+        owner, depth, node, bit = self.code.events(pair & MASK)
+        code = pa.array((pair >> WIDTH)[owner] * max(1, self.escape) + node).dictionary_encode()
+        key, at = code.dictionary.to_numpy(), code.indices.to_numpy()
+        weight = c[owner].astype(np.float64)
+        total = np.bincount(at, weights=weight, minlength=len(key))
+        one = np.bincount(at, weights=weight * bit, minlength=len(key))
+        of = np.zeros(len(key), np.int32)
+        of[at] = depth
+        return key, total - one, one, of
+
+    def learner(self) -> Learner:
+        return Learner(16, 2, DEPTHS)
+
+    def learn(self, learner: Learner, key: np.ndarray, zero: np.ndarray, one: np.ndarray, depth: np.ndarray) -> None:
+        """All bits of the contexts and nodes ``key``, each without its own count."""
+        context, node = np.divmod(key, max(1, self.escape))
+        classes = self.classes[self.class_of[context], node]
+        row = np.minimum(depth, DEPTHS - 1)
+        for bit, n in ((0, zero), (1, one)):
+            at = np.flatnonzero(n)
+            first = pack(zero[at] - (bit == 0), one[at] - (bit == 1))
+            x, sure = unpack(first)
+            x2, sure2 = unpack(WITHOUT_OWN[bit][classes[at]])
+            learner.learn([x, x2], sure.astype(np.int64) * 4 + sure2, row[at], np.full(len(at), bit), n[at])
+
+    def score_pairs(self, context: np.ndarray, symbol: np.ndarray, first) -> np.ndarray:
+        """log10 probability of every symbol's code after its context; ``first(index, node)`` gives the packed counts."""
         out = np.zeros(len(symbol))
+        flat, base = self.classes.reshape(-1), self.class_of[context].astype(np.int64) * self.escape
         for low, high in chunks(self.code, symbol):
             owner, depth, node, bit = self.code.events(symbol[low:high])
-            first, sure = unpack(before(low, owner, depth, node))
-            second, sure2 = unpack(self.dense[1].reshape(-1).take(language[low:high][owner] * self.dense.shape[2] + node))
-            guess = self.expected(match[low:high], owner, depth, bit)
-            gate = (sure.astype(np.int64) * 4 + sure2) * 2 + (guess != 0)
-            bits = self.mixer.log10_of(bit, [self.root[node], first, second, guess], gate, np.minimum(depth, 15))
+            x, sure = unpack(first(low + owner, node))
+            x2, sure2 = unpack(flat.take(base[low:high][owner] + node))
+            bits = self.mixer.log10_of(bit, [x, x2], sure * np.uint16(4) + sure2, np.minimum(depth, DEPTHS - 1))
             out[low:high] = np.bincount(owner, weights=bits, minlength=high - low)
         return out
 
-    def score(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 probability of every token's code, or 0; and the tokens to be scored later, as indices and packed."""
-        one, language = self.contexts(t)
-        match, language, row = self.matches(t), self.row[language], self.row[one]
-        own, later = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
-        out = np.zeros(len(t.symbol))
-        flat, nodes, row = self.dense[0].reshape(-1), self.dense.shape[2], row[own]
-        out[own] = self._score(t.symbol[own], match[own], language[own], lambda low, owner, depth, node: flat.take(row[low + owner] * nodes + node))
-        packed = ((one[later] << WIDTH | t.symbol[later]) << 9 | language[later]) << WIDTH | match[later] + 1
-        return out, later, packed
-
-    def score_later(self, packed: np.ndarray, key: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """log10 probability of packed tokens (in order), by the packed counts ``value`` of the contexts and nodes ``key``."""
-        pair, of = np.unique(packed >> WIDTH + 9, return_inverse=True)
-        owner, _, node, _ = self.code.events(pair & MASK)
-        wanted = (pair >> WIDTH)[owner] * max(1, self.escape) + node
-        at = np.minimum(np.searchsorted(key, wanted), max(0, len(key) - 1))
-        found = np.where(key[at] == wanted, value[at], np.uint16(UNSEEN)) if len(key) else np.full(len(wanted), UNSEEN, np.uint16)
-        length = self.code.length[pair & MASK]
-        begin = (np.cumsum(length) - length)[of]
-        symbol, language = packed >> WIDTH + 9 & MASK, packed >> WIDTH & 511
-        return self._score(symbol, (packed & MASK) - 1, language, lambda low, owner, depth, node: found[begin[low + owner] + depth])
+    def score_own(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """log10 probability of symbols after contexts that are held whole; each pair is computed once in a process."""
+        if "known" not in self.__dict__:
+            self.known = np.zeros((FREQUENT + 2) * (self.escape + 1), np.float32)
+        row = self.row[context]
+        pair = row * (self.escape + 1) + symbol
+        got = self.known.take(pair)
+        new = np.unique(pair[got == 0])
+        if len(new):
+            r, s = np.divmod(new, self.escape + 1)
+            back = np.append(np.arange(FREQUENT), (self.escape, self.none))
+            flat = self.dense.reshape(-1)
+            self.known[new] = self.score_pairs(back[r], s, lambda i, node: flat.take(r[i] * self.escape + node))
+            got = self.known.take(pair)
+        return got.astype(np.float64)
+
+    def with_match(self, score: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """log10 probability of symbols that a match foretold, ``run`` matches having held before."""
+        hold, fail = self.match_odds[:, run]
+        return np.log10(10**hold + 10 ** (fail + score))
 
 
 def chunks(code: Code, symbol: np.ndarray):
@@ -373,113 +405,106 @@ class Tokens:
 
     def __init__(self, text: pa.Array, model: WordModel):
         words = Words(text, lower=True)
-        coded = words.array().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        own = np.fromiter((model.index.get(w, model.escape) for w in names), np.int64, len(names))
-        index = coded.indices.to_numpy() if len(words) else np.empty(0, np.int64)
-        self.names = coded.dictionary
-        ends = np.cumsum(words.counts + 1)
-        self.first = ends - words.counts - 1
-        self.symbol = np.full(int(ends[-1]) if len(ends) else 0, model.index.get(END, model.escape))
-        at = np.arange(len(words)) + words.doc
-        self.symbol[at] = own[index] if len(words) else 0
-        self.doc = np.repeat(np.arange(len(text)), words.counts + 1)
-        #: Position and word (index in names) of the tokens that are escaped; the end never is.
-        rare = np.flatnonzero(self.symbol[at] == model.escape)
-        self.rare_at, self.rare_word = at[rare], index[rare]
+        names = words.array()
+        own = pc.fill_null(pc.index_in(names, value_set=model.words), model.escape).to_numpy().astype(np.int64)
         self.counts = words.counts + 1
+        ends = np.cumsum(self.counts)
+        self.first = ends - self.counts
+        self.symbol = np.full(int(ends[-1]) if len(ends) else 0, model.end)
+        at = np.arange(len(words)) + words.doc
+        self.symbol[at] = own
+        self.doc = np.repeat(np.arange(len(text)), self.counts)
+        #: Text and spelling of the tokens that are escaped; the end never is.
+        rare = np.flatnonzero(own == model.escape)
+        self.rare_doc, self.rare = words.doc[rare], names.take(pa.array(rare))
 
 
 class SpellingModel:
-    """Bytes of a word and an end byte, from the one to five bytes before."""
+    """Bytes of a word and an end byte, from the one to four bytes before."""
 
     def __init__(self, byte_counts: np.ndarray):
         self.code = Code(byte_counts + 1)
-        self.tables: np.ndarray | None = None
+        self.tables = np.full((ORDERS, 1 << BITS), UNSEEN, np.uint16)
         self.mixer: Mixer | None = None
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "fast"}
-
     @staticmethod
-    def bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(symbols, word of each symbol, context hashes): the bytes of every word and symbol 32 at its end."""
-        raw = b" ".join([*words.cast(pa.large_binary()).to_pylist(), b""])
+    def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(different runs of a byte and the ORDERS before it, run of each byte, word of each byte); a word ends with byte 32."""
+        raw = b" ".join([*words.cast(pa.large_binary()).to_numpy(zero_copy_only=False), b""])
         symbol = np.frombuffer(raw, np.uint8).astype(np.int64)
         end = symbol == 32
         owner = np.cumsum(end) - end
-        position = np.arange(len(symbol)) - (np.concatenate([[0], np.flatnonzero(end)[:-1] + 1])[owner] if len(symbol) else 0)
-        odd, context = multipliers(12 + 2 * ORDERS), []
-        total = np.zeros(len(symbol), np.uint64)
+        starts = np.concatenate([[0], np.flatnonzero(end)[:-1] + 1]) if len(symbol) else np.empty(0, np.int64)
+        position = np.arange(len(symbol)) - starts[owner]
+        key = symbol.copy()
         for k in range(1, ORDERS + 1):
-            shifted = np.zeros(len(symbol), np.int64)
+            shifted = np.full(len(symbol), 256)
             shifted[k:] = symbol[:-k]
             shifted[position < k] = 256
-            total = total + (shifted + 1).astype(np.uint64) * odd[12 + k]
-            context.append(total + odd[k])
-        return symbol, owner, context
-
-    def _chunks(self, symbol: np.ndarray):
-        step = max(1, EVENTS // 5)
-        for low in range(0, len(symbol), step):
-            yield low, min(low + step, len(symbol))
+            key += shifted * 257**k
+        code = pa.array(key).dictionary_encode()
+        return code.dictionary.to_numpy(), code.indices.to_numpy(), owner
+
+    def _events(self, gram: np.ndarray):
+        """(index in ``gram``, depth, node, bit, slots of each order) for pieces of the runs."""
+        step = max(1, EVENTS // 6)
+        odd = multipliers(12 + 2 * ORDERS)
+        for low in range(0, len(gram), step):
+            part = gram[low : low + step]
+            owner, depth, node, bit = self.code.events(part % 257)
+            total, found = np.zeros(len(part), np.uint64), []
+            for k in range(1, ORDERS + 1):
+                total = total + (part // 257**k % 257 + 1).astype(np.uint64) * odd[12 + k]
+                found.append(slots((total + odd[k])[owner], node))
+            yield low + owner, depth, node, bit, found
 
     def gather(self, words: pa.Array, tables: np.ndarray) -> None:
-        symbol, _, context = self.bytes_of(words)
-        for low, high in self._chunks(symbol):
-            owner, _, node, bit = self.code.events(symbol[low:high])
-            for k, c in enumerate(context):
-                tables[k] += np.bincount(slots(c[low:high][owner], node) * 2 + bit, minlength=2 << BITS).reshape(-1, 2)
-
-    def _inputs(self, symbol, context, low, high, leave_out):
-        owner, depth, node, bit = self.code.events(symbol[low:high])
-        if not leave_out and "fast" not in self.__dict__:
-            self.fast = (
-                [stretch(x[:, 0].astype(np.float64), x[:, 1]).astype(np.float32) for x in self.tables],
-                [confidence(x[:, 0].astype(np.float64), x[:, 1]).astype(np.int8) for x in self.tables],
-            )
-        inputs, sure = [], []
-        for k, c in enumerate(context):
-            s = slots(c[low:high][owner], node)
-            if leave_out:
-                pair = self.tables[k][s].astype(np.float64)
-                z, o = np.maximum(pair[:, 0] - (bit == 0), 0), np.maximum(pair[:, 1] - (bit == 1), 0)
-                inputs.append(stretch(z, o))
-                sure.append(confidence(z, o))
-            else:
-                inputs.append(self.fast[0][k][s])
-                sure.append(self.fast[1][k][s])
-        gate = (sure[2].astype(np.int64) * 4 + sure[3]) * 4 + sure[4]
-        return owner, bit, inputs, gate, np.minimum(depth, 15)
-
-    def tune(self, words: pa.Array) -> None:
-        self.mixer = Mixer.new(64, ORDERS + 1, 16)
-        symbol, _, context = self.bytes_of(words)
-        for rate in RATES:
-            for low, high in self._chunks(symbol):
-                _, bit, inputs, gate, row = self._inputs(symbol, context, low, high, True)
-                self.mixer.learn(inputs, gate, row, bit, rate)
+        """Add the words' bits to the counts (order, slot, bit)."""
+        gram, at, _ = self.grams(words)
+        times = np.bincount(at, minlength=len(gram))
+        for owner, _, _, bit, found in self._events(gram):
+            n = times[owner].astype(np.float64)
+            for k, s in enumerate(found):
+                tables[k] += np.bincount(s * 2 + bit, weights=n, minlength=2 << BITS).astype(np.int64).reshape(-1, 2)
+
+    @staticmethod
+    def learner() -> Learner:
+        return Learner(64, ORDERS, DEPTHS)
+
+    @staticmethod
+    def _gate(sure: list[np.ndarray]) -> np.ndarray:
+        return (sure[1].astype(np.int64) * 4 + sure[2]) * 4 + sure[3]
+
+    def learn(self, learner: Learner, words: pa.Array) -> None:
+        gram, at, _ = self.grams(words)
+        times = np.bincount(at, minlength=len(gram)).astype(np.float64)
+        for owner, depth, _, bit, found in self._events(gram):
+            got = [unpack(WITHOUT_OWN[bit, self.tables[k][s]]) for k, s in enumerate(found)]
+            learner.learn([x for x, _ in got], self._gate([c for _, c in got]), np.minimum(depth, DEPTHS - 1), bit, times[owner])
 
     def score(self, words: pa.Array) -> np.ndarray:
         """log10 probability of every word's spelling."""
-        symbol, owner, context = self.bytes_of(words)
-        out = np.zeros(len(symbol))
-        for low, high in self._chunks(symbol):
-            at, bit, inputs, gate, row = self._inputs(symbol, context, low, high, False)
-            out[low:high] = np.bincount(at, weights=self.mixer.log10_of(bit, inputs, gate, row), minlength=high - low)
-        return np.bincount(owner, weights=out, minlength=len(words))
+        gram, at, owner_of = self.grams(words)
+        out = np.zeros(len(gram))
+        for owner, depth, _, bit, found in self._events(gram):
+            got = [unpack(self.tables[k].take(s)) for k, s in enumerate(found)]
+            bits = self.mixer.log10_of(bit, [x for x, _ in got], self._gate([c for _, c in got]), np.minimum(depth, DEPTHS - 1))
+            out += np.bincount(owner, weights=bits, minlength=len(gram))
+        return np.bincount(owner_of, weights=out[at], minlength=len(words))
 
 
-def count_words(training: DataFrame) -> DataFrame:
-    """(word, c) over the column text_ of all training texts, the end among them."""
+def count_words(rows: DataFrame) -> DataFrame:
+    """(word, c) of all words in the column text_ and the end; c counts those of rows with ``train_``."""
 
     def run(batches):
-        for _, texts in slices(batches, "text_", SMALL_SLICE):
-            coded = Words(texts, lower=True).array().dictionary_encode()
-            c = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)) if len(coded) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([END])]), pa.array(np.append(c, len(texts)))], ["word", "c"])
+        for piece, texts in slices(batches, "text_"):
+            train = piece.column(1).to_numpy(zero_copy_only=False)
+            words = Words(texts, lower=True)
+            coded = words.array().dictionary_encode()
+            c = np.bincount(coded.indices.to_numpy()[train[words.doc]], minlength=len(coded.dictionary)) if len(words) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([END])]), pa.array(np.append(c, train.sum()))], ["word", "c"])
 
-    return training.select("text_").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.select("text_", "train_").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def count_letters(words: DataFrame) -> DataFrame:
@@ -487,44 +512,49 @@ def count_letters(words: DataFrame) -> DataFrame:
 
     def run(batches):
         total = np.zeros(256, np.int64)
-        for _, piece in slices(batches, "word", SMALL_SLICE):
-            total += np.bincount(np.frombuffer(b" ".join([*piece.cast(pa.large_binary()).to_pylist(), b""]), np.uint8), minlength=256)
+        for _, piece in slices(merged(batches, SPELLING_BYTES), "word", SPELLING_BYTES):
+            total += np.bincount(np.frombuffer(b" ".join([*piece.cast(pa.large_binary()).to_numpy(zero_copy_only=False), b""]), np.uint8), minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], ["byte", "n"])
 
     return words.select("word").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
 
 
-def _sum_tables(rows: DataFrame, gather, contexts: int) -> np.ndarray:
-    """Tables (context, slot, bit) summed over all tasks' tables, which ``gather(batches)`` gives.
+def _spelling_tables(words: DataFrame, shared) -> np.ndarray:
+    """Packed tables (order, slot) of the counts of all words.
 
-    Every task sends its tables in compressed parts; a part is summed over TOGETHER tasks,
-    then over TOGETHER of these sums, and then in one place. The sum's size is fixed:
-    contexts * 2 ** BITS * 2 numbers.
+    Every task sends its counts in compressed parts; a part is summed over TOGETHER tasks,
+    then over TOGETHER of these sums, and then in one place, where it is packed. The result's
+    size is fixed: ORDERS * 2 ** BITS numbers of 16 bits.
     """
 
     def send(batches):
-        tables = gather(batches)
+        tables = None
+        for _, piece in slices(merged(batches, SPELLING_BYTES), "word", SPELLING_BYTES):
+            tables = np.zeros((ORDERS, 1 << BITS, 2), np.int64) if tables is None else tables
+            shared.value.gather(piece, tables)
         if tables is None:
             return
         group = TaskContext.get().partitionId() // TOGETHER
-        for i, part in enumerate(np.split(tables.reshape(-1), contexts * PARTS)):
+        for i, part in enumerate(np.split(tables.reshape(-1), ORDERS * PARTS)):
             yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())], ["g", "part", "data"])
 
-    def add(table: pa.Table) -> pa.Table:
+    def add(table: pa.Table, finish: bool = False) -> pa.Table:
         total = 0
         for x in table.column("data"):
             total = total + np.frombuffer(zlib.decompress(x.as_py()), "<i8")
         group = table.column("g")[0].as_py() // TOGETHER
+        if finish:
+            total = pack(*total.reshape(-1, 2).T.astype(np.float64))
         return pa.table({"g": pa.array([group], pa.int32()), "part": table.column("part").slice(0, 1), "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     kind = "g int, part int, data binary"
-    sent = rows.mapInArrow(send, kind)
-    summed = sent.groupBy("part", "g").applyInArrow(add, kind).groupBy("part", "g").applyInArrow(add, kind).groupBy("part").applyInArrow(add, kind)
-    size = (2 << BITS) // PARTS
-    out = np.zeros((contexts * PARTS, size), np.int64)
-    for r in summed.collect():  # at most contexts * PARTS rows
-        out[r["part"]] = np.frombuffer(zlib.decompress(r["data"]), "<i8")
-    return out.reshape(contexts, 1 << BITS, 2)
+    sent = words.mapInArrow(send, kind)
+    part, finish = (lambda t: add(t)), (lambda t: add(t, True))
+    summed = sent.groupBy("part", "g").applyInArrow(part, kind).groupBy("part", "g").applyInArrow(part, kind).groupBy("part").applyInArrow(finish, kind)
+    out = np.full((ORDERS * PARTS, (1 << BITS) // PARTS), UNSEEN, np.uint16)
+    for r in summed.collect():  # at most ORDERS * PARTS rows
+        out[r["part"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint16)
+    return out.reshape(ORDERS, 1 << BITS)
 
 
 @dataclass
@@ -535,129 +565,191 @@ class Model:
     spelling: SpellingModel
     known_share: float
     rare_tokens: int
-    #: (word, c) of the training words that have no code of their own.
+    #: (word, c, spelled) of the words in training or scored texts that have no code of their own.
     rare: DataFrame
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Model:
-    """Train on all documents that :func:`held_out` leaves in (null text: empty)."""
+    """Train on all documents that :func:`held_out` leaves in (null text: empty).
+
+    Words of the other documents are listed too, with count 0, so that each is spelled once.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(key).alias("key_"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text_"))
-    training = rows.where(~held_out(F.col("key_")))
-    counts = materialise(count_words(training), "words")
-    # Words by eighths of a power of two of their counts: some hundred rows.
-    level = F.floor(F.log2("c") * 8).alias("level")
-    levels = sorted(((r["level"], r["n"], r["s"]) for r in counts.groupBy(level).agg(F.count("*").alias("n"), F.sum("c").alias("s")).collect()), reverse=True)
-    tokens, types = sum(s for _, _, s in levels), sum(n for _, n, _ in levels)
+    rows = rows.withColumn("train_", ~held_out(F.col("key_")))
+    counts = materialise(count_words(rows), "words")
+    seen = counts.where("c > 0")
+    # Words that may have codes, by eighths of a power of two of their counts: some hundred rows.
+    level, short = F.floor(F.log2("c") * 8), F.octet_length("word") <= HEAD_BYTES
+    found = seen.groupBy(level.alias("level")).agg(F.count_if(short).alias("n"), F.count("*").alias("types"), F.sum("c").alias("s"), F.count_if(F.col("c") == 1).alias("once")).collect()
+    levels = sorted(((r["level"], r["n"]) for r in found), reverse=True)
+    tokens, types, once = (sum(r[x] for r in found) for x in ("s", "types", "once"))
     bar, room = math.inf, HEAD - 1
-    for value, n, _ in levels:
+    for value, n in levels:
         if n > room or value < math.floor(math.log2(LEAST) * 8):
             break
         bar, room = value, room - n
-    chosen = counts.where((F.floor(F.log2("c") * 8) >= F.lit(float(bar))) | (F.col("word") == END))
-    top = sorted(((r["c"], r["word"]) for r in chosen.collect()), key=lambda r: (-r[0], r[1]))  # at most HEAD rows
-    rare = counts.where((F.floor(F.log2("c") * 8) < F.lit(float(bar))) & (F.col("word") != END))
+    coded = (level >= F.lit(float(bar))) & short & (F.col("c") > 0)
+    top = sorted(((r["c"], r["word"]) for r in seen.where(coded | (F.col("word") == END)).collect()), key=lambda r: (-r[0], r[1]))  # at most HEAD rows of HEAD_BYTES
+    rare = counts.where(~F.coalesce(coded, F.lit(False)) & (F.col("word") != END))
     head_counts = np.array([c for c, _ in top], np.int64)
-    once = counts.where("c = 1").count()
     word = WordModel([w for _, w in top], head_counts, tokens - int(head_counts.sum()), tokens, types)
-    order = [F.md5(F.col("key_").cast("string")), "key_", "text_"]
-    sample = training.where("octet_length(text_) <= 65536").orderBy(*order).limit(TUNE_TEXTS).collect()
-    fitted = pa.array([r["text_"] for r in sample], pa.string())
-    word.tune(fitted, count_contexts(training, word, fitted))
+    fit_words(rows.where("train_"), word)
+    known = rare.where("c > 0")
     letters = np.zeros(256, np.int64)
-    for r in count_letters(rare).collect():  # at most 256 rows
+    for r in count_letters(known).collect():  # at most 256 rows
         letters[r["byte"]] = r["n"]
-    tune_words = [r["word"] for r in rare.where("octet_length(word) <= 1024").orderBy(F.md5("word"), "word").limit(TUNE_WORDS).collect()]
-    spelling = SpellingModel(letters)
-    spelling.tables = _sum_tables(rare.select("word"), _gather_spelling(spark.sparkContext.broadcast(spelling)), ORDERS)
-    spelling.tune(pa.array(tune_words, pa.string()))
+    spelling = fit_spelling(known.select("word"), letters)
     # Share of escaped tokens that are words seen in training, by the number seen once.
     share = 1 - min(0.9, max(0.1, once / max(1, word.escaped)))
-    return Model(word, spelling, share, word.escaped, rare)
+    return Model(word, spelling, share, word.escaped, materialise(spelled(rare, spelling), "rare"))
 
 
-def count_contexts(training: DataFrame, word: WordModel, fitted: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Count all contexts of the training texts into ``word``; gives what ``WordModel.tune`` needs of the texts ``fitted``."""
+def fit_words(training: DataFrame, word: WordModel) -> None:
+    """Count all contexts and matches of the training texts, and fit the weights to all their bits."""
     context = training.sparkSession.sparkContext
     shared = context.broadcast(word)
-    names = ["pair", "c"]
 
     def pairs(batches):
-        kept, size = [], 0
+        held, size, odds = [], 0, np.zeros((2, RUNS), np.int64)
 
         def whole():
-            pair, at = np.unique(np.concatenate([p for p, _ in kept]), return_inverse=True)
-            c = np.bincount(at, weights=np.concatenate([c for _, c in kept])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(c)], names)
-
-        for _, texts in slices(batches, "text_", SMALL_SLICE):
-            for p in shared.value.packed_pairs(Tokens(texts, shared.value)):
-                kept.append(np.unique(p, return_counts=True))
-                size += len(kept[-1][0])
-            if size > 1 << 21:
+            every = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            return pa.RecordBatch.from_arrays([pa.array(every[first]), pa.array(np.diff(np.append(first, len(every))))], ["pair", "c"])
+
+        for _, texts in slices(batches, "text_"):
+            model = shared.value
+            t = Tokens(texts, model)
+            _, hold, run = model.matches(t)
+            odds += np.bincount(run + RUNS * ~hold, minlength=2 * RUNS).reshape(2, RUNS)
+            held.append(model.context(t) << WIDTH | t.symbol)
+            size += len(held[-1])
+            if size > 1 << 22:
                 yield whole()
-                kept, size = [], 0
-        if kept:
+                held, size = [], 0
+        if held:
             yield whole()
-
-    word.pairs = materialise(training.select("text_").mapInArrow(pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")), "pairs")
-    word.buckets = max(16, word.pairs.count() // BUCKET_PAIRS)
-    needed = context.broadcast(np.unique(np.concatenate(word.packed_pairs(Tokens(fitted, word)))))
-    nodes, first_language = word.escape, word.escape + 2
-
-    def tables(group: pa.Table) -> pa.Table:
-        model = shared.value
-        pair, c = group.column("pair").to_numpy(), group.column("c").to_numpy()
-        key, zero, one, owner, at = model.node_counts(pair, c)
+        # Matches that held and did not, as negative pairs.
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(2 * RUNS)), pa.array(odds.ravel())], ["pair", "c"])
+
+    every = materialise(training.select("text_").mapInArrow(pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")), "pairs")
+    odds = np.zeros(2 * RUNS)
+    for r in every.where("pair < 0").collect():  # 2 * RUNS rows
+        odds[-1 - r["pair"]] = r["c"]
+    hold, fail = odds.reshape(2, RUNS)
+    word.match_odds = np.log10(np.stack([hold + 0.5, fail + 0.5]) / (hold + fail + 1))
+    word.pairs = every.where("pair >= 0")
+    word.buckets = min(1 << WIDTH, max(16, word.pairs.count() // BUCKET_PAIRS))
+    nodes = word.escape
+    if not nodes:
+        word.mixer = word.learner().result(np.zeros(len(word.learner().sums())))
+        return
+
+    # A context's class, and the counts of all contexts of each class.
+    split = word.pairs.select(F.shiftright("pair", WIDTH).alias("context"), F.col("pair").bitwiseAND(MASK).alias("symbol"), "c")
+    best = F.max_by("symbol", F.struct("c", -F.col("symbol"))).cast("int").alias("class")
+    for r in split.where(F.col("symbol") < CLASSES).groupBy("context").agg(best).collect():  # at most HEAD + 2 rows of two numbers
+        word.class_of[r["context"]] = r["class"]
+    classes = context.broadcast(word.class_of)
+
+    def by_class(batches):
+        for b in batches:
+            pair = b.column(0).to_numpy()
+            own = classes.value[pair >> WIDTH].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own << WIDTH | pair & MASK), b.column(1)], ["pair", "c"])
+
+    def packed(group: pa.Table) -> pa.Table:
+        model, pair = shared.value, group.column("pair").to_numpy()
+        key, zero, one, _ = model.node_counts(pair, group.column("c").to_numpy())
+        full = np.full(nodes, UNSEEN, np.uint16)
+        full[key % nodes] = pack(zero, one)
+        return pa.table({"g": pa.array([int(pair[0] >> WIDTH)], pa.int64()), "dense": pa.array([zlib.compress(full.tobytes(), 1)], pa.binary())})
+
+    summed = word.pairs.mapInArrow(by_class, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    for r in summed.withColumn("g", F.shiftright("pair", WIDTH)).groupBy("g").applyInArrow(packed, "g long, dense binary").collect():  # at most CLASSES + 1 rows
+        if r["g"] < CLASSES:
+            word.classes[r["g"]] = np.frombuffer(zlib.decompress(r["dense"]), np.uint16)
+
+    fitting = context.broadcast(word)
+
+    def fit(group: pa.Table) -> pa.Table:
+        model = fitting.value
+        key, zero, one, depth = model.node_counts(group.column("pair").to_numpy(), group.column("c").to_numpy())
+        learner = model.learner()
+        model.learn(learner, key, zero, one, depth)
         number, dense = group.column("g")[0].as_py(), None
         if number < 0:
             full = np.full(nodes, UNSEEN, np.uint16)
-            full[key % max(1, nodes)] = pack(zero, one)
+            full[key % nodes] = pack(zero, one)
             dense = zlib.compress(full.tobytes(), 1)
-        wanted = np.isin(pair, needed.value)
-        at = at[wanted[owner]]
-        data = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in (pair[wanted], zero[at], one[at])]
-        return pa.table({"g": pa.array([number], pa.int64()), "dense": pa.array([dense], pa.binary()), **{n: pa.array([x], pa.binary()) for n, x in zip(("pair", "zero", "one"), data, strict=True)}})
-
-    rows = word.pairs.withColumn("g", _group(word))
-    word.dense = np.full((2, FREQUENT + 2, nodes), UNSEEN, np.uint16)
-    seen = []
-    for r in rows.groupBy("g").applyInArrow(tables, "g long, dense binary, pair binary, zero binary, one binary").toLocalIterator():
-        if r["dense"] is not None:
-            at = -1 - r["g"]
-            half = int(at >= first_language)
-            word.dense[half, word.row[at - half * first_language]] = np.frombuffer(zlib.decompress(r["dense"]), np.uint16)
-        seen.append([np.frombuffer(zlib.decompress(r[n]), "<i8") for n in ("pair", "zero", "one")])
-    if not seen:
-        return (np.empty(0, np.int64),) * 3
-    # The pairs of all groups in order, and their bits with them.
-    pair, zero, one = (np.concatenate(x) for x in zip(*seen, strict=True))
-    length = word.code.length[pair & MASK]
-    order = np.argsort(pair)
-    at = ragged((np.cumsum(length) - length)[order], length[order])
-    return pair[order], zero[at], one[at]
+        return pa.table({"g": pa.array([number], pa.int64()), "dense": pa.array([dense], pa.binary()), "stats": pa.array([learner.sums()], pa.list_(pa.float64()))})
+
+    fitted = materialise(word.pairs.withColumn("g", _group(word)).groupBy("g").applyInArrow(fit, "g long, dense binary, stats array<double>"), "fitted")
+    for r in fitted.where("g < 0").select("g", "dense").collect():  # at most FREQUENT + 2 rows of HEAD numbers
+        word.dense[word.row[-1 - r["g"]]] = np.frombuffer(zlib.decompress(r["dense"]), np.uint16)
+    learner = word.learner()
+    word.mixer = learner.result(_summed(fitted, len(learner.sums())))
+
+
+def fit_spelling(words: DataFrame, letters: np.ndarray) -> SpellingModel:
+    """Count and fit the spelling of all words (column word)."""
+    context = words.sparkSession.sparkContext
+    spelling = SpellingModel(letters)
+    spelling.tables = _spelling_tables(words, context.broadcast(spelling))
+    shared = context.broadcast(spelling)
+
+    def learn(batches):
+        learner = SpellingModel.learner()
+        for _, piece in slices(merged(batches, SPELLING_BYTES), "word", SPELLING_BYTES):
+            shared.value.learn(learner, piece)
+        yield pa.RecordBatch.from_arrays([pa.array([learner.sums()], pa.list_(pa.float64()))], ["stats"])
+
+    learner = SpellingModel.learner()
+    spelling.mixer = learner.result(_summed(words.mapInArrow(learn, "stats array<double>"), len(learner.sums())))
+    return spelling
+
+
+def spelled(words: DataFrame, spelling: SpellingModel) -> DataFrame:
+    """(word, c, spelled): with the log10 probability of each spelling."""
+    shared = words.sparkSession.sparkContext.broadcast(spelling)
+
+    def run(batches):
+        for piece, texts in slices(merged(batches, SPELLING_BYTES), "word", SPELLING_BYTES):
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(shared.value.score(texts))], ["word", "c", "spelled"])
+
+    return words.select("word", "c").mapInArrow(run, "word string, c long, spelled double")
+
+
+def _mixed_order(context):
+    """A number below 2 ** WIDTH for each context, spread evenly and never the same for two."""
+    return context * 179_381 % (1 << WIDTH)
 
 
 def _group(word: WordModel) -> Column:
     """Of a pair: -1 - its context if that is held whole, else its bucket."""
     context = F.shiftright("pair", WIDTH)
-    return F.when((context < min(FREQUENT, word.escape)) | (context >= word.escape), -1 - context).otherwise(context % word.buckets)
+    bucket = F.shiftright(_mixed_order(context) * word.buckets, WIDTH)
+    return F.when((context < min(FREQUENT, word.escape)) | (context >= word.escape), -1 - context).otherwise(bucket)
 
 
 def _squeeze(x: np.ndarray) -> bytes:
     """Numbers as compressed bytes, the first byte of each before the second of each."""
-    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
 
 
-def _expand(data: bytes, kind: str) -> np.ndarray:
+def _expand(data: bytes, n: int, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _score_later(later: DataFrame, word: WordModel, shared) -> DataFrame:
-    """(row, later) from rows (bucket, first, code, offset) of tokens whose word before is not held whole."""
-    kind = "bucket long, pair long, c long, first long, code binary, offset binary"
+    """(row, later) from rows (bucket, first, n, code, offset) of tokens whose word before is not held whole.
+
+    A code is pair and match (0, or 1 and the run where one held); a bucket's pairs come
+    before its tokens, and every different pair is scored once for a batch of tokens.
+    """
 
     def run(batches):
         model = shared.value[0]
@@ -667,18 +759,23 @@ def _score_later(later: DataFrame, word: WordModel, shared) -> DataFrame:
             nonlocal table, tokens, size
             if table is None:
                 pair, c = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 2
-                key, zero, one, _, _ = model.node_counts(pair, c)
-                table = key, pack(zero, one)
+                key, zero, one, _ = model.node_counts(pair, c)
+                order = np.argsort(key)
+                table = key[order], pack(zero, one)[order]
                 pairs.clear()
             code, row = (np.concatenate(x) for x in zip(*tokens, strict=True))
-            order = np.argsort(code, kind="stable")
-            got = model.score_later(code[order], *table)
-            row, at = np.unique(row[order], return_inverse=True)
+            coded = pa.array(code).dictionary_encode()
+            every, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+            pair, run = every >> 5, every & 31
+            got = _after(model, pair, *table)
+            hit = np.flatnonzero(run)
+            got[hit] = model.with_match(got[hit], run[hit] - 1)
+            coded = pa.array(row).dictionary_encode()
             tokens, size = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.bincount(at, weights=got))], ["row", "later"])
+            return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.bincount(coded.indices.to_numpy(), weights=got[at]))], ["row", "later"])
 
         for b in batches:
-            bucket, is_pair = b.column(0).to_numpy(), b.column(4).is_null().to_numpy(zero_copy_only=False)
+            bucket, is_pair = b.column(0).to_numpy(), b.column(5).is_null().to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.diff(bucket * 2 + ~is_pair)) + 1
             for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
                 if low == high:
@@ -691,9 +788,9 @@ def _score_later(later: DataFrame, word: WordModel, shared) -> DataFrame:
                 if is_pair[low]:
                     pairs.append((piece.column(1).to_numpy(), piece.column(2).to_numpy()))
                     continue
-                for first, code, offset in zip(*(piece.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
-                    tokens.append((np.cumsum(_expand(code, "<i8")), first + _expand(offset, "<i4").astype(np.int64)))
-                    size += len(tokens[-1][0])
+                for first, n, code, offset in zip(*(piece.column(i).to_pylist() for i in (3, 4, 5, 6)), strict=True):
+                    tokens.append((np.cumsum(_expand(code, n, "<i8")), first + _expand(offset, n, "<i4").astype(np.int64)))
+                    size += n
                     if size > LATER:
                         yield flush()
         if tokens:
@@ -701,22 +798,24 @@ def _score_later(later: DataFrame, word: WordModel, shared) -> DataFrame:
 
     none = lambda t: F.lit(None).cast(t)
     pairs = word.pairs.withColumn("bucket", _group(word).cast("long")).where("bucket >= 0")
-    pairs = pairs.select("bucket", "pair", "c", none("long").alias("first"), none("binary").alias("code"), none("binary").alias("offset"))
-    later = later.select("bucket", none("long").alias("pair"), none("long").alias("c"), "first", "code", "offset")
+    pairs = pairs.select("bucket", "pair", "c", none("long").alias("first"), none("long").alias("n"), none("binary").alias("code"), none("binary").alias("offset"))
+    later = later.select("bucket", none("long").alias("pair"), none("long").alias("c"), "first", "n", "code", "offset")
     both = pairs.unionByName(later).repartition("bucket").sortWithinPartitions("bucket", F.col("code").isNotNull())
-    assert both.columns == [x.split()[0] for x in kind.split(", ")]
     return both.mapInArrow(run, "row long, later double").groupBy("row").agg(F.sum("later").alias("later"))
 
 
-def _gather_spelling(shared):
-    def gather(batches):
-        tables = None
-        for _, words in slices(batches, "word", SMALL_SLICE):
-            tables = np.zeros((ORDERS, 1 << BITS, 2), np.int64) if tables is None else tables
-            shared.value.gather(words, tables)
-        return tables
+def _after(model: WordModel, pair: np.ndarray, key: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """log10 probability of pairs by the packed counts ``value`` of the contexts and nodes ``key`` (ordered)."""
+    context, symbol = pair >> WIDTH, pair & MASK
 
-    return gather
+    def first(index, node):
+        wanted = context[index] * max(1, model.escape) + node
+        if not len(key):
+            return np.full(len(wanted), UNSEEN, np.uint16)
+        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        return np.where(key[at] == wanted, value[at], np.uint16(UNSEEN))
+
+    return model.score_pairs(context, symbol, first)
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -725,54 +824,84 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     ``base_score`` is the add-one unigram's log10 probability of the tokens, ``score`` the
     model's of the same tokens; ``bits_per_byte`` is the latter in bits over the text's
     UTF-8 bytes plus 1. Null text is empty (one token, the end). A null key counts as
-    training; repeated rows are scored each; other columns are ignored.
+    training; repeated rows are scored each; other columns are ignored. The documents' words
+    must be in ``model.rare`` or have codes, as they do where the model was trained on a
+    table that holds them, in either fold.
     """
     spark = docs.sparkSession
     ship_package(spark)
     word, norm = model.word, math.log10(model.word.tokens + model.word.types + 1)
-    shared = spark.sparkContext.broadcast((word, model.spelling))
+    shared = spark.sparkContext.broadcast((word,))
     kind = docs.select(key).schema[0].dataType.simpleString()
     buckets = word.buckets
-    fields = f"key_ {kind}, n_bytes long, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,n:int,spelled:double>>, row long, bucket long, code binary, offset binary"
-    names = [*"key_ n_bytes n_tokens n_known base score rare row bucket code offset".split()]
+    fields = f"key_ {kind}, n_bytes long, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,n:int>>, row long, bucket long, n long, code binary, offset binary"
+    names = [*"key_ n_bytes n_tokens n_known base score rare row bucket n code offset".split()]
+    kinds: list[pa.DataType] = []
 
     def run(batches):
-        words, spelling = shared.value
-        row = TaskContext.get().partitionId() << 33
+        (words,) = shared.value
+        row = begin = TaskContext.get().partitionId() << 33
         base = np.append(np.log10(words.counts + 1.0) - norm, 0.0)
-        for piece, texts in slices(batches, "text_", SMALL_SLICE):
+        held, size = [], 0
+
+        def send():
+            """The tokens gathered, ordered by bucket and pair; a row for every bucket."""
+            every = np.sort(np.concatenate(held))
+            doc, code = (every & ((1 << 22) - 1)).astype("<i4"), every >> 22
+            mixed = code >> WIDTH + 5
+            bucket = mixed * buckets >> WIDTH
+            context = mixed * pow(179_381, -1, 1 << WIDTH) & MASK
+            code = context << WIDTH + 5 | code & (1 << WIDTH + 5) - 1
+            ends = [*(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            parts = list(zip([0, *ends], ends))
+            data = [pa.array([_squeeze(np.diff(code[a:b], prepend=0)) for a, b in parts], pa.binary()), pa.array([_squeeze(doc[a:b]) for a, b in parts], pa.binary())]
+            empty = [pa.nulls(len(parts), x) for x in kinds]
+            return pa.RecordBatch.from_arrays([*empty, pa.array([begin] * len(parts), pa.int64()), pa.array([bucket[a] for a, _ in parts], pa.int64()), pa.array([b - a for a, b in parts], pa.int64()), *data], names)
+
+        for piece, texts in slices(batches, "text_"):
+            if held and (size > LATER or row + len(texts) - begin >= 1 << 22):
+                yield send()
+                held, size, begin = [], 0, row
             t = Tokens(texts, words)
-            per = lambda x: np.bincount(t.doc, weights=x, minlength=len(texts))
-            own, later, packed = words.score(t)
-            pair = t.doc[t.rare_at] * max(1, len(t.names)) + t.rare_word
-            pair, times = np.unique(pair, return_counts=True)
-            owner, name = np.divmod(pair, max(1, len(t.names)))
-            used, at = np.unique(name, return_inverse=True)
-            spelled = spelling.score(t.names.take(pa.array(used))) if len(used) else np.empty(0)
+            per = lambda x, doc=t.doc: np.bincount(doc, weights=x, minlength=len(texts))  # noqa: B023, E731
+            place, hold, run = words.matches(t)
+            match = np.zeros(len(t.symbol), np.int64)
+            match[place[hold]] = run[hold] + 1
+            own_score = np.zeros(len(t.symbol))
+            own_score[place[~hold]] = words.match_odds[1][run[~hold]]
+            context = words.context(t)
+            is_own = words.row[context] >= 0
+            own, later = np.flatnonzero(is_own), np.flatnonzero(~is_own)
+            got = words.score_own(context[own], t.symbol[own])
+            hit = np.flatnonzero(match[own])
+            got[hit] = words.with_match(got[hit], match[own[hit]] - 1)
+            own_score[own] += got
+            if len(later):
+                pair = _mixed_order(context[later]) << WIDTH | t.symbol[later]
+                held.append((pair << 5 | match[later]) << 22 | t.doc[later] + (row - begin))
+                size += len(later)
+            coded = t.rare.dictionary_encode()
+            many = max(1, len(coded.dictionary))
+            pair, times = np.unique(t.rare_doc * many + coded.indices.to_numpy(), return_counts=True) if len(t.rare) else (np.empty(0, np.int64),) * 2
+            owner, name = np.divmod(pair, many)
             ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-            struct = pa.StructArray.from_arrays([t.names.take(pa.array(name)).cast(pa.string()), pa.array(times, pa.int32()), pa.array(spelled[at])], ["word", "n", "spelled"])
+            struct = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(name)).cast(pa.string()), pa.array(times, pa.int32())], ["word", "n"])
             rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)
             known = (t.symbol != words.escape).astype(np.float64)
-            columns = [piece.column(0), piece.column(1), pa.array(t.counts), pa.array(per(known).astype(np.int64)), pa.array(per(base[t.symbol])), pa.array(per(own)), rare, pa.array(row + np.arange(len(texts)))]
-            empty = [pa.nulls(len(texts), k) for k in (pa.int64(), pa.binary(), pa.binary())]
+            columns = [piece.column(0), piece.column(1), pa.array(t.counts), pa.array(per(known).astype(np.int64)), pa.array(per(base[t.symbol])), pa.array(per(own_score)), rare, pa.array(row + np.arange(len(texts)))]
+            kinds[:] = [x.type for x in columns[:-1]]
+            empty = [pa.nulls(len(texts), k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, *empty], names)
-            # Tokens to be scored later, by bucket and in order; a row of its own for every bucket.
-            bucket = (packed >> 2 * WIDTH + 9) % buckets
-            order = np.lexsort((packed, bucket))
-            bucket, packed, doc = bucket[order], packed[order], t.doc[later[order]].astype("<i4")
-            ends = [*(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else []
-            parts = list(zip([0, *ends], ends))
-            data = [pa.array([_squeeze(np.diff(packed[a:b], prepend=0)) for a, b in parts], pa.binary()), pa.array([_squeeze(doc[a:b]) for a, b in parts], pa.binary())]
-            empty = [pa.nulls(len(parts), x.type) for x in columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array([row] * len(parts), pa.int64()), pa.array([bucket[a] for a, _ in parts], pa.int64()), *data], names)
             row += len(texts)
+        if held:
+            yield send()
 
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("key_"), F.octet_length(whole).cast("long").alias("n_bytes"), whole.alias("text_"))
     both = materialise(rows.mapInArrow(run, fields), "scored")
-    scored = both.where("bucket IS NULL").drop("bucket", "code", "offset")
-    later = _score_later(both.where("bucket IS NOT NULL").select("bucket", F.col("row").alias("first"), "code", "offset"), word, shared)
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(model.rare, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    scored = both.where("bucket IS NULL").drop("bucket", "n", "code", "offset")
+    later = _score_later(both.where("bucket IS NOT NULL").select("bucket", F.col("row").alias("first"), "n", "code", "offset"), word, shared)
+    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(model.rare, "word")
     share, total = model.known_share, max(1, model.rare_tokens)
     mixed = F.log10(F.lit(share / total) * F.col("c") + (1 - share) * F.pow(F.lit(10.0), F.greatest(F.col("spelled"), F.lit(-290.0))))
     mixed = F.when((F.col("c") == 0) & (F.col("spelled") < -290), F.col("spelled") + math.log10(1 - share)).otherwise(mixed)
