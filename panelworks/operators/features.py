@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelworks.functions.scalar import between_percentiles, boolean_text_flag, clip, yes_no_flag
+from panelworks.operators.scoring import column_percentiles, percentiles
 
 MISSING = "__MISSING__"
 
@@ -73,7 +74,7 @@ def fit_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Nulls and NaN are left out of the percentiles and replaced by 0 after.
     """
     filled = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
-    ends = filled.agg(*[F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(f"p_{c}") for c in columns])
+    ends = column_percentiles(filled, columns, (0.01, 0.99))
     clipped = filled.crossJoin(F.broadcast(ends))  # one row
     inside = lambda c: clip(F.coalesce(F.col(c), F.lit(0.0)), F.col(f"p_{c}")[0], F.col(f"p_{c}")[1])
     moments = [x for c in columns for x in (F.avg(inside(c)).alias(f"m_{c}"), F.stddev_pop(inside(c)).alias(f"s_{c}"))]
@@ -97,9 +98,9 @@ def scale(df: DataFrame, columns: Sequence[str], fitted: DataFrame, limit: float
 def prepare_target(df: DataFrame, column: str) -> DataFrame:
     """<column>_y: null and NaN as the median, clipped to p1 and p99, scaled by mean and population deviation."""
     x = F.nanvl(F.col(column).cast("double"), F.lit(None))
-    ends = df.agg(F.median(x).alias("med_"))
-    filled = df.crossJoin(F.broadcast(ends)).withColumn("x_", F.coalesce(x, F.col("med_"))).drop("med_")
-    p = filled.agg(F.percentile("x_", F.array(F.lit(0.01), F.lit(0.99))).alias("p_"))
+    ends = percentiles(df, x, (0.5,), "med_")
+    filled = df.crossJoin(F.broadcast(ends)).withColumn("x_", F.coalesce(x, F.col("med_")[0])).drop("med_")
+    p = percentiles(filled, "x_", (0.01, 0.99), "p_")
     filled = filled.crossJoin(F.broadcast(p)).withColumn("x_", clip(F.col("x_"), F.col("p_")[0], F.col("p_")[1])).drop("p_")
     m = filled.agg(F.avg("x_").alias("m_"), F.stddev_pop("x_").alias("s_"))
     return filled.crossJoin(F.broadcast(m)).withColumn(f"{column}_y", (F.col("x_") - F.col("m_")) / F.when(F.col("s_") == 0, 1.0).otherwise(F.col("s_"))).drop("x_", "m_", "s_")
@@ -109,8 +110,9 @@ def thresholds(df: DataFrame, column: str, lower: float, upper: float = 100.0, *
     """One row (low, high): percentiles of the column, or mean + sigma deviations; high is null if open."""
     if sigma is not None:
         return df.agg((F.avg(column) + sigma * F.stddev_pop(column)).alias("low"), F.lit(None).cast("double").alias("high"))
-    high = F.lit(None).cast("double") if upper >= 100 else F.percentile(column, F.lit(upper / 100))
-    return df.agg(F.percentile(column, F.lit(lower / 100)).alias("low"), high.alias("high"))
+    p = percentiles(df, column, (lower / 100, min(upper, 100) / 100))
+    high = F.lit(None).cast("double") if upper >= 100 else F.col("p")[1]
+    return p.select(F.col("p")[0].alias("low"), high.alias("high"))
 
 
 def lookalike(df: DataFrame, column: str, limits: DataFrame, to: str = "label") -> DataFrame:

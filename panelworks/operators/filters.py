@@ -27,12 +27,14 @@ def filter_multi(df: DataFrame, filters: Mapping[str, Any], fields: Mapping[str,
 def filter_options(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(field, options): the sorted distinct values of each column that are not null or blank, as text.
 
-    One pass; each column is expected to have few values. False of a boolean column is an option.
+    Values are made distinct over the cluster before they are listed. False of a boolean column is an option.
     """
-    sets = [F.sort_array(F.collect_set(F.when(F.trim(F.col(c).cast("string")) != "", F.col(c).cast("string")))).alias(c) for c in columns if c in df.columns]
     names = [c for c in columns if c in df.columns]
-    one = df.agg(*sets)
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("options")) for c in names])).alias("o")).select("o.*")
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in names]).unpivot([], names, "field", "value_")
+    found = long.where(F.trim("value_") != "").distinct().groupBy("field").agg(F.sort_array(F.collect_list("value_")).alias("options"))
+    # A field without values has no options, but its row.
+    every = F.explode(F.array(*[F.lit(c) for c in names])).alias("field")
+    return df.sparkSession.range(1).select(every).join(found, "field", "left").select("field", F.coalesce("options", F.array().cast("array<string>")).alias("options"))
 
 
 def site_details(ids: DataFrame, details: DataFrame, coordinates: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -1,53 +1,106 @@
 """Scores, ranks, tiers and their summaries.
 
-Ranks over a whole table need a total order. They are computed from the counts of each
-score value: one window over distinct scores, then a join back, so that rows are never
-sorted in one task beyond the number of different scores. Where scores are all different
-use :func:`ranked`, which numbers range partitions apart.
+Ranks and percentiles over a whole table need a total order. They are computed from the
+counts of each value, which are sorted in range partitions and added up over them, so that
+no task sorts or holds more than its part of the different values.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelworks.functions.scalar import clip, out_of_ten, tier, tier_part
+from panelworks.session import materialise
+
+#: Values whose counts one task adds up.
+BLOCK = 65_536
 
 
 def revenue_score(df: DataFrame, metric: str, *, status: str = "status", active: str = "Active") -> DataFrame:
     """``revenue_score``: the metric between p20 and p95 of active rows, cut to [0, 1]; 0 if the two meet."""
-    p = df.where(F.col(status) == active).agg(F.percentile(metric, F.array(F.lit(0.2), F.lit(0.95))).alias("p_"))
+    p = percentiles(df.where(F.col(status) == active), metric, (0.2, 0.95), "p_")
     low, high = F.col("p_")[0], F.col("p_")[1]
     score = F.when(high > low, clip((F.col(metric) - low) / (high - low), 0.0, 1.0)).otherwise(0.0)
     return df.crossJoin(F.broadcast(p)).withColumn("revenue_score", F.coalesce(score, F.lit(0.0))).drop("p_")  # one row
 
 
-def _numbered(df: DataFrame, order: list[Column], to: str, parts: int = 64) -> DataFrame:
-    """Number rows from 1 in the given total order, sorting range partitions apart."""
-    spread = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id())
-    spread = spread.withColumn("own_", F.row_number().over(W.partitionBy("part_").orderBy(*order)))
-    sizes = spread.groupBy("part_").agg(F.count("*").alias("n_"))
+def _numbered(df: DataFrame, order: list[Column], to: str) -> DataFrame:
+    """Number rows from 1 in the given total order, sorting range partitions apart.
+
+    The sorted partitions are written to the shared scratch folder (an action), because the
+    rows and the partitions' sizes must come from one and the same division.
+    """
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mono_", F.monotonically_increasing_id())
+    spread = materialise(spread, "numbered")
+    part = F.shiftright("mono_", 33).alias("part_")
+    sizes = spread.groupBy(part).agg(F.count("*").alias("n_"))
     # One row for each range partition.
     before = sizes.select("part_", F.coalesce(F.sum("n_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
-    return spread.join(F.broadcast(before), "part_").withColumn(to, F.col("before_") + F.col("own_")).drop("part_", "own_", "before_")
+    own = F.col("mono_").bitwiseAND(F.lit((1 << 33) - 1))
+    return spread.withColumn("part_", part).join(F.broadcast(before), "part_").withColumn(to, F.col("before_") + own + 1).drop("part_", "mono_", "before_")
 
 
-def value_ranks(df: DataFrame, score: str, *, descending: bool = True) -> DataFrame:
-    """(score, n_before, n_equal, n_all, dense): for each distinct value the rows before it in order.
-
-    Sums are taken per range partition of values and then over the partitions.
-    """
-    counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n_equal"))
-    numbered = _numbered(counts, [F.desc(score) if descending else F.asc(score)], "dense")
-    # Prefix sums of the counts in blocks of values.
-    block = F.floor((F.col("dense") - 1) / 65536)
+def _counted_before(counts: DataFrame, order: list[Column]) -> DataFrame:
+    """``counts`` with ``dense`` (number in the order) and ``n_before``: the sum of n_equal over the rows before."""
+    numbered = _numbered(counts, order, "dense")
+    block = F.floor((F.col("dense") - 1) / BLOCK)
     blocks = numbered.groupBy(block.alias("block_")).agg(F.sum("n_equal").alias("s_"))
+    # One row for every BLOCK values.
     ahead = blocks.select("block_", F.coalesce(F.sum("s_").over(W.orderBy("block_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead_"))
     inner = F.coalesce(F.sum("n_equal").over(W.partitionBy("block_").orderBy("dense").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = numbered.withColumn("block_", block).withColumn("inner_", inner).join(ahead, "block_")
+    return out.withColumn("n_before", F.col("ahead_") + F.col("inner_")).drop("block_", "inner_", "ahead_")
+
+
+def value_ranks(df: DataFrame, score: str, *, descending: bool = True) -> DataFrame:
+    """(score, n_before, n_equal, n_all, dense): for each distinct value the rows before it in order."""
+    counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n_equal"))
+    out = _counted_before(counts, [F.desc(score) if descending else F.asc(score)])
     total = counts.agg(F.sum("n_equal").alias("n_all"))
-    out = numbered.withColumn("block_", block).withColumn("inner_", inner).join(F.broadcast(ahead), "block_")
-    return out.crossJoin(F.broadcast(total)).select(score, (F.col("ahead_") + F.col("inner_")).alias("n_before"), "n_equal", "n_all", "dense")
+    return out.crossJoin(F.broadcast(total)).select(score, "n_before", "n_equal", "n_all", "dense")
+
+
+def grouped_percentiles(rows: DataFrame, by: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """(by, n, p): exact percentiles of every group's values, with linear interpolation between neighbours.
+
+    Nulls are left out; a group without values has no row. Only counts of different values
+    are sorted, spread over the cluster, and of these the neighbours of each share are taken.
+    """
+    named = rows.select(F.col(by).alias("by_"), F.col(value).cast("double").alias("value_")).where("value_ IS NOT NULL")
+    counts = named.groupBy("by_", "value_").agg(F.count("*").alias("n_equal"))
+    ranked = _counted_before(counts, [F.asc("by_"), F.asc("value_")])
+    ends = ranked.groupBy("by_").agg(F.min("n_before").alias("start_"), F.sum("n_equal").alias("n_"))
+    first = F.col("n_before") - F.col("start_")
+    picked = []
+    for i, q in enumerate(shares):
+        at = (F.col("n_") - 1) * F.lit(float(q))
+        for name, k in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            picked.append(F.max(F.when((first <= k) & (k < first + F.col("n_equal")), F.col("value_"))).alias(f"{name}{i}"))
+    # Null is a group as any other.
+    joined = ranked.withColumnRenamed("by_", "own_").join(ends, F.col("own_").eqNullSafe(F.col("by_")))
+    one = joined.groupBy("by_").agg(F.max("n_").alias("n"), *picked)
+    between = []
+    for i, q in enumerate(shares):
+        at = (F.col("n") - 1) * F.lit(float(q))
+        between.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (at - F.floor(at)))
+    return one.select(F.col("by_").alias(by), "n", F.array(*between).alias("p"))
+
+
+def percentiles(df: DataFrame, column: str | Column, shares: Sequence[float], to: str = "p") -> DataFrame:
+    """One row: an array of exact percentiles (linear interpolation); null if there are no values."""
+    values = df.select(F.lit(0).alias("all_"), (F.col(column) if isinstance(column, str) else column).alias("x_"))
+    return grouped_percentiles(values, "all_", "x_", shares).agg(F.max("p").alias(to))
+
+
+def column_percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], prefix: str = "p_") -> DataFrame:
+    """One row: ``<prefix><column>`` arrays of percentiles for several columns, all by one sort."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "name_", "x_")
+    found = grouped_percentiles(long, "name_", "x_", shares)
+    return found.agg(*[F.max(F.when(F.col("name_") == c, F.col("p"))).alias(f"{prefix}{c}") for c in columns])
 
 
 def rank_percentile(df: DataFrame, score: str, *, method: str = "average") -> DataFrame:
@@ -83,7 +136,7 @@ def percentile_of_score(df: DataFrame, score: str) -> DataFrame:
 
 def quintile(df: DataFrame, score: str, to: str) -> DataFrame:
     """0 to 4 by the score's own p20, p40, p60 and p80 (a value at an edge goes up)."""
-    p = df.agg(F.percentile(score, F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)])).alias("p_"))
+    p = percentiles(df, score, (0.2, 0.4, 0.6, 0.8), "p_")
     x = F.col(score)
     number = sum(((x >= F.col("p_")[i]).cast("int") for i in range(1, 4)), (x >= F.col("p_")[0]).cast("int"))
     return df.crossJoin(F.broadcast(p)).withColumn(to, number).drop("p_")  # one row

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelworks.operators.scoring import value_ranks
+from panelworks.operators.scoring import grouped_percentiles, percentiles, value_ranks
 
 
 def score_summary(df: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, median, population deviation, min, max, p10, p25, p75, p90; no row if empty."""
     x = F.col(column)
-    p = F.percentile(column, F.array(*[F.lit(q) for q in (0.10, 0.25, 0.5, 0.75, 0.90)]))
-    one = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), p.alias("p_"))
+    one = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    one = one.crossJoin(percentiles(df, column, (0.10, 0.25, 0.5, 0.75, 0.90), "p_"))  # one row each
     return one.where("n > 0").select("n", "mean", F.col("p_")[2].alias("median"), "std", "min", "max", *[F.col("p_")[i].alias(n) for i, n in ((0, "p10"), (1, "p25"), (3, "p75"), (4, "p90"))])
 
 
@@ -26,14 +26,17 @@ def null_census(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, type, n, pct_missing, n_unique); a null counts as one value of n_unique."""
+    """(column, type, n, pct_missing, n_unique); a null counts as one value of n_unique.
+
+    Values are counted by (column, value as text), so that a column of many values is spread.
+    """
     types = dict(df.dtypes)
-    n = F.count("*")
-    cols = []
-    for c in columns:
-        missing = F.count_if(F.col(c).isNull())
-        cols.append(F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type"), n.alias("n"), (F.try_divide(missing, n) * 100).alias("pct_missing"), (F.countDistinct(c) + (missing > 0).cast("long")).alias("n_unique")).alias(c))
-    return df.agg(*cols).select(F.explode(F.array(*[F.col(c) for c in columns])).alias("r")).select("r.*")
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value_")
+    values = long.groupBy("column", "value_").agg(F.count("*").alias("c_"))
+    n, missing = F.sum("c_"), F.coalesce(F.sum(F.when(F.col("value_").isNull(), F.col("c_"))), F.lit(0))
+    found = values.groupBy("column").agg(n.alias("n"), (F.try_divide(missing, n) * 100).alias("pct_missing"), F.count("*").alias("n_unique"))
+    kind = F.coalesce(*[F.when(F.col("column") == c, F.lit(types[c])) for c in columns])
+    return found.select("column", kind.alias("type"), "n", "pct_missing", "n_unique")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -69,7 +72,9 @@ def cut_median(df: DataFrame, by: str, value: str, bins: int = 20) -> DataFrame:
     ends = df.agg(F.min(by).cast("double").alias("lo_"), F.max(by).cast("double").alias("hi_"))
     width = F.nullif((F.col("hi_") - F.col("lo_")) / bins, F.lit(0.0))
     at = F.coalesce(F.greatest(F.ceil((F.col(by) - F.col("lo_")) / width), F.lit(1)), F.lit(1)).cast("int")
-    return df.where(F.col(by).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.median(value).alias("median"))
+    binned = df.where(F.col(by).isNotNull()).crossJoin(F.broadcast(ends)).select(at.alias("bin"), F.col(value).alias("value_"))
+    medians = grouped_percentiles(binned, "bin", "value_", (0.5,)).select("bin", F.col("p")[0].alias("median"))
+    return binned.groupBy("bin").agg(F.count("*").alias("n")).join(medians, "bin", "left")
 
 
 def correlations(df: DataFrame, columns: Sequence[str], target: str | None = None) -> DataFrame:

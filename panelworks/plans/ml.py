@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelworks.operators.scoring import percentiles
 from panelworks.operators.stats import auc
 
 
@@ -49,7 +50,7 @@ def two_phase(train: DataFrame, sites: DataFrame, features: Sequence[str], label
 
 def residual_interval(scored: DataFrame, target: str, predicted: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """``low``, ``high``, ``width``: the prediction plus quantiles of the residuals of labelled rows."""
-    q = scored.where(F.col(target).isNotNull()).agg(F.percentile(F.col(target) - F.col(predicted), F.array(F.lit(low), F.lit(high))).alias("q_"))
+    q = percentiles(scored.where(F.col(target).isNotNull()), F.col(target) - F.col(predicted), (low, high), "q_")
     out = scored.crossJoin(F.broadcast(q))  # one row
     return out.withColumn("low", F.col(predicted) + F.col("q_")[0]).withColumn("high", F.col(predicted) + F.col("q_")[1]).withColumn("width", F.col("high") - F.col("low")).drop("q_")
 
