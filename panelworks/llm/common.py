@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import itertools
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from panelworks.session import materialise, scratch_path  # noqa: F401  (operators take them from here)
+
 #: Text handled at once inside a Python worker; longer single texts form a slice alone.
 #: Operators that hold many numbers for each word take less.
 SLICE_BYTES, SMALL_SLICE = 4 << 20, 2 << 20
@@ -37,37 +36,6 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder for one intermediate table under the session's ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (local tests) a temporary folder is chosen. The folder
-    is deleted when the driver's Python ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = Path(tempfile.mkdtemp(prefix="panelworks-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/panelworks-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone already; the folder is only scratch
-        pass
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared scratch folder and read it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_digest(text: str = "text"):
     """(size, text_crc32): UTF-8 bytes plus 1, and the unsigned CRC-32 of the bytes; null is empty."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
