@@ -25,10 +25,10 @@ HEADER = struct.Struct("<4sBBqIIIB")
 CONTINUED, FIRST, LAST = 1, 2, 4
 MAX_SEGMENTS = 255
 
-#: Samples a second, samples in a packet, and the packets' streams taken in turn.
-RATE, PACKET, STREAMS = 8000, 16384, 2
-#: First packet of each stream: magic, rate, stream index, number of streams, samples in a packet.
-HEAD = struct.Struct("<8sIBBI")
+#: Samples a second, samples in a packet, packets of a stream's turn, and streams that take turns.
+RATE, PACKET, TURN, STREAMS = 8000, 4096, 4, 2
+#: First packet of each stream: magic, rate, stream index, number of streams, packets of a turn, samples in a packet.
+HEAD = struct.Struct("<8sIBBHI")
 MAGIC = b"PCM8-raw"
 
 _MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
@@ -45,33 +45,52 @@ def lacing(length: int) -> bytes:
     return b"\xff" * (length // 255) + bytes([length % 255])
 
 
+class _Page:
+    """The page that a stream is filling."""
+
+    def __init__(self, continued: bool):
+        self.continued, self.granule, self.segments, self.body = continued, -1, b"", []
+
+
 def mux(packets: list[tuple[int, int, bytes]]) -> bytes:
     """An Ogg file of (serial, granule position after the packet, bytes), in this order.
 
-    Pages are cut at 255 segments or when another stream's packet follows; a packet that is
-    longer goes on in the stream's next page, flagged as continued. A page on which no packet
-    ends has granule position -1. A stream's first and last page are flagged.
+    A stream fills pages of up to 255 segments until another stream's packet follows, so that
+    packets share pages; a packet that does not fit goes on in the stream's next page, flagged
+    as continued. A stream's first packet, its header, has a page alone. A page's granule position is that of the last packet
+    that ends on it, or -1 if none does. A stream's first and last page are flagged.
     """
-    pages: list[list] = []  # serial, flags, granule, sequence, segments, body
-    count: dict[int, int] = {}
-    last: dict[int, int] = {}
+    pages: list[tuple[int, _Page]] = []
+    filling: dict[int, _Page] = {}
+    before = None
     for serial, granule, data in packets:
-        segments, at, begun = lacing(len(data)), 0, False
+        if before is not None and before != serial and filling[before].segments:
+            pages.append((before, filling[before]))
+            filling[before] = _Page(False)
+        before, first = serial, serial not in filling
+        page = filling.setdefault(serial, _Page(False))
+        segments, at = lacing(len(data)), 0
         while at < len(segments):
-            taken = segments[at : at + MAX_SEGMENTS]
-            start = min(at * 255, len(data))
-            flags = (CONTINUED if begun else 0) | (0 if serial in count else FIRST)
+            taken = segments[at : at + MAX_SEGMENTS - len(page.segments)]
+            page.segments += taken
+            page.body.append(data[at * 255 : at * 255 + sum(taken)])
             at += len(taken)
-            pages.append([serial, flags, granule if at == len(segments) else -1, count.get(serial, 0), taken, data[start : start + sum(taken)]])
-            count[serial], begun = count.get(serial, 0) + 1, True
-            last[serial] = len(pages) - 1
-    for i in last.values():
-        pages[i][1] |= LAST
+            done = at == len(segments)
+            if done:
+                page.granule = granule
+            if len(page.segments) == MAX_SEGMENTS or (done and first):
+                pages.append((serial, page))
+                page = filling[serial] = _Page(not done)
+    pages += [(serial, page) for serial, page in filling.items() if page.segments]
+    number: dict[int, int] = {}
+    last = {serial: i for i, (serial, _) in enumerate(pages)}
     out = []
-    for serial, flags, granule, number, segments, body in pages:
-        page = bytearray(HEADER.pack(CAPTURE, 0, flags, granule, serial, number, 0, len(segments)) + segments + body)
-        page[22:26] = page_crc(bytes(page)).to_bytes(4, "little")
-        out.append(bytes(page))
+    for i, (serial, page) in enumerate(pages):
+        flags = CONTINUED * page.continued | FIRST * (serial not in number) | LAST * (last[serial] == i)
+        number[serial] = number.get(serial, -1) + 1
+        whole = bytearray(HEADER.pack(CAPTURE, 0, flags, page.granule, serial, number[serial], 0, len(page.segments)) + page.segments + b"".join(page.body))
+        whole[22:26] = page_crc(bytes(whole)).to_bytes(4, "little")
+        out.append(bytes(whole))
     return b"".join(out)
 
 
@@ -97,8 +116,8 @@ def demux(media: bytes) -> dict[int, list[tuple[int, bytes]]]:
     """By logical stream, in order of appearance: its packets as (granule position, bytes).
 
     Packets that end on a page before its last packet get -1, as the format gives a position
-    only for the last packet that a page completes. Checks the checksums, the page numbers
-    and the flags of first, last and continued pages.
+    only for the last packet that a page completes; see :func:`positions`. Checks the
+    checksums, the page numbers and the flags of first, last and continued pages.
     """
     streams: dict[int, list[tuple[int, bytes]]] = {}
     parts: dict[int, list[bytes]] = {}
@@ -131,42 +150,75 @@ def demux(media: bytes) -> dict[int, list[tuple[int, bytes]]]:
     return streams
 
 
+def positions(packets: list[tuple[int, bytes]], duration) -> list[int]:
+    """The granule position after every packet of a stream.
+
+    Known ones are those of pages. Packets before the first known one end earlier by what
+    ``duration(packet)`` says of those that follow, all others later than the one before by
+    their own. A page's position has to agree with that, except that the stream's last one
+    may cut its last packet short.
+    """
+    known = next((i for i, (granule, _) in enumerate(packets) if granule >= 0), None)
+    if known is None:
+        raise ValueError("a stream without granule positions")
+    out = [packets[known][0]]
+    for _, data in reversed(packets[1 : known + 1]):
+        out.insert(0, out[0] - duration(data))
+    for i, (granule, data) in enumerate(packets[known + 1 :], known + 1):
+        reached = out[-1] + duration(data)
+        short = i == len(packets) - 1 and out[-1] <= granule < reached
+        if granule >= 0 and granule != reached and not short:
+            raise ValueError("granule positions do not follow the samples")
+        out.append(granule if short else reached)
+    return out
+
+
 def pad64(data: bytes) -> bytes:
     """``data`` with bytes 0 up to a positive multiple of 64."""
     return data + b"\0" * (-len(data) % 64 or (0 if data else 64))
 
 
 def encode_samples(samples: bytes) -> bytes:
-    """8-bit samples as Ogg: packets of PACKET samples go to the logical streams in turn."""
+    """8-bit samples as Ogg: TURN packets of PACKET samples go to each logical stream in turn.
+
+    A granule position is the number of the stream's samples up to there.
+    """
     base = zlib.crc32(samples) & 0x7FFFFFFF
     serials = [base + i for i in range(STREAMS)]
-    packets = [(s, 0, HEAD.pack(MAGIC, RATE, i, STREAMS, PACKET)) for i, s in enumerate(serials)]
+    packets = [(s, 0, HEAD.pack(MAGIC, RATE, i, STREAMS, TURN, PACKET)) for i, s in enumerate(serials)]
+    written = [0] * STREAMS
     for k, at in enumerate(range(0, len(samples), PACKET)):
-        data = samples[at : at + PACKET]
-        packets.append((serials[k % STREAMS], at + len(data), data))
+        data, i = samples[at : at + PACKET], k // TURN % STREAMS
+        written[i] += len(data)
+        packets.append((serials[i], written[i], data))
     return mux(packets)
 
 
 def decode_samples(media: bytes) -> tuple[bytes, dict]:
-    """The samples and what the container says: streams, packets, pages, seconds.
+    """The samples and what the container says: streams, packets, pages, seconds, and the time at which each packet ends.
 
-    A granule position counts the samples of all streams up to the packet's end, so position
-    over rate is the time at which the packet ends and gives the packets' order.
+    The streams' packets are dealt in turn by the index in their headers; a packet's time in
+    its stream is its granule position over the rate.
     """
-    rows, rate = [], 0
     streams = demux(media)
+    dealt: dict[int, list[bytes]] = {}
+    times: dict[int, list[float]] = {}
+    rate = n = turn = 0
     for packets in streams.values():
-        magic, rate, _, _, _ = HEAD.unpack(packets[0][1])
-        if magic != MAGIC:
+        magic, rate, index, n, turn, _ = HEAD.unpack(packets[0][1])
+        if magic != MAGIC or index in dealt:
             raise ValueError("unknown stream")
-        rows += packets[1:]
-    rows.sort(key=lambda x: x[0])
-    total = 0
-    for granule, data in rows:
-        total += len(data)
-        if granule != total:
+        at = positions([(0, b""), *packets[1:]], len)
+        if at[-1] != sum(len(d) for _, d in packets[1:]):
             raise ValueError("granule positions do not follow the samples")
-    return b"".join(d for _, d in rows), {"streams": len(streams), "packets": len(rows), "pages": media_pages(media), "seconds": total / rate if rate else 0.0}
+        dealt[index], times[index] = [d for _, d in packets[1:]], [x / rate for x in at[1:]]
+    total = sum(map(len, dealt.values()))
+    order = [k // turn % n for k in range(total)]
+    if sorted(dealt) != list(range(n)) or any(len(dealt[i]) != order.count(i) for i in range(n)):
+        raise ValueError("a stream is missing or short")
+    left = [iter(dealt[i]) for i in range(n)]
+    whole = b"".join(next(left[i]) for i in order)
+    return whole, {"streams": len(streams), "packets": total, "pages": media_pages(media), "seconds": len(whole) / rate if rate else 0.0, "times": times}
 
 
 def media_pages(media: bytes) -> int:
