@@ -51,7 +51,7 @@ def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    model = urlfilter.train(urlfilter.labelled_by(pages, URL_RULES))
+    model = urlfilter.train(urlfilter.labelled_by(pages))
     return urlfilter.judge(pages, URL_RULES, model)
 
 
@@ -60,7 +60,7 @@ def op4_spm_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_corpus(spark, documents(spark, sf_dir)).drop("bits_per_byte")
+    return lm.score_corpus(spark, documents(spark, sf_dir))
 
 
 def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
