@@ -299,6 +299,44 @@ def test_pages_and_packets():
         ogg.demux(media[:-10])
 
 
+def test_packets_share_pages_and_positions_are_derived():
+    packets = [(5, 0, b"head"), *[(5, 100 * (i + 1), bytes([i % 256]) * 100) for i in range(600)], (5, 60_050, b"y" * 100)]
+    media = ogg.mux(packets)
+    pages = list(ogg.pages_of(media))
+    assert len(pages) == 1 + 3 and [len(x[4]) for x in pages] == [1, 255, 255, 91]
+    got = ogg.demux(media)[5]
+    assert [d for _, d in got] == [d for _, _, d in packets]
+    assert sum(g >= 0 for g, _ in got) == 4  # one for every page
+    # All are derived, and the last packet is cut short by the last position.
+    assert ogg.positions([(0, b""), *got[1:]], len) == [g for _, g, _ in packets]
+    # A stream cut out of the middle: the first page's position tells those before.
+    assert ogg.positions([(-1, b"abc"), (-1, b"d"), (90, b"ef"), (-1, b"g"), (93, b"hi")], len) == [87, 88, 90, 91, 93]
+
+
+def test_positions_refuse_gaps():
+    good = [(0, b""), (-1, b"ab"), (5, b"cde"), (9, b"wxyz")]
+    assert ogg.positions(good, len) == [0, 2, 5, 9]
+    for bad in ([(0, b""), (-1, b"ab"), (6, b"cde"), (10, b"wxyz")], [(0, b""), (2, b"ab"), (1, b"cde")]):
+        with pytest.raises(ValueError):
+            ogg.positions(bad, len)
+
+
+@pytest.mark.parametrize("size", [64, 16384, 16384 + 64, 40_000, 300_032])
+def test_samples_of_every_size(size):
+    samples = np.random.default_rng(size).integers(0, 256, size).astype(np.uint8).tobytes()
+    media = ogg.encode_samples(samples)
+    back, facts = ogg.decode_samples(media)
+    assert back == samples and facts["packets"] == -(-size // ogg.PACKET)
+    counts = [0] * ogg.STREAMS
+    for k in range(facts["packets"]):
+        i = k // ogg.TURN % ogg.STREAMS
+        before = counts[i] // ogg.PACKET
+        counts[i] += len(samples[k * ogg.PACKET : (k + 1) * ogg.PACKET])
+        assert facts["times"][i][before] == counts[i] / ogg.RATE
+    if size > ogg.PACKET * ogg.TURN:
+        assert facts["pages"] < facts["packets"]  # packets share pages
+
+
 # Quality rules
 
 
@@ -453,7 +491,7 @@ URLS = [None, "", "no scheme", "http://A.Example.ORG/en/12?q#f", "https://exampl
 
 def test_urls(spark):
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate([*URLS, *URLS])] + [(None, "http://x.org/", "h")], "page_id long, url string, host string")
-    model = urlfilter.train(urlfilter.labelled_by(pages, URL_RULES))
+    model = urlfilter.train(urlfilter.labelled_by(pages))
     got = urlfilter.judge(pages, URL_RULES, model).collect()
     assert len(got) == 2 * len(URLS) + 1
     for r in got:
@@ -463,14 +501,78 @@ def test_urls(spark):
             assert r["verdict"] == (verdict or ("block" if r["block_probability"] >= 0.5 else "allow"))
 
 
-def test_trees_separate_and_handle_one_class():
+def plain_features(url):
+    host, path, _, _ = plain_rule(url)
+    url = url or ""
+    query = url.split("://", 1)[1].split("#")[0].partition("?")[2] if "://" in url else ""
+
+    def entropy(t):
+        raw = t.encode()
+        return -sum(c / len(raw) * np.log2(c / len(raw)) for c in Counter(raw).values()) if raw else 0.0
+
+    digits = lambda t: sum(c in "0123456789" for c in t) / max(1, len(t))
+    return [len(url), len(host), len(path), len([x for x in path.split("/") if x]), host.count(".") + bool(host), digits(url), digits(host), entropy(url), entropy(host), len([x for x in query.split("&") if x]), host.count("-")]
+
+
+def columns_of(spark, urls):
+    table = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string").coalesce(1).select("i", *urlfilter.parts(F.col("url"))).toArrow().sort_by("i")
+    return [table.column(n).combine_chunks() for n in urlfilter.PARTS]
+
+
+def test_url_features(spark):
+    urls = [*URLS, "https://a.b-c.Exämple.com/x//y/é/?a=1&&b=2?c#d?e", "ftp://1.2.3.4:80/9"]
+    assert np.allclose(urlfilter.lexical(columns_of(spark, urls)), [plain_features(u) for u in urls])
+
+
+def fitted(spark, rows):
+    columns = columns_of(spark, [u for u, _ in rows])
+    return urlfilter.fit(urlfilter.lexical(columns), columns[4].to_numpy(), np.array([y for _, y in rows], float))
+
+
+def test_trees_separate_and_handle_one_class(spark):
     r = random.Random(1)
     rows = [(f"http://a{r.randrange(99)}.net/{'9' * r.randrange(8, 30)}?a=1&b=2", 1) for _ in range(200)] + [(f"https://word{r.choice('xyz')}.org/news/{r.choice(['a', 'bb'])}", 0) for _ in range(200)]
     r.shuffle(rows)
-    p = urlfilter.fit(rows[:300]).block_probability([u for u, _ in rows[300:]])
+    p = fitted(spark, rows[:300]).block_probability(columns_of(spark, [u for u, _ in rows[300:]]))
     assert np.mean((p > 0.5) == np.array([y for _, y in rows[300:]])) > 0.98
-    assert urlfilter.fit([]).block_probability(["x"])[0] == 0.5
-    assert urlfilter.fit([("http://x.org", 0)] * 5).block_probability(["x"])[0] < 0.5
+    nothing = urlfilter.fit(np.empty((0, 11)), np.empty(0, np.int64), np.empty(0))
+    assert nothing.block_probability(columns_of(spark, ["x"]))[0] == 0.5
+    assert fitted(spark, [("http://x.org", 0)] * 5).block_probability(columns_of(spark, ["x"]))[0] < 0.5
+
+
+def test_first_split_is_the_best_of_all():
+    """The root of a tree against trying every cut of every feature."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 9, (200, 3)).astype(float)
+    y = ((x[:, 1] > 4) ^ (rng.random(200) < 0.1)).astype(float)
+    trees = urlfilter.Trees(trees=1, depth=1).fit(x, y)
+    p = (y.sum() + 0.5) / 201
+    g, h = p - y, np.full(200, p * (1 - p))
+    gain = lambda at: g[at].sum() ** 2 / (h[at].sum() + 1) + g[~at].sum() ** 2 / (h[~at].sum() + 1)
+    best = max((gain(x[:, f] <= c), f, c) for f in range(3) for c in np.unique(x[:, f])[:-1])
+    root = trees.nodes[0][0]
+    assert root[0] == best[1] == 1 and gain(x[:, root[0]] <= root[1]) == pytest.approx(best[0])
+
+
+def test_suffix_rate_leaves_the_own_label_out(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(urlfilter.Trees, "fit", lambda self, x, y: seen.update(x=x) or self)
+    urlfilter.fit(np.zeros((4, 11)), np.array([1, 1, 1, 2]), np.array([1.0, 0, 0, 1]))
+    s, o = urlfilter.SMOOTHING, 0.5
+    assert np.allclose(seen["x"][:, 11], [(0 + s * o) / (2 + s), (1 + s * o) / (2 + s), (1 + s * o) / (2 + s), o])
+
+
+def test_ordinary_urls_pass_and_listed_ones_are_blocked(spark):
+    """Fitted on four fifths of the pages, judged on the rest, without rules."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    fold = F.pmod(F.crc32(F.encode("url", "UTF-8")), F.lit(5))
+    model = urlfilter.train(urlfilter.labelled_by(pages.where(fold != 0)))
+    held = pages.where(fold == 0)
+    label = urlfilter.labelled_by(held).distinct()
+    got = urlfilter.judge(held, URL_RULES, model).where("rule IS NULL").join(held.select("page_id", "url"), "page_id").join(label, "url").collect()
+    ordinary, listed = ([r["verdict"] == "block" for r in got if r["label"] == y] for y in (0, 1))
+    assert len(ordinary) > 200 and np.mean(ordinary) < 0.05
+    assert len(listed) >= 5 and np.mean(listed) > 0.8
 
 
 # LM
@@ -524,6 +626,7 @@ def test_spelling_probabilities_sum_below_one():
     "f",
     [
         lambda d: sharding.assign(d), lambda d: spm.encode(d, PIECES), lambda d: spm.round_trip(d, PIECES), lambda d: repair.write_and_read(d, TOKENS), lambda d: packing.pack(d, TOKENS), lambda d: ogg.decode(ogg.encode(d)),
+        lambda d: urlfilter.judge(d.withColumnRenamed("text", "url"), URL_RULES, urlfilter.train(urlfilter.labelled_by(d, url="text")), key="doc_id"), lambda d: toxicity.score(d, toxicity.train(d, d.select("doc_id", F.col("shard").alias("toxic")))),
         repetition.assess, repetition.keep, neardup.near_duplicates, neardup.keep_one, lambda d: toxicity.score(d, toxicity.Model(0.0, np.array([1]), np.array([1.0]))), lambda d: lm.score(d, lm.train(d)),
     ],
 )
