@@ -147,7 +147,8 @@ def show(x: Column, kind: str) -> Column:
     """A value for people: ``currency``, ``percent`` (of a share), ``count`` or ``yes_no``; null as N/A."""
     text = {
         "currency": lambda: F.concat(F.lit("$"), F.format_number(x.cast("double"), 2)),
-        "percent": lambda: F.concat(F.format_number(x.cast("double") * 100, 1), F.lit("%")),
+        # Halves go up, of the decimal number that is shown and not of its binary neighbour.
+        "percent": lambda: F.concat(F.format_number(F.round(x.cast("decimal(24,8)") * 100, 1), 1), F.lit("%")),
         "count": lambda: F.format_number(x.cast("double"), 0),
         "yes_no": lambda: F.when(x.cast("boolean"), "Yes").otherwise("No"),
     }[kind]()

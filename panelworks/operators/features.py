@@ -127,3 +127,7 @@ def feature_columns(columns: Sequence[str], preset: Sequence[str], selected: Seq
     return [c for c in preset if c in columns and (selected is None or c in selected) and c not in leakage]
 
 
+def unscale(df: DataFrame, column: str, fitted: DataFrame, of: str, to: str) -> DataFrame:
+    """``to``: a value on the scale of :func:`fit_scaler`'s column ``of``, turned back into its units."""
+    back = F.col(column) * F.when(F.col("s_") == 0, 1.0).otherwise(F.col("s_")) + F.col("m_")
+    return df.crossJoin(F.broadcast(fitted.select(F.col(f"m_{of}").alias("m_"), F.col(f"s_{of}").alias("s_")))).withColumn(to, back).drop("m_", "s_")  # one row

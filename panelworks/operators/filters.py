@@ -118,3 +118,25 @@ def temporal_split(panel: DataFrame, train_until: Column, gap_days: int = 30) ->
     day = F.col("date")
     part = F.when(day <= train_until, "train").when(day > F.date_add(train_until, gap_days), "test")
     return panel.withColumn("part", part).where(F.col("part").isNotNull())
+
+
+def site_list(sites: DataFrame, scores: DataFrame, statuses: DataFrame, *, values: Sequence[str], unknown: str = "Unknown") -> DataFrame:
+    """Every site with its values, 0 where it has none, and its status, ``unknown`` where that is missing or empty.
+
+    Of statuses that share an id the greatest is taken; repeated sites each get a row.
+    """
+    first = scores.groupBy("id").agg(*[F.max(c).alias(c) for c in values])
+    status = statuses.groupBy("id").agg(F.max("status").alias("status"))
+    out = sites.join(first, "id", "left").join(status, "id", "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(first.schema[c].dataType)) for c in values} | {"status": F.coalesce(F.nullif("status", F.lit("")), F.lit(unknown))})
+
+
+def preset_union(presets: DataFrame) -> DataFrame:
+    """(kind, features): the sorted features that any preset (preset, kind, feature) has, by kind."""
+    return presets.select("kind", "feature").where("feature IS NOT NULL").distinct().groupBy("kind").agg(F.sort_array(F.collect_list("feature")).alias("features"))
+
+
+def preset_features(presets: DataFrame, preset: str, available: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """(feature): those of a preset that the table has (feature) and, if given, that are selected."""
+    out = presets.where(F.col("preset") == preset).select("feature").distinct().join(available.select("feature").distinct(), "feature", "left_semi")
+    return out if selected is None else out.join(selected.select("feature").distinct(), "feature", "left_semi")

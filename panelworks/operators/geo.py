@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.functions.scalar import EARTH_RADIUS_MILES, haversine_miles, in_polygon
+from panelworks.session import materialise
 
-#: Rows up to which the exact fallback compares against all points at once.
-FALLBACK_POINTS = 100_000
 MILES_PER_DEGREE = EARTH_RADIUS_MILES * math.pi / 180
 
 
@@ -37,20 +36,22 @@ def nearest(points: DataFrame, others: DataFrame, *, exclude_self: bool = False,
 
     Both sides fall into grid cells of ``cell`` degrees; a point meets the cells around its
     own, (2 ring + 1) squared of them. A distance is final if it is no more than that to the
-    edge of the searched block; other points go to the next ring, and what is left after the
-    last ring meets all others, which are broadcast only if there are at most
-    FALLBACK_POINTS, and else reached by the same grid with cells 16 times as large. Ties go
-    to the least id; points without coordinates get none; longitudes do not wrap around.
+    edge of the searched block; other points go to the next ring, and then to cells 15 times
+    as large, until one block covers the earth. Where cells divide the circle evenly,
+    longitudes wrap around. What is left is written between rings, so that each ring's work is
+    done once. Ties go to the least id; points without coordinates get none.
     """
     target = others.select(F.col("id").alias("nearest_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).dropna()
     left = points.select("id", "lat", "lon").dropna()
-    gridded = _cells(target, F.col("lat2"), F.col("lon2"), cell)
+    around = round(360 / cell) if 360 % cell == 0 else None
+    column = (lambda c: F.pmod(c, F.lit(around))) if around else (lambda c: c)
+    gridded = _cells(target, F.col("lat2"), F.col("lon2"), cell).withColumn("cx_", column(F.col("cx_")))
     found = None
     for ring in rings:
         near = _cells(left, F.col("lat"), F.col("lon"), cell)
         span = F.sequence(F.lit(-ring), F.lit(ring))
         near = near.withColumn("dy_", F.explode(span)).withColumn("dx_", F.explode(span))
-        near = near.withColumn("cy_", F.col("cy_") + F.col("dy_")).withColumn("cx_", F.col("cx_") + F.col("dx_"))
+        near = near.withColumn("cy_", F.col("cy_") + F.col("dy_")).withColumn("cx_", column(F.col("cx_") + F.col("dx_")))
         pairs = near.join(gridded, ["cy_", "cx_"])
         if exclude_self:
             pairs = pairs.where("id <> nearest_id")
@@ -61,20 +62,17 @@ def nearest(points: DataFrame, others: DataFrame, *, exclude_self: bool = False,
         lon_edge = F.least(F.col("lon") - (F.floor(F.col("lon") / cell) - ring) * cell, (F.floor(F.col("lon") / cell) + ring + 1) * cell - F.col("lon"))
         far_lat = F.least(F.abs(F.col("lat")) + (ring + 1) * cell, F.lit(89.9))
         safe = F.least(lat_edge, lon_edge * F.cos(F.radians(far_lat)) * 0.99) * MILES_PER_DEGREE
-        checked = left.join(best, "id", "left").withColumn("ok_", F.coalesce(F.col("b_.miles") <= safe, F.lit(False)))
-        done = checked.where("ok_").select("id", "b_.nearest_id", "b_.miles")
+        whole = F.lit(ring * cell >= 360)
+        checked = left.join(best, "id", "left").withColumn("ok_", F.coalesce(whole | (F.col("b_.miles") <= safe), F.lit(False)))
+        checked = materialise(checked, "ring")
+        done = checked.where("ok_ AND b_ IS NOT NULL").select("id", "b_.nearest_id", "b_.miles")
         found = done if found is None else found.union(done)
         left = checked.where("NOT ok_").select("id", "lat", "lon")
-    if target.limit(FALLBACK_POINTS + 1).count() <= FALLBACK_POINTS:
-        rest = left.crossJoin(F.broadcast(target))  # at most FALLBACK_POINTS rows
-        if exclude_self:
-            rest = rest.where("id <> nearest_id")
-        miles = haversine_miles(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-        last = rest.groupBy("id").agg(F.min(F.struct(miles.alias("miles"), F.col("nearest_id"))).alias("b_"))
-        return found.union(last.select("id", "b_.nearest_id", "b_.miles"))
-    if cell > 180:
-        raise ValueError("points lie outside the range of coordinates")
-    return found.union(nearest(left, others, exclude_self=exclude_self, cell=cell * 16, rings=(1, 4)))
+        if left.isEmpty():
+            return found
+    if cell > 360 or target.isEmpty():
+        return found
+    return found.union(nearest(left, others, exclude_self=exclude_self, cell=cell * 15, rings=rings))
 
 
 def segment_miles(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -88,21 +86,51 @@ def segment_miles(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Co
     return F.sqrt(x * x + y * y) * MILES_PER_DEGREE
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, *, reach: float = 2.0) -> DataFrame:
-    """(id, line, miles): the nearest line within ``reach`` degrees of each point, else no row.
+def nearest_segment(points: DataFrame, segments: DataFrame, *, reach: float = 2.0, limit: float | None = None) -> DataFrame:
+    """(id, line, miles): the nearest line to each point, within ``limit`` miles if given (else no row).
 
     segments: line, lat1, lon1, lat2, lon2. Every segment is posted to the grid cells of its
-    box, widened by ``reach``, and meets the points of those cells.
+    box, widened by ``reach`` degrees, and meets the points of those cells. Points whose
+    nearest line is farther than that are searched again with eight times the reach.
     """
     # A degree of longitude is shorter by the cosine of the latitude, so the box is the wider.
     polar = F.least(F.greatest(F.abs("lat1"), F.abs("lat2")) + reach, F.lit(89.0))
     cells = lambda a, b, by: F.sequence(F.floor((F.least(a, b) - by) / reach), F.floor((F.greatest(a, b) + by) / reach))
     posted = segments.withColumn("cy_", F.explode(cells(F.col("lat1"), F.col("lat2"), F.lit(reach))))
     posted = posted.withColumn("cx_", F.explode(cells(F.col("lon1"), F.col("lon2"), reach / F.cos(F.radians(polar)))))
-    near = _cells(points.select("id", "lat", "lon").dropna(), F.col("lat"), F.col("lon"), reach).join(posted, ["cy_", "cx_"])
+    placed = points.select("id", "lat", "lon").dropna()
+    near = _cells(placed, F.col("lat"), F.col("lon"), reach).join(posted, ["cy_", "cx_"])
     miles = segment_miles(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     best = near.groupBy("id").agg(F.min(F.struct(miles.alias("miles"), F.col("line"))).alias("b_"))
-    return best.where(F.col("b_.miles") <= reach * MILES_PER_DEGREE).select("id", "b_.line", "b_.miles")
+    found = best.where(F.col("b_.miles") <= reach * MILES_PER_DEGREE).select("id", "b_.line", "b_.miles")
+    if reach < 360 and (limit is None or reach * MILES_PER_DEGREE < limit):
+        found = materialise(found, "nearest")
+        left = placed.join(found, "id", "left_anti")
+        if not left.isEmpty() and not segments.isEmpty():
+            found = found.union(nearest_segment(left, segments, reach=reach * 8, limit=limit))
+    return found if limit is None else found.where(F.col("miles") <= limit)
+
+
+def points_in_areas(points: DataFrame, areas: DataFrame, *, cell: float = 0.5) -> DataFrame:
+    """(id, area): every area that holds the point; areas: area, corners (array of lat, lon structs).
+
+    An area is posted to the grid cells of its box and meets the points of those cells; then
+    the edges that a ray crosses are counted. A point on two areas has two rows.
+    """
+    lats, lons = F.transform("corners", lambda c: c["lat"]), F.transform("corners", lambda c: c["lon"])
+    span = lambda x: F.sequence(F.floor(F.array_min(x) / cell), F.floor(F.array_max(x) / cell))
+    posted = areas.select("area", "corners", span(lats).alias("ys"), span(lons).alias("xs")).where("size(corners) > 2")
+    posted = posted.select("area", "corners", F.explode("ys").alias("cy_"), "xs").select("area", "corners", "cy_", F.explode("xs").alias("cx_"))
+    near = _cells(points.select("id", "lat", "lon").dropna(), F.col("lat"), F.col("lon"), cell).join(posted, ["cy_", "cx_"])
+    edges = F.arrays_zip(F.col("corners").alias("a"), F.concat(F.slice("corners", 2, F.size("corners") - 1), F.slice("corners", 1, 1)).alias("b"))
+
+    def crossed(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        spans = (F.col("lat") >= F.least(a["lat"], b["lat"])) & (F.col("lat") < F.greatest(a["lat"], b["lat"]))
+        at = a["lon"] + (F.col("lat") - a["lat"]) / F.nullif(b["lat"] - a["lat"], F.lit(0.0)) * (b["lon"] - a["lon"])
+        return F.coalesce(spans & (F.col("lon") < at), F.lit(False))
+
+    return near.where(F.size(F.filter(edges, crossed)) % 2 == 1).select("id", "area")
 
 
 def within(points: DataFrame, corners: Sequence[tuple[float, float]]) -> DataFrame:

@@ -19,6 +19,14 @@ def score_summary(df: DataFrame, column: str) -> DataFrame:
     return one.where("n > 0").select("n", "mean", F.col("p_")[2].alias("median"), "std", "min", "max", *[F.col("p_")[i].alias(n) for i, n in ((0, "p10"), (1, "p25"), (3, "p75"), (4, "p90"))])
 
 
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, n, mean, std, min, p25, p50, p75, max) of numeric columns; std is the sample deviation, nulls are left out."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "x_")
+    moments = long.groupBy("column").agg(F.count("x_").alias("n"), F.avg("x_").alias("mean"), F.stddev_samp("x_").alias("std"), F.min("x_").alias("min"), F.max("x_").alias("max"))
+    p = grouped_percentiles(long, "column", "x_", (0.25, 0.5, 0.75)).select("column", *[F.col("p")[i].alias(c) for i, c in enumerate(("p25", "p50", "p75"))])
+    return moments.join(p, "column", "left").select("column", "n", "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
 def null_census(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n_null) of columns with nulls, most first."""
     one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
@@ -231,6 +239,12 @@ def conformal_coverage(sets: DataFrame, label: str) -> DataFrame:
     return sets.agg(F.avg(covered).alias("coverage"), F.avg("set_size").alias("avg_set_size"), (F.avg((F.col("set_size") == 2).cast("double")) * 100).alias("pct_uncertain"), (F.avg((F.col("set_size") == 0).cast("double")) * 100).alias("pct_empty"))
 
 
+def coverage_text(coverage: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """``text``: what :func:`conformal_coverage` says, as a sentence."""
+    level = F.when(F.col("coverage") >= 1 - alpha, "met").otherwise("missed")
+    return coverage.withColumn("text", F.format_string("coverage %.1f%% (target %.1f%% %s), %.1f%% uncertain, %.1f%% empty", F.col("coverage") * 100, F.lit((1 - alpha) * 100), level, F.col("pct_uncertain"), F.col("pct_empty")))
+
+
 def stability(runs: DataFrame, metric: str) -> DataFrame:
     """(model, mean, std, cv) over the runs of each model; std is the sample deviation, cv over max(|mean|, 1e-6)."""
     m = F.avg(metric)

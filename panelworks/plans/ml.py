@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelworks.operators.explain import hash_split
 from panelworks.operators.scoring import percentiles
 from panelworks.operators.stats import auc
+from panelworks.session import materialise
 
 
 def _stages(features: Sequence[str], model) -> Pipeline:
@@ -85,6 +87,61 @@ def isotonic(calibration: DataFrame, scores: DataFrame, label: str, probability:
     return out.withColumn(to, F.least(F.greatest("raw_", F.lit(0.0)), F.lit(1.0))).drop("raw_").withColumn("is_calibrated", F.lit(True))
 
 
+def platt(calibration: DataFrame, scores: DataFrame, label: str, probability: str, to: str = "calibrated") -> DataFrame:
+    """``to``: a logistic curve over the raw value, fitted on one table and applied to another; ``is_calibrated``.
+
+    The slope has the unit ridge penalty that is usual for it. Without rows to fit on the raw
+    value stands and ``is_calibrated`` is false.
+    """
+    n = calibration.where(F.col(label).isNotNull() & F.col(probability).isNotNull()).count()
+    if not n:
+        return scores.withColumn(to, F.col(probability)).withColumn("is_calibrated", F.lit(False))
+    rows = calibration.dropna(subset=[label, probability]).select(F.col(label).cast("double").alias("label"), array_to_vector(F.array(F.col(probability).cast("double"))).alias("features"))
+    fit = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10).fit(rows)
+    raw = F.lit(float(fit.coefficients[0])) * F.col(probability) + F.lit(float(fit.intercept))
+    return scores.withColumn(to, 1 / (1 + F.exp(-raw))).withColumn("is_calibrated", F.lit(True))
+
+
+def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """``fold`` 0 to k - 1 in equal shares, in the order of a keyed hash."""
+    return hash_split(df, key, [1 / k] * k, seed).withColumnRenamed("part", "fold")
+
+
+def cross_validate(df: DataFrame, features: Sequence[str], label: str, *, key: str = "id", k: int = 5, seed: int = 42, rounds: int = 10) -> DataFrame:
+    """(fold, n_train, n_test, auc): each fold is scored by a classifier that was fitted on the others."""
+    rows = materialise(folds(df, key, k, seed), "folds")
+    out = []
+    for fold in range(k):
+        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+        scored = predict(fit_classifier(train, features, label, rounds=rounds), test, "p_")
+        out.append((fold, train.count(), test.count(), auc(scored, label, "p_").first()[0]))
+    return df.sparkSession.createDataFrame(out, "fold int, n_train long, n_test long, auc double")
+
+
+def learning_curve(df: DataFrame, features: Sequence[str], label: str, *, key: str = "id", fractions: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0), seed: int = 42, rounds: int = 10) -> DataFrame:
+    """(fraction, n_train, auc) on a fixed fifth of the rows, from growing parts of the others (each holds the ones before)."""
+    rows = materialise(folds(df, key, 5, seed), "folds")
+    test, rest = rows.where("fold = 4"), rows.where("fold < 4").drop("fold")
+    ordered = materialise(hash_split(rest, key, [0.01] * 100, seed + 1), "parts")
+    out = []
+    for f in fractions:
+        train = ordered.where(F.col("part") < round(f * 100))
+        out.append((float(f), train.count(), auc(predict(fit_classifier(train, features, label, rounds=rounds), test, "p_"), label, "p_").first()[0]))
+    return df.sparkSession.createDataFrame(out, "fraction double, n_train long, auc double")
+
+
+def save_artifacts(path: str, model: PipelineModel, tables: Mapping[str, DataFrame]) -> None:
+    """A fitted model and the fitted tables that go with it (scalers, vocabularies, thresholds), under one folder."""
+    model.write().overwrite().save(f"{path}/model")
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/tables/{name}")
+
+
+def load_artifacts(spark: SparkSession, path: str, tables: Sequence[str]) -> tuple[PipelineModel, dict[str, DataFrame]]:
+    """What :func:`save_artifacts` wrote."""
+    return PipelineModel.load(f"{path}/model"), {name: spark.read.parquet(f"{path}/tables/{name}") for name in tables}
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, key: str = "id", repeats: int = 1, seed: int = 42) -> DataFrame:
     """(feature, importance): loss of AUC when a column's values are dealt to other rows.
 

@@ -44,3 +44,24 @@ def fleet_interventions(scored: DataFrame, flips: DataFrame, *, probability: str
     groups = flips.groupBy(F.concat_ws("+", "flips").alias("intervention")).agg(F.count("*").alias("n"))
     ordered = groups.select("intervention", "n", F.lit(success).alias("rate"), F.struct((-F.col("n")).alias("m"), "intervention").alias("ord"))
     return {"tiers": tiers, "distribution": counts, "interventions": ordered, "shift": scoring.tier_shift(counts, ordered)}
+
+
+def fleet_report(scored: DataFrame, flips: DataFrame, outcomes: DataFrame, label: str, *, probability: str = "p", method: str = "isotonic") -> dict[str, DataFrame]:
+    """The report of a fleet: calibrate, tier, group the low tiers by what would lift them, and shift.
+
+    Tables: ``summary`` (one row: sites, mean probability, sites of each tier, sites that a set
+    of flips lifts), ``sites`` (a row for each site with its tier and flips), and those of
+    :func:`fleet_interventions`. ``outcomes`` (id, label) are what calibration is fitted on.
+    """
+    from panelworks.plans import ml
+
+    fit = {"isotonic": ml.isotonic, "platt": ml.platt}[method]
+    calibrated = fit(scored.join(outcomes, "id").where(F.col(label).isNotNull()), scored, label, probability)
+    low = scoring.classify_tiers(calibrated, "calibrated").where("tier >= 3").select("id")
+    chosen = flips.join(low, "id", "left_semi")
+    report = fleet_interventions(calibrated, chosen, probability="calibrated")
+    per_site = report["tiers"].join(chosen.select("id", F.concat_ws("+", "flips").alias("intervention")), "id", "left")
+    counts = [F.count_if(F.col("tier") == t).alias(f"tier_{t}") for t in (1, 2, 3, 4)]
+    summary = per_site.agg(F.count("*").alias("sites"), F.avg("calibrated").alias("mean_probability"), *counts, F.count("intervention").alias("with_intervention"))
+    columns = ["id", F.col(probability).alias("raw"), "calibrated", "tier", "label", "action", "confidence", "intervention"]
+    return report | {"summary": summary, "sites": per_site.select(*columns)}

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelworks.functions import scalar
-from panelworks.operators import filters, momentum, stats
+from panelworks.operators import activity, explain, features, filters, geo, momentum, scoring, stats
+from panelworks.plans import ml
 from panelworks.plans import sites as site_plans
-from panelworks.queries.base import PANEL, PEOPLE, SITES, R, active_days, panel, people, query, rounded, table
+from panelworks.queries.base import ACTIVE_DAYS, PANEL, PEOPLE, SITES, R, active_days, panel, people, query, rounded, sites, table
+from panelworks.sources import io
 
 
 def _experiments(spark, d):
@@ -43,10 +45,9 @@ def site_document(spark, d):
     return filters.document(people(spark, d), {"Site": {"Segment": "segment", "Nation": "nation"}, "Score": {"Label": "label"}})
 
 
-@query(f"""WITH {PEOPLE} SELECT id, printf('%.1f', p * 100) || '%' AS share, CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END AS flag FROM people WHERE abs(p * 1000 - floor(p * 1000) - 0.5) > 0.001""")
+@query(f"""WITH {PEOPLE} SELECT id, CAST(CAST(round(CAST(p AS DECIMAL(18, 8)) * 100, 1) AS DECIMAL(18, 1)) AS VARCHAR) || '%' AS share, CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END AS flag FROM people""")
 def shown_values(spark, d):
-    c = people(spark, d).where(F.abs(F.col("p") * 1000 - F.floor(F.col("p") * 1000) - 0.5) > 0.001)
-    return c.select("id", scalar.show(F.col("p"), "percent").alias("share"), scalar.show(F.col("label"), "yes_no").alias("flag"))
+    return people(spark, d).select("id", scalar.show(F.col("p"), "percent").alias("share"), scalar.show(F.col("label"), "yes_no").alias("flag"))
 
 
 @query("SELECT 'r_retail_food' AS name, 'Retail Food' AS shown UNION ALL SELECT 'log_total_revenue', 'Total Revenue' UNION ALL SELECT 'c_emv_enabled_encoded', 'Emv Enabled'")
@@ -55,23 +56,142 @@ def display_names(spark, d):
     return names.select("name", scalar.display_name(F.col("name")).alias("shown"))
 
 
-@query(f"WITH {PEOPLE} SELECT id, q > p AS better FROM people WHERE abs(q - p) > 0.05")
+# Scores have six and seven decimals: they are compared as whole numbers.
+@query(f"WITH {PEOPLE} SELECT id, CAST(round(q * 10000000) AS BIGINT) > CAST(round(p * 1000000) AS BIGINT) * 10 AS better FROM people")
 def score_improved(spark, d):
-    return people(spark, d).where(F.abs(F.col("q") - F.col("p")) > 0.05).select("id", (F.col("q") > F.col("p")).alias("better"))
+    better = F.round(F.col("q") * 10_000_000).cast("long") > F.round(F.col("p") * 1_000_000).cast("long") * 10
+    return people(spark, d).select("id", better.alias("better"))
 
 
-@query(f"WITH {SITES} SELECT CAST(count(*) AS BIGINT) AS n, CAST(min(active_months) AS BIGINT) AS least_months FROM sites WHERE status = 'Active' AND total_revenue >= 0 AND active_months > 11")
+@query(f"""WITH {SITES}, top AS (SELECT priority FROM sites WHERE status = 'Active' AND priority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, priority LIMIT 3)
+SELECT id, active_months, round(total_revenue, 2) AS total_revenue, CASE WHEN priority IN (SELECT priority FROM top) THEN priority ELSE 'Other' END AS priority, {R('ln(total_revenue + 1)')} AS log_total_revenue
+ FROM sites WHERE status = 'Active' AND total_revenue >= 0 AND active_months > 11""")
 def training_rows(spark, d):
     t = site_plans.site_table(panel(spark, d), active_days(spark, d), metrics=["revenue"], attributes=["status", "priority"], momentum_metrics={"Revenue": "revenue"})
-    out = site_plans.training_table(t, rare={}, logs=["total_revenue"], months=11)
-    return out.agg(F.count("*").alias("n"), F.min("active_months").alias("least_months"))
+    top = features.top_values(t.where("status = 'Active'"), "priority", 3)
+    out = site_plans.training_table(t, rare={"priority": top}, logs=["total_revenue"], months=11)
+    out = out.select("id", F.col("active_months").cast("long").alias("active_months"), F.round("total_revenue", 2).alias("total_revenue"), "priority", F.col("log_total_revenue").alias("log_total_revenue"))
+    return out.withColumn("log_total_revenue", F.round(F.col("log_total_revenue") + 1e-9, 6) + F.lit(0.0))
 
 
-@query(f"""WITH {PANEL} SELECT 'revenue' AS metric, CAST(count(revenue) AS BIGINT) AS n, {R('avg(revenue)', 2)} AS mean FROM panel""")
+def _described(c: str) -> str:
+    parts = [("mean", f"avg({c})"), ("std", f"stddev_samp({c})"), ("min", f"min({c})"), ("p25", f"quantile_cont({c}, 0.25)"), ("p50", f"median({c})"), ("p75", f"quantile_cont({c}, 0.75)"), ("max", f"max({c})")]
+    return f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS n, " + ", ".join(f"{R(f'CAST({e} AS DOUBLE)', 2)} AS {n}" for n, e in parts) + " FROM panel"
+
+
+@query(f"WITH {PANEL} {_described('revenue')} UNION ALL {_described('impressions')}")
 def panel_description(spark, d):
-    p = panel(spark, d)
-    one = stats.score_summary(p, "revenue")
-    return rounded(one.select(F.lit("revenue").alias("metric"), "n", "mean"), 2)
+    return rounded(stats.describe(panel(spark, d), ["revenue", "impressions"]), 2)
+
+
+@query(f"""WITH {PEOPLE}, {SITES} SELECT id, lat, lon, coalesce(avg_monthly_revenue, 0.0) AS avg_monthly_revenue, coalesce(active_months, 0) AS active_months, coalesce(nullif(status, ''), 'Unknown') AS status FROM people LEFT JOIN sites USING (id)""")
+def site_list(spark, d):
+    s = sites(spark, d)
+    out = filters.site_list(people(spark, d).select("id", "lat", "lon"), s, s.select("id", "status"), values=["avg_monthly_revenue", "active_months"])
+    return out.select("id", "lat", "lon", "avg_monthly_revenue", F.col("active_months").cast("long").alias("active_months"), "status")
+
+
+def _presets(spark, d):
+    p = table(spark, d, "part")
+    kind = F.when(F.col("p_size") % 3 == 0, "numeric").when(F.col("p_size") % 3 == 1, "categorical").otherwise("boolean")
+    return p.select(F.col("p_brand").alias("preset"), kind.alias("kind"), F.col("p_type").alias("feature"))
+
+
+@query("""SELECT CASE p_size % 3 WHEN 0 THEN 'numeric' WHEN 1 THEN 'categorical' ELSE 'boolean' END AS kind, list_sort(list(DISTINCT p_type)) AS features FROM part GROUP BY 1""")
+def preset_union(spark, d):
+    return filters.preset_union(_presets(spark, d))
+
+
+@query("""SELECT DISTINCT p_type AS feature FROM part WHERE p_brand = 'Brand#11' AND p_type IN (SELECT p_type FROM part WHERE p_size < 20)""")
+def preset_features(spark, d):
+    available = table(spark, d, "part").where("p_size < 20").select(F.col("p_type").alias("feature"))
+    return filters.preset_features(_presets(spark, d), "Brand#11", available)
+
+
+@query(f"WITH {PEOPLE} SELECT id, p, 'logistic' AS model_type, 'job_1' AS experiment_id, '2024-05-01T00:00:00' AS scored_at FROM people")
+def scored_export(spark, d):
+    return io.scored_export(people(spark, d).select("id", "p"), "logistic", "job_1", "2024-05-01T00:00:00")
+
+
+def _exported(spark, d):
+    return people(spark, d).select(F.col("id").alias("gtvid"), F.col("p").alias("score"), F.col("q").alias("revenue"), "segment", "nation")
+
+
+@query(f"WITH {PEOPLE} SELECT id AS gtvid, q AS revenue, CAST(q >= 0.5 AS INTEGER) AS actual_label FROM people")
+def training_export(spark, d):
+    return io.training_export(_exported(spark, d), "revenue", 0.5)
+
+
+@query(f"WITH {PEOPLE} SELECT id AS gtvid, p AS predicted_probability, CAST(q >= 0.5 AS INTEGER) AS actual_label, 0.87 AS model_roc_auc FROM people WHERE id % 5 = 0".replace("0.87", "CAST(0.87 AS DOUBLE)"))
+def test_export(spark, d):
+    return io.test_predictions_export(_exported(spark, d).where("gtvid % 5 = 0"), "revenue", 0.5, 0.87)
+
+
+@query(f"""WITH {PEOPLE}, {SITES} SELECT people.id AS gtvid, CASE WHEN people.id % 3 = 0 THEN 'TRAINING' WHEN status = 'Active' THEN 'ACTIVE' ELSE 'NON_ACTIVE' END AS category, coalesce(status, 'Unknown') AS status,
+ p AS predicted_probability, row_number() OVER (ORDER BY p DESC, people.id) AS rank FROM people LEFT JOIN sites USING (id)""")
+def all_sites_export(spark, d):
+    s = sites(spark, d)
+    c = people(spark, d).select("id", F.col("p").alias("score"))
+    rows = scoring.category(c, c.where("id % 3 = 0"), s.where("status = 'Active'")).join(s.select("id", "status"), "id", "left")
+    return io.all_sites_export(rows.withColumnRenamed("id", "gtvid"))
+
+
+@query(f"WITH {ACTIVE_DAYS}, twice AS (SELECT * FROM active_days UNION ALL SELECT id, date, active_days - 1 FROM active_days) SELECT id, date, max(active_days) AS active_days FROM twice GROUP BY 1, 2")
+def active_days_max(spark, d):
+    a = active_days(spark, d)
+    return activity.active_days_per_month(a.union(a.withColumn("active_days", F.col("active_days") - 1)))
+
+
+@query(f"""WITH {SITES}, v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM (SELECT DISTINCT coalesce(status, '__MISSING__') AS value FROM sites WHERE status IS NULL OR status = 'Active'))
+SELECT id, CAST(coalesce(code, (SELECT code FROM v WHERE value = '__MISSING__'), 0) AS INTEGER) AS status_code FROM sites LEFT JOIN v ON v.value = coalesce(status, '__MISSING__')""")
+def unseen_as_missing(spark, d):
+    s = sites(spark, d)
+    vocabulary = features.label_vocabulary(s.where("status IS NULL OR status = 'Active'"), "status")
+    return features.label_encode(s, "status", vocabulary, unseen_as_missing=True).select("id", F.col("status_code").cast("int").alias("status_code"))
+
+
+@query(f"""WITH {PEOPLE}, areas AS (SELECT n_nationkey AS area, 25 + n_nationkey * 0.9 AS lo, -125 + n_nationkey * 2.1 AS west FROM nation)
+SELECT id, CAST(area AS BIGINT) AS area FROM people, areas WHERE lat >= lo + 0.005 AND lat < lo + 3.005 AND lon < west + 5.005 AND lon >= west + 0.005""")
+def area_join(spark, d):
+    low, west = 25 + F.col("n_nationkey") * 0.9 + 0.005, -125 + F.col("n_nationkey") * 2.1 + 0.005
+    corner = lambda y, x: F.struct((low + y).alias("lat"), (west + x).alias("lon"))
+    areas = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("area"), F.array(corner(0.0, 0.0), corner(3.0, 0.0), corner(3.0, 5.0), corner(0.0, 5.0)).alias("corners"))
+    return geo.points_in_areas(people(spark, d), areas)
+
+
+@query(f"""WITH p AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {R('least(greatest(l_extendedprice, lo), hi)', 3)} AS price FROM lineitem, p""")
+def inverse_scaling(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("price"))
+    fitted = features.fit_scaler(li, ["price"])
+    back = features.unscale(features.scale(li, ["price"], fitted).drop("price"), "price_z", fitted, "price", "price")
+    return rounded(back.drop("price_z"), 3)
+
+
+# Models: fitted by Spark ML, so there is no SQL that says the same.
+@query()
+def platt(spark, d):
+    c = people(spark, d)
+    return ml.platt(c.where("id % 2 = 0"), c.where("id % 2 = 1"), "label", "p").select("id", "p", "calibrated", "is_calibrated")
+
+
+@query()
+def cross_validation(spark, d):
+    return ml.cross_validate(people(spark, d), ["p", "lat"], "label", k=5, rounds=3)
+
+
+@query()
+def learning_curve(spark, d):
+    return ml.learning_curve(people(spark, d), ["p", "lat"], "label", fractions=(0.2, 0.6, 1.0), rounds=3)
+
+
+@query()
+def fleet_report(spark, d):
+    from panelworks.queries.scored import _flip_rows, _flip_score
+
+    rows = _flip_rows(spark, d)
+    report = site_plans.fleet_report(rows.select("id", _flip_score({}).alias("p")), explain.counterfactual_flips(rows, ["f1", "f2", "f4", "f8"], _flip_score), people(spark, d).select("id", "label"), "label")
+    return report["sites"]
 
 
 @query(f"WITH {PANEL} SELECT id, count(*) FILTER (date >= (SELECT max(date) FROM panel) - 185) AS recent FROM panel GROUP BY id HAVING count(*) FILTER (date >= (SELECT max(date) FROM panel) - 185) > 0")

@@ -125,15 +125,15 @@ def nearest_poi(spark, d):
 
 
 def _segments(spark, d):
-    s = stores(spark, d).where("id % 4 = 0")
+    s = stores(spark, d)
     return s.select(F.concat(F.lit("I-"), F.col("id").cast("string")).alias("line"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (F.col("lat") + 1).alias("lat2"), (F.col("lon") + 3).alias("lon2"))
 
 
-@query(f"""WITH {PEOPLE}, {STORES}, seg AS (SELECT slat AS lat1, slon AS lon1, slat + 1 AS lat2, slon + 3 AS lon2 FROM stores WHERE sid % 4 = 0),
+@query(f"""WITH {PEOPLE}, {STORES}, seg AS (SELECT slat AS lat1, slon AS lon1, slat + 1 AS lat2, slon + 3 AS lon2 FROM stores),
 v AS (SELECT id, (lon1 - lon) * cos(radians(lat)) AS ax, lat1 - lat AS ay, (lon2 - lon) * cos(radians(lat)) AS bx, lat2 - lat AS by_ FROM people CROSS JOIN seg),
 t AS (SELECT *, least(greatest(-(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 0), 1) AS t FROM v),
 m AS (SELECT id, sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (by_ - ay), 2)) * (3958.8 * pi() / 180) AS miles FROM t)
-SELECT id, {R('min(miles)', 4)} AS miles FROM m GROUP BY id HAVING min(miles) <= 2.0 * (3958.8 * pi() / 180)""")
+SELECT id, {R('min(miles)', 4)} AS miles FROM m GROUP BY id""")
 def nearest_segment(spark, d):
     return rounded(geo.nearest_segment(people(spark, d), _segments(spark, d)).select("id", "miles"), 4)
 

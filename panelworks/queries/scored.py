@@ -90,15 +90,15 @@ def tier_classify(spark, d):
     return scoring.classify_tiers(people(spark, d)).select("id", "tier", "label", "action", "confidence")
 
 
-@query(f"""WITH {PEOPLE}, t AS (SELECT {TIER_SQL} AS tier FROM people WHERE p < 0.8 AND p > 0.6)
+@query(f"""WITH {PEOPLE}, t AS (SELECT {TIER_SQL} AS tier FROM people)
 SELECT CAST(i AS INTEGER) AS tier, CAST(count(t.tier) AS BIGINT) AS n, {R('count(t.tier) / CAST(sum(count(t.tier)) OVER () AS DOUBLE)')} AS share FROM range(1, 5) r(i) LEFT JOIN t ON t.tier = i GROUP BY i""")
 def tier_distribution(spark, d):
-    return rounded(scoring.tier_distribution(scoring.classify_tiers(people(spark, d).where("p < 0.8 AND p > 0.6"))))
+    return rounded(scoring.tier_distribution(scoring.classify_tiers(people(spark, d))))
 
 
-@query(f"WITH {PEOPLE} SELECT CAST({TIER_SQL} AS INTEGER) AS tier, CAST(count(*) AS BIGINT) AS n, {R('CASE WHEN count(*) >= 10 THEN avg(label) END')} AS accuracy FROM people WHERE p > 0.55 OR id < 5 GROUP BY 1")
+@query(f"WITH {PEOPLE} SELECT CAST({TIER_SQL} AS INTEGER) AS tier, CAST(count(*) AS BIGINT) AS n, {R('CASE WHEN count(*) >= 10 THEN avg(label) END')} AS accuracy FROM people GROUP BY 1")
 def tier_history(spark, d):
-    t = scoring.classify_tiers(people(spark, d).where("p > 0.55 OR id < 5").withColumn("succeeded", F.col("label") == 1))
+    t = scoring.classify_tiers(people(spark, d).withColumn("succeeded", F.col("label") == 1))
     return rounded(scoring.tier_history(t))
 
 
@@ -299,12 +299,12 @@ def hash_split(spark, d):
     return explain.hash_split(people(spark, d).select("id"), "id")
 
 
-@query(f"""WITH {PEOPLE}, ref AS (SELECT id AS rid, p AS rp, q AS rq, segment AS rs FROM people WHERE id % 50 = 0), g AS (SELECT max(rp) - min(rp) AS gp, max(rq) - min(rq) AS gq FROM ref),
-m AS (SELECT id, (abs(p - rp) / gp + abs(q - rq) / gq + CAST(segment <> rs AS INTEGER)) / 3 AS dist, rid FROM people CROSS JOIN ref CROSS JOIN g WHERE id % 50 <> 0),
+@query(f"""WITH {PEOPLE}, ref AS (SELECT id AS rid, p AS rp, q AS rq, segment AS rs FROM people WHERE label = 1 AND segment = 'MACHINERY'), g AS (SELECT max(rp) - min(rp) AS gp, max(rq) - min(rq) AS gq FROM ref),
+m AS (SELECT id, (abs(p - rp) / gp + abs(q - rq) / gq + CAST(segment <> rs AS INTEGER)) / 3 AS dist, rid FROM people CROSS JOIN ref CROSS JOIN g WHERE NOT (label = 1 AND segment = 'MACHINERY')),
 k AS (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist, rid) AS r FROM m) SELECT id, {R('1 / (1 + avg(dist))')} AS score FROM k WHERE r <= 10 GROUP BY id""")
 def gower_knn(spark, d):
     c = people(spark, d)
-    return rounded(explain.gower_knn(c.where("id % 50 <> 0"), c.where("id % 50 = 0").withColumnRenamed("id", "rid"), ["p", "q"], ["segment"]))
+    return rounded(explain.gower_knn(c.where("NOT (label = 1 AND segment = 'MACHINERY')"), c.where("label = 1 AND segment = 'MACHINERY'").withColumnRenamed("id", "rid"), ["p", "q"], ["segment"]))
 
 
 @query("SELECT l_returnflag AS feature, round(avg(abs(l_discount - 0.05)), 6) AS mean_abs FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2")
@@ -312,9 +312,9 @@ def top_features(spark, d):
     return rounded(explain.top_features(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("feature"), (F.col("l_discount") - 0.05).alias("shap")), 2))
 
 
-@query(f"WITH {PEOPLE}, s AS (SELECT least(nation // 5, 4) AS c, count(*) AS n FROM people WHERE nation < 15 GROUP BY 1) SELECT CAST(i AS INTEGER) AS cluster, CAST(coalesce(n, 0) AS BIGINT) AS n FROM range(0, 5) r(i) LEFT JOIN s ON s.c = i")
+@query(f"WITH {PEOPLE}, s AS (SELECT least(nation // 5, 4) AS c, count(*) AS n FROM people GROUP BY 1) SELECT CAST(i AS INTEGER) AS cluster, CAST(coalesce(n, 0) AS BIGINT) AS n FROM range(0, 5) r(i) LEFT JOIN s ON s.c = i")
 def cluster_sizes(spark, d):
-    return stats.sizes_with_zeros(people(spark, d).where("nation < 15").withColumn("c", F.least(F.floor(F.col("nation") / 5), F.lit(4))), "c", 5)
+    return stats.sizes_with_zeros(people(spark, d).withColumn("c", F.least(F.floor(F.col("nation") / 5), F.lit(4))), "c", 5)
 
 
 # Models: fitted by Spark ML, so there is no SQL that says the same.
@@ -329,7 +329,9 @@ def _modelled(spark, d):
 def gbt_regress(spark, d):
     c = _modelled(spark, d)
     model = ml.fit_regressor(c.where("id % 5 <> 0"), FEATURES, "q", rounds=5)
-    return ml.residual_interval(ml.predict(model, c, "predicted"), "q", "predicted").select("id", "q", "predicted", "low", "high")
+    scored = ml.predict(model, c, "predicted").withColumn("unseen", F.when(F.col("id") % 5 == 0, F.col("q")))
+    # Widths come from the rows that the model has not seen.
+    return ml.residual_interval(scored, "unseen", "predicted").select("id", "q", "predicted", "low", "high")
 
 
 @query()
@@ -353,7 +355,7 @@ def isotonic(spark, d):
 @query()
 def perm_importance(spark, d):
     c = people(spark, d)
-    return ml.permutation_importance(ml.fit_classifier(c, ["p", "lat"], "label", rounds=3), c, ["p", "lat"], "label")
+    return ml.permutation_importance(ml.fit_classifier(c.where("id % 5 <> 0"), ["p", "lat"], "label", rounds=3), c.where("id % 5 = 0"), ["p", "lat"], "label")
 
 
 def _risk(x):
@@ -389,8 +391,10 @@ def fleet_interventions(spark, d):
 
 @query()
 def shap_select(spark, d):
-    c = people(spark, d).withColumn("noise", (F.col("id") * 31 % 17).cast("double"))
-    return ml.shap_select(c.select("q", "p", "noise", "lat"), "q", ["p", "noise", "lat"])
+    c = people(spark, d)
+    shap = explain.shapley_values(c, ["p", "lat", "lon"], [0.5, 37.0, -97.0], lambda x: _risk(x[:, :2]))
+    wide = shap.groupBy("id").pivot("feature", ["p", "lat", "lon"]).agg(F.first("shap"))
+    return ml.shap_select(wide.join(c.select("id", "q"), "id"), "q", ["p", "lat", "lon"])
 
 
 @query()

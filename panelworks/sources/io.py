@@ -18,19 +18,24 @@ NULL_TOKENS = ("", "NA", "null", "Unknown")
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, *, null_values: Sequence[str] = (), rename: Mapping[str, str] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """A CSV with header, by a declared schema.
 
-    ``null_values`` are read as null in every column: all columns are read as text, cleaned and
-    cast; a value that does not fit its type is null. ``columns`` keeps those that exist.
+    ``null_values`` are read as null in every column: columns are read as text, cleaned and
+    cast; a value that does not fit its type is null. ``columns`` keeps those that exist
+    (by their new names), and only these are parsed.
     """
     declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in declared])
     raw = spark.read.csv(path, schema=text, header=True, enforceSchema=False)
+    named = dict(rename or {})
     out = []
     for f in declared:
+        name = named.get(f.name, f.name)
+        if columns is not None and name not in columns:
+            continue
         c = F.col(f"`{f.name}`")
         c = null_tokens(c, null_values) if null_values else c
-        out.append((c if isinstance(f.dataType, T.StringType) else c.try_cast(f.dataType)).alias(f.name))
-    df = raw.select(*out).withColumnsRenamed(dict(rename or {}))
-    return df if columns is None else df.select([c for c in columns if c in df.columns])
+        out.append((c if isinstance(f.dataType, T.StringType) else c.try_cast(f.dataType)).alias(name))
+    df = raw.select(*out)
+    return df if columns is None else df.select([f"`{c}`" for c in columns if c in df.columns])
 
 
 def read_labels(spark: SparkSession, path: str, key: str = "gtvid", label: str = "actual_label") -> DataFrame:
@@ -42,9 +47,10 @@ def read_labels(spark: SparkSession, path: str, key: str = "gtvid", label: str =
 
 def read_json_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents (one a file) by a schema; damaged ones are skipped."""
-    declared = T._parse_datatype_string(schema).add("corrupt_", T.StringType())
-    df = spark.read.json(path, schema=declared, mode="PERMISSIVE", columnNameOfCorruptRecord="corrupt_", multiLine=True)
-    return df.cache().where("corrupt_ IS NULL").drop("corrupt_")
+    text = spark.read.text(path, wholetext=True).where("trim(value) <> ''")
+    # A damaged document gives a struct of nulls beside its text.
+    parsed = text.select(F.from_json("value", f"struct<{T._parse_datatype_string(schema).add('corrupt_', 'string').simpleString()[7:]}", {"columnNameOfCorruptRecord": "corrupt_"}).alias("r"))
+    return parsed.where("r.corrupt_ IS NULL").select("r.*").drop("corrupt_")
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -81,6 +87,25 @@ def non_active_export(df: DataFrame, target: str, threshold: float, auc: float,
     return top_flag(rows, "predicted_probability", top, f"top_{top}", "gtvid").orderBy(F.desc("predicted_probability"), "gtvid")
 
 
+def test_predictions_export(df: DataFrame, target: str, threshold: float, auc: float) -> DataFrame:
+    """(gtvid, predicted_probability, actual_label, model_roc_auc) of the test rows, by id."""
+    label = F.coalesce((F.col(target) >= threshold).cast("int"), F.lit(0))
+    return df.select("gtvid", F.col("score").alias("predicted_probability"), label.alias("actual_label"), F.lit(auc).alias("model_roc_auc")).orderBy("gtvid")
+
+
+def all_sites_export(df: DataFrame) -> DataFrame:
+    """(gtvid, category, status, predicted_probability, rank) of every scored site, highest first; equal scores by id."""
+    from panelworks.operators.scoring import _numbered
+
+    rows = df.select("gtvid", "category", F.coalesce(F.nullif("status", F.lit("")), F.lit("Unknown")).alias("status"), F.col("score").alias("predicted_probability"))
+    return _numbered(rows, [F.desc_nulls_last("predicted_probability"), F.asc("gtvid")], "rank").orderBy("rank")
+
+
+def scored_export(df: DataFrame, model_type: str, experiment: str, scored_at: str | None = None) -> DataFrame:
+    """``df`` with the literal columns model_type, experiment_id and scored_at (ISO time; null if not given)."""
+    return df.withColumns({"model_type": F.lit(model_type), "experiment_id": F.lit(experiment), "scored_at": F.lit(scored_at).cast("string")})
+
+
 def summary_text(totals: DataFrame) -> str:
     """A plain report of :func:`panelworks.operators.rollup.dataset_totals` (a row per metric)."""
     return "\n".join(f"{r['metric']}: total {r['dataset_total']:,.2f}, per active month {r['avg_per_active_month'] or 0:,.2f}" for r in totals.collect())

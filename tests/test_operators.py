@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from panelworks.functions import scalar
 from panelworks.operators import activity, explain, features, filters, geo, momentum, rollup, scoring, stats
 from panelworks.plans import ml
+from panelworks.plans import sites as site_plans
 from panelworks.sources import io
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -26,8 +27,8 @@ def rows(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-TRANSACTIONS = [("site_a", "2022-01-01", 110, "GTV001"), ("site_a", "2022-01-02", 0, "GTV001"), ("site_a", "2022-01-03", 50, "GTV001"), ("site_b", "2022-01-01", 200, "GTV002")]
-STATUS = [("site_a", "2022-01-01", "Active", "GTV001"), ("site_a", "2022-01-02", "Active", "GTV001"), ("site_a", "2022-01-03", "Deactivated", "GTV001"), ("site_c", "2022-01-01", "Active", "GTV003")]
+TRANSACTIONS = [("kiosk", "2023-05-07", 31, "P9"), ("kiosk", "2023-05-19", 0, "P9"), ("kiosk", "2023-05-20", 4, "P9"), ("pier", "2023-05-19", 77, "P4")]
+STATUS = [("kiosk", "2023-05-07", "Active", "P9"), ("kiosk", "2023-05-19", "Active", "P9"), ("kiosk", "2023-05-20", "Deactivated", "P9"), ("tower", "2023-05-07", "Active", "P6")]
 
 
 def monthly(spark, t, s):
@@ -37,28 +38,38 @@ def monthly(spark, t, s):
 
 
 def test_monthly_activity(spark):
-    assert monthly(spark, TRANSACTIONS, STATUS) == [("site_a", "2022-01", "GTV001", 2, 2, 3), ("site_b", "2022-01", "GTV002", 0, 1, 1), ("site_c", "2022-01", "GTV003", 1, 0, 1)]
+    assert monthly(spark, TRANSACTIONS, STATUS) == [("kiosk", "2023-05", "P9", 2, 2, 3), ("pier", "2023-05", "P4", 0, 1, 1), ("tower", "2023-05", "P6", 1, 0, 1)]
 
 
 def test_monthly_activity_drops_repeats_and_splits_months(spark):
-    t = [("s", "2022-01-01", 5, "G")] * 3 + [("s", "2022-01-02", 7, "G")]
-    assert monthly(spark, t, []) == [("s", "2022-01", "G", 0, 2, 2)]
-    t = [("site_x", "2022-01-31", 10, "G"), ("site_x", "2022-02-01", 20, "G")]
-    s = [("site_x", "2022-01-31", "Active", "G"), ("site_x", "2022-02-01", "Deactivated", "G")]
-    assert monthly(spark, t, s) == [("site_x", "2022-01", "G", 1, 1, 1), ("site_x", "2022-02", "G", 0, 1, 1)]
+    t = [("dock", "2023-08-11", 6, "Q")] * 4 + [("dock", "2023-08-12", 2, "Q")]
+    assert monthly(spark, t, []) == [("dock", "2023-08", "Q", 0, 2, 2)]
+    t = [("gate", "2023-09-30", 3, "Q"), ("gate", "2023-10-01", 8, "Q")]
+    s = [("gate", "2023-09-30", "Active", "Q"), ("gate", "2023-10-01", "Deactivated", "Q")]
+    assert monthly(spark, t, s) == [("gate", "2023-09", "Q", 1, 1, 1), ("gate", "2023-10", "Q", 0, 1, 1)]
 
 
-SITES = [("SITE001", "CA", "NetA", "RetX", "TypeA"), ("SITE002", "CA", "NetB", "RetX", "TypeA"), ("SITE003", "NY", "NetA", "RetY", "TypeB"), ("SITE004", "TX", "NetA", "RetZ", "TypeA"), ("SITE005", "TX", "NetC", "RetX", "TypeB")]
-ALL = {r[0] for r in SITES}
+SHOPS = [("m1", "Utrecht", "north"), ("m2", "Utrecht", "south"), ("m3", "Ghent", "north"), ("m4", "Bremen", "south"), ("m5", "Bremen", "east"), ("m6", "Ghent", "east")]
+ALL = {r[0] for r in SHOPS}
 
 
 @pytest.mark.parametrize(
     ("chosen", "expected"),
-    [({}, set()), ({"State": "CA"}, {"SITE001", "SITE002"}), ({"State": "TX", "Network": "NetA"}, {"SITE004"}), ({"State": "FL"}, set()), ({"Nonexistent": "v"}, ALL), ({"State": None}, ALL), ({"State": ""}, ALL), ({"State": []}, ALL), ({"State": ["CA", "NY"], "Network": ["NetA"]}, {"SITE001", "SITE003"})],
+    [
+        ({}, set()),
+        ({"City": "Utrecht"}, {"m1", "m2"}),
+        ({"City": "Bremen", "Side": "south"}, {"m4"}),
+        ({"City": ["Ghent", "Bremen"], "Side": ["east"]}, {"m5", "m6"}),
+        ({"City": "Lille"}, set()),
+        ({"Colour": "red"}, ALL),
+        ({"City": None}, ALL),
+        ({"City": ""}, ALL),
+        ({"City": [], "Side": "north"}, {"m1", "m3"}),
+    ],
 )
 def test_filter_multi(spark, chosen, expected):
-    df = spark.createDataFrame(SITES, "gtvid string, state string, network string, retailer string, hardware string")
-    assert {r["gtvid"] for r in filters.filter_multi(df, chosen, {"State": "state", "Network": "network"}).collect()} == expected
+    df = spark.createDataFrame(SHOPS, "shop string, city string, side string")
+    assert {r["shop"] for r in filters.filter_multi(df, chosen, {"City": "city", "Side": "side"}).collect()} == expected
 
 
 def test_filter_options_keeps_false_and_drops_blank(spark):
@@ -67,12 +78,229 @@ def test_filter_options_keeps_false_and_drops_blank(spark):
 
 
 def test_site_details_partial(spark):
-    ids = spark.createDataFrame([("SITE001",), ("SITE003",), ("NONE",)], "id string")
-    details = spark.createDataFrame([("SITE001", "CA")], "id string, state string")
-    coordinates = spark.createDataFrame([("SITE001", 1.0), ("SITE003", 2.0)], "id string, lat double")
-    metrics = spark.createDataFrame([("SITE001", 0.8)], "id string, score double")
+    ids = spark.createDataFrame([("m1",), ("m3",), ("gone",)], "id string")
+    details = spark.createDataFrame([("m1", "Utrecht")], "id string, city string")
+    coordinates = spark.createDataFrame([("m1", 52.1), ("m3", 51.05)], "id string, lat double")
+    metrics = spark.createDataFrame([("m1", 0.4)], "id string, score double")
     got = {r["id"]: (r["partial"], r["sources"]) for r in filters.site_details(ids, details, coordinates, metrics).collect()}
-    assert got == {"SITE001": (False, ["details", "coordinates", "metrics"]), "SITE003": (True, ["coordinates"])}
+    assert got == {"m1": (False, ["details", "coordinates", "metrics"]), "m3": (True, ["coordinates"])}
+
+
+def test_site_list_has_defaults(spark):
+    sites = spark.createDataFrame([("m1",), ("m2",), ("m3",), (None,)], "id string")
+    scores = spark.createDataFrame([("m1", 0.4, 7), ("m1", 0.2, 3), (None, 0.9, 1)], "id string, score double, months int")
+    statuses = spark.createDataFrame([("m1", "Active"), ("m2", ""), (None, "Removed")], "id string, status string")
+    got = filters.site_list(sites, scores, statuses, values=["score", "months"])
+    assert {(r["id"], r["score"], r["months"], r["status"]) for r in got.collect()} == {("m1", 0.4, 7, "Active"), ("m2", 0.0, 0, "Unknown"), ("m3", 0.0, 0, "Unknown"), (None, 0.0, 0, "Unknown")}
+    assert filters.site_list(sites.limit(0), scores, statuses, values=["score"]).count() == 0
+
+
+def test_preset_union(spark):
+    presets = spark.createDataFrame([("a", "numeric", "x"), ("b", "numeric", "x"), ("b", "numeric", "w"), ("b", "boolean", "t"), ("c", "boolean", None)], "preset string, kind string, feature string")
+    assert {r["kind"]: r["features"] for r in filters.preset_union(presets).collect()} == {"numeric": ["w", "x"], "boolean": ["t"]}
+    have = spark.createDataFrame([("x",), ("t",)], "feature string")
+    assert rows(filters.preset_features(presets, "b", have), "feature") == [("t",), ("x",)]
+    assert rows(filters.preset_features(presets, "b", have, spark.createDataFrame([("t",), ("w",)], "feature string")), "feature") == [("t",)]
+
+
+@FEW
+@given(st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.integers(-3, 3), st.floats(-1e3, 1e3))), max_size=30), st.floats(0, 1))
+def test_percentiles_of_groups(spark, values, share):
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in values], "g int, x double")
+    got = {r["g"]: (r["n"], r["p"][0]) for r in scoring.grouped_percentiles(df, "g", "x", (share,)).collect()}
+    for g in range(3):
+        own = sorted(float(v) for h, v in values if h == g and v is not None)
+        if not own:
+            assert g not in got
+            continue
+        at = (len(own) - 1) * share
+        low, high = own[math.floor(at)], own[math.ceil(at)]
+        assert got[g][0] == len(own) and got[g][1] == pytest.approx(low + (high - low) * (at - math.floor(at)), rel=1e-9, abs=1e-9)
+
+
+def test_numbers_are_gapless_over_partitions(spark):
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("k"))
+    got = scoring._numbered(df, [F.desc("k")], "n").collect()
+    assert all(r["n"] == 5000 - r["k"] for r in got) and len(got) == 5000
+
+
+def test_exports_of_tests_and_all_sites(spark):
+    df = spark.createDataFrame([("u2", "ACTIVE", "Active", 5.0, 0.9), ("u1", "TRAINING", "", 1.0, 0.9), ("u3", "NON_ACTIVE", None, None, None)], "gtvid string, category string, status string, money double, score double")
+    out = io.test_predictions_export(df, "money", 2.0, 0.75)
+    assert out.columns == ["gtvid", "predicted_probability", "actual_label", "model_roc_auc"]
+    assert [tuple(r) for r in out.collect()] == [("u1", 0.9, 0, 0.75), ("u2", 0.9, 1, 0.75), ("u3", None, 0, 0.75)]
+    assert [(r["gtvid"], r["status"], r["rank"]) for r in io.all_sites_export(df).collect()] == [("u1", "Unknown", 1), ("u2", "Active", 2), ("u3", "Unknown", 3)]
+    marked = io.scored_export(df, "mlp", "e7").first()
+    assert (marked["model_type"], marked["experiment_id"], marked["scored_at"]) == ("mlp", "e7", None)
+
+
+def test_platt_against_newton(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = r.random(300)
+    y = (r.random(300) < 1 / (1 + np.exp(3 - 5 * x))).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "p double, label int")
+    w = np.zeros(2)
+    for _ in range(50):  # ridge of weight 1 on the slope
+        design = np.stack([x, np.ones(300)], 1)
+        q = 1 / (1 + np.exp(-design @ w))
+        w += np.linalg.solve((design * (q * (1 - q))[:, None]).T @ design + np.diag([1, 0]), design.T @ (y - q) - np.array([w[0], 0]))
+    got = {row["p"]: row["calibrated"] for row in ml.platt(df, df, "label", "p").collect()}
+    assert all(abs(got[v] - 1 / (1 + np.exp(-(w[0] * v + w[1])))) < 1e-3 for v in x)
+    raw = ml.platt(df.limit(0), df, "label", "p").first()
+    assert raw["calibrated"] == raw["p"] and not raw["is_calibrated"]
+
+
+def test_isotonic_against_pooling(spark):
+    pairs = [(0.1, 0), (0.2, 1), (0.3, 0), (0.4, 0), (0.6, 1), (0.7, 0), (0.8, 1), (0.9, 1)]
+    df = spark.createDataFrame(pairs, "p double, label int")
+    pools = []
+    for p, y in pairs:
+        pools.append([float(y), 1, [p]])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            last = pools.pop()
+            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2] + last[2]]
+    want = {p: s / n for s, n, own in pools for p in own}
+    got = {r["p"]: r["calibrated"] for r in ml.isotonic(df, df, "label", "p").collect()}
+    assert all(got[p] == pytest.approx(v) for p, v in want.items())
+
+
+def test_folds_and_curves(spark):
+    df = spark.range(403).select("id", (F.col("id") % 2).cast("int").alias("label"), ((F.col("id") % 2) + F.rand(3)).alias("x"))
+    sizes = {r["fold"]: r["count"] for r in ml.folds(df, "id", 5).groupBy("fold").count().collect()}
+    assert sorted(sizes.values()) == [80, 80, 80, 80, 83]
+    scores = ml.cross_validate(df, ["x"], "label", k=3, rounds=2).collect()
+    assert [r["fold"] for r in scores] == [0, 1, 2] and sum(r["n_test"] for r in scores) == 403
+    assert all(r["n_train"] + r["n_test"] == 403 and r["auc"] > 0.8 for r in scores)
+    curve = ml.learning_curve(df, ["x"], "label", fractions=(0.25, 1.0), rounds=2).collect()
+    assert curve[0]["n_train"] < curve[1]["n_train"] <= 323 and curve[1]["auc"] > 0.8
+
+
+def test_artifacts_come_back(spark, tmp_path):
+    df = spark.range(60).select("id", (F.col("id") * 3.5).alias("x"), (F.col("id") > 30).cast("int").alias("label"))
+    model, scaler = ml.fit_classifier(df, ["x"], "label", rounds=2), features.fit_scaler(df, ["x"])
+    ml.save_artifacts(str(tmp_path / "a"), model, {"scaler": scaler})
+    again, tables = ml.load_artifacts(spark, str(tmp_path / "a"), ["scaler"])
+    assert rows(ml.predict(again, df, "p"), "id", "p") == rows(ml.predict(model, df, "p"), "id", "p")
+    back = features.unscale(features.scale(df, ["x"], tables["scaler"]), "x_z", scaler, "x", "back")
+    p1, p99 = 59 * 3.5 * 0.01, 59 * 3.5 * 0.99
+    assert all(r["back"] == pytest.approx(min(max(r["x"], p1), p99)) for r in back.collect())
+
+
+def test_fleet_report(spark):
+    scored = spark.createDataFrame([(i, i / 20) for i in range(20)], "id long, p double")
+    outcomes = spark.createDataFrame([(i, int(i > 11)) for i in range(20)], "id long, label int")
+    flips = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (19, ["a"])], "id long, flips array<string>")
+    report = site_plans.fleet_report(scored, flips, outcomes, "label")
+    s = report["summary"].first()
+    assert (s["sites"], s["tier_1"], s["tier_4"], s["with_intervention"]) == (20, 8, 12, 2)
+    assert {r["id"]: r["intervention"] for r in report["sites"].collect() if r["intervention"]} == {1: "a", 2: "a+b"}
+
+
+def test_empty_tiers_and_clusters_are_kept(spark):
+    tiers = scoring.tier_distribution(scoring.classify_tiers(spark.createDataFrame([(0.7,), (0.72,), (0.6,), (None,)], "p double")))
+    assert rows(tiers, "tier", "n") == [(1, 0), (2, 2), (3, 1), (4, 0)]
+    nothing = scoring.tier_distribution(scoring.classify_tiers(spark.createDataFrame([], "p double")))
+    assert rows(nothing, "tier", "n", "share") == [(t, 0, 0.0) for t in (1, 2, 3, 4)]
+    few = spark.createDataFrame([(1, True)] * 9 + [(2, True)] * 9 + [(2, False)], "tier int, succeeded boolean")
+    assert rows(scoring.tier_history(few).fillna(-1.0), "tier", "n", "accuracy") == [(1, 9, -1.0), (2, 10, 0.9)]
+    assert rows(stats.sizes_with_zeros(spark.createDataFrame([(3,), (3,), (0,)], "c int"), "c", 4), "cluster", "n") == [(0, 1), (1, 0), (2, 0), (3, 2)]
+
+
+def test_shown_percent_rounds_decimal_halves_up(spark):
+    df = spark.createDataFrame([(0.1235,), (0.00049,), (0.0005,), (1.0,), (None,)], "p double")
+    assert [r[0] for r in df.select(scalar.show(F.col("p"), "percent")).collect()] == ["12.4%", "0.0%", "0.1%", "100.0%", "N/A"]
+
+
+def test_nearest_over_the_date_line_and_far_away(spark):
+    points = spark.createDataFrame([(1, 10.0, 179.9), (2, 0.0, 0.0), (3, None, 1.0)], "id long, lat double, lon double")
+    others = spark.createDataFrame([(7, 10.0, -179.8), (8, 10.0, 178.0), (9, -60.0, -150.0)], "id long, lat double, lon double")
+    got = {r["id"]: r["nearest_id"] for r in geo.nearest(points, others).collect()}
+    assert got[1] == 7 and set(got) == {1, 2}
+
+    def miles(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 3958.8 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+
+    assert got[2] == min((miles(0, 0, y, x), i) for i, y, x in ((7, 10, -179.8), (8, 10, 178), (9, -60, -150)))[1]
+    assert geo.nearest(points, others.limit(0)).count() == 0 and geo.nearest(points.limit(0), others).count() == 0
+
+
+def test_far_segments_are_found_unless_limited(spark):
+    points = spark.createDataFrame([(1, 40.0, -100.0), (2, 40.0, -75.0)], "id long, lat double, lon double")
+    lines = spark.createDataFrame([("a", 39.0, -101.0, 41.0, -101.0)], "line string, lat1 double, lon1 double, lat2 double, lon2 double")
+    got = {r["id"]: r["miles"] for r in geo.nearest_segment(points, lines).collect()}
+    assert set(got) == {1, 2} and got[1] == pytest.approx(math.cos(math.radians(40)) * 69.09, rel=0.01) and got[2] > 1000
+    assert [r["id"] for r in geo.nearest_segment(points, lines, limit=200.0).collect()] == [1]
+
+
+def test_area_join_against_counting_crossings(spark):
+    square = [(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (4.0, 0.0)]
+    notch = [(1.0, 1.0), (5.0, 1.0), (3.0, 3.0), (5.0, 6.0), (1.0, 6.0)]
+    areas = spark.createDataFrame([("square", square), ("notch", notch), ("line", square[:2])], "area string, corners array<struct<lat:double,lon:double>>")
+    points = spark.createDataFrame([(i, 0.25 + i % 11 * 0.51, 0.3 + i // 11 * 0.57) for i in range(121)], "id long, lat double, lon double")
+
+    def inside(lat, lon, c):
+        hits = 0
+        for (a, x), (b, y) in zip(c, [*c[1:], c[0]]):
+            hits += min(a, b) <= lat < max(a, b) and lon < x + (lat - a) / (b - a) * (y - x)
+        return hits % 2 == 1
+
+    want = sorted((r["id"], n) for r in points.collect() for n, c in (("square", square), ("notch", notch)) if inside(r["lat"], r["lon"], c))
+    assert rows(geo.points_in_areas(points, areas), "id", "area") == want and len(want) > 20
+
+
+def test_damaged_json_is_skipped(spark, tmp_path):
+    for name, text in (("a", '{"task": "x", "n": 3}'), ("b", '{"task": '), ("c", '{\n "task": "y"\n}'), ("d", "")):
+        (tmp_path / f"{name}.json").write_text(text)
+    assert sorted((r["task"], r["n"]) for r in io.read_json_tolerant(spark, str(tmp_path), "task string, n int").collect()) == [("x", 3), ("y", None)]
+
+
+def test_shapley_values_of_a_product(spark):
+    """Against the mean over all orders, and the sum rule."""
+    import itertools
+
+    import numpy as np
+
+    f = lambda x: x[:, 0] * x[:, 1] + 2 * x[:, 2]
+    df = spark.createDataFrame([(1, 2.0, 3.0, 1.0), (2, -1.0, 4.0, 0.5)], "id long, a double, b double, c double")
+    base = [1.0, 1.0, 0.0]
+    got = {(r["id"], r["feature"]): r["shap"] for r in explain.shapley_values(df, ["a", "b", "c"], base, f, permutations=200).collect()}
+    for r in df.collect():
+        x, total = np.array([r["a"], r["b"], r["c"]]), np.zeros(3)
+        for order in itertools.permutations(range(3)):
+            now = np.array(base)
+            for j in order:
+                before = f(now[None])[0]
+                now[j] = x[j]
+                total[j] += (f(now[None])[0] - before) / 6
+        own = [got[r["id"], n] for n in "abc"]
+        assert np.allclose(own, total, atol=0.5) and sum(own) == pytest.approx(f(x[None])[0] - f(np.array(base)[None])[0])
+
+
+def test_flips_against_trying_all(spark):
+    import itertools
+
+    r = spark.createDataFrame([(i, i % 2, i // 2 % 2, i // 4 % 2, i / 16) for i in range(16)], "id long, a int, b int, c int, p double")
+    score = lambda ch: scalar.sigmoid(ch.get("a", F.col("a")) * 0.7 + ch.get("b", F.col("b")) * 0.4 - ch.get("c", F.col("c")) * 0.6 + F.col("p") - 0.9)
+    got = {x["id"]: (x["flips"], x["probability"]) for x in explain.counterfactual_flips(r, ["a", "b", "c"], score).collect()}
+    plain = lambda a, b, c, p: 1 / (1 + math.exp(-(a * 0.7 + b * 0.4 - c * 0.6 + p - 0.9)))
+    for x in r.collect():
+        now = {k: x[k] for k in "abc"}
+        if plain(**now, p=x["p"]) >= 0.5:
+            assert x["id"] not in got
+            continue
+        best = None
+        for n in (1, 2, 3):
+            found = [(-plain(**(now | {k: 1 - now[k] for k in ks}), p=x["p"]), list(ks)) for ks in itertools.combinations("abc", n)]
+            found = [f for f in found if -f[0] >= 0.5]
+            if found:
+                best = min(found)
+                break
+        assert (x["id"] in got) == (best is not None)
+        if best:
+            assert got[x["id"]][0] == best[1] and got[x["id"]][1] == pytest.approx(-best[0])
 
 
 def test_finite_or_null(spark):
@@ -81,10 +309,10 @@ def test_finite_or_null(spark):
 
 
 def test_exports(spark):
-    data = [("NAX001", "Temporarily Deactivated", 200.0, 0.15), ("NAX002", "Removed", 1800.0, 0.88), ("NAX003", "Removed", 50.0, 0.05), ("NAX004", "Temporarily Deactivated", 1600.0, 0.72)]
-    out = io.non_active_export(spark.createDataFrame(data, "gtvid string, status string, revenue double, score double"), "revenue", 1500.0, 0.87)
-    assert out.columns == ["gtvid", "status", "predicted_probability", "actual_label", "model_roc_auc", "top_5000"]
-    assert [(r["gtvid"], r["actual_label"], r["top_5000"]) for r in out.collect()] == [("NAX002", 1, 1), ("NAX004", 1, 1), ("NAX001", 0, 1), ("NAX003", 0, 1)]
+    data = [("k1", "Removed", 12.0, 0.31), ("k2", "Paused", 95.0, 0.64), ("k3", "Removed", None, 0.64), ("k4", "Paused", 90.0, 0.97)]
+    out = io.non_active_export(spark.createDataFrame(data, "gtvid string, status string, revenue double, score double"), "revenue", 90.0, 0.7, top=2)
+    assert out.columns == ["gtvid", "status", "predicted_probability", "actual_label", "model_roc_auc", "top_2"]
+    assert [(r["gtvid"], r["actual_label"], r["top_2"]) for r in out.collect()] == [("k4", 1, 1), ("k2", 1, 1), ("k3", 0, 0), ("k1", 0, 0)]
 
 
 def test_soft_assign(spark):
