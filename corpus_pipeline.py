@@ -17,23 +17,37 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the repetition rules."""
+    """Documents that pass the repetition rules; those without text or with few words do not.
+
+    Rows are judged each by itself: repeated and null ids and further columns stay as they are.
+    """
     return repetition.keep(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity limit, the model trained on the labelled ones among them."""
+    """Documents that score below the toxicity limit, the model trained on the labelled ones among them.
+
+    Null and empty texts get the score of no features; all columns stay as they are, whatever
+    their names.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, to="toxicity_score_").where(f"toxicity_score_ < {TOXIC}").select(docs.columns)
+    to = "toxicity_score_"
+    while to in docs.columns:
+        to += "_"
+    return toxicity.score(docs, model, to=to).where(f"{to} < {TOXIC}").select(docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the least doc_id, of each group of near-duplicates."""
+    """One document, the one of the least doc_id, of each group of near-duplicates.
+
+    Documents without words or without a doc_id are in no group and stay; rows that share a
+    doc_id are one document.
+    """
     return neardup.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents' pieces in sequences of at most 4096 tokens."""
+    """The remaining documents' pieces in sequences of at most 4096 tokens; every row is packed by itself."""
     return packing.pack(docs, vocabulary_file("word_bpe_49k.json"))
 
 
