@@ -1,10 +1,11 @@
 """Best-fit packing: repeat counts of few-document patterns by non-negative least squares.
 
 The number of pieces of each length is all that packing needs, and that histogram has at
-most ``limit`` entries whatever the corpus. Patterns of two to four lengths that fill a sequence
-are fitted to it, the repeat counts are rounded down, and what remains is packed best-fit
-by whole multiplicities. The plan so made has a bounded number of rows and is applied to
-all pieces by their number within their length.
+most ``limit`` entries whatever the corpus. Patterns of two to seven lengths that fill a
+sequence exactly are fitted to it, the repeat counts are rounded, and the same is done with
+what is left, as long as patterns take a fair part of it; the remainder is packed best-fit by
+whole multiplicities. The plan so made has a bounded number of rows and is applied to all
+pieces by their number within their length.
 """
 
 from __future__ import annotations
@@ -53,39 +54,71 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, limit: int = 4096, end: int
     return rows.mapInArrow(run, f"key_ {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("key_", key)
 
 
-def patterns(histogram: np.ndarray, limit: int, most: int = 40_000) -> list[tuple[int, ...]]:
-    """Patterns of two to four lengths (descending) that fill a sequence.
+#: Pairs of lengths that are tried for a sum, and rounds of fitting, at most.
+PAIRS, ROUNDS = 6, 12
 
-    histogram[l] is the number of pieces of length l. All pairs come first, then triples and
-    quadruples whose larger members come from a spread of the lengths (the more of them the
-    more pieces they have); ``most`` bounds how many there are. A length alone is no pattern:
-    it would fit any histogram and fill nothing.
+
+def pairs_of(have: np.ndarray, limit: int) -> list[list[tuple[int, int]]]:
+    """For every sum below ``limit`` some pairs (a >= b) of the lengths ``have``, spread over all there are."""
+    there = np.zeros(limit + 1, np.bool_)
+    there[have] = True
+    out: list[list[tuple[int, int]]] = []
+    for s in range(limit + 1):
+        low = np.flatnonzero(there[: s // 2 + 1] & there[s - s // 2 : s + 1][::-1]) if s > 1 else np.empty(0, np.int64)
+        chosen = low[np.unique(np.linspace(0, len(low) - 1, min(PAIRS, len(low))).astype(int))] if len(low) else low
+        out.append([(s - b, b) for b in chosen.tolist()])
+    return out
+
+
+def patterns(histogram: np.ndarray, limit: int) -> list[tuple[int, ...]]:
+    """Patterns of two to seven lengths (descending) that fill a sequence.
+
+    histogram[l] is the number of pieces of length l. All pairs are there, and for every
+    length, and every sum of two, patterns that hold it together with pairs whose sums are
+    spread over what remains. What one round leaves can be in other patterns in the next. A
+    length alone is no pattern: it would fit any histogram and fill nothing.
     """
     have = np.flatnonzero(histogram)
-    have = have[have > 0].tolist()
-    there = set(have)
-    out: list[tuple[int, ...]] = [(a, limit - a) for a in have if 2 * a >= limit and limit - a in there]
-    weight = np.cumsum([int(histogram[a]) for a in have], dtype=np.float64)
-    spread = sorted({have[int(np.searchsorted(weight, q * weight[-1]))] for q in np.linspace(0.01, 0.99, 32)}) if have else []
-    triples, quadruples = [], []
-    for a in have:
-        for i, b in enumerate(spread):
-            if b > a:
-                break
-            c = limit - a - b
-            if 0 < c <= b and c in there:
-                triples.append((a, b, c))
-            for c in spread[i % 3 : i + 1 : 3]:
-                d = limit - a - b - c
-                if 0 < d <= c and d in there:
-                    quadruples.append((a, b, c, d))
-    for found in (triples, quadruples):
-        room = (most - len(out)) // (2 if found is triples else 1)
-        out += found[:: max(1, -(-len(found) // max(1, room)))]
-    return out[:most]
-
-
-def fit(histogram: np.ndarray, chosen: list[tuple[int, ...]], sweeps: int = 40) -> np.ndarray:
+    have = have[have > 0]
+    pair = pairs_of(have, limit)
+    found: dict[tuple[int, ...], None] = {}
+
+    def add(*lengths: int) -> None:
+        p = tuple(sorted(lengths, reverse=True))
+        if all(histogram[v] >= p.count(v) for v in set(p)):
+            found[p] = None
+
+    def fill(start: tuple[int, ...], room: int, pairs: int, turn: int) -> None:
+        """Fill ``room`` by so many pairs of about equal sums."""
+        for k in range(3):
+            left, out = room, start
+            for i in range(pairs, 0, -1):
+                s = left if i == 1 else max(2, left // i + (turn * 37 + k * 53) % 211 - 105)
+                options = pair[s] if 1 < s <= left else []
+                if not options:
+                    break
+                chosen = options[(turn + k + i) % len(options)]
+                out, left = (*out, *chosen), left - s
+            else:
+                if not left:
+                    add(*out)
+
+    there = set(have.tolist())
+    for a in have.tolist():
+        if 2 * a >= limit and limit - a in there:
+            add(a, limit - a)
+        for p in pair[limit - a] if a < limit else []:
+            add(a, *p)
+        fill((a,), limit - a, 2, a)
+        fill((a,), limit - a, 3, a)
+    for s in range(2, limit // 2 + 1):
+        if pair[s]:
+            fill(pair[s][s % len(pair[s])], limit - s, 1, s)
+            fill(pair[s][s % len(pair[s])], limit - s, 2, s)
+    return list(found)
+
+
+def fit(histogram: np.ndarray, chosen: list[tuple[int, ...]], sweeps: int = 16) -> np.ndarray:
     """Repeat counts x >= 0 of the patterns, least squares of (members of x patterns - histogram).
 
     Weighted by 1 / sqrt(count), and solved by coordinate descent: each step sets one count
@@ -119,14 +152,18 @@ def fit(histogram: np.ndarray, chosen: list[tuple[int, ...]], sweeps: int = 40)
     return np.array(x)
 
 
-def round_down(histogram: np.ndarray, chosen: list[tuple[int, ...]], x: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Whole repeat counts that the histogram can serve: full patterns first, larger counts first."""
+def round_counts(histogram: np.ndarray, chosen: list[tuple[int, ...]], x: np.ndarray, least: float = 0.02) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeat counts that the histogram can serve, larger counts first.
+
+    Every pattern is full, so a count that the fit sees at all is worth one sequence.
+    """
     left = histogram.astype(np.int64).tolist()
     out = []
-    full = [sum(p) for p in chosen]
-    for i in sorted(range(len(chosen)), key=lambda i: (-full[i], -x[i], chosen[i])):
+    for i in sorted(range(len(chosen)), key=lambda i: (-x[i], chosen[i])):
+        if x[i] < least:
+            break
         p = chosen[i]
-        n = min([round(x[i]), *(left[v] // p.count(v) for v in p)])
+        n = min([max(1, round(x[i])), *(left[v] // p.count(v) for v in p)])
         if n > 0:
             out.append((p, n))
             for v in p:
@@ -171,6 +208,25 @@ def best_fit(histogram: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], i
     return [(tuple(p), r) for p, r in entries if r]
 
 
+def fitted_patterns(histogram: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) from rounds of enumerating, fitting and rounding, until a round takes less than a hundredth."""
+    h, out = histogram.astype(np.int64).copy(), []
+    size = np.arange(len(h))
+    for _ in range(ROUNDS):
+        before = int((h * size).sum())
+        chosen = patterns(h, limit)
+        if not chosen:
+            break
+        made = round_counts(h, chosen, fit(h, chosen))
+        for p, n in made:
+            for v in p:
+                h[v] -= n
+        out += made
+        if before - int((h * size).sum()) < before // 100:
+            break
+    return out
+
+
 def plan(histogram: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
     """(pattern, repeats) that hold every piece of the histogram."""
     h = np.zeros(limit + 1, np.int64)
@@ -181,8 +237,7 @@ def plan(histogram: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]
     h[limit] = 0
     if not h.any():
         return done
-    chosen = patterns(h, limit)
-    fitted = round_down(h, chosen, fit(h, chosen))
+    fitted = fitted_patterns(h, limit)
     for p, n in fitted:
         for v in p:
             h[v] -= n
