@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from panelworks.llm.common import SMALL_SLICE, Words, materialise, multipliers, ship_package, slices, window_hashes
 
 #: Coordinates of a signature, and collisions from which a pair is compared. A pair at
-#: similarity 0.75 has 48 on average with standard deviation 3.5: 34 misses about one in 20,000.
-K, T = 64, 34
+#: similarity 0.75 has 48 on average with standard deviation 3.5: fewer than 30 has one in
+#: about two million such pairs, and ever fewer above 0.75.
+K, T = 64, 30
 
 #: A comparison block holds at most about so many nodes and so many bytes of sets.
 BLOCK_NODES, BLOCK_BYTES = 1024, 24 << 20
@@ -94,11 +95,14 @@ def _describe(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of the edges (a, b): equal roots for connected nodes.
 
+    Repeated edges and loops change nothing, edges with a null end are left out, and without
+    edges the result is empty.
+
     Every node is renamed to the least of itself and its neighbours and the edges are
     renamed with it, until none is left; nodes are random digests, so each round leaves a
     fraction of them. The renamings are then applied one after another.
     """
-    edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    edges = materialise(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     renamed: DataFrame | None = None
     while True:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
