@@ -61,7 +61,8 @@ def test_scores_equal_plain_recomputation(spark):
             pairs[context, x] += 1
             if run is not None:
                 odds[run][not holds] += 1
-    assert {(r["pair"] >> lm.WIDTH, r["pair"] & lm.MASK): r["c"] for r in word.pairs.collect()} == pairs
+    counted = [lm.unpack_pairs(r["n"], r["pair"], r["c"]) for r in word.pairs.collect()]
+    assert {(p >> lm.WIDTH, p & lm.MASK): c for pair, n in counted for p, c in zip(pair.tolist(), n.tolist(), strict=True)} == pairs
     for run in range(lm.RUNS):
         hold, fail = odds[run]
         assert np.allclose(10 ** word.match_odds[:, run], [(hold + 0.5) / (hold + fail + 1), (fail + 0.5) / (hold + fail + 1)])

@@ -25,3 +25,26 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in out} == ids[3]
     h = np.bincount([r["length"] for r in out], minlength=4097)
     assert len({r["sequence_id"] for r in out}) <= packing.lower_bound(h, 4096) + 1
+
+
+def test_stages_on_odd_rows(spark, docs, no_docs):
+    """Null and repeated ids, null texts, columns of clashing names, and no rows at all."""
+    odd = docs.withColumnRenamed("lang", "toxicity_score_")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        for rows in (odd, no_docs):
+            got = stage(spark, rows, DATA)
+            if i < 3:
+                assert got.columns == rows.columns
+                assert got.exceptAll(rows).count() == 0
+            if rows is no_docs:
+                assert got.count() == 0
+            elif i == 3:
+                assert got.select("doc_id").distinct().count() == rows.select("doc_id").distinct().count()
+            else:
+                assert got.count() > 0
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{DATA}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

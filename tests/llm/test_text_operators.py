@@ -244,6 +244,22 @@ def test_plan_is_whole_and_tight(seed):
     assert packing.plan(np.zeros(513, int), 512) == []
 
 
+def test_most_tokens_go_by_fitted_patterns():
+    """At several sizes of one length distribution, and no repeat takes more than there is."""
+    r = np.random.default_rng(6)
+    lengths = np.minimum(r.lognormal(6.2, 0.9, 8000).astype(int) + 1, 4095)
+    for times in (1, 40):
+        h = np.bincount(lengths, minlength=4097) * times
+        made = packing.fitted_patterns(h, 4096)
+        used = np.zeros(4097, int)
+        for p, n in made:
+            assert 2 <= len(p) <= 7 and sum(p) == 4096
+            for v in p:
+                used[v] += n
+        assert (used <= h).all()
+        assert (used * np.arange(4097)).sum() >= 0.8 * (h * np.arange(4097)).sum()
+
+
 def test_fit_lowers_the_squared_error():
     h = np.zeros(11, int)
     h[[3, 4, 6, 7]] = 30, 20, 20, 30
@@ -255,7 +271,7 @@ def test_fit_lowers_the_squared_error():
         for v in p:
             rest[v] -= n
     assert (x >= 0).all() and (rest**2).sum() < 1
-    assert sum(n for _, n in packing.round_down(h, chosen, x)) > 45
+    assert sum(n for _, n in packing.round_counts(h, chosen, x)) > 45
 
 
 # Media
@@ -430,6 +446,67 @@ def test_near_duplicates_of_a_chain_and_a_hot_group(spark, monkeypatch):
     assert Counter((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in got) == brute_components(rows)
 
 
+def test_collisions_lose_next_to_no_pair_at_the_limit():
+    """Signatures of 3,000 pairs of sets whose similarity is 0.75 to 0.80, against T; and the binomial tail at 0.75."""
+    from math import comb
+
+    r = np.random.default_rng(11)
+    found = n = 0
+    for _ in range(30):
+        sets, pairs = [], []
+        for i in range(100):
+            union = np.unique(r.integers(0, 1 << 63, 200 + 3 * i).astype(np.uint64))
+            shared = int(np.ceil(len(union) * r.uniform(0.75, 0.80)))
+            mixed = r.permutation(union)
+            own = shared + (len(union) - shared) // 2
+            a, b = np.sort(mixed[:own]), np.sort(np.concatenate([mixed[:shared], mixed[own:]]))
+            assert 0.75 <= len(np.intersect1d(a, b)) / len(union) <= 0.81
+            pairs.append((len(sets), len(sets) + 1))
+            sets += [a, b]
+        sig = neardup.signatures(sets)
+        found += sum((sig[i] == sig[j]).sum() >= neardup.T for i, j in pairs)
+        n += len(pairs)
+    assert found / n >= 0.999
+    assert sum(comb(neardup.K, k) * 0.75**k * 0.25 ** (neardup.K - k) for k in range(neardup.T)) < 1e-6
+
+
+def test_components_without_edges_and_with_nulls(spark):
+    edges = spark.createDataFrame([(b"a", None), (None, b"b"), (b"c", b"c"), (b"d", b"e"), (b"e", b"d")], "a binary, b binary")
+    assert {bytes(r["node"]): bytes(r["root"]) for r in neardup.components(edges).collect()} == {b"d": b"d", b"e": b"d"}
+    assert neardup.components(edges.limit(0)).count() == 0
+
+
+def plain_ftrl(rows, alpha=2.0, beta=1.0, l1=4.0, epochs=10):
+    """FTRL-proximal with a dictionary, feature by feature."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        if f != "bias" and abs(z[f]) <= l1:
+            return 0.0
+        shrunk = abs(z[f]) - (0 if f == "bias" else l1)
+        return -np.sign(z[f]) * shrunk / ((beta + np.sqrt(n[f])) / alpha)
+
+    for _ in range(epochs):
+        for label, present in rows:
+            own = [*present.tolist(), "bias"]
+            w = {f: weight(f) for f in own}
+            g = 1 / (1 + np.exp(-min(max(sum(w.values()), -35), 35))) - label
+            for f in own:
+                sigma = (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / alpha
+                z[f] += g - sigma * w[f]
+                n[f] += g * g
+    return {f: weight(f) for f in z if weight(f)}
+
+
+def test_ftrl_against_a_plain_loop():
+    r = np.random.default_rng(12)
+    rows = [(int(i % 3 == 0), np.unique([*r.integers(0, 60, 8).tolist(), *[70 + i % 3] * (i % 5 > 0)])) for i in range(80)]
+    want = plain_ftrl(rows)
+    got = toxicity.fit_ftrl(rows)
+    assert got.bias == pytest.approx(want.pop("bias"))
+    assert dict(zip(got.index.tolist(), got.value.tolist())) == pytest.approx(want) and len(want) > 1
+
+
 def test_intersections_both_ways():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 300, 100).astype(np.uint64)) for _ in range(60)]
