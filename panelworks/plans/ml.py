@@ -168,8 +168,10 @@ def shap_select(shap: DataFrame, target: str, features: Sequence[str], *, level:
 
     Features whose coefficient is negative go first (the most negative t at a time), then the
     one of the lowest t while its p is at or above ``level``. One normal-equation fit a step.
+    Columns without variance explain nothing and are left out from the start.
     """
-    left = list(features)
+    spread = shap.agg(*[F.stddev_pop(f).alias(f) for f in features]).first()
+    left = [f for f in features if spread[f]]
     t: list[float] = []
     p: list[float] = []
     while left:
