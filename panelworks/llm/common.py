@@ -61,7 +61,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLIC
             yield batch.slice(start, end - start), text.slice(start, end - start)
             start = end
         del batch, text
-        _give_back()
+        give_back()
 
 
 def merged(batches: Iterator[pa.RecordBatch], least_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -76,7 +76,7 @@ def merged(batches: Iterator[pa.RecordBatch], least_bytes: int) -> Iterator[pa.R
             held, size = [], 0
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: a worker lives on between tasks beside others."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call

@@ -36,14 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import Words, materialise, merged, multipliers, ship_package, slices
+from panelworks.llm.common import SMALL_SLICE, Words, give_back, materialise, merged, multipliers, ship_package, slices
 
 #: Words with a code of their own, at most, and their bytes, at most; all others are spelled.
 HEAD, HEAD_BYTES = 131_072, 64
 #: Words seen less often have no code: they stand for the words that training lacks.
 LEAST = 2
 #: Very frequent words: contexts that are broadcast, and (the first CLASSES of them) classes of contexts.
-FREQUENT, CLASSES = 256, 64
+FREQUENT, CLASSES = 64, 64
 #: Bytes before that predict a spelling's next one; bits of a spelling table.
 ORDERS, BITS = 4, 19
 #: Bytes of words that are spelled at once.
@@ -54,10 +54,16 @@ END = "\n"
 #: A table travels in so many parts; each part is summed over so many tasks at a time.
 PARTS, TOGETHER = 16, 128
 #: Code bits that are worked at once.
-EVENTS = 1 << 19
-#: Bits of a symbol; training pairs, about, that one task holds; tokens that a task gathers before it sends them.
-WIDTH, BUCKET_PAIRS, LATER = 18, 100_000, 1 << 21
+EVENTS = 1 << 18
+#: Bits of a symbol; tokens that a task gathers before it sends them.
+WIDTH, LATER = 18, 1 << 20
 MASK = (1 << WIDTH) - 1
+#: A bucket of contexts for about so many training tokens, at most so many buckets, and buckets of one task.
+BUCKET_TOKENS, MOST_BUCKETS, BUCKETS_AT_ONCE = 400_000, 1 << 14, 8
+#: A bucket's results go back by blocks of 2 ** BLOCK documents; tasks that score buckets, at least.
+BLOCK, TASKS = 12, 64
+#: The group of the match counts, which travel with the pairs.
+ODDS = -1 << 40
 #: Depths of code bits that are refined apart, and the steps of the refinement table.
 DEPTHS, STEPS = 16, 33
 
@@ -268,30 +274,38 @@ class WordModel:
         self.row[: min(FREQUENT, self.escape)] = np.arange(min(FREQUENT, self.escape))
         self.row[self.escape :] = FREQUENT, FREQUENT + 1
         self.class_of = np.full(self.escape + 2, CLASSES, np.int32)
-        #: Packed counts (row or class, node); a class of none has no counts.
-        self.dense = np.full((FREQUENT + 2, self.escape), UNSEEN, np.uint16)
-        self.classes = np.full((CLASSES + 1, self.escape), UNSEEN, np.uint16)
+        #: Packed counts (row or class, node), once they are known; a class of none has no counts.
+        self.dense: np.ndarray | None = None
+        self.classes: np.ndarray | None = None
         #: log10 of the chance that a match holds, and that it does not, by the run of matches before.
         self.match_odds = np.full((2, RUNS), math.log10(0.5))
+        #: (g, n, pair, c): the pairs of a context and a symbol with their counts, packed by group (see unpack_pairs).
         self.pairs: DataFrame | None = None
-        self.buckets = 1
+        self.buckets = min(MOST_BUCKETS, max(16, tokens // BUCKET_TOKENS))
         self.mixer: Mixer | None = None
 
     def __getstate__(self):
         state = {k: v for k, v in self.__dict__.items() if k not in ("known", "pairs")}
         for name in ("dense", "classes"):
-            state[name] = state[name].shape, [zlib.compress(x.tobytes(), 1) for x in state[name]]
+            if state[name] is not None:
+                state[name] = state[name].shape, [zlib.compress(x.tobytes(), 1) for x in state[name]]
         return state
 
     def __setstate__(self, state):
         self.__dict__ |= state
         for name in ("dense", "classes"):
+            if state[name] is None:
+                continue
             shape, rows = state[name]
             table = np.empty(shape, np.uint16)
             for i, x in enumerate(rows):
                 table[i] = np.frombuffer(zlib.decompress(x), np.uint16)
             setattr(self, name, table)
 
+    def group(self, context: np.ndarray) -> np.ndarray:
+        """-1 - the context if that is held whole, else its bucket."""
+        return np.where(self.row[context] >= 0, -1 - context, mixed_order(context) * self.buckets >> WIDTH)
+
     def context(self, t: Tokens) -> np.ndarray:
         """The symbol before every token."""
         out = np.empty(len(t.symbol), np.int64)
@@ -368,20 +382,24 @@ class WordModel:
         return out
 
     def score_own(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """log10 probability of symbols after contexts that are held whole; each pair is computed once in a process."""
+        """log10 probability of symbols after contexts that are held whole, in steps of 1 / 4096.
+
+        Each pair is computed once in a process (improbable ones, below 10 ** -15, each time).
+        """
         if "known" not in self.__dict__:
-            self.known = np.zeros((FREQUENT + 2) * (self.escape + 1), np.float32)
-        row = self.row[context]
-        pair = row * (self.escape + 1) + symbol
-        got = self.known.take(pair)
-        new = np.unique(pair[got == 0])
+            self.known = np.zeros((FREQUENT + 2) * (self.escape + 1), np.uint16)
+        pair = self.row[context] * (self.escape + 1) + symbol
+        got = self.known.take(pair).astype(np.int64)
+        new, at = np.unique(pair[got == 0], return_inverse=True)
         if len(new):
             r, s = np.divmod(new, self.escape + 1)
             back = np.append(np.arange(FREQUENT), (self.escape, self.none))
             flat = self.dense.reshape(-1)
-            self.known[new] = self.score_pairs(back[r], s, lambda i, node: flat.take(r[i] * self.escape + node))
-            got = self.known.take(pair)
-        return got.astype(np.float64)
+            score = np.rint(self.score_pairs(back[r], s, lambda i, node: flat.take(r[i] * self.escape + node)) * -4096).astype(np.int64)
+            score = np.maximum(score, 1)
+            self.known[new] = np.where(score < 15 * 4096, score, 0)
+            got[got == 0] = score[at]
+        return got / -4096
 
     def with_match(self, score: np.ndarray, run: np.ndarray) -> np.ndarray:
         """log10 probability of symbols that a match foretold, ``run`` matches having held before."""
@@ -497,7 +515,7 @@ def count_words(rows: DataFrame) -> DataFrame:
     """(word, c) of all words in the column text_ and the end; c counts those of rows with ``train_``."""
 
     def run(batches):
-        for piece, texts in slices(batches, "text_"):
+        for piece, texts in slices(batches, "text_", SMALL_SLICE):
             train = piece.column(1).to_numpy(zero_copy_only=False)
             words = Words(texts, lower=True)
             coded = words.array().dictionary_encode()
@@ -606,91 +624,174 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Model:
     return Model(word, spelling, share, word.escaped, materialise(spelled(rare, spelling), "rare"))
 
 
+#: An odd number and its inverse modulo 2 ** WIDTH.
+_SPREAD = 179_381
+_BACK = pow(_SPREAD, -1, 1 << WIDTH)
+
+
+def mixed_order(context: np.ndarray) -> np.ndarray:
+    """A number below 2 ** WIDTH for each context, spread evenly and never the same for two."""
+    return context * _SPREAD & MASK
+
+
+def _natural(mixed: np.ndarray) -> np.ndarray:
+    """Pairs from numbers whose upper part is the context in mixed order."""
+    return ((mixed >> WIDTH) * _BACK & MASK) << WIDTH | mixed & MASK
+
+
+def pack_pairs(mixed: np.ndarray, c: np.ndarray) -> tuple[bytes, bytes]:
+    """Ordered pairs (contexts in mixed order) and their counts as bytes."""
+    return _squeeze(np.diff(mixed, prepend=0)), _squeeze(c.astype("<i8"))
+
+
+def unpack_pairs(n: int, pair: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts): a pair is context << WIDTH | symbol."""
+    return _natural(np.cumsum(_expand(pair, n, "<i8"))), _expand(c, n, "<i8")
+
+
+def _rows(batch: pa.RecordBatch):
+    """The rows of a batch one by one, so that large values are copied one at a time."""
+    for i in range(batch.num_rows):
+        yield tuple(column[i].as_py() for column in batch.columns)
+
+
+def _sum_equal(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sums of their counts."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    return key[first], np.add.reduceat(c[order], first) if len(key) else c
+
+
 def fit_words(training: DataFrame, word: WordModel) -> None:
-    """Count all contexts and matches of the training texts, and fit the weights to all their bits."""
+    """Count all contexts and matches of the training texts, and fit the weights to all their bits.
+
+    Pairs travel and are kept as packed groups (a context that is held whole, or a bucket of
+    contexts), never as single rows.
+    """
     context = training.sparkSession.sparkContext
     shared = context.broadcast(word)
+    kind, names = "g long, n long, pair binary, c binary", ["g", "n", "pair", "c"]
 
     def pairs(batches):
         held, size, odds = [], 0, np.zeros((2, RUNS), np.int64)
 
         def whole():
+            # Contexts that are held whole first, and all in mixed order: groups are runs.
             every = np.sort(np.concatenate(held))
             first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-            return pa.RecordBatch.from_arrays([pa.array(every[first]), pa.array(np.diff(np.append(first, len(every))))], ["pair", "c"])
-
-        for _, texts in slices(batches, "text_"):
+            c, every = np.diff(np.append(first, len(every))), every[first]
+            mixed = every & ((1 << 2 * WIDTH) - 1)
+            g = shared.value.group(_natural(mixed) >> WIDTH)
+            ends = [*(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            rows = [(int(g[a]), b - a, *pack_pairs(mixed[a:b], c[a:b])) for a, b in zip([0, *ends], ends)]
+            return pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=schema)
+
+        schema = pa.schema([("g", pa.int64()), ("n", pa.int64()), ("pair", pa.binary()), ("c", pa.binary())])
+        for _, texts in slices(batches, "text_", SMALL_SLICE):
             model = shared.value
             t = Tokens(texts, model)
             _, hold, run = model.matches(t)
             odds += np.bincount(run + RUNS * ~hold, minlength=2 * RUNS).reshape(2, RUNS)
-            held.append(model.context(t) << WIDTH | t.symbol)
+            before = model.context(t)
+            held.append(((model.row[before] < 0).astype(np.int64) << WIDTH | mixed_order(before)) << WIDTH | t.symbol)
             size += len(held[-1])
-            if size > 1 << 22:
+            if size > 2 * LATER:
                 yield whole()
                 held, size = [], 0
         if held:
             yield whole()
-        # Matches that held and did not, as negative pairs.
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(2 * RUNS)), pa.array(odds.ravel())], ["pair", "c"])
-
-    every = materialise(training.select("text_").mapInArrow(pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")), "pairs")
+        yield pa.RecordBatch.from_pylist([{"g": ODDS, "n": 2 * RUNS, "pair": b"", "c": odds.tobytes()}], schema=schema)
+
+    def merge(table: pa.Table) -> pa.Table:
+        g, rows = table.column("g")[0].as_py(), list(zip(*(table.column(x).to_pylist() for x in names[1:]), strict=True))
+        own = best = b""
+        if g == ODDS:
+            n, pair, c = 2 * RUNS, b"", sum(np.frombuffer(c, "<i8") for _, _, c in rows).tobytes()
+        else:
+            mixed, c = _sum_equal(np.concatenate([np.cumsum(_expand(p, n, "<i8")) for n, p, _ in rows]), np.concatenate([_expand(c, n, "<i8") for n, _, c in rows]))
+            # A context's class: the very frequent word that follows most often, of equals the most frequent.
+            found = _natural(mixed)
+            at = np.flatnonzero((found & MASK) < CLASSES)
+            before, symbol = found[at] >> WIDTH, found[at] & MASK
+            order = np.lexsort((symbol, -c[at], before))
+            before, symbol = before[order], symbol[order]
+            first = np.append(True, before[1:] != before[:-1])[: len(before)]
+            own, best = before[first].tobytes(), symbol[first].tobytes()
+            n, (pair, c) = len(mixed), pack_pairs(mixed, c)
+            give_back()
+        return pa.table({"g": pa.array([g], pa.int64()), "n": pa.array([n], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in (("pair", pair), ("c", c), ("own", own), ("best", best))}})
+
+    tasks = max(8, word.buckets // BUCKETS_AT_ONCE)
+    sent = training.select("text_").mapInArrow(pairs, kind).repartition(tasks, "g")
+    every = materialise(sent.groupBy("g").applyInArrow(merge, kind + ", own binary, best binary"), "pairs")
     odds = np.zeros(2 * RUNS)
-    for r in every.where("pair < 0").collect():  # 2 * RUNS rows
-        odds[-1 - r["pair"]] = r["c"]
+    for r in every.where(F.col("g") == ODDS).select("c").collect():  # one row
+        odds = np.frombuffer(r["c"], "<i8").astype(np.float64)
     hold, fail = odds.reshape(2, RUNS)
     word.match_odds = np.log10(np.stack([hold + 0.5, fail + 0.5]) / (hold + fail + 1))
-    word.pairs = every.where("pair >= 0")
-    word.buckets = min(1 << WIDTH, max(16, word.pairs.count() // BUCKET_PAIRS))
+    word.pairs = every.where(F.col("g") != ODDS).select(*names)
     nodes = word.escape
+    word.dense, word.classes = (np.full((n, nodes), UNSEEN, np.uint16) for n in (FREQUENT + 2, CLASSES + 1))
     if not nodes:
         word.mixer = word.learner().result(np.zeros(len(word.learner().sums())))
         return
-
-    # A context's class, and the counts of all contexts of each class.
-    split = word.pairs.select(F.shiftright("pair", WIDTH).alias("context"), F.col("pair").bitwiseAND(MASK).alias("symbol"), "c")
-    best = F.max_by("symbol", F.struct("c", -F.col("symbol"))).cast("int").alias("class")
-    for r in split.where(F.col("symbol") < CLASSES).groupBy("context").agg(best).collect():  # at most HEAD + 2 rows of two numbers
-        word.class_of[r["context"]] = r["class"]
+    for r in every.where(F.col("g") != ODDS).select("own", "best").collect():  # two numbers for each of at most HEAD + 2 contexts
+        word.class_of[np.frombuffer(r["own"], "<i8")] = np.frombuffer(r["best"], "<i8")
     classes = context.broadcast(word.class_of)
 
     def by_class(batches):
+        total = None
         for b in batches:
-            pair = b.column(0).to_numpy()
-            own = classes.value[pair >> WIDTH].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own << WIDTH | pair & MASK), b.column(1)], ["pair", "c"])
+            for _, n, pair, c in _rows(b):
+                pair, c = unpack_pairs(n, pair, c)
+                key = classes.value[pair >> WIDTH].astype(np.int64) << WIDTH | pair & MASK
+                total = _sum_equal(*((key, c) if total is None else (np.append(total[0], key), np.append(total[1], c))))
+        if total is None:
+            return
+        own = total[0] >> WIDTH
+        ends = [*(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+        for a, b in zip([0, *ends], ends):
+            yield pa.RecordBatch.from_arrays([pa.array([own[a]]), pa.array([b - a]), *(pa.array([x], pa.binary()) for x in pack_pairs(total[0][a:b] & MASK, total[1][a:b]))], names)
 
     def packed(group: pa.Table) -> pa.Table:
-        model, pair = shared.value, group.column("pair").to_numpy()
-        key, zero, one, _ = model.node_counts(pair, group.column("c").to_numpy())
+        rows = list(zip(*(group.column(x).to_pylist() for x in names[1:]), strict=True))
+        symbol, c = _sum_equal(np.concatenate([np.cumsum(_expand(p, n, "<i8")) for n, p, _ in rows]), np.concatenate([_expand(c, n, "<i8") for n, _, c in rows]))
+        key, zero, one, _ = shared.value.node_counts(symbol, c)
         full = np.full(nodes, UNSEEN, np.uint16)
-        full[key % nodes] = pack(zero, one)
-        return pa.table({"g": pa.array([int(pair[0] >> WIDTH)], pa.int64()), "dense": pa.array([zlib.compress(full.tobytes(), 1)], pa.binary())})
+        full[key] = pack(zero, one)
+        return pa.table({"g": group.column("g").slice(0, 1), "dense": pa.array([zlib.compress(full.tobytes(), 1)], pa.binary())})
 
-    summed = word.pairs.mapInArrow(by_class, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
-    for r in summed.withColumn("g", F.shiftright("pair", WIDTH)).groupBy("g").applyInArrow(packed, "g long, dense binary").collect():  # at most CLASSES + 1 rows
+    for r in word.pairs.mapInArrow(by_class, kind).groupBy("g").applyInArrow(packed, "g long, dense binary").collect():  # at most CLASSES + 1 rows
         if r["g"] < CLASSES:
             word.classes[r["g"]] = np.frombuffer(zlib.decompress(r["dense"]), np.uint16)
-
+    # What follows single words is not needed for the fit.
+    dense, word.dense = word.dense, None
     fitting = context.broadcast(word)
+    word.dense = dense
 
-    def fit(group: pa.Table) -> pa.Table:
-        model = fitting.value
-        key, zero, one, depth = model.node_counts(group.column("pair").to_numpy(), group.column("c").to_numpy())
-        learner = model.learner()
-        model.learn(learner, key, zero, one, depth)
-        number, dense = group.column("g")[0].as_py(), None
-        if number < 0:
-            full = np.full(nodes, UNSEEN, np.uint16)
-            full[key % nodes] = pack(zero, one)
-            dense = zlib.compress(full.tobytes(), 1)
-        return pa.table({"g": pa.array([number], pa.int64()), "dense": pa.array([dense], pa.binary()), "stats": pa.array([learner.sums()], pa.list_(pa.float64()))})
-
-    fitted = materialise(word.pairs.withColumn("g", _group(word)).groupBy("g").applyInArrow(fit, "g long, dense binary, stats array<double>"), "fitted")
+    def fit(batches):
+        model, total = fitting.value, 0
+        fields = ["g", "dense", "stats"]
+        for b in batches:
+            for g, n, pair, c in _rows(b):
+                key, zero, one, depth = model.node_counts(*unpack_pairs(n, pair, c))
+                learner = model.learner()
+                model.learn(learner, key, zero, one, depth)
+                total = total + learner.sums()
+                give_back()
+                if g < 0:
+                    full = np.full(nodes, UNSEEN, np.uint16)
+                    full[key % nodes] = pack(zero, one)
+                    yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([zlib.compress(full.tobytes(), 1)], pa.binary()), pa.nulls(1, pa.list_(pa.float64()))], fields)
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total], pa.list_(pa.float64()))], fields)
+
+    fitted = materialise(word.pairs.mapInArrow(fit, "g long, dense binary, stats array<double>"), "fitted")
     for r in fitted.where("g < 0").select("g", "dense").collect():  # at most FREQUENT + 2 rows of HEAD numbers
         word.dense[word.row[-1 - r["g"]]] = np.frombuffer(zlib.decompress(r["dense"]), np.uint16)
     learner = word.learner()
-    word.mixer = learner.result(_summed(fitted, len(learner.sums())))
+    word.mixer = learner.result(_summed(fitted.where("stats IS NOT NULL"), len(learner.sums())))
 
 
 def fit_spelling(words: DataFrame, letters: np.ndarray) -> SpellingModel:
@@ -722,18 +823,6 @@ def spelled(words: DataFrame, spelling: SpellingModel) -> DataFrame:
     return words.select("word", "c").mapInArrow(run, "word string, c long, spelled double")
 
 
-def _mixed_order(context):
-    """A number below 2 ** WIDTH for each context, spread evenly and never the same for two."""
-    return context * 179_381 % (1 << WIDTH)
-
-
-def _group(word: WordModel) -> Column:
-    """Of a pair: -1 - its context if that is held whole, else its bucket."""
-    context = F.shiftright("pair", WIDTH)
-    bucket = F.shiftright(_mixed_order(context) * word.buckets, WIDTH)
-    return F.when((context < min(FREQUENT, word.escape)) | (context >= word.escape), -1 - context).otherwise(bucket)
-
-
 def _squeeze(x: np.ndarray) -> bytes:
     """Numbers as compressed bytes, the first byte of each before the second of each."""
     return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
@@ -753,55 +842,70 @@ def _score_later(later: DataFrame, word: WordModel, shared) -> DataFrame:
 
     def run(batches):
         model = shared.value[0]
-        current, pairs, table, tokens, size = None, [], None, [], 0
+        current, table, tokens, size = None, None, [], 0
+        rows, sums, many = [], [], 0
+        nothing = np.empty(0, np.int64), np.empty(0, np.uint16)
 
         def flush():
-            nonlocal table, tokens, size
-            if table is None:
-                pair, c = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 2
-                key, zero, one, _ = model.node_counts(pair, c)
-                order = np.argsort(key)
-                table = key[order], pack(zero, one)[order]
-                pairs.clear()
+            nonlocal tokens, size, many
             code, row = (np.concatenate(x) for x in zip(*tokens, strict=True))
             coded = pa.array(code).dictionary_encode()
             every, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-            pair, run = every >> 5, every & 31
-            got = _after(model, pair, *table)
-            hit = np.flatnonzero(run)
-            got[hit] = model.with_match(got[hit], run[hit] - 1)
+            pair, held = every >> 5, every & 31
+            got = _after(model, pair, *(table or nothing))
+            hit = np.flatnonzero(held)
+            got[hit] = model.with_match(got[hit], held[hit] - 1)
             coded = pa.array(row).dictionary_encode()
-            tokens, size = [], 0
-            return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.bincount(coded.indices.to_numpy(), weights=got[at]))], ["row", "later"])
+            # (Every document once in each addition.)
+            rows.append(coded.dictionary.to_numpy())
+            sums.append(np.bincount(coded.indices.to_numpy(), weights=got[at]))
+            tokens, size, many = [], 0, many + len(rows[-1])
+            give_back()
+
+        def added():
+            """The sums of all buckets so far, by blocks of documents."""
+            nonlocal many
+            row, value = _sum_equal(np.concatenate(rows), np.concatenate(sums))
+            rows.clear(), sums.clear()
+            many = 0
+            block = row >> BLOCK
+            ends = [*(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            parts = list(zip([0, *ends], ends))
+            data = [[(row[a:b] & (1 << BLOCK) - 1).astype("<u2").tobytes() for a, b in parts], [value[a:b].astype("<f4").tobytes() for a, b in parts]]
+            return pa.RecordBatch.from_arrays([pa.array([block[a] for a, _ in parts], pa.int64()), *(pa.array(x, pa.binary()) for x in data)], ["block", "at", "value"])
 
         for b in batches:
-            bucket, is_pair = b.column(0).to_numpy(), b.column(5).is_null().to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(bucket * 2 + ~is_pair)) + 1
-            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
-                if low == high:
-                    continue
-                if bucket[low] != current:
+            for bucket, first, n, code, offset in _rows(b):
+                if bucket != current:
                     if tokens:
-                        yield flush()
-                    current, table, pairs = bucket[low], None, []
-                piece = b.slice(low, high - low)
-                if is_pair[low]:
-                    pairs.append((piece.column(1).to_numpy(), piece.column(2).to_numpy()))
+                        flush()
+                    current, table = bucket, None
+                if first is None:
+                    key, zero, one, _ = model.node_counts(*unpack_pairs(n, code, offset))
+                    order = np.argsort(key)
+                    table = key[order], pack(zero, one)[order]
                     continue
-                for first, n, code, offset in zip(*(piece.column(i).to_pylist() for i in (3, 4, 5, 6)), strict=True):
-                    tokens.append((np.cumsum(_expand(code, n, "<i8")), first + _expand(offset, n, "<i4").astype(np.int64)))
-                    size += n
-                    if size > LATER:
-                        yield flush()
+                tokens.append((np.cumsum(_expand(code, n, "<i8")), first + _expand(offset, n, "<i4").astype(np.int64)))
+                size += n
+                if size > LATER:
+                    flush()
+                if many > 2 * LATER:
+                    yield added()
         if tokens:
-            yield flush()
+            flush()
+        if rows:
+            yield added()
+
+    pairs = word.pairs.where("g >= 0").select(F.col("g").alias("bucket"), F.lit(None).cast("long").alias("first"), "n", F.col("pair").alias("code"), F.col("c").alias("offset"))
+    def total(table: pa.Table) -> pa.Table:
+        block, out = table.column("block")[0].as_py(), np.zeros(1 << BLOCK)
+        for at, value in zip(table.column("at"), table.column("value")):
+            out[np.frombuffer(at.as_buffer(), "<u2")] += np.frombuffer(value.as_buffer(), "<f4")
+        used = np.flatnonzero(out)
+        return pa.table({"row": pa.array((block << BLOCK) + used), "later": pa.array(out[used])})
 
-    none = lambda t: F.lit(None).cast(t)
-    pairs = word.pairs.withColumn("bucket", _group(word).cast("long")).where("bucket >= 0")
-    pairs = pairs.select("bucket", "pair", "c", none("long").alias("first"), none("long").alias("n"), none("binary").alias("code"), none("binary").alias("offset"))
-    later = later.select("bucket", none("long").alias("pair"), none("long").alias("c"), "first", "n", "code", "offset")
-    both = pairs.unionByName(later).repartition("bucket").sortWithinPartitions("bucket", F.col("code").isNotNull())
-    return both.mapInArrow(run, "row long, later double").groupBy("row").agg(F.sum("later").alias("later"))
+    both = pairs.unionByName(later).repartition(max(TASKS, word.buckets // BUCKETS_AT_ONCE), "bucket").sortWithinPartitions("bucket", F.col("first").isNotNull())
+    return both.mapInArrow(run, "block long, at binary, value binary").groupBy("block").applyInArrow(total, "row long, later double")
 
 
 def _after(model: WordModel, pair: np.ndarray, key: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -848,17 +952,15 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
             """The tokens gathered, ordered by bucket and pair; a row for every bucket."""
             every = np.sort(np.concatenate(held))
             doc, code = (every & ((1 << 22) - 1)).astype("<i4"), every >> 22
-            mixed = code >> WIDTH + 5
-            bucket = mixed * buckets >> WIDTH
-            context = mixed * pow(179_381, -1, 1 << WIDTH) & MASK
-            code = context << WIDTH + 5 | code & (1 << WIDTH + 5) - 1
+            bucket = (code >> WIDTH + 5) * buckets >> WIDTH
+            code = _natural(code >> 5) << 5 | code & 31
             ends = [*(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
             parts = list(zip([0, *ends], ends))
             data = [pa.array([_squeeze(np.diff(code[a:b], prepend=0)) for a, b in parts], pa.binary()), pa.array([_squeeze(doc[a:b]) for a, b in parts], pa.binary())]
             empty = [pa.nulls(len(parts), x) for x in kinds]
             return pa.RecordBatch.from_arrays([*empty, pa.array([begin] * len(parts), pa.int64()), pa.array([bucket[a] for a, _ in parts], pa.int64()), pa.array([b - a for a, b in parts], pa.int64()), *data], names)
 
-        for piece, texts in slices(batches, "text_"):
+        for piece, texts in slices(batches, "text_", SMALL_SLICE):
             if held and (size > LATER or row + len(texts) - begin >= 1 << 22):
                 yield send()
                 held, size, begin = [], 0, row
@@ -877,7 +979,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
             got[hit] = words.with_match(got[hit], match[own[hit]] - 1)
             own_score[own] += got
             if len(later):
-                pair = _mixed_order(context[later]) << WIDTH | t.symbol[later]
+                pair = mixed_order(context[later]) << WIDTH | t.symbol[later]
                 held.append((pair << 5 | match[later]) << 22 | t.doc[later] + (row - begin))
                 size += len(later)
             coded = t.rare.dictionary_encode()
