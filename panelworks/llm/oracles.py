@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+from panelworks.llm.chat import CONTROLS, NAMES, PROBE
 from panelworks.llm.repetition import SYMBOLS, Rules
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -49,3 +50,28 @@ l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 r AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.r),
 c AS (SELECT doc_id, min(r) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
+
+
+def infill_sql(seed: int = 1) -> str:
+    """The cuts and texts of :func:`panelworks.llm.infill.transform`."""
+    h = ", ".join(f"CAST('0x' || substr(d, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '(?s)[A-Za-z]+|[^A-Za-z]') AS u, sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (SELECT doc_id, t, u, len(u) AS n, {h} FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS x, array_to_string(u[a + 1:b], '') AS y, array_to_string(u[b + 1:n], '') AS z FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(x) END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN length(y) END AS BIGINT) AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def chat_sql() -> str:
+    """The turns, loss texts and sizes of :func:`panelworks.llm.chat.read_back`, roles being the known ones."""
+    escaped = "text"
+    for c in CONTROLS:
+        escaped = f"regexp_replace({escaped}, '(\\\\*{c})', '\\\\\\1', 'g')"
+    names = " ".join(f"WHEN '{k}' THEN {len(v)}" for k, v in NAMES.items())
+    conv, text = PROBE
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT {conv}, i, r, '{text}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+e AS (SELECT *, 15 + CASE role {names} ELSE 1 + 2 * octet_length(encode(role)) END + length({escaped}) AS chars FROM c)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import lm, neardup, ogg, oracles, packing, repair, repetition, sharding, spm, toxicity, urlfilter
+from panelworks.llm import chat, infill, lm, neardup, ogg, oracles, packing, repair, repetition, sharding, spm, toxicity, urlfilter
 
 N_SHARDS = 8
 #: A document is toxic from this score on.
@@ -83,6 +83,16 @@ def op10_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_byte_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.restore(infill.transform(documents(spark, sf_dir)))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.read_back(chat.format_conversations(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,10 +106,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ogg_media,
         op9_repetition_coverage,
         op10_signature_join,
+        op11_byte_automaton,
+        op13_grammar_round_trip,
     )
 }
 
 ORACLES: dict[str, str] = {
     op9_repetition_coverage.__name__: oracles.repetition_sql(),
     op10_signature_join.__name__: oracles.near_duplicate_sql(),
+    op11_byte_automaton.__name__: oracles.infill_sql(),
+    op13_grammar_round_trip.__name__: oracles.chat_sql(),
 }
