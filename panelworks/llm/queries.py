@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import chat, infill, lm, neardup, ogg, oracles, packing, repair, repetition, sharding, spm, toxicity, urlfilter
+from panelworks.llm import align, chat, infill, lm, neardup, ogg, oracles, packing, repair, repetition, sharding, spm, toxicity, urlfilter
 
 N_SHARDS = 8
 #: A document is toxic from this score on.
@@ -88,6 +88,10 @@ def op11_byte_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op12_relational_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_corpus(documents(spark, sf_dir), vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"))
+
+
 def op13_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return chat.read_back(chat.format_conversations(rows))
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_repetition_coverage,
         op10_signature_join,
         op11_byte_automaton,
+        op12_relational_alignment,
         op13_grammar_round_trip,
     )
 }
