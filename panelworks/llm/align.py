@@ -9,6 +9,7 @@ the corpus are grouped once and joined to every link.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 from functools import lru_cache
@@ -16,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ from panelworks.llm.common import SMALL_SLICE, WordCache, materialise, ragged, s
 
 #: Pair counts are broadcast up to so many rows (16 bytes each, about 100 MB as a hash table), else shuffled.
 BROADCAST_PAIRS = 2_000_000
-#: A token in one number: length in bytes above, id below.
-_ID = 16
+#: Ids have at most 16 bits and travel as shorts, less this.
+_ID, _SHIFT = 16, 1 << 15
 #: Around a single space, characters between which both tokenizers always end a token.
 _SAFE = "!-~À-ÖØ-öø-ÿ"
 _CUT = re.compile(f"(?<=[{_SAFE}]) (?=[{_SAFE}])")
@@ -46,7 +47,7 @@ class _Side:
         raise NotImplementedError
 
     def _fresh(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, number of tokens) of different pieces, none for a piece whose tokens' bytes are not a space and the piece."""
+        """(ids, number of ids) of different pieces, none for a piece whose tokens' bytes are not a space and the piece."""
         lists = self.encode(pieces.to_pylist())
         count = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.fromiter((i for x in lists for i in x), np.int64, int(count.sum()))
@@ -58,11 +59,11 @@ class _Side:
         if not (np.array_equal(ends, offsets[1:] + np.arange(1, len(lists) + 1)) and np.array_equal(joined, wanted)):
             good = np.fromiter((b"".join(self.bytes[self.start[i] : self.start[i] + self.length[i]].tobytes() for i in x) == b" " + p.encode() for x, p in zip(lists, pieces.to_pylist())), np.bool_, len(lists))
             keep = np.repeat(good, count)
-            ids, size, count = ids[keep], size[keep], np.where(good, count, 0)
-        return (size << _ID | ids).astype(np.int32), count
+            ids, count = ids[keep], np.where(good, count, 0)
+        return ids.astype(np.int32), count
 
     def tokens(self, text: pa.Array) -> pa.Array:
-        """A list of tokens for every text; empty for a text with a piece that has none."""
+        """A list of shifted ids for every text; empty for a text with a piece that has none."""
         parts = [_CUT.split(t) if t else [] for t in text.to_pylist()]
         number = np.fromiter(map(len, parts), np.int64, len(parts))
         code = pa.array([p for x in parts for p in x], pa.large_string()).dictionary_encode()
@@ -72,7 +73,8 @@ class _Side:
         whole = np.repeat(np.bincount(np.repeat(np.arange(len(parts)), number), each == 0, len(parts)) == 0, number)
         each = np.where(whole, each, 0)
         bound = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(number)])]
-        return pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(known[ragged(starts[index], each)], pa.int32()))
+        ids = (known[ragged(starts[index], each)] - _SHIFT).astype(np.int16)
+        return pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(ids))
 
 
 class ByteLevel(_Side):
@@ -117,14 +119,14 @@ def side(path: str) -> _Side:
 
 
 def tokens_of(text: Column, path: str) -> Column:
-    """array<int> of every text's tokens, length in bytes above the id's 16 bits."""
+    """array<short> of every text's ids less 2**15."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<smallint>")
     def run(text: pa.Array) -> pa.Array:
         tokenizer = side(path)
         batch = pa.RecordBatch.from_arrays([text], ["text"])
         lists = [tokenizer.tokens(t) for _, t in slices([batch], "text", SMALL_SLICE)]
-        return pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
+        return pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int16()))
 
     return run(text)
 
@@ -137,23 +139,31 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def _ends(texts: DataFrame, path: str, name: str) -> DataFrame:
-    """(k1, k2, copies, end, <name>_pos, <name>_all): tokens by end offset; the last one carries the text's tokens."""
-    rows = texts.select(*KEY, "copies", tokens_of(F.col("text"), path).alias("all"))
-    rows = rows.select(*KEY, "copies", "all", F.posexplode("all").alias("pos", "token"))
-    rows = rows.select(*KEY, "copies", "pos", F.shiftrightunsigned("token", _ID).alias("size"), F.when(F.col("pos") == F.size("all") - 1, F.col("all")).alias(f"{name}_all"))
+def _ends(docs: DataFrame, text: str, path: str, name: str) -> DataFrame:
+    """(k1, k2, copies, end, <name>_pos, <name>_all): tokens of different texts by end offset; the last one carries all ids.
+
+    Texts are encoded where they are read, and equal ones meet before and in the shuffle. All
+    that follows goes by text, so it needs no other.
+    """
+    rows = docs.select(F.col(text).cast("string").alias("text")).where("text <> ''")
+    rows = rows.select(*text_key(F.col("text")), tokens_of(F.col("text"), path).alias("all"))
+    one = rows.groupBy(*KEY).agg(F.count("*").alias("copies"), F.first("all").alias("all"))
+    # One literal holds the length in bytes of every id.
+    sizes = F.split(F.lit(",".join(map(str, side(path).length.tolist()))), ",").cast("array<int>")
+    tokens = one.select(*KEY, "copies", "all", F.posexplode("all").alias("pos", "id"))
+    tokens = tokens.select(*KEY, "copies", "pos", F.get(sizes, F.col("id") + _SHIFT).alias("size"), F.when(F.col("pos") == F.size("all") - 1, F.col("all")).alias(f"{name}_all"))
     end = F.sum("size").over(W.partitionBy(*KEY).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return rows.select(*KEY, "copies", end.alias("end"), F.col("pos").alias(f"{name}_pos"), f"{name}_all")
+    return tokens.select(*KEY, "copies", end.alias("end"), F.col("pos").alias(f"{name}_pos"), f"{name}_all")
 
 
-def align(texts: DataFrame, a: str, b: str) -> DataFrame:
-    """(k1, k2, copies, a, b, cuts) of different texts (k1, k2, copies, text) that both tokenizers spell out.
+def align(docs: DataFrame, a: str, b: str, *, text: str = "text") -> DataFrame:
+    """(k1, k2, copies, a, b, cuts) of every different text that both tokenizers spell out.
 
-    a, b: all tokens (:func:`tokens_of`). cuts: for every group, in order, its number and the
+    a, b: all ids (:func:`tokens_of`). cuts: for every group, in order, its number and the
     positions of its last token in a and in b. Texts without tokens are left out.
     """
-    left = _ends(texts, a, "a")
-    right = _ends(texts, b, "b").drop("copies")
+    left = _ends(docs, text, a, "a")
+    right = _ends(docs, text, b, "b").drop("copies")
     # Sizes of exploded tokens are not known to the planner, so it is told not to broadcast them.
     cuts = left.hint("merge").join(right.hint("merge"), [*KEY, "end"])
     numbered = cuts.withColumn("group", F.row_number().over(W.partitionBy(*KEY).orderBy("end")))
@@ -161,12 +171,6 @@ def align(texts: DataFrame, a: str, b: str) -> DataFrame:
     return one.where("a IS NOT NULL AND b IS NOT NULL")
 
 
-def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(k1, k2, copies, text): every different text that is not empty; copies meet before the shuffle."""
-    rows = docs.select(F.col(text).cast("string").alias("text")).where("text <> ''")
-    return rows.groupBy(*text_key(F.col("text"))).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-
-
 class _Digits:
     """Decimal ids as bytes, each with one byte of room for what follows it."""
 
@@ -193,6 +197,18 @@ def _places(counts: np.ndarray, cuts: np.ndarray, pos: np.ndarray) -> tuple[np.n
     return last, last - before
 
 
+@contextlib.contextmanager
+def _by_text(spark: SparkSession):
+    """While this holds, a join on text and offset keeps rows where their text is: its keys include those they are spread by."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def described(aligned: DataFrame) -> DataFrame:
     """(k1, k2, copies, n_a, n_b, groups_sha256, links) of aligned texts; links: an id pair (a above b) for every cut."""
     ship_package(aligned.sparkSession)
@@ -204,7 +220,7 @@ def described(aligned: DataFrame) -> DataFrame:
                 continue
             k1, k2, copies, a, b, cuts = batch.columns
             count = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b, cuts)]
-            ids = [x.flatten().to_numpy().astype(np.int64) & ((1 << _ID) - 1) for x in (a, b)]
+            ids = [x.flatten().to_numpy().astype(np.int64) + _SHIFT for x in (a, b)]
             cut = cuts.flatten()
             placed = [_places(count[i], count[2], cut.field(i + 1).to_numpy(zero_copy_only=False).astype(np.int64)) for i in (0, 1)]
             (last_a, in_a), (last_b, in_b) = placed
@@ -249,7 +265,8 @@ def align_corpus(docs: DataFrame, a: str, b: str, *, key: str = "doc_id", text:
     any length is aligned whole; tokens of one text are sorted on disk if they must be.
     """
     ship_package(docs.sparkSession)
-    found = materialise(described(align(distinct_texts(docs, text), a, b)), "aligned")
+    with _by_text(docs.sparkSession):
+        found = materialise(described(align(docs, a, b, text=text)), "aligned")
     pairs = pair_counts(found)
     small = pairs.count() <= BROADCAST_PAIRS
     links = found.select(*KEY, F.explode("links").alias("pair")).join(F.broadcast(pairs) if small else pairs, "pair")
