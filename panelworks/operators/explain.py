@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelworks.session import materialise
+
 
 def change_vectors(pairs: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
     """(id, changes, vector) from columns ``<c>_from`` and ``<c>_to``; rows without a change are left out.
@@ -101,34 +103,74 @@ def hash_split(df: DataFrame, key: str, shares: Sequence[float] = (0.7, 0.15, 0.
     return numbered.withColumn("part", part.cast("int")).drop("at_", "n_")
 
 
-#: Reference rows that a row is compared with at once, about.
-GOWER_BLOCK = 4096
+#: Reference rows of a block in the last search, about; reference rows of a cell in the first, for each of the k.
+GOWER_BLOCK, GOWER_CELL = 4096, 4
+
+
+def _k_least(found: Column, k: int) -> Column:
+    """struct (total, taken, last) of the k least distances in an array of (d, w), w being how often each counts."""
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("taken"), F.lit(0.0).alias("last"))
+
+    def add(s: Column, x: Column) -> Column:
+        use = F.least(F.lit(k) - s["taken"], x["w"])
+        return F.when(use > 0, F.struct((s["total"] + x["d"] * use).alias("total"), (s["taken"] + use).alias("taken"), x["d"].alias("last"))).otherwise(s)
+
+    return F.aggregate(F.array_sort(found), start, add)
 
 
 def gower_knn(queries: DataFrame, reference: DataFrame, numeric: Sequence[str], categorical: Sequence[str], k: int = 10) -> DataFrame:
     """(id, score): 1 / (1 + mean Gower distance to the k nearest reference rows (rid)).
 
-    Numeric parts are |a - b| over the column's range in the reference. The reference set may
-    have any size: it is cut into blocks of about ``GOWER_BLOCK`` rows, every block gives each
-    id its k nearest rows, and these are merged per id.
+    Numeric parts are |a - b| over the column's range in the reference, 0 where one is null.
+    Equal reference rows are one row with a count. Rows of the same categories meet in cells of
+    the first two numeric columns, about ``GOWER_CELL`` times k to a cell; a result is final if
+    neither a row beyond the searched cells nor one of another category can be nearer. Others
+    are searched in cells 4 and 16 times as wide, and what is left then (rows far off, without
+    a value, or of a rare category) is compared with the reference in blocks, merged per id.
     """
-    ranges = reference.agg(*[F.nullif(F.max(c) - F.min(c), F.lit(0.0)).alias(f"range_{c}") for c in numeric])
-    other = reference.select("rid", *[F.col(c).alias(f"r_{c}") for c in (*numeric, *categorical)]).crossJoin(ranges)
-
-    def distance(row: Column) -> Column:
-        parts = [F.coalesce(F.abs(F.col(c) - row[f"r_{c}"]) / row[f"range_{c}"], F.lit(0.0)) for c in numeric]
-        parts += [(~F.col(c).eqNullSafe(row[f"r_{c}"])).cast("double") for c in categorical]
-        return sum(parts[1:], parts[0]) / len(parts)
-
-    count = reference.count()
-    block = F.pmod(F.xxhash64("rid"), F.lit(max(1, -(-count // GOWER_BLOCK))))
+    columns, parts = [*numeric, *categorical], len(numeric) + len(categorical)
+    ranges = reference.agg(*[F.min(c).alias(f"min_{c}") for c in numeric], *[F.nullif(F.max(c) - F.min(c), F.lit(0.0)).alias(f"range_{c}") for c in numeric], F.count("*").alias("n_ref_"))
+    other = reference.groupBy(*[F.col(c).alias(f"r_{c}") for c in columns]).agg(F.least(F.count("*"), F.lit(k)).alias("w"))
+    other = materialise(other.crossJoin(F.broadcast(ranges)), "gower")  # one row
+    grid = list(numeric[:2])
+    count = other.count()
+
+    def distance(row: Callable[[str], Column]) -> Column:
+        each = [F.coalesce(F.abs(F.col(c) - row(f"r_{c}")) / row(f"range_{c}"), F.lit(0.0)) for c in numeric]
+        each += [(~F.col(c).eqNullSafe(row(f"r_{c}"))).cast("double") for c in categorical]
+        return sum(each[1:], each[0]) / parts
+
+    kind = lambda prefix: F.xxhash64(F.lit(0), *[F.col(f"{prefix}{c}") for c in categorical])
+    left, found = queries.select("id", *columns), None
+    placed = left.crossJoin(F.broadcast(ranges))
+    place = lambda c, x: F.coalesce((F.col(x) - F.col(f"min_{c}")) / F.col(f"range_{c}"), F.when(F.col(x).isNotNull(), F.lit(0.0)))
+    side = min(1.0, max(GOWER_CELL * k / max(count, 1), 1e-12) ** (1 / max(len(grid), 1)))
+    for widen in (1, 4, 16) if grid else ():
+        step = side * widen
+        # A reference row without a value counts as near in that column: it is in cell null there.
+        posted = other.select("*", kind("r_").alias("kind_"), *[F.floor(place(c, f"r_{c}") / step).alias(f"cell_{i}") for i, c in enumerate(grid)])
+        near = placed.where(" AND ".join(f"`{c}` IS NOT NULL" for c in grid)).select("id", *columns, kind("").alias("kind_"), *[place(c, c).alias(f"u_{i}") for i, c in enumerate(grid)])
+        own = [F.floor(F.col(f"u_{i}") / step) for i in range(len(grid))]
+        edge = F.least(*[F.least(F.col(f"u_{i}") - (own[i] - 1) * step, (own[i] + 2) * step - F.col(f"u_{i}")) for i in range(len(grid))]) if len(grid) > 1 else F.least(F.col("u_0") - (own[0] - 1) * step, (own[0] + 2) * step - F.col("u_0"))
+        bound = F.least(edge, F.lit(1.0)) if categorical else edge
+        cells = near.withColumn("bound_", bound / parts)
+        for i in range(len(grid)):
+            cells = cells.withColumn(f"cell_{i}", F.explode(F.array(*[own[i] + d for d in (-1, 0, 1)], F.lit(None).cast("long"))))
+        met = cells.alias("q").join(posted.alias("r"), (F.col("q.kind_") == F.col("r.kind_")) & F.expr(" AND ".join(f"q.cell_{i} <=> r.cell_{i}" for i in range(len(grid)))))
+        best = met.select("id", "bound_", distance(F.col).alias("d"), "w").groupBy("id", "bound_").agg(_k_least(F.collect_list(F.struct("d", "w")), k).alias("b_"))
+        done = best.where((F.col("b_.taken") >= k) & (F.col("b_.last") <= F.col("bound_"))).select("id", (1 / (1 + F.col("b_.total") / F.col("b_.taken"))).alias("score"))
+        done = materialise(done, "gower")
+        found = done if found is None else found.union(done)
+        placed = placed.join(done.select("id"), "id", "left_anti")
+        left = left.join(done.select("id"), "id", "left_anti")
+        if left.isEmpty():
+            return found
+    block = F.pmod(F.xxhash64(*[f"r_{c}" for c in columns]), F.lit(max(1, -(-count // GOWER_BLOCK))))
     blocks = other.groupBy(block.alias("block_")).agg(F.collect_list(F.struct(*other.columns)).alias("rows_"))
-    # Small references are broadcast, so that the crossing stays spread over the queries' tasks.
-    near = queries.select("id", *numeric, *categorical).crossJoin(F.broadcast(blocks) if count <= 10_000 else blocks)
-    nearest = F.slice(F.array_sort(F.transform("rows_", lambda x: F.struct(distance(x).alias("d"), x["rid"].alias("rid")))), 1, k)
-    merged = near.select("id", nearest.alias("n_")).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("n_"))), 1, k).alias("n_"))
-    total = F.aggregate("n_", F.lit(0.0), lambda s, x: s + x["d"])
-    return merged.select("id", (1 / (1 + total / F.size("n_"))).alias("score"))
+    nearest = F.slice(F.array_sort(F.transform("rows_", lambda x: F.struct(distance(lambda c: x[c]).alias("d"), x["w"].alias("w")))), 1, k)
+    merged = left.crossJoin(blocks).select("id", nearest.alias("n_")).groupBy("id").agg(_k_least(F.flatten(F.collect_list("n_")), k).alias("b_"))
+    rest = merged.select("id", (1 / (1 + F.col("b_.total") / F.col("b_.taken"))).alias("score"))
+    return rest if found is None else found.union(rest)
 
 
 def top_features(shap: DataFrame, k: int = 10) -> DataFrame:

@@ -64,30 +64,44 @@ def value_ranks(df: DataFrame, score: str, *, descending: bool = True) -> DataFr
     return out.crossJoin(F.broadcast(total)).select(score, "n_before", "n_equal", "n_all", "dense")
 
 
+#: Relative rank error of the sketch that brackets exact percentiles, as its inverse.
+SKETCH = 20_000
+
+
 def grouped_percentiles(rows: DataFrame, by: str, value: str, shares: Sequence[float]) -> DataFrame:
     """(by, n, p): exact percentiles of every group's values, with linear interpolation between neighbours.
 
-    Nulls are left out; a group without values has no row. Only counts of different values
-    are sorted, spread over the cluster, and of these the neighbours of each share are taken.
+    Nulls are left out; a group without values has no row. Two aggregations: a mergeable sketch
+    brackets each wanted rank by two values, then the values within a bracket (a few of
+    ``SKETCH`` parts of the rows) are counted, all below as one, and the neighbours are read off.
     """
     named = rows.select(F.col(by).alias("by_"), F.col(value).cast("double").alias("value_")).where("value_ IS NOT NULL")
-    counts = named.groupBy("by_", "value_").agg(F.count("*").alias("n_equal"))
-    ranked = _counted_before(counts, [F.asc("by_"), F.asc("value_")])
-    ends = ranked.groupBy("by_").agg(F.min("n_before").alias("start_"), F.sum("n_equal").alias("n_"))
-    first = F.col("n_before") - F.col("start_")
-    picked = []
+    slack = 2 / SKETCH
+    ends = [max(q - slack, 0.0) for q in shares] + [min(q + slack, 1.0) for q in shares]
+    found = named.groupBy("by_").agg(F.count("*").alias("n"), F.min("value_").alias("least_"), F.max("value_").alias("most_"), F.percentile_approx("value_", [float(e) for e in ends], SKETCH).alias("e_"))
+    at = lambda q: (F.col("n") - 1) * F.lit(float(q))
+    brackets = []
     for i, q in enumerate(shares):
-        at = (F.col("n_") - 1) * F.lit(float(q))
-        for name, k in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            picked.append(F.max(F.when((first <= k) & (k < first + F.col("n_equal")), F.col("value_"))).alias(f"{name}{i}"))
+        few = F.col("n") * slack < 4  # all of a small group
+        low = F.col("least_") if q <= slack else F.when(few, F.col("least_")).otherwise(F.col("e_")[i])
+        high = F.col("most_") if q >= 1 - slack else F.when(few, F.col("most_")).otherwise(F.col("e_")[len(shares) + i])
+        brackets.append(F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high")))
+    sizes = found.select("by_", "n", F.array(*brackets).alias("brackets_"))
     # Null is a group as any other.
-    joined = ranked.withColumnRenamed("by_", "own_").join(ends, F.col("own_").eqNullSafe(F.col("by_")))
-    one = joined.groupBy("by_").agg(F.max("n_").alias("n"), *picked)
-    between = []
-    for i, q in enumerate(shares):
-        at = (F.col("n") - 1) * F.lit(float(q))
-        between.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (at - F.floor(at)))
-    return one.select(F.col("by_").alias(by), "n", F.array(*between).alias("p"))
+    met = named.withColumnRenamed("by_", "own_").join(sizes, F.col("own_").eqNullSafe(F.col("by_")))
+    near = met.select("by_", "n", "value_", F.explode("brackets_").alias("b_")).where(F.col("value_") <= F.col("b_.high"))
+    # What lies below a bracket is counted under null, which is first in the order.
+    inside = F.when(F.col("value_") >= F.col("b_.low"), F.col("value_"))
+    counts = near.groupBy("by_", "n", F.col("b_.i").alias("i"), inside.alias("v_")).agg(F.count("*").alias("c_"))
+    before = F.sum("c_").over(W.partitionBy("by_", "i").orderBy(F.asc_nulls_first("v_")).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("c_")
+    rank = F.element_at(F.array(*[at(q) for q in shares]), F.col("i") + 1)
+    hit = lambda k: F.max(F.when((F.col("before_") <= k) & (k < F.col("before_") + F.col("c_")), F.col("v_")))
+    ranked = counts.withColumn("before_", before).withColumn("rank_", rank)
+    picked = ranked.groupBy("by_", "n", "i", "rank_").agg(hit(F.floor("rank_")).alias("lo_"), hit(F.ceil("rank_")).alias("hi_"))
+    between = F.col("lo_") + (F.col("hi_") - F.col("lo_")) * (F.col("rank_") - F.floor("rank_"))
+    each = picked.select("by_", "n", "i", F.coalesce(between, F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")).alias("x_"))
+    one = each.groupBy("by_").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("i") == i, F.col("x_"))).alias(f"x{i}_") for i in range(len(shares))])
+    return one.select(F.col("by_").alias(by), "n", F.array(*[f"x{i}_" for i in range(len(shares))]).alias("p"))
 
 
 def percentiles(df: DataFrame, column: str | Column, shares: Sequence[float], to: str = "p") -> DataFrame:

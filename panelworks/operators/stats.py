@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelworks.operators.scoring import grouped_percentiles, percentiles, value_ranks
+from panelworks.operators.scoring import BLOCK, grouped_percentiles, percentiles, value_ranks
 
 
 def score_summary(df: DataFrame, column: str) -> DataFrame:
@@ -55,14 +55,12 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def mode_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, top, pct): the most frequent non-null value (ties: the least) and its share of non-nulls."""
-    out = None
-    for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("top")).agg(F.count("*").alias("n_"))
-        one = counts.agg(F.min_by("top", F.struct((-F.col("n_")).alias("m"), "top")).alias("top"), (F.try_divide(F.max("n_"), F.sum("n_")) * 100).alias("pct"))
-        one = one.select(F.lit(c).alias("column"), "top", "pct")
-        out = one if out is None else out.union(one)
-    return out
+    """(column, top, pct): the most frequent non-null value (ties: the least) and its share of non-nulls, in one pass."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "top").where("top IS NOT NULL")
+    counts = long.groupBy("column", "top").agg(F.count("*").alias("n_"))
+    found = counts.groupBy("column").agg(F.min_by("top", F.struct((-F.col("n_")).alias("m"), "top")).alias("top"), (F.max("n_") / F.sum("n_") * 100).alias("pct"))
+    frame = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    return frame.join(found, "column", "left")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -157,18 +155,15 @@ def classification_metrics(df: DataFrame, label: str, probability: str, cut: flo
 
 def curve_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr, precision): one point for every distinct score, highest first."""
-    counts = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
-    ranks = value_ranks(df, score)
-    pos = value_ranks(df.where(F.col(label) == 1), score).select(score, F.col("n_before").alias("p_before"), F.col("n_equal").alias("p_equal"))
+    counts = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"))
     totals = df.agg(F.sum(F.col(label).cast("long")).alias("p_"), F.count("*").alias("t_"))
-    # Positives at or above a score: those before it among the positives, by the values they have.
-    own = counts.select(score, "pos")
-    joined = ranks.join(own, score).join(pos, score, "left")
-    block = F.floor((F.col("dense") - 1) / 65536)
+    joined = value_ranks(df, score).join(counts, score)
+    # Positives at or above a score: those of whole blocks of values ahead, and of the values before it in its block.
+    block = F.floor((F.col("dense") - 1) / BLOCK)
     sums = joined.groupBy(block.alias("b_")).agg(F.sum("pos").alias("s_"))
     ahead = sums.select("b_", F.coalesce(F.sum("s_").over(W.orderBy("b_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead_"))
     tp = F.col("ahead_") + F.sum("pos").over(W.partitionBy("b_").orderBy("dense"))
-    out = joined.withColumn("b_", block).join(F.broadcast(ahead), "b_").withColumn("tp", tp).withColumn("fp", F.col("n_before") + F.col("n_equal") - F.col("tp"))
+    out = joined.withColumn("b_", block).join(ahead, "b_").withColumn("tp", tp).withColumn("fp", F.col("n_before") + F.col("n_equal") - F.col("tp"))
     out = out.crossJoin(F.broadcast(totals))
     return out.select(F.col(score).alias("threshold"), "tp", "fp", F.try_divide("tp", "p_").alias("tpr"), F.try_divide(F.col("fp"), F.col("t_") - F.col("p_")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 

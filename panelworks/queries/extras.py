@@ -45,15 +45,20 @@ def site_document(spark, d):
     return filters.document(people(spark, d), {"Site": {"Segment": "segment", "Nation": "nation"}, "Score": {"Label": "label"}})
 
 
-@query(f"""WITH {PEOPLE} SELECT id, CAST(CAST(round(CAST(p AS DECIMAL(18, 8)) * 100, 1) AS DECIMAL(18, 1)) AS VARCHAR) || '%' AS share, CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END AS flag FROM people""")
+@query(f"""WITH {PEOPLE} SELECT id, CAST(CAST(round(CAST(p AS DECIMAL(18, 8)) * 100, 1) AS DECIMAL(18, 1)) AS VARCHAR) || '%' AS share, CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END AS flag,
+ '$' || format('{{:,.2f}}', acctbal) AS balance, format('{{:,d}}', id * 1000) AS many, CASE WHEN nation = 3 THEN 'N/A' ELSE format('{{:,d}}', CAST(nation AS BIGINT)) END AS nation FROM people""")
 def shown_values(spark, d):
-    return people(spark, d).select("id", scalar.show(F.col("p"), "percent").alias("share"), scalar.show(F.col("label"), "yes_no").alias("flag"))
+    show = scalar.show
+    nation = F.when(F.col("nation") != 3, F.col("nation"))
+    return people(spark, d).select("id", show(F.col("p"), "percent").alias("share"), show(F.col("label"), "yes_no").alias("flag"), show(F.col("acctbal"), "currency").alias("balance"), show(F.col("id") * 1000, "count").alias("many"), show(nation, "count").alias("nation"))
 
 
-@query("SELECT 'r_retail_food' AS name, 'Retail Food' AS shown UNION ALL SELECT 'log_total_revenue', 'Total Revenue' UNION ALL SELECT 'c_emv_enabled_encoded', 'Emv Enabled'")
+@query("""WITH n AS (SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN 'r_' WHEN 1 THEN 'c_' ELSE 'log_' END || replace(lower(p_name), ' ', '_') || CASE WHEN p_size % 2 = 0 THEN '_encoded' ELSE '' END AS name FROM part)
+SELECT name, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(name, '^(r_|c_|log_)', ''), '_encoded$', ''), '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS shown, contains(name, 'log_') AS logged FROM n""")
 def display_names(spark, d):
-    names = spark.createDataFrame([("r_retail_food",), ("log_total_revenue",), ("c_emv_enabled_encoded",)], "name string")
-    return names.select("name", scalar.display_name(F.col("name")).alias("shown"))
+    prefix = F.when(F.col("p_size") % 3 == 0, "r_").when(F.col("p_size") % 3 == 1, "c_").otherwise("log_")
+    name = F.concat(prefix, F.replace(F.lower("p_name"), F.lit(" "), F.lit("_")), F.when(F.col("p_size") % 2 == 0, "_encoded").otherwise(""))
+    return table(spark, d, "part").select(name.alias("name")).distinct().select("name", scalar.display_name(F.col("name")).alias("shown"), F.contains("name", F.lit("log_")).alias("logged"))
 
 
 # Scores have six and seven decimals: they are compared as whole numbers.
@@ -84,11 +89,13 @@ def panel_description(spark, d):
     return rounded(stats.describe(panel(spark, d), ["revenue", "impressions"]), 2)
 
 
-@query(f"""WITH {PEOPLE}, {SITES} SELECT id, lat, lon, coalesce(avg_monthly_revenue, 0.0) AS avg_monthly_revenue, coalesce(active_months, 0) AS active_months, coalesce(nullif(status, ''), 'Unknown') AS status FROM people LEFT JOIN sites USING (id)""")
+@query(f"""WITH {PEOPLE}, {SITES}, e AS (SELECT quantile_cont(avg_monthly_revenue, 0.2) AS lo, quantile_cont(avg_monthly_revenue, 0.95) AS hi FROM sites WHERE status = 'Active'),
+v AS (SELECT id, coalesce(least(greatest((avg_monthly_revenue - lo) / (hi - lo), 0), 1), 0) AS s FROM sites, e)
+SELECT id, lat, lon, {R('coalesce(s, 0)', 5)} AS revenue_score, coalesce(avg_monthly_revenue, 0.0) AS avg_monthly_revenue, coalesce(active_months, 0) AS active_months, coalesce(nullif(status, ''), 'Unknown') AS status FROM people LEFT JOIN sites USING (id) LEFT JOIN v USING (id)""")
 def site_list(spark, d):
-    s = sites(spark, d)
-    out = filters.site_list(people(spark, d).select("id", "lat", "lon"), s, s.select("id", "status"), values=["avg_monthly_revenue", "active_months"])
-    return out.select("id", "lat", "lon", "avg_monthly_revenue", F.col("active_months").cast("long").alias("active_months"), "status")
+    s = scoring.revenue_score(sites(spark, d), "avg_monthly_revenue")
+    out = filters.site_list(people(spark, d).select("id", "lat", "lon"), s, s.select("id", "status"), values=["revenue_score", "avg_monthly_revenue", "active_months"])
+    return out.select("id", "lat", "lon", (F.round(F.col("revenue_score") + 1e-8, 5) + 0.0).alias("revenue_score"), "avg_monthly_revenue", F.col("active_months").cast("long").alias("active_months"), "status")
 
 
 def _presets(spark, d):

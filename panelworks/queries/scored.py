@@ -254,11 +254,14 @@ def conformal_sets(spark, d):
     return stats.conformal_sets(c.where("id % 2 = 1"), "p", limit).select("id", "has_1", "has_0", "set_size")
 
 
-@query(f"""WITH {PEOPLE}, s AS (SELECT label, p >= 0.4 AS a, 1 - p >= 0.4 AS b FROM people)
-SELECT {R('avg(CAST(CASE WHEN label = 1 THEN a ELSE b END AS INTEGER))')} AS coverage, {R('avg(CAST(a AS INTEGER) + CAST(b AS INTEGER))')} AS avg_set_size, {R('avg(CAST(a AND b AS INTEGER)) * 100')} AS pct_uncertain, {R('avg(CAST(NOT a AND NOT b AS INTEGER)) * 100')} AS pct_empty FROM s""")
+@query(f"""WITH {PEOPLE}, cal AS (SELECT row_number() OVER (ORDER BY s) AS r, count(*) OVER () AS n, s FROM (SELECT 1 - CASE WHEN label = 1 THEN p ELSE 1 - p END AS s FROM people WHERE id % 2 = 0)),
+t AS (SELECT 1 - max(s) AS t FROM cal WHERE r = least(ceil((n + 1) * 0.9), n)), s AS (SELECT label, p >= t - 1e-12 AS a, 1 - p >= t - 1e-12 AS b FROM people, t WHERE id % 2 = 1),
+c AS (SELECT {R('avg(CAST(CASE WHEN label = 1 THEN a ELSE b END AS INTEGER))')} AS coverage, {R('avg(CAST(a AS INTEGER) + CAST(b AS INTEGER))')} AS avg_set_size, {R('avg(CAST(a AND b AS INTEGER)) * 100')} AS pct_uncertain, {R('avg(CAST(NOT a AND NOT b AS INTEGER)) * 100')} AS pct_empty FROM s)
+SELECT *, printf('coverage %.1f%% (target 90.0%% %s), %.1f%% uncertain, %.1f%% empty', coverage * 100, CASE WHEN coverage >= 0.9 THEN 'met' ELSE 'missed' END, pct_uncertain, pct_empty) AS text FROM c""")
 def conformal_coverage(spark, d):
-    limit = spark.range(1).select(F.lit(0.4).alias("threshold"))
-    return rounded(stats.conformal_coverage(stats.conformal_sets(people(spark, d), "p", limit), "label"))
+    c = people(spark, d)
+    limit = stats.conformal_threshold(c.where("id % 2 = 0"), "label", "p").select((F.col("threshold") - 1e-12).alias("threshold"))
+    return stats.coverage_text(rounded(stats.conformal_coverage(stats.conformal_sets(c.where("id % 2 = 1"), "p", limit), "label")))
 
 
 @query("SELECT p_brand AS model, round(avg(p_retailprice), 4) AS mean, round(stddev_samp(p_retailprice), 4) AS std, round(stddev_samp(p_retailprice) / greatest(abs(avg(p_retailprice)), 1e-6), 6) AS cv FROM part GROUP BY 1")
@@ -299,12 +302,12 @@ def hash_split(spark, d):
     return explain.hash_split(people(spark, d).select("id"), "id")
 
 
-@query(f"""WITH {PEOPLE}, ref AS (SELECT id AS rid, p AS rp, q AS rq, segment AS rs FROM people WHERE label = 1 AND segment = 'MACHINERY'), g AS (SELECT max(rp) - min(rp) AS gp, max(rq) - min(rq) AS gq FROM ref),
-m AS (SELECT id, (abs(p - rp) / gp + abs(q - rq) / gq + CAST(segment <> rs AS INTEGER)) / 3 AS dist, rid FROM people CROSS JOIN ref CROSS JOIN g WHERE NOT (label = 1 AND segment = 'MACHINERY')),
+@query(f"""WITH {PEOPLE}, ref AS (SELECT id AS rid, p AS rp, q AS rq, segment AS rs FROM people WHERE label = 1), g AS (SELECT max(rp) - min(rp) AS gp, max(rq) - min(rq) AS gq FROM ref),
+m AS (SELECT id, (abs(p - rp) / gp + abs(q - rq) / gq + CAST(segment <> rs AS INTEGER)) / 3 AS dist, rid FROM people CROSS JOIN ref CROSS JOIN g WHERE label = 0),
 k AS (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist, rid) AS r FROM m) SELECT id, {R('1 / (1 + avg(dist))')} AS score FROM k WHERE r <= 10 GROUP BY id""")
 def gower_knn(spark, d):
     c = people(spark, d)
-    return rounded(explain.gower_knn(c.where("NOT (label = 1 AND segment = 'MACHINERY')"), c.where("label = 1 AND segment = 'MACHINERY'").withColumnRenamed("id", "rid"), ["p", "q"], ["segment"]))
+    return rounded(explain.gower_knn(c.where("label = 0"), c.where("label = 1").withColumnRenamed("id", "rid"), ["p", "q"], ["segment"]))
 
 
 @query("SELECT l_returnflag AS feature, round(avg(abs(l_discount - 0.05)), 6) AS mean_abs FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2")

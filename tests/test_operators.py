@@ -27,26 +27,46 @@ def rows(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-TRANSACTIONS = [("kiosk", "2023-05-07", 31, "P9"), ("kiosk", "2023-05-19", 0, "P9"), ("kiosk", "2023-05-20", 4, "P9"), ("pier", "2023-05-19", 77, "P4")]
-STATUS = [("kiosk", "2023-05-07", "Active", "P9"), ("kiosk", "2023-05-19", "Active", "P9"), ("kiosk", "2023-05-20", "Deactivated", "P9"), ("tower", "2023-05-07", "Active", "P6")]
-
-
 def monthly(spark, t, s):
     a = spark.createDataFrame([(i, day(d), n, g) for i, d, n, g in t], "id string, date date, transactions long, gtvid string")
     b = spark.createDataFrame([(i, day(d), n, g) for i, d, n, g in s], "id string, date date, status string, gtvid string")
     return rows(activity.monthly_activity(a, b), "id", "year_month", "gtvid", "active_days", "transaction_days", "total_days_in_data")
 
 
-def test_monthly_activity(spark):
-    assert monthly(spark, TRANSACTIONS, STATUS) == [("kiosk", "2023-05", "P9", 2, 2, 3), ("pier", "2023-05", "P4", 0, 1, 1), ("tower", "2023-05", "P6", 1, 0, 1)]
+def plain_months(t, s):
+    """The rule over Python dictionaries: first row of a day by (gtvid, value), then days of either table by month."""
+    first_t = {(i, d): min((g, n) for j, e, n, g in t if (j, e) == (i, d)) for i, d, _, _ in t}
+    first_s = {(i, d): min((g, v) for j, e, v, g in s if (j, e) == (i, d)) for i, d, _, _ in s}
+    months = {}
+    for i, d in first_t.keys() | first_s.keys():
+        g = first_t.get((i, d), first_s.get((i, d)))[0]
+        months.setdefault((i, d[:7]), []).append((g, first_s.get((i, d), ("", ""))[1] == "Active", first_t.get((i, d), ("", 0))[1] > 0))
+    return sorted((i, m, min(x[0] for x in days), sum(x[1] for x in days), sum(x[2] for x in days), len(days)) for (i, m), days in months.items())
 
 
-def test_monthly_activity_drops_repeats_and_splits_months(spark):
-    t = [("dock", "2023-08-11", 6, "Q")] * 4 + [("dock", "2023-08-12", 2, "Q")]
-    assert monthly(spark, t, []) == [("dock", "2023-08", "Q", 0, 2, 2)]
-    t = [("gate", "2023-09-30", 3, "Q"), ("gate", "2023-10-01", 8, "Q")]
-    s = [("gate", "2023-09-30", "Active", "Q"), ("gate", "2023-10-01", "Deactivated", "Q")]
-    assert monthly(spark, t, s) == [("gate", "2023-09", "Q", 1, 1, 1), ("gate", "2023-10", "Q", 0, 1, 1)]
+def test_monthly_activity(spark):
+    """Seven ids over a turn of the year, all in both tables for some days; days repeat in both; one id never sells."""
+    t, s = [], []
+    for n in range(7):
+        for k in range(0, 64, n + 2):
+            d = (dt.date(2020, 12, 3) + dt.timedelta(days=k)).isoformat()
+            t.append((f"e{n}", d, 0 if n == 4 else (k * 13 + n) % 5, f"G{n}"))
+            if k % 3 == 0:
+                t.append((f"e{n}", d, (k + n) % 2, f"G{n}"))
+        for k in range(n, 75, 3):
+            d = (dt.date(2020, 11, 28) + dt.timedelta(days=k)).isoformat()
+            s += [(f"e{n}", d, ("Active", "Removed", "Deactivated")[(k * n) % 3], f"G{n}")] * (1 + k % 2)
+            if k % 5 == 0:
+                s.append((f"e{n}", d, "Closed", f"H{n}"))
+    assert monthly(spark, t, s) == plain_months(t, s)
+    assert {m for _, m, *_ in plain_months(t, s)} == {"2020-11", "2020-12", "2021-01", "2021-02"}
+
+
+def test_monthly_activity_of_one_table_alone(spark):
+    t = [("z", "2024-02-29", 5, "A"), ("z", "2024-03-31", 0, "A"), ("y", "2024-02-10", 1, None)]
+    assert monthly(spark, t, []) == [("y", "2024-02", None, 0, 1, 1), ("z", "2024-02", "A", 0, 1, 1), ("z", "2024-03", "A", 0, 0, 1)]
+    s = [("z", "2024-02-29", None, "A"), ("x", "2024-12-31", "Active", "B"), ("x", "2025-01-01", "Active", "B")]
+    assert monthly(spark, [], s) == [("x", "2024-12", "B", 1, 0, 1), ("x", "2025-01", "B", 1, 0, 1), ("z", "2024-02", "A", 0, 0, 1)]
 
 
 SHOPS = [("m1", "Utrecht", "north"), ("m2", "Utrecht", "south"), ("m3", "Ghent", "north"), ("m4", "Bremen", "south"), ("m5", "Bremen", "east"), ("m6", "Ghent", "east")]
