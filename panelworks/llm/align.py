@@ -27,9 +27,35 @@ from panelworks.llm.common import SMALL_SLICE, WordCache, materialise, ragged, s
 BROADCAST_PAIRS = 2_000_000
 #: Ids have at most 16 bits and travel as shorts, less this.
 _ID, _SHIFT = 16, 1 << 15
-#: Around a single space, characters between which both tokenizers always end a token.
-_SAFE = "!-~À-ÖØ-öø-ÿ"
-_CUT = re.compile(f"(?<=[{_SAFE}]) (?=[{_SAFE}])")
+#: Every so many new pieces of the byte-level tokenizer are also encoded by its library, and a difference raises.
+CHECKED = 16
+#: Text whose tokens one task sorts, about, and partitions at most (beyond these, tasks sort on disk).
+PART_BYTES, MOST_PARTS = 3 << 20, 20_000
+#: Fixed value: the byte-level pre-tokenizer's stretches.
+STRETCHES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def cut_pieces(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(pieces of all texts, number of pieces of each): cut at single spaces between visible characters of Latin-1.
+
+    Both tokenizers always end a token before such a space, so the ids of a text are those of
+    its pieces, each behind its space. Empty texts have no piece.
+    """
+    data, offsets = utf8_buffer(text)
+    visible = (data > 32) & (data < 127)
+    letter = data == 0xC3  # begins a letter from U+00C0 to U+00FF
+    cut = data == 32
+    cut[1:] &= visible[:-1] | np.append(False, letter[:-2] & (data[1:-1] >= 0x80)) if len(data) > 1 else False
+    cut[:-1] &= visible[1:] | letter[1:]
+    full = offsets[:-1] < offsets[1:]
+    cut[offsets[:-1][full]] = False
+    cut[offsets[1:][full] - 1] = False
+    at = np.flatnonzero(cut)
+    number = np.diff(np.searchsorted(at, offsets)) + full
+    starts = np.sort(np.concatenate([offsets[:-1][full], at + 1]))
+    ends = np.sort(np.concatenate([offsets[1:][full], at]))
+    bound = np.concatenate([[0], np.cumsum(ends - starts)])
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bound), pa.py_buffer(data[~cut])]), number
 
 
 class _Side:
@@ -64,13 +90,12 @@ class _Side:
 
     def tokens(self, text: pa.Array) -> pa.Array:
         """A list of shifted ids for every text; empty for a text with a piece that has none."""
-        parts = [_CUT.split(t) if t else [] for t in text.to_pylist()]
-        number = np.fromiter(map(len, parts), np.int64, len(parts))
-        code = pa.array([p for x in parts for p in x], pa.large_string()).dictionary_encode()
+        pieces, number = cut_pieces(text)
+        code = pieces.dictionary_encode()
         known, starts, lengths = self.cache.get(code.dictionary, self._fresh)
         index = code.indices.to_numpy()
         each = lengths[index]
-        whole = np.repeat(np.bincount(np.repeat(np.arange(len(parts)), number), each == 0, len(parts)) == 0, number)
+        whole = np.repeat(np.bincount(np.repeat(np.arange(len(number)), number), each == 0, len(number)) == 0, number)
         each = np.where(whole, each, 0)
         bound = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(number)])]
         ids = (known[ragged(starts[index], each)] - _SHIFT).astype(np.int16)
@@ -78,9 +103,14 @@ class _Side:
 
 
 class ByteLevel(_Side):
-    """A byte-level BPE file of the tokenizers library; special tokens' strings are plain text."""
+    """A byte-level BPE file of the tokenizers library; special tokens' strings are plain text.
+
+    Pieces go through tiktoken's merger, whose ranks are the file's ids; a share of them is
+    compared with the library.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -89,10 +119,16 @@ class ByteLevel(_Side):
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in shown)}
         special = set(self.library.get_added_tokens_decoder())
         names = (self.library.id_to_token(i) for i in range(self.library.get_vocab_size()))
-        super().__init__([b"" if i in special else bytes(byte[c] for c in name) for i, name in enumerate(names)])
+        entries = [b"" if i in special else bytes(byte[c] for c in name) for i, name in enumerate(names)]
+        super().__init__(entries)
+        self.merger = tiktoken.Encoding("pieces", pat_str=STRETCHES, mergeable_ranks={e: i for i, e in enumerate(entries) if e}, special_tokens={})
 
     def encode(self, pieces):
-        return [x.ids for x in self.library.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+        given = [" " + p for p in pieces]
+        ids = [self.merger.encode_ordinary(p) for p in given]
+        if [x.ids for x in self.library.encode_batch(given[::CHECKED], add_special_tokens=False)] != ids[::CHECKED]:
+            raise RuntimeError("the merger and the tokenizers library disagree")
+        return ids
 
 
 class Pieces(_Side):
@@ -198,15 +234,21 @@ def _places(counts: np.ndarray, cuts: np.ndarray, pos: np.ndarray) -> tuple[np.n
 
 
 @contextlib.contextmanager
-def _by_text(spark: SparkSession):
-    """While this holds, a join on text and offset keeps rows where their text is: its keys include those they are spread by."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "false")
+def _by_text(spark: SparkSession, parts: int):
+    """While this holds, shuffles have ``parts`` parts, and a join on text and offset keeps rows where their text is.
+
+    Spark would join parts that are small as ids and split rows of a text by offset again; it
+    cannot know how many rows the ids become.
+    """
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(parts)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def described(aligned: DataFrame) -> DataFrame:
@@ -265,7 +307,9 @@ def align_corpus(docs: DataFrame, a: str, b: str, *, key: str = "doc_id", text:
     any length is aligned whole; tokens of one text are sorted on disk if they must be.
     """
     ship_package(docs.sparkSession)
-    with _by_text(docs.sparkSession):
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with _by_text(docs.sparkSession, max(least, min(-(-size // PART_BYTES), MOST_PARTS))):
         found = materialise(described(align(docs, a, b, text=text)), "aligned")
     pairs = pair_counts(found)
     small = pairs.count() <= BROADCAST_PAIRS
