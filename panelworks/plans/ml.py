@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelworks.operators.explain import hash_split
-from panelworks.operators.scoring import percentiles
+from panelworks.operators.scoring import dual_rank, percentiles
 from panelworks.operators.stats import auc
 from panelworks.session import materialise
 
@@ -25,14 +25,30 @@ def _stages(features: Sequence[str], model) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features_", handleInvalid="keep"), model])
 
 
-def fit_regressor(train: DataFrame, features: Sequence[str], target: str, *, rounds: int = 20, depth: int = 4, seed: int = 42) -> PipelineModel:
-    """Gradient-boosted regression trees."""
-    return _stages(features, GBTRegressor(featuresCol="features_", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed)).fit(train)
+def with_validation(df: DataFrame, key: str = "id", share: float = 0.2, seed: int = 42, to: str = "validation_") -> DataFrame:
+    """``to``: true for the hashed share of rows that early stopping watches; a row's part depends on its key only."""
+    return df.withColumn(to, F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10_000)) < int(share * 10_000))
 
 
-def fit_classifier(train: DataFrame, features: Sequence[str], label: str, *, rounds: int = 20, depth: int = 4, seed: int = 42) -> PipelineModel:
-    """Gradient-boosted classification trees."""
-    return _stages(features, GBTClassifier(featuresCol="features_", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed)).fit(train)
+def _boosted(kind, train: DataFrame, features: Sequence[str], label: str, rounds: int, depth: int, seed: int, validation: str | None, tolerance: float) -> PipelineModel:
+    trees = kind(featuresCol="features_", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed, validationTol=tolerance)
+    if validation is not None:
+        trees = trees.setValidationIndicatorCol(validation)
+    return _stages(features, trees).fit(train)
+
+
+def fit_regressor(train: DataFrame, features: Sequence[str], target: str, *, rounds: int = 20, depth: int = 4, seed: int = 42, validation: str | None = None, tolerance: float = 0.01) -> PipelineModel:
+    """Gradient-boosted regression trees.
+
+    ``validation`` names a boolean column (:func:`with_validation`): its rows are not fitted, and
+    boosting stops when their loss no longer falls by ``tolerance``, so ``rounds`` is a limit.
+    """
+    return _boosted(GBTRegressor, train, features, target, rounds, depth, seed, validation, tolerance)
+
+
+def fit_classifier(train: DataFrame, features: Sequence[str], label: str, *, rounds: int = 20, depth: int = 4, seed: int = 42, validation: str | None = None, tolerance: float = 0.01) -> PipelineModel:
+    """Gradient-boosted classification trees; ``validation`` as in :func:`fit_regressor`."""
+    return _boosted(GBTClassifier, train, features, label, rounds, depth, seed, validation, tolerance)
 
 
 def predict(model: PipelineModel, df: DataFrame, to: str) -> DataFrame:
@@ -43,11 +59,15 @@ def predict(model: PipelineModel, df: DataFrame, to: str) -> DataFrame:
     return inner.select("row_.*", value.alias(to))
 
 
-def two_phase(train: DataFrame, sites: DataFrame, features: Sequence[str], label: str, target: str) -> DataFrame:
-    """Sites with ``probability`` and ``predicted_<target>``: classify, then regress on the positive rows, score all."""
+def two_phase(train: DataFrame, sites: DataFrame, features: Sequence[str], label: str, target: str, *, rank: bool = False, key: str = "id") -> DataFrame:
+    """Sites with ``probability`` and ``predicted_<target>``: classify, then regress on the positive rows, score all.
+
+    ``rank`` adds ``probability_rank`` and ``predicted_<target>_rank``, 1 being the highest, ties by key.
+    """
     classifier = fit_classifier(train, features, label)
     regressor = fit_regressor(train.where(F.col(label) == 1), features, target)
-    return predict(regressor, predict(classifier, sites, "probability"), f"predicted_{target}")
+    scored = predict(regressor, predict(classifier, sites, "probability"), f"predicted_{target}")
+    return dual_rank(scored, "probability", f"predicted_{target}", key) if rank else scored
 
 
 def residual_interval(scored: DataFrame, target: str, predicted: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
