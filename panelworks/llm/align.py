@@ -88,18 +88,16 @@ class _Side:
             ids, count = ids[keep], np.where(good, count, 0)
         return ids.astype(np.int32), count
 
-    def tokens(self, text: pa.Array) -> pa.Array:
-        """A list of shifted ids for every text; empty for a text with a piece that has none."""
-        pieces, number = cut_pieces(text)
-        code = pieces.dictionary_encode()
-        known, starts, lengths = self.cache.get(code.dictionary, self._fresh)
-        index = code.indices.to_numpy()
+    def ids(self, pieces: pa.DictionaryArray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shifted ids of all texts, number of ids of each) from their pieces; none for a text with a piece that has none."""
+        known, starts, lengths = self.cache.get(pieces.dictionary, self._fresh)
+        index = pieces.indices.to_numpy()
         each = lengths[index]
-        whole = np.repeat(np.bincount(np.repeat(np.arange(len(number)), number), each == 0, len(number)) == 0, number)
-        each = np.where(whole, each, 0)
+        if not each.all():
+            whole = np.bincount(np.repeat(np.arange(len(number)), number), each == 0, len(number)) == 0
+            each = np.where(np.repeat(whole, number), each, 0)
         bound = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(number)])]
-        ids = (known[ragged(starts[index], each)] - _SHIFT).astype(np.int16)
-        return pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(ids))
+        return (known[ragged(starts[index], each)] - _SHIFT).astype(np.int16), bound
 
 
 class ByteLevel(_Side):
@@ -154,15 +152,19 @@ def side(path: str) -> _Side:
     return ByteLevel(path) if path.endswith(".json") else Pieces(path)
 
 
-def tokens_of(text: Column, path: str) -> Column:
-    """array<short> of every text's ids less 2**15."""
+def tokens_of(text: Column, a: str, b: str) -> Column:
+    """struct (a, b) of array<short>: every text's ids in both tokenizers less 2**15; empty if either does not spell it out."""
 
-    @F.arrow_udf("array<smallint>")
+    @F.arrow_udf("a array<smallint>, b array<smallint>")
     def run(text: pa.Array) -> pa.Array:
-        tokenizer = side(path)
-        batch = pa.RecordBatch.from_arrays([text], ["text"])
-        lists = [tokenizer.tokens(t) for _, t in slices([batch], "text", SMALL_SLICE)]
-        return pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int16()))
+        out = []
+        for _, part in slices([pa.RecordBatch.from_arrays([text], ["text"])], "text", SMALL_SLICE):
+            pieces, number = cut_pieces(part)
+            pieces = pieces.dictionary_encode()
+            lists = [pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(ids)) for ids, bound in (side(x).ids(pieces, number) for x in (a, b))]
+            out.append(pa.StructArray.from_arrays(lists, ["a", "b"]))
+        kind = pa.struct([("a", pa.list_(pa.int16())), ("b", pa.list_(pa.int16()))])
+        return pa.chunked_array(out, kind).combine_chunks() if out else pa.array([], kind)
 
     return run(text)
 
@@ -175,21 +177,26 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def _ends(docs: DataFrame, text: str, path: str, name: str) -> DataFrame:
-    """(k1, k2, copies, end, <name>_pos, <name>_all): tokens of different texts by end offset; the last one carries all ids.
+def _texts(docs: DataFrame, text: str, a: str, b: str) -> DataFrame:
+    """(k1, k2, copies, a, b): ids of every different text. Texts are encoded where they are read; equal ones meet before and in the shuffle."""
+    rows = docs.select(F.col(text).cast("string").alias("text")).where("text <> ''")
+    rows = rows.select(*text_key(F.col("text")), tokens_of(F.col("text"), a, b).alias("ids")).select(*KEY, "ids.a", "ids.b")
+    return rows.groupBy(*KEY).agg(F.count("*").alias("copies"), F.first("a").alias("a"), F.first("b").alias("b"))
+
 
-    Texts are encoded where they are read, and equal ones meet before and in the shuffle. All
-    that follows goes by text, so it needs no other.
+def _ends(texts: DataFrame, path: str, own: str, other: str) -> DataFrame:
+    """(k1, k2, end, <own>_pos, <other>_of): a row for each token of one side by its end offset.
+
+    The last one carries the copies and the other side's ids, so that both sides of the join
+    read one and the same shuffle; all that follows goes by text and needs no other.
     """
-    rows = docs.select(F.col(text).cast("string").alias("text")).where("text <> ''")
-    rows = rows.select(*text_key(F.col("text")), tokens_of(F.col("text"), path).alias("all"))
-    one = rows.groupBy(*KEY).agg(F.count("*").alias("copies"), F.first("all").alias("all"))
     # One literal holds the length in bytes of every id.
     sizes = F.split(F.lit(",".join(map(str, side(path).length.tolist()))), ",").cast("array<int>")
-    tokens = one.select(*KEY, "copies", "all", F.posexplode("all").alias("pos", "id"))
-    tokens = tokens.select(*KEY, "copies", "pos", F.get(sizes, F.col("id") + _SHIFT).alias("size"), F.when(F.col("pos") == F.size("all") - 1, F.col("all")).alias(f"{name}_all"))
+    tokens = texts.select(*KEY, "copies", own, other, F.posexplode(own).alias("pos", "id"))
+    last = F.when(F.col("pos") == F.size(own) - 1, F.struct("copies", F.col(other).alias("ids")))
+    tokens = tokens.select(*KEY, "pos", F.get(sizes, F.col("id") + _SHIFT).alias("size"), last.alias(f"{other}_of"))
     end = F.sum("size").over(W.partitionBy(*KEY).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return tokens.select(*KEY, "copies", end.alias("end"), F.col("pos").alias(f"{name}_pos"), f"{name}_all")
+    return tokens.select(*KEY, end.alias("end"), F.col("pos").alias(f"{own}_pos"), f"{other}_of")
 
 
 def align(docs: DataFrame, a: str, b: str, *, text: str = "text") -> DataFrame:
@@ -198,13 +205,12 @@ def align(docs: DataFrame, a: str, b: str, *, text: str = "text") -> DataFrame:
     a, b: all ids (:func:`tokens_of`). cuts: for every group, in order, its number and the
     positions of its last token in a and in b. Texts without tokens are left out.
     """
-    left = _ends(docs, text, a, "a")
-    right = _ends(docs, text, b, "b").drop("copies")
+    texts = _texts(docs, text, a, b)
     # Sizes of exploded tokens are not known to the planner, so it is told not to broadcast them.
-    cuts = left.hint("merge").join(right.hint("merge"), [*KEY, "end"])
+    cuts = _ends(texts, a, "a", "b").hint("merge").join(_ends(texts, b, "b", "a").hint("merge"), [*KEY, "end"])
     numbered = cuts.withColumn("group", F.row_number().over(W.partitionBy(*KEY).orderBy("end")))
-    one = numbered.groupBy(*KEY).agg(F.first("copies").alias("copies"), F.collect_list("a_all")[0].alias("a"), F.collect_list("b_all")[0].alias("b"), F.array_sort(F.collect_list(F.struct("group", "a_pos", "b_pos"))).alias("cuts"))
-    return one.where("a IS NOT NULL AND b IS NOT NULL")
+    one = numbered.groupBy(*KEY).agg(F.collect_list("a_of")[0].alias("a"), F.collect_list("b_of")[0].alias("b"), F.array_sort(F.collect_list(F.struct("group", "a_pos", "b_pos"))).alias("cuts"))
+    return one.where("a IS NOT NULL AND b IS NOT NULL").select(*KEY, "a.copies", F.col("a.ids").alias("a"), F.col("b.ids").alias("b"), "cuts")
 
 
 class _Digits:
@@ -238,9 +244,9 @@ def _by_text(spark: SparkSession, parts: int):
     """While this holds, shuffles have ``parts`` parts, and a join on text and offset keeps rows where their text is.
 
     Spark would join parts that are small as ids and split rows of a text by offset again; it
-    cannot know how many rows the ids become.
+    cannot know how many rows the ids become. Arrow batches are short, as a text has many ids.
     """
-    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(parts)}
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.windowExec.buffer.in.memory.threshold": "65536", "spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.shuffle.partitions": str(parts)}
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
