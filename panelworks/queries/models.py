@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelworks.operators import scoring
-from panelworks.plans import boosting, ml, treeshap
+from panelworks.plans import boosting, counterfactual, ml, treeshap
 from panelworks.queries.base import people, query, sites
 from panelworks.session import scratch_path
 
@@ -72,3 +72,34 @@ def two_phase_ranks(spark, d):
     """Classify, regress on the positive rows, and rank every row by both."""
     rows = _modelled(spark, d)
     return ml.two_phase(rows.where("id % 5 <> 0"), rows, ["p", "acctbal", "lat", "lon"], "label", "q", rank=True).select("id", "probability", "predicted_q", "probability_rank", "predicted_q_rank")
+
+
+def _actions(rows):
+    return counterfactual.actions_from(rows, {"p": (0.2, 1.0), "acctbal": None, "lat": None}, {"active_months": [3, 12, 24]}, steps=5)
+
+
+def _found(spark, d):
+    rows = _modelled(spark, d)
+    return counterfactual.counterfactuals(_forest(spark, d), rows, _actions(rows), most=3, beam=16)
+
+
+@query()
+def counterfactual_search(spark, d):
+    """The fewest changes of three numbers and a category that lift each row over even odds."""
+    return _found(spark, d)
+
+
+@query()
+def change_clusters(spark, d):
+    """Clusters of these changes, named by what they have in common."""
+    rows = _modelled(spark, d)
+    return counterfactual.change_clusters(_found(spark, d), _actions(rows), 4)[1]
+
+
+@query()
+def fleet_changes(spark, d):
+    """Tiers before and after the clusters' interventions."""
+    rows, forest = _modelled(spark, d), _forest(spark, d)
+    margin = treeshap.tree_shapley(forest, rows).groupBy("id").agg(F.sum("shap").alias("m"))
+    scored = margin.select("id", (1 / (1 + F.exp(-2 * (F.col("m") + forest.base)))).alias("p"))
+    return counterfactual.fleet_changes(scored, _found(spark, d), _actions(rows))["shift"]

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelworks.plans import boosting, ml, treeshap
+from panelworks.plans import boosting, counterfactual, ml, treeshap
 
 NAMES = ["a", "b", "c", "d"]
 
@@ -186,3 +186,74 @@ def test_two_phase_ranks(table):
     for c in ("probability", "predicted_y"):
         order = out.sort_values([c, "id"], ascending=[False, True])[f"{c}_rank"].tolist()
         assert order == list(range(1, 401))
+
+
+def all_changes(forest, row, actions, cut, most):
+    """The best changes by trying every set of actions and values."""
+    place = [forest.features.index(a.feature) for a in actions]
+    for n in range(1, most + 1):
+        found = []
+        for chosen in itertools.combinations(range(len(actions)), n):
+            for values in itertools.product(*[[v for v in actions[i].values if v != row[place[i]]] for i in chosen]):
+                x = row.copy()
+                cost = 0.0
+                for i, v in zip(chosen, values):
+                    x[place[i]] = v
+                    cost += 1.0 if actions[i].span is None else abs(v - row[place[i]]) / actions[i].span
+                p = 1 / (1 + np.exp(-2 * forest.predict(x[None, :])[0]))
+                if p >= cut:
+                    found.append((round(cost, 9), -p))
+        if found:
+            return n, *min(found)
+    return None
+
+
+def test_counterfactuals_against_trying_all(spark, table, models):
+    forest = treeshap.flatten(models[1])
+    actions = [*counterfactual.actions_from(table, {"a": (0.0, 0.6), "b": None}, {"c": [0.0, 0.5, 1.0]}, steps=5)]
+    assert actions[0].values[-1] <= 0.6 and actions[2].span is None
+    got = {r["id"]: r for r in counterfactual.counterfactuals(forest, table, actions, cut=0.55, most=3, beam=10_000).collect()}
+    tight = {r["id"]: r for r in counterfactual.counterfactuals(forest, table, actions, cut=0.55, most=3, beam=4).collect()}
+    rows = table.select("id", *NAMES).orderBy("id").toPandas()
+    lifted = 0
+    for i, row in zip(rows["id"], rows[NAMES].to_numpy()):
+        p = 1 / (1 + np.exp(-2 * forest.predict(row[None, :])[0]))
+        best = all_changes(forest, row, actions, 0.55, 3) if p < 0.55 else None
+        assert (i in got) == (best is not None)
+        if best:
+            lifted += 1
+            r = got[i]
+            assert (len(r["changes"]), round(r["cost"], 9)) == best[:2] and r["probability"] == pytest.approx(-best[2])
+            assert {c["feature"] for c in r["changes"]} <= {"a", "b", "c"}
+            assert all(c["before"] == row[NAMES.index(c["feature"])] != c["after"] for c in r["changes"])
+            if i in tight:  # a narrow beam may need more, never give a row that is not over the cut
+                assert tight[i]["probability"] >= 0.55 and len(tight[i]["changes"]) >= best[0]
+    assert lifted > 50 and len(tight) > 0.9 * lifted
+
+
+def test_counterfactuals_of_many_actions(spark):
+    """Fourteen actions, of which two must change together: no set is left out of reach by their number."""
+    rng = np.random.default_rng(1)
+    names = [f"f{i}" for i in range(14)]
+    x = rng.integers(0, 2, (3000, 14)).astype(float)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=np.arange(3000), label=((x[:, 3] + x[:, 9]) == 2).astype(int)))
+    forest = treeshap.flatten(ml.fit_classifier(df, names, "label", rounds=3, depth=3))
+    found = counterfactual.counterfactuals(forest, df, [counterfactual.Action(n, (0.0, 1.0)) for n in names]).collect()
+    assert len(found) == int(((x[:, 3] + x[:, 9]) < 2).sum())
+    for r in found:
+        assert {c["feature"]: c["after"] for c in r["changes"]} == {f"f{j}": 1.0 for j in (3, 9) if x[r["id"], j] == 0}
+
+
+def test_change_clusters_and_fleet(spark):
+    step = lambda f, b, a: {"feature": f, "before": b, "after": a}
+    rows = [(i, [step("screens", 1.0, 5.0)], 0.7, 0.5) for i in range(6)] + [(10 + i, [step("open_24_hours", 0.0, 1.0)], 0.6, 1.0) for i in range(4)] + [(20, [step("screens", 1.0, 2.0), step("open_24_hours", 0.0, 1.0)], 0.6, 1.1)]
+    found = spark.createDataFrame(rows, "id long, changes array<struct<feature:string,before:double,after:double>>, probability double, cost double")
+    actions = [counterfactual.Action("open_24_hours", (0.0, 1.0)), counterfactual.Action("screens", (1.0, 2.0, 5.0), 8.0)]
+    members, clusters = counterfactual.change_clusters(found, actions, 2)
+    got = {r["cluster"]: (r["n"], r["name"], [round(v, 9) for v in r["centre"]]) for r in clusters.collect()}
+    assert got == {0: (6, "Screen Expansion", [0.0, 0.5]), 1: (5, "Extended Hours Initiative", [1.0, 0.025])}
+    assert members.count() == 11
+    scored = spark.createDataFrame([(i, 0.55 if i < 3 else 0.2) for i in range(6)] + [(10 + i, 0.9) for i in range(4)] + [(20, 0.3)], "id long, p double")
+    report = counterfactual.fleet_changes(scored, found, actions, k=2)
+    assert report["members"].count() == 7  # rows of the first tier need no change
+    assert {r["tier"]: (r["before"], r["after"]) for r in report["shift"].collect()} == {1: (4, 4), 2: (0, 3), 3: (3, 2), 4: (4, 2)}
