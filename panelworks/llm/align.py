@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
+import itertools
 import re
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import SMALL_SLICE, WordCache, materialise, ragged, ship_package, slices, utf8_buffer
+from panelworks.llm.common import SMALL_SLICE, WordCache, give_back, materialise, ragged, ship_package, slices, utf8_buffer
 
 #: Pair counts are broadcast up to so many rows (16 bytes each, about 100 MB as a hash table), else shuffled.
 BROADCAST_PAIRS = 2_000_000
@@ -30,7 +31,7 @@ _ID, _SHIFT = 16, 1 << 15
 #: Every so many new pieces of the byte-level tokenizer are also encoded by its library, and a difference raises.
 CHECKED = 16
 #: Text whose tokens one task sorts, about, and partitions at most (beyond these, tasks sort on disk).
-PART_BYTES, MOST_PARTS = 3 << 20, 20_000
+PART_BYTES, MOST_PARTS = 2 << 20, 20_000
 #: Fixed value: the byte-level pre-tokenizer's stretches.
 STRETCHES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -76,7 +77,7 @@ class _Side:
         """(ids, number of ids) of different pieces, none for a piece whose tokens' bytes are not a space and the piece."""
         lists = self.encode(pieces.to_pylist())
         count = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter((i for x in lists for i in x), np.int64, int(count.sum()))
+        ids = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(count.sum()))
         size = self.length[ids]
         joined = self.bytes[ragged(self.start[ids], size)]
         data, offsets = utf8_buffer(pieces.cast(pa.large_string()))
@@ -200,27 +201,28 @@ def _ends(texts: DataFrame, path: str, own: str, other: str) -> DataFrame:
 
 
 def align(docs: DataFrame, a: str, b: str, *, text: str = "text") -> DataFrame:
-    """(k1, k2, copies, a, b, cuts) of every different text that both tokenizers spell out.
+    """(k1, k2, copies, a, b, groups, cuts) of every different text that both tokenizers spell out.
 
-    a, b: all ids (:func:`tokens_of`). cuts: for every group, in order, its number and the
-    positions of its last token in a and in b. Texts without tokens are left out.
+    a, b: all ids (:func:`tokens_of`). groups: their number. cuts: for every group, in order, the
+    positions of its last token in a (above 32 bits) and in b. Texts without tokens are left out.
     """
     texts = _texts(docs, text, a, b)
     # Sizes of exploded tokens are not known to the planner, so it is told not to broadcast them.
     cuts = _ends(texts, a, "a", "b").hint("merge").join(_ends(texts, b, "b", "a").hint("merge"), [*KEY, "end"])
     numbered = cuts.withColumn("group", F.row_number().over(W.partitionBy(*KEY).orderBy("end")))
-    one = numbered.groupBy(*KEY).agg(F.collect_list("a_of")[0].alias("a"), F.collect_list("b_of")[0].alias("b"), F.array_sort(F.collect_list(F.struct("group", "a_pos", "b_pos"))).alias("cuts"))
-    return one.where("a IS NOT NULL AND b IS NOT NULL").select(*KEY, "a.copies", F.col("a.ids").alias("a"), F.col("b.ids").alias("b"), "cuts")
+    place = F.shiftleft(F.col("a_pos").cast("long"), 32).bitwiseOR(F.col("b_pos"))
+    one = numbered.groupBy(*KEY).agg(F.collect_list("a_of")[0].alias("a"), F.collect_list("b_of")[0].alias("b"), F.max("group").cast("long").alias("groups"), F.sort_array(F.collect_list(place)).alias("cuts"))
+    return one.where("a IS NOT NULL AND b IS NOT NULL").select(*KEY, "a.copies", F.col("a.ids").alias("a"), F.col("b.ids").alias("b"), "groups", "cuts")
 
 
 class _Digits:
-    """Decimal ids as bytes, each with one byte of room for what follows it."""
+    """Decimal ids as rows of six bytes, each with room for what follows it, and which bytes are used."""
 
     def __init__(self, n: int):
         names = [b"%d," % i for i in range(n)]
         self.length = np.fromiter(map(len, names), np.int64, n)
-        self.start = np.cumsum(self.length) - self.length
-        self.bytes = np.frombuffer(b"".join(names), np.uint8)
+        self.bytes = np.frombuffer(b"".join(x.ljust(6) for x in names), np.uint8).reshape(n, 6)
+        self.used = np.arange(6) < self.length[:, None]
 
 
 @lru_cache(maxsize=1)
@@ -258,7 +260,7 @@ def _by_text(spark: SparkSession, parts: int):
 
 
 def described(aligned: DataFrame) -> DataFrame:
-    """(k1, k2, copies, n_a, n_b, groups_sha256, links) of aligned texts; links: an id pair (a above b) for every cut."""
+    """(k1, k2, copies, n_a, n_b, n_groups, groups_sha256, links) of aligned texts; links: an id pair (a above b) for every cut."""
     ship_package(aligned.sparkSession)
 
     def run(batches):
@@ -266,20 +268,19 @@ def described(aligned: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k1, k2, copies, a, b, cuts = batch.columns
+            k1, k2, copies, a, b, groups, cuts = batch.columns
             count = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b, cuts)]
             ids = [x.flatten().to_numpy().astype(np.int64) + _SHIFT for x in (a, b)]
-            cut = cuts.flatten()
-            placed = [_places(count[i], count[2], cut.field(i + 1).to_numpy(zero_copy_only=False).astype(np.int64)) for i in (0, 1)]
+            cut = cuts.flatten().to_numpy()
+            placed = [_places(count[0], count[2], cut >> 32), _places(count[1], count[2], cut & 0xFFFFFFFF)]
             (last_a, in_a), (last_b, in_b) = placed
             # All texts' tokens in the order of the groups, A's before B's, and what follows each.
             total = np.concatenate([[0], np.cumsum(in_a + in_b)])
             at_a, at_b = ragged(total[:-1], in_a), ragged(total[:-1] + in_a, in_b)
             order = np.empty(int(total[-1]), np.int64)
             order[at_a], order[at_b] = ids[0], ids[1]
-            width = digits.length[order]
-            text = digits.bytes[ragged(digits.start[order], width)]
-            stop = np.cumsum(width)
+            text = digits.bytes[order][digits.used[order]]
+            stop = np.cumsum(digits.length[order])
             text[stop[total[:-1] + in_a - 1] - 1] = ord("|")
             text[stop[total[1:] - 1] - 1] = ord(";")
             ends = np.concatenate([[0], stop])[total[np.cumsum(count[2])]].tolist()
@@ -289,10 +290,11 @@ def described(aligned: DataFrame) -> DataFrame:
                 start = end
             pairs = ids[0][last_a] << _ID | ids[1][last_b]
             links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count[2])]), pa.int32()), pa.array(pairs, pa.int64()))
-            yield pa.RecordBatch.from_arrays([k1, k2, copies, pa.array(count[0]), pa.array(count[1]), pa.array(sha), links], ["k1", "k2", "copies", "n_a", "n_b", "groups_sha256", "links"])
+            yield pa.RecordBatch.from_arrays([k1, k2, copies, pa.array(count[0]), pa.array(count[1]), groups, pa.array(sha), links], ["k1", "k2", "copies", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
+            give_back()
 
-    rows = aligned.select(*KEY, "copies", "a", "b", "cuts")
-    return rows.mapInArrow(run, "k1 long, k2 long, copies long, n_a long, n_b long, groups_sha256 string, links array<long>")
+    rows = aligned.select(*KEY, "copies", "a", "b", "groups", "cuts")
+    return rows.mapInArrow(run, "k1 long, k2 long, copies long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>")
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
@@ -321,7 +323,7 @@ def align_corpus(docs: DataFrame, a: str, b: str, *, key: str = "doc_id", text:
     small = pairs.count() <= BROADCAST_PAIRS
     links = found.select(*KEY, F.explode("links").alias("pair")).join(F.broadcast(pairs) if small else pairs, "pair")
     sums = links.groupBy(*KEY).agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    each = found.select(*KEY, "n_a", "n_b", F.size("links").cast("long").alias("n_groups"), "groups_sha256").join(sums, KEY)
+    each = found.select(*KEY, "n_a", "n_b", "n_groups", "groups_sha256").join(sums, KEY)
     rows = docs.select(F.col(key).alias("key_"), *text_key(F.col(text).cast("string")))
     numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     out = rows.join(each, KEY, "left").select(F.col("key_").alias(key), *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers], F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
