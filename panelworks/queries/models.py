@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelworks.operators import scoring
-from panelworks.plans import boosting, counterfactual, ml, treeshap
-from panelworks.queries.base import people, query, sites
+from panelworks.operators import explain, scoring, stats
+from panelworks.plans import boosting, counterfactual, descent, ml, treeshap
+from panelworks.queries.base import people, query, sites, table
 from panelworks.session import scratch_path
 
 FEATURES = ["p", "acctbal", "lat", "lon", "active_months"]
@@ -103,3 +103,35 @@ def fleet_changes(spark, d):
     margin = treeshap.tree_shapley(forest, rows).groupBy("id").agg(F.sum("shap").alias("m"))
     scored = margin.select("id", (1 / (1 + F.exp(-2 * (F.col("m") + forest.base)))).alias("p"))
     return counterfactual.fleet_changes(scored, _found(spark, d), _actions(rows))["shift"]
+
+
+@query()
+def refined_clusters(spark, d):
+    """Embeddings in ten clusters: k-means, refined against the target distribution."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    centres, _, _ = descent.refine_clusters(e, 10, starts=2, rounds=2, steps=2)
+    return explain.soft_assign(e, centres.tolist()).select("id", stats.argmax(F.col("q")).alias("cluster"), F.array_max("q").alias("share"))
+
+
+@query()
+def gate_selection(spark, d):
+    """Which columns of the order lines the extended price needs, by stochastic gates."""
+    li = table(spark, d, "lineitem").withColumn("id", F.struct("l_orderkey", "l_linenumber"))
+    names = ["l_quantity", "l_discount", "l_tax", "l_suppkey", "l_linenumber"]
+    model = descent.fit_gates(li, names, "l_extendedprice", steps=24, rate=0.15)
+    return spark.createDataFrame([(f, float(w), float(g), float(p)) for f, w, g, p in zip(names, model.weight, model.gate, model.open)], "feature string, weight double, gate double, open double")
+
+
+@query()
+def hierarchical_path(spark, d):
+    """Columns that a linear model with a hidden layer drops as the penalty rises."""
+    return descent.hier_path(_modelled(spark, d), FEATURES, "q", [0.05, 0.3, 1.0], start=12, steps=6)
+
+
+@query()
+def embedding_regressor(spark, d):
+    """A residual network over segment and nation embeddings, predicted for every row."""
+    segments = F.array(*[F.lit(s) for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])
+    rows = _modelled(spark, d).withColumn("segment_code", F.coalesce(F.array_position(segments, F.col("segment")), F.lit(0)))
+    net = descent.fit_embeddings(rows, ["p", "acctbal", "active_months"], ["segment_code", "nation"], "q", epochs=12)
+    return descent.predict_embeddings(net, rows, "predicted").select("id", "q", "predicted")
