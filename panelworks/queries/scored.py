@@ -379,12 +379,23 @@ def _flip_score(changed):
     return scalar.sigmoid(sum((changed.get(c, F.col(c)) * w for c, w in weights.items()), F.col("p") * 2 - 2))
 
 
-@query()
+#: All sets of the four flags, each flag being flipped or not, with the probability that results.
+FLIPS = """f AS (SELECT id, p, CAST(floor(id / 1) AS BIGINT) % 2 AS f1, CAST(floor(id / 2) AS BIGINT) % 2 AS f2, CAST(floor(id / 4) AS BIGINT) % 2 AS f4, CAST(floor(id / 8) AS BIGINT) % 2 AS f8 FROM people),
+z AS (SELECT id, p, b, 1 / (1 + exp(-(p * 2 - 2 + 0.8 * CASE WHEN b & 1 > 0 THEN 1 - f1 ELSE f1 END + 0.5 * CASE WHEN b & 2 > 0 THEN 1 - f2 ELSE f2 END + 0.3 * CASE WHEN b & 4 > 0 THEN 1 - f4 ELSE f4 END + 1.1 * CASE WHEN b & 8 > 0 THEN 1 - f8 ELSE f8 END))) AS s FROM f, (SELECT unnest(range(16)) AS b)),
+o AS (SELECT id, s, b, bit_count(b) AS n, list_filter(['f1', 'f2', 'f4', 'f8'], lambda x, i: (b >> (i - 1)) & 1 = 1) AS flips FROM z WHERE b > 0 AND s >= 0.5 AND id IN (SELECT id FROM z WHERE b = 0 AND s < 0.5)),
+best AS (SELECT id, flips, s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n, round(s, 12) DESC, flips) AS r FROM o) WHERE r = 1)"""
+
+
+@query(f"WITH {PEOPLE}, {FLIPS} SELECT id, flips, {R('s')} AS probability FROM best")
 def counterfactual_flips(spark, d):
-    return explain.counterfactual_flips(_flip_rows(spark, d), ["f1", "f2", "f4", "f8"], _flip_score)
+    return rounded(explain.counterfactual_flips(_flip_rows(spark, d), ["f1", "f2", "f4", "f8"], _flip_score))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PEOPLE}, {FLIPS}, c AS (SELECT count(*) FILTER (s >= 0.85) AS t1, count(*) FILTER (s >= 0.65 AND s < 0.85) AS t2, count(*) FILTER (s >= 0.5 AND s < 0.65) AS t3, count(*) FILTER (s < 0.5) AS t4 FROM z WHERE b = 0),
+i AS (SELECT row_number() OVER (ORDER BY count(*) DESC, array_to_string(flips, '+')) AS r, CAST(floor(count(*) * 0.6) AS BIGINT) AS m FROM best GROUP BY flips),
+s AS (SELECT CAST(0 AS BIGINT) AS r, t2, t3, t4 FROM c UNION ALL SELECT i.r, t2 + least(m // 2, t3) + least(m - least(m // 2, t3), t4), t3 - least(m // 2, t3), t4 - least(m - least(m // 2, t3), t4) FROM s JOIN i ON i.r = s.r + 1),
+e AS (SELECT * FROM s ORDER BY r DESC LIMIT 1)
+SELECT CAST(1 AS INTEGER) AS tier, CAST(t1 AS BIGINT) AS before, CAST(t1 AS BIGINT) AS after FROM c UNION ALL SELECT 2, c.t2, e.t2 FROM c, e UNION ALL SELECT 3, c.t3, e.t3 FROM c, e UNION ALL SELECT 4, c.t4, e.t4 FROM c, e""")
 def fleet_interventions(spark, d):
     rows = _flip_rows(spark, d)
     scored = rows.select("id", _flip_score({}).alias("p"))

@@ -484,3 +484,44 @@ def test_streamed_days(spark, tmp_path):
     stream = spark.readStream.schema("id string, ts timestamp, value double").parquet(str(src))
     m.write_days(m.daily_counts(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert rows(m.month_totals(spark, str(tmp_path / "out")), "id", "year_month", "days", "value") == [("a", "2024-01", 1, 3.0)]
+
+
+def test_coverage_in_words(spark):
+    one = spark.createDataFrame([(0.9314, 1.25, 30.0, 0.5), (0.85, 1.0, 0.0, 0.0)], "coverage double, avg_set_size double, pct_uncertain double, pct_empty double")
+    assert [r["text"] for r in stats.coverage_text(one).collect()] == ["coverage 93.1% (target 90.0% met), 30.0% uncertain, 0.5% empty", "coverage 85.0% (target 90.0% missed), 0.0% uncertain, 0.0% empty"]
+
+
+def test_features_leave_out_what_leaks():
+    columns = ["gtvid", "total_revenue", "log_total_revenue", "rs_Revenue", "dma_rank", "state"]
+    preset = ["state", "total_revenue", "dma_rank", "gone", "log_total_revenue"]
+    leaks = ["total_revenue", "log_total_revenue", "avg_daily_revenue"]
+    assert features.feature_columns(columns, preset, leakage=leaks) == ["state", "dma_rank"]
+    assert features.feature_columns(columns, preset, ["dma_rank", "rs_Revenue"], leaks) == ["dma_rank"]
+    assert features.feature_columns(columns, preset, []) == []
+
+
+def test_erf_is_close(spark):
+    xs = [-3.0, -0.7, -1e-9, 0.0, 0.2, 1.0, 2.5]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", scalar.erf_approximation(F.col("x")).alias("e"))
+    assert all(abs(r["e"] - math.erf(r["x"])) < 2e-7 for r in df.collect())
+
+
+def test_silhouette_of_two_clear_clusters(spark):
+    rows = [([0.0, 0.1 * i], 0) for i in range(5)] + [([9.0, 0.1 * i], 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "v array<double>, c int")
+    assert ml.silhouette(df, "v", "c") > 0.99
+    assert ml.silhouette(df.withColumn("c", (F.col("v")[1] * 10 % 2).cast("int")), "v", "c") < 0.1
+
+
+def test_files_facts_and_reports(spark, tmp_path):
+    df = spark.createDataFrame([("revenue", 1234.5, None), ("visits", 7.0, 3.5)], "metric string, dataset_total double, avg_per_active_month double")
+    io.write_parquet(df, str(tmp_path / "t"))
+    io.write_parquet(df, str(tmp_path / "t"))  # overwrites
+    schema, n = io.table_facts(spark, str(tmp_path / "t"))
+    assert (schema.names, n) == (df.columns, 2)
+    io.write_csv(df, str(tmp_path / "c"), single=True)
+    files = io.list_files(spark, str(tmp_path / "c"), "*.csv").collect()
+    assert len(files) == 1 and files[0]["length"] > 0
+    assert sorted(r["metric"] for r in spark.read.csv(str(tmp_path / "c"), header=True).collect()) == ["revenue", "visits"]
+    assert io.summary_text(df.orderBy("metric")) == "revenue: total 1,234.50, per active month 0.00\nvisits: total 7.00, per active month 3.50"
+    assert io.to_json_text({"a": day("2024-01-02")}) == '{\n  "a": "2024-01-02"\n}'
