@@ -31,18 +31,32 @@ def _cells(df: DataFrame, lat: Column, lon: Column, size: float) -> DataFrame:
     return df.withColumn("cy_", F.floor(lat / size)).withColumn("cx_", F.floor(lon / size))
 
 
-def nearest(points: DataFrame, others: DataFrame, *, exclude_self: bool = False, cell: float = 1.0, rings: Sequence[int] = (1, 4)) -> DataFrame:
+#: Others that a point may find in a cell on average, and the cells in degrees to choose from.
+CELL_POINTS, CELLS = 64, (1.0, 1 / 4, 1 / 16, 1 / 64)
+
+
+def cell_for(others: DataFrame) -> float:
+    """The widest of :data:`CELLS` in which an average row of ``others`` shares its cell with at most ``CELL_POINTS`` rows."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("cell"), F.floor(F.col("lat") / c).alias("y"), F.floor(F.col("lon") / c).alias("x")) for c in CELLS]))
+    counts = others.select("lat", "lon").dropna().select(each.alias("c")).groupBy("c").agg(F.count("*").cast("double").alias("n"))
+    met = counts.groupBy(F.col("c.cell").alias("cell")).agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("m")).collect()  # a row for each size
+    return max((r["cell"] for r in met if r["m"] <= CELL_POINTS), default=CELLS[-1] if met else CELLS[0])
+
+
+def nearest(points: DataFrame, others: DataFrame, *, exclude_self: bool = False, cell: float | None = None, rings: Sequence[int] = (1, 4)) -> DataFrame:
     """(id, nearest_id, miles): the nearest of ``others`` (id, lat, lon) to each point (id, lat, lon).
 
-    Both sides fall into grid cells of ``cell`` degrees; a point meets the cells around its
-    own, (2 ring + 1) squared of them. A distance is final if it is no more than that to the
-    edge of the searched block; other points go to the next ring, and then to cells 15 times
-    as large, until one block covers the earth. Where cells divide the circle evenly,
+    Both sides fall into grid cells of ``cell`` degrees, by default chosen by the density of
+    ``others`` (:func:`cell_for`); a point meets the cells around its own, (2 ring + 1) squared of
+    them. A distance is final if it is no more than that to the edge of the searched block;
+    other points go to the next ring, and then to cells 4 times (from a degree on 15 times) as
+    large, until one block covers the earth. Where cells divide the circle evenly,
     longitudes wrap around. What is left is written between rings, so that each ring's work is
     done once. Ties go to the least id; points without coordinates get none.
     """
     target = others.select(F.col("id").alias("nearest_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).dropna()
     left = points.select("id", "lat", "lon").dropna()
+    cell = cell or cell_for(others)
     around = round(360 / cell) if 360 % cell == 0 else None
     column = (lambda c: F.pmod(c, F.lit(around))) if around else (lambda c: c)
     gridded = _cells(target, F.col("lat2"), F.col("lon2"), cell).withColumn("cx_", column(F.col("cx_")))
@@ -72,7 +86,7 @@ def nearest(points: DataFrame, others: DataFrame, *, exclude_self: bool = False,
             return found
     if cell > 360 or target.isEmpty():
         return found
-    return found.union(nearest(left, others, exclude_self=exclude_self, cell=cell * 15, rings=rings))
+    return found.union(nearest(left, others, exclude_self=exclude_self, cell=cell * (4 if cell < 1 else 15), rings=rings))
 
 
 def segment_miles(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -165,20 +165,21 @@ def load_artifacts(spark: SparkSession, path: str, tables: Sequence[str]) -> tup
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, key: str = "id", repeats: int = 1, seed: int = 42) -> DataFrame:
     """(feature, importance): loss of AUC when a column's values are dealt to other rows.
 
-    A shuffled column is the column in the order of one keyed hash joined to the rows in the
-    order of another.
+    The rows are numbered once, in the order of a keyed hash; a shuffled column is the column
+    of the row some places further on in that circle, another number of places each time.
     """
     from panelworks.operators.scoring import _numbered
 
     base = auc(predict(model, df, "p_"), label, "p_").first()[0]
-    rows = []
+    order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
+    numbered = materialise(_numbered(df, order, "at_"), "permuted")
+    n, rng, rows = numbered.count(), np.random.default_rng(seed), []
     for f in features:
         drops = []
-        for r in range(repeats):
-            hashed = lambda salt: [F.md5(F.concat(F.lit(f"{salt}:{seed}:{r}:"), F.col(key).cast("string"))), F.col(key)]  # noqa: B023, E731
-            left = _numbered(df.drop(f), hashed("a"), "at_")
-            right = _numbered(df.select(key, f), hashed("b" + f), "at_").select("at_", f)
-            drops.append(base - auc(predict(model, left.join(right, "at_"), "p_"), label, "p_").first()[0])
+        for _ in range(repeats):
+            ahead = int(rng.integers(1, n)) if n > 1 else 0
+            other = numbered.select((F.pmod(F.col("at_") - 1 + ahead, F.lit(max(n, 1))) + 1).alias("at_"), f)
+            drops.append(base - auc(predict(model, numbered.drop(f).join(other, "at_"), "p_"), label, "p_").first()[0])
         rows.append((f, float(np.mean(drops))))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 

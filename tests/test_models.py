@@ -257,3 +257,35 @@ def test_change_clusters_and_fleet(spark):
     report = counterfactual.fleet_changes(scored, found, actions, k=2)
     assert report["members"].count() == 7  # rows of the first tier need no change
     assert {r["tier"]: (r["before"], r["after"]) for r in report["shift"].collect()} == {1: (4, 4), 2: (0, 3), 3: (3, 2), 4: (4, 2)}
+
+
+def test_importance_of_a_useless_feature_is_least(spark):
+    rng = np.random.default_rng(9)
+    x = rng.random((1200, 3))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(id=np.arange(1200), label=((x[:, 0] + 0.4 * x[:, 1]) > 0.7).astype(int)))
+    model = ml.fit_classifier(df, ["a", "b", "c"], "label", rounds=4, depth=3)
+    got = {r["feature"]: r["importance"] for r in ml.permutation_importance(model, df, ["a", "b", "c"], "label", repeats=2).collect()}
+    assert got["a"] > 2 * got["b"] > 0.02 and abs(got["c"]) < 0.01
+    again = {r["feature"]: r["importance"] for r in ml.permutation_importance(model, df, ["a", "b", "c"], "label", repeats=2).collect()}
+    assert again == pytest.approx(got)
+
+
+def test_segments_and_lasso_on_planted_rows(spark):
+    rng = np.random.default_rng(3)
+    z = np.concatenate([rng.normal(0, 0.1, (30, 2)), rng.normal(5, 0.1, (20, 2)), rng.normal(-5, 0.1, (4, 2))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], "id long, v array<double>")
+    got = {r["id"]: r["cluster"] for r in ml.segments(df, "v", 3, least=10).collect()}
+    assert got == {i: int(i >= 30) for i in range(50)}
+    x = rng.normal(size=(500, 3))
+    line = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(y=3 * x[:, 0] - x[:, 1]))
+    path = {(round(r["penalty"], 3), r["feature"]): r["coefficient"] for r in ml.lasso_path(line, ["a", "b", "c"], "y", ml.log_spaced(0.001, 1.0, 2)).collect()}
+    assert path[0.001, "a"] == pytest.approx(3, abs=0.05) and path[0.001, "b"] == pytest.approx(-1, abs=0.05)
+    assert path[1.0, "b"] == path[1.0, "c"] == 0 < path[1.0, "a"] < 3
+
+
+def test_selected_features_carry_weight(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(800, 3))
+    shap = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(flat=0.0, y=2 * x[:, 0] + x[:, 1] + rng.normal(0, 0.5, 800)))
+    got = {r["feature"]: (r["t"], r["p"]) for r in ml.shap_select(shap, "y", ["a", "b", "c", "flat"]).collect()}
+    assert set(got) == {"a", "b"} and all(t > 10 and p < 0.01 for t, p in got.values())

@@ -525,3 +525,21 @@ def test_files_facts_and_reports(spark, tmp_path):
     assert sorted(r["metric"] for r in spark.read.csv(str(tmp_path / "c"), header=True).collect()) == ["revenue", "visits"]
     assert io.summary_text(df.orderBy("metric")) == "revenue: total 1,234.50, per active month 0.00\nvisits: total 7.00, per active month 3.50"
     assert io.to_json_text({"a": day("2024-01-02")}) == '{\n  "a": "2024-01-02"\n}'
+
+
+def test_cells_follow_the_density(spark):
+    """A city of 3,000 points within a tenth of a degree and a few far ones: fine cells, and still the exact nearest."""
+    city = [(i, 40.0 + (i * 37 % 1000) / 10_000, -100.0 + (i * 91 % 997) / 10_000) for i in range(3000)]
+    far = [(5000, -33.0, 151.0), (5001, 64.0, 179.95), (5002, 0.0, 0.0)]
+    schema = "id long, lat double, lon double"
+    others = spark.createDataFrame(city + far, schema)
+    assert geo.cell_for(others) == 1 / 64 and geo.cell_for(spark.createDataFrame(far, schema)) == 1.0
+    assert geo.cell_for(others.where("id < 0")) == 1.0
+    asked = [(1, 40.05, -99.95), (2, 41.0, -101.0), (3, 63.5, -179.9), (4, -10.0, 100.0)]
+    got = {r["id"]: r["nearest_id"] for r in geo.nearest(spark.createDataFrame(asked, schema), others).collect()}
+
+    def miles(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return math.asin(min(1.0, math.sqrt(h)))
+
+    assert got == {a[0]: min((miles(a, b), b[0]) for b in city + far)[1] for a in asked}
