@@ -31,7 +31,7 @@ _ID, _SHIFT = 16, 1 << 15
 #: Every so many new pieces of the byte-level tokenizer are also encoded by its library, and a difference raises.
 CHECKED = 16
 #: Text whose tokens one task sorts, about, and partitions at most (beyond these, tasks sort on disk).
-PART_BYTES, MOST_PARTS = 2 << 20, 20_000
+PART_BYTES, MOST_PARTS = 3 << 19, 20_000
 #: Fixed value: the byte-level pre-tokenizer's stretches.
 STRETCHES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -68,7 +68,7 @@ class _Side:
         self.length = np.fromiter(map(len, entries), np.int64, len(entries))
         self.start = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(entries), np.uint8)
-        self.cache = WordCache(300_000)
+        self.cache = WordCache(200_000)
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
         raise NotImplementedError
@@ -195,9 +195,11 @@ def _ends(texts: DataFrame, path: str, own: str, other: str) -> DataFrame:
     sizes = F.split(F.lit(",".join(map(str, side(path).length.tolist()))), ",").cast("array<int>")
     tokens = texts.select(*KEY, "copies", own, other, F.posexplode(own).alias("pos", "id"))
     last = F.when(F.col("pos") == F.size(own) - 1, F.struct("copies", F.col(other).alias("ids")))
-    tokens = tokens.select(*KEY, "pos", F.get(sizes, F.col("id") + _SHIFT).alias("size"), last.alias(f"{other}_of"))
-    end = F.sum("size").over(W.partitionBy(*KEY).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return tokens.select(*KEY, end.alias("end"), F.col("pos").alias(f"{own}_pos"), f"{other}_of")
+    # Position above 16 bits and length below, so that rows are narrow and in order by one number.
+    token = F.shiftleft(F.col("pos").cast("long"), _ID) + F.get(sizes, F.col("id") + _SHIFT)
+    tokens = tokens.select(*KEY, token.alias("token"), last.alias(f"{other}_of"))
+    end = F.sum(F.col("token").bitwiseAND((1 << _ID) - 1)).over(W.partitionBy(*KEY).orderBy("token").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return tokens.select(*KEY, end.alias("end"), F.shiftright("token", _ID).alias(f"{own}_pos"), f"{other}_of")
 
 
 def align(docs: DataFrame, a: str, b: str, *, text: str = "text") -> DataFrame:
@@ -210,7 +212,7 @@ def align(docs: DataFrame, a: str, b: str, *, text: str = "text") -> DataFrame:
     # Sizes of exploded tokens are not known to the planner, so it is told not to broadcast them.
     cuts = _ends(texts, a, "a", "b").hint("merge").join(_ends(texts, b, "b", "a").hint("merge"), [*KEY, "end"])
     numbered = cuts.withColumn("group", F.row_number().over(W.partitionBy(*KEY).orderBy("end")))
-    place = F.shiftleft(F.col("a_pos").cast("long"), 32).bitwiseOR(F.col("b_pos"))
+    place = F.shiftleft("a_pos", 32).bitwiseOR(F.col("b_pos"))
     one = numbered.groupBy(*KEY).agg(F.collect_list("a_of")[0].alias("a"), F.collect_list("b_of")[0].alias("b"), F.max("group").cast("long").alias("groups"), F.sort_array(F.collect_list(place)).alias("cuts"))
     return one.where("a IS NOT NULL AND b IS NOT NULL").select(*KEY, "a.copies", F.col("a.ids").alias("a"), F.col("b.ids").alias("b"), "groups", "cuts")
 
