@@ -46,7 +46,7 @@ def assign(docs: DataFrame, n_shards: int = 8, *, weights: Sequence[float] | Non
     slots; a null key is a key like any other; other columns are ignored. An empty table
     gives an empty result.
 
-    Numbering never sorts a whole shard: records fall into shard x key-hash x text-salt
+    Numbering never sorts a whole shard: records fall into shard x key-hash x row-salt
     buckets, numbered apart, and the (bounded) table of bucket sizes gives each its offset.
     """
     weights = list(weights) if weights is not None else [1.0] * n_shards
@@ -62,7 +62,8 @@ def assign(docs: DataFrame, n_shards: int = 8, *, weights: Sequence[float] | Non
         shard_of(k, [*weights, sum(weights) / n_shards]).alias("grown_shard"),
         F.substring(F.md5(F.coalesce(k.cast("string"), F.lit("\\N"))), 1, BUCKET_DIGITS).alias("bucket"),
     )
-    rows = materialise(rows.withColumn("salt", (F.col("text_crc32") % SALTS).cast("int")), "shards")
+    # The written table fixes the salt, which parts even rows that are equal in all columns.
+    rows = materialise(rows.withColumn("salt", (F.pmod(F.col("text_crc32") + F.monotonically_increasing_id(), F.lit(SALTS))).cast("int")), "shards")
     parts = ["shard", "bucket", "salt"]
     sizes = rows.groupBy(parts).agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("bucket", "salt").rowsBetween(W.unboundedPreceding, -1)
@@ -75,6 +76,10 @@ def assign(docs: DataFrame, n_shards: int = 8, *, weights: Sequence[float] | Non
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, *, weights: Sequence[float] | None = None, key: str = "doc_id") -> None:
-    """Write whole records as Parquet partitioned by shard, each shard by as many tasks as it needs."""
+    """Write whole records as Parquet partitioned by shard, each shard by as many tasks as it needs.
+
+    Null texts and repeated rows are written as they are, null keys go to the shard of a null
+    key; a column ``shard`` of the records is replaced; an empty table writes no file.
+    """
     weights = list(weights) if weights is not None else [1.0] * n_shards
     docs.withColumn("shard", shard_of(F.col(key), weights)).hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
