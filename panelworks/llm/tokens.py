@@ -2,8 +2,8 @@
 
 For vocabularies whose pieces never cross a space or a line end, a text's ids are those of
 its words one after another, and every word is encoded once in a process. Plain words go in
-batches to tiktoken's byte-pair merger, fed with the file's own merges; all others go through
-the tokenizers library's whole pipeline.
+batches to tiktoken's byte-pair merger, fed with the file's own merges, and a share of them is
+compared with the tokenizers library; all others go through the library's whole pipeline.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 from panelworks.llm.common import WordCache, ragged
 
+#: Every so many new plain words are also encoded by the library, and a difference raises.
+CHECKED = 16
 #: Ends a stretch inside the merger; plain words hold no control characters.
 _END = "\x01"
 #: Fixed value: the pre-tokenizer's stretches. In plain words they are runs of letters, single digits, and runs of other characters.
@@ -96,6 +98,7 @@ class WordTokenizer:
     def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         plain = pc.and_(pc.match_substring_regex(words, self.plain), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
         ids, lengths = self._plain(words.filter(pa.array(plain)))
+        self._compare(words.filter(pa.array(plain)), ids, lengths)
         if plain.all():
             return ids, lengths
         odd = [x.ids for x in self.library.encode_batch(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
@@ -107,6 +110,16 @@ class WordTokenizer:
         out[~of_plain] = np.fromiter((i for x in odd for i in x), np.int32)
         return out, each
 
+    def _compare(self, words: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Raise if a share of plain words has other ids in the library."""
+        some = np.arange(0, len(words), CHECKED)
+        if not len(some):
+            return
+        theirs = [x.ids for x in self.library.encode_batch(words.take(pa.array(some)).to_pylist(), add_special_tokens=False)]
+        own = ids[ragged((np.cumsum(lengths) - lengths)[some], lengths[some])]
+        if [len(x) for x in theirs] != lengths[some].tolist() or [i for x in theirs for i in x] != own.tolist():
+            raise RuntimeError("the merger and the tokenizers library disagree")
+
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each) of a null-free string array."""
         parts = pc.split_pattern(pc.replace_substring(text, "\n", " "), " ")
