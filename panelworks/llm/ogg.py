@@ -208,10 +208,10 @@ def decode_samples(media: bytes) -> tuple[bytes, dict]:
         magic, rate, index, n, turn, _ = HEAD.unpack(packets[0][1])
         if magic != MAGIC or index in dealt:
             raise ValueError("unknown stream")
-        at = positions([(0, b""), *packets[1:]], len)
-        if at[-1] != sum(len(d) for _, d in packets[1:]):
+        at = positions(packets[1:], len) if len(packets) > 1 else []
+        if at and (at[0] != len(packets[1][1]) or at[-1] != sum(len(d) for _, d in packets[1:])):
             raise ValueError("granule positions do not follow the samples")
-        dealt[index], times[index] = [d for _, d in packets[1:]], [x / rate for x in at[1:]]
+        dealt[index], times[index] = [d for _, d in packets[1:]], [x / rate for x in at]
     total = sum(map(len, dealt.values()))
     order = [k // turn % n for k in range(total)]
     if sorted(dealt) != list(range(n)) or any(len(dealt[i]) != order.count(i) for i in range(n)):
@@ -258,7 +258,8 @@ def decode(media: DataFrame, *, key: str = "doc_id", keep_samples: bool = False)
     """Read Ogg files of 8-bit samples back: digests, container facts and a feature string.
 
     A file that is damaged raises; null media (no file) gives nulls in all results. The
-    feature string has streams, packets, pages, seconds and the mean sample of four stretches.
+    feature string has streams, packets, pages, seconds, the times at which each stream's first
+    and last packet end, and the mean sample of four stretches.
     """
     ship_package(media.sparkSession)
     kind = media.select(key).schema[0].dataType.simpleString()
@@ -269,7 +270,9 @@ def decode(media: DataFrame, *, key: str = "doc_id", keep_samples: bool = False)
             return (None,) * (6 + keep_samples)
         samples, facts = decode_samples(data)
         level = ",".join(f"{x.mean():.3f}" if len(x) else "-" for x in np.array_split(np.frombuffer(samples, np.uint8), STRETCHES))
-        feature = f"ogg;streams={facts['streams']};packets={facts['packets']};pages={facts['pages']};seconds={facts['seconds']:.6f};level={level}"
+        # Ends of the first and the last packet of each stream, as the pages' positions give them.
+        ends = ",".join(f"{t[0]:.6f}-{t[-1]:.6f}" if t else "-" for _, t in sorted(facts["times"].items()))
+        feature = f"ogg;streams={facts['streams']};packets={facts['packets']};pages={facts['pages']};seconds={facts['seconds']:.6f};times={ends};level={level}"
         return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, *([samples] if keep_samples else []))
 
     rows = media.selectExpr(f"`{key}` AS key_", "n_bytes", "media").mapInArrow(lambda b: _decoded(b, one, keep_samples), f"key_ {kind}, n_bytes long, {fields}")
