@@ -291,6 +291,33 @@ def test_media(docs, rows):
     assert len({r["media_sha256"] for r in got}) == len({r["payload_sha256"] for r in got})
 
 
+def test_times_of_packets_come_from_positions():
+    samples = bytes(range(256)) * 200
+    media = ogg.encode_samples(samples)
+    back, facts = ogg.decode_samples(media)
+    assert back == samples
+    ends = {0: [], 1: []}
+    for k, at in enumerate(range(0, len(samples), ogg.PACKET)):
+        own = ends[k // ogg.TURN % 2]
+        own.append((own[-1] if own else 0) + len(samples[at : at + ogg.PACKET]) / ogg.RATE)
+    assert {i: pytest.approx(t) for i, t in ends.items()} == facts["times"]
+
+
+def test_equal_rows_are_numbered_in_several_buckets(spark):
+    rows = spark.createDataFrame([(None, None)] * 500 + [(1, "a")] * 300, "doc_id long, text string").repartition(4)
+    got = sharding.assign(rows, 8).collect()
+    for shard in {r["shard"] for r in got}:
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_words_that_the_merger_gets_wrong_raise():
+    t = tokens.WordTokenizer(TOKENS)
+    t.id_of = t.id_of + 1
+    with pytest.raises(RuntimeError, match="disagree"):
+        t.encode(pa.array(["plain words here"]))
+
+
 def slow_crc(data):
     c = 0
     for x in data:
