@@ -60,7 +60,12 @@ def cut_pieces(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class _Side:
-    """One tokenizer: ids of pieces of text that stand behind a space, and the bytes of every id."""
+    """One tokenizer: ids of pieces of text that stand behind a space, and the bytes of every id.
+
+    exact: whether the ids' bytes are always those of the text.
+    """
+
+    exact = False
 
     def __init__(self, entries: list[bytes]):
         if len(entries) > 1 << _ID:
@@ -78,6 +83,8 @@ class _Side:
         lists = self.encode(pieces.to_pylist())
         count = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(count.sum()))
+        if self.exact:
+            return ids.astype(np.int32), count
         size = self.length[ids]
         joined = self.bytes[ragged(self.start[ids], size)]
         data, offsets = utf8_buffer(pieces.cast(pa.large_string()))
@@ -105,9 +112,11 @@ class ByteLevel(_Side):
     """A byte-level BPE file of the tokenizers library; special tokens' strings are plain text.
 
     Pieces go through tiktoken's merger, whose ranks are the file's ids; a share of them is
-    compared with the library.
+    compared with the library. As it merges the text's bytes, its ids always spell them.
     """
 
+    exact = True
+
     def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
@@ -211,9 +220,9 @@ def align(docs: DataFrame, a: str, b: str, *, text: str = "text") -> DataFrame:
     texts = _texts(docs, text, a, b)
     # Sizes of exploded tokens are not known to the planner, so it is told not to broadcast them.
     cuts = _ends(texts, a, "a", "b").hint("merge").join(_ends(texts, b, "b", "a").hint("merge"), [*KEY, "end"])
-    numbered = cuts.withColumn("group", F.row_number().over(W.partitionBy(*KEY).orderBy("end")))
     place = F.shiftleft("a_pos", 32).bitwiseOR(F.col("b_pos"))
-    one = numbered.groupBy(*KEY).agg(F.collect_list("a_of")[0].alias("a"), F.collect_list("b_of")[0].alias("b"), F.max("group").cast("long").alias("groups"), F.sort_array(F.collect_list(place)).alias("cuts"))
+    # In order, a cut's place is the running count of cuts: the number of its group.
+    one = cuts.groupBy(*KEY).agg(F.collect_list("a_of")[0].alias("a"), F.collect_list("b_of")[0].alias("b"), F.count("*").alias("groups"), F.sort_array(F.collect_list(place)).alias("cuts"))
     return one.where("a IS NOT NULL AND b IS NOT NULL").select(*KEY, "a.copies", F.col("a.ids").alias("a"), F.col("b.ids").alias("b"), "groups", "cuts")
 
 

@@ -1023,5 +1023,10 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
 
 def score_corpus(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """Train on the training fold of ``docs`` and score all of them."""
+    """Train on the training fold of ``docs`` and score all of them.
+
+    Null texts are empty and score their end alone. Null and repeated keys and repeated rows are
+    scored, and trained on, row by row; other columns are ignored; an empty table gives an
+    empty result.
+    """
     return score(docs, train(docs, **options), **options)

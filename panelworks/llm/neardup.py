@@ -316,7 +316,12 @@ def _same_key(usable: DataFrame, same: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that are linked, directly or not, with one of a lesser key."""
+    """The documents without those that are linked, directly or not, with one of a lesser key.
+
+    Null and empty texts and null keys are linked with nothing and stay; rows that repeat a key
+    are one document and stay or go together; all columns stay, whatever their names; an empty
+    table gives an empty result.
+    """
     key = options.get("key", "doc_id")
     gone = near_duplicates(docs, **options).where("NOT kept").select(key)
     return docs.join(gone, key, "left_anti").select(docs.columns)

@@ -289,10 +289,12 @@ def place(cut: DataFrame, *, limit: int = 4096, key: str = "doc_id") -> DataFram
     """Give the pieces of :func:`pieces` their sequences and offsets.
 
     Pieces are numbered within their length in buckets apart (one length may hold a large
-    share of all), by a table of bucket sizes of at most limit x BUCKETS rows.
+    share of all, and equal rows are dealt over the buckets), by a table of bucket sizes of at
+    most limit x BUCKETS rows. Null keys, ties and repeated rows are pieces like any other; no
+    pieces give no rows.
     """
     name = cut.columns[0]
-    cut = materialise(cut.withColumn("bucket", F.pmod(F.xxhash64(F.col(name), "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")), "pieces")
+    cut = materialise(cut.withColumn("bucket", F.pmod(F.xxhash64(F.col(name), "piece", "ids_crc32") + F.monotonically_increasing_id(), F.lit(BUCKETS)).cast("int")), "pieces")
     sizes = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     # One row for each length: at most ``limit`` rows come to the driver.
     counted = sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()

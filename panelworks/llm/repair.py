@@ -354,7 +354,12 @@ def read(spark: SparkSession, path: str, *, key: str = "doc_id", keep_ids: bool
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str, *, end: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write ``docs`` to a new folder in the shared scratch space and read it back."""
+    """Write ``docs`` to a new folder in the shared scratch space and read it back.
+
+    Null texts are empty and have the end id alone. Null keys come first, repeated keys and
+    rows are documents of their own, side by side; other columns are ignored; an empty table
+    gives an empty result.
+    """
     path = scratch_path(docs.sparkSession, "ids")
     write(docs, path, tokenizer_path, end=end, key=key, text=text)
     return read(docs.sparkSession, path, key=key)

@@ -132,7 +132,11 @@ def assess(docs: DataFrame, rules: Rules = Rules(), *, key: str = "doc_id", text
 
 
 def keep(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text") -> DataFrame:
-    """The documents that pass the rules, with all their columns (texts are judged where they stand)."""
+    """The documents that pass the rules, with all their columns (texts are judged where they stand).
+
+    Null and empty texts have no words and do not pass. Each row is judged by itself, so null
+    and repeated keys and rows change nothing; an empty table gives an empty result.
+    """
     ship_package(docs.sparkSession)
     at = docs.columns.index(text)
 

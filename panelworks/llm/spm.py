@@ -366,7 +366,11 @@ def encode(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "tex
 
 
 def round_trip(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", check: bool = True) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of every text, encoded here and decoded by the library."""
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every text, encoded here and decoded by the library.
+
+    Null text is empty and has no ids. Null and repeated keys and rows stay, other columns are
+    ignored, an empty table gives an empty result.
+    """
     ship_package(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
 
