@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelworks.operators import explain, scoring, stats
-from panelworks.plans import boosting, counterfactual, descent, ml, treeshap
-from panelworks.queries.base import people, query, sites, table
+from panelworks.plans import boosting, counterfactual, descent, ml, selection, treeshap
+from panelworks.queries.base import R, people, query, rounded, sites, table
 from panelworks.session import scratch_path
 
 FEATURES = ["p", "acctbal", "lat", "lon", "active_months"]
@@ -135,3 +135,18 @@ def embedding_regressor(spark, d):
     rows = _modelled(spark, d).withColumn("segment_code", F.coalesce(F.array_position(segments, F.col("segment")), F.lit(0)))
     net = descent.fit_embeddings(rows, ["p", "acctbal", "active_months"], ["segment_code", "nation"], "q", epochs=12)
     return descent.predict_embeddings(net, rows, "predicted").select("id", "q", "predicted")
+
+
+@query()
+def feature_selection(spark, d):
+    """A preset's choice among the columns, summed up."""
+    return selection.selection_summary(selection.select_features(_modelled(spark, d), FEATURES, "q", "hybrid_stg_shap", steps=16))
+
+
+@query(f"""WITH g AS (SELECT p_brand AS feature, 0.4 * abs(arg_max(p_size, p_partkey)) + 0.3 / (var_pop(p_size) + 1e-3) / 1000 + 0.2 * avg(abs(p_retailprice)) + 0.1 * least(count(*) / 100.0, 1) AS s FROM part GROUP BY 1),
+n AS (SELECT feature, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS v, count(*) OVER () AS n FROM g),
+r AS (SELECT *, row_number() OVER (ORDER BY v, feature) AS place FROM n WHERE n > 5)
+SELECT feature, {R('v', 5)} AS normalised, CAST(place AS INTEGER) AS place FROM r WHERE place <= least(floor(n * 0.2), greatest(floor((n - 5) * 0.1), 1))""")
+def gradient_elimination(spark, d):
+    h = table(spark, d, "part").select(F.col("p_brand").alias("feature"), F.col("p_partkey").alias("epoch"), F.col("p_size").cast("double").alias("weight"), F.col("p_retailprice").alias("gradient"))
+    return rounded(selection.eliminate(explain.gradient_scores(h), percentile=20.0), 5)

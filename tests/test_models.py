@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelworks.plans import boosting, counterfactual, ml, treeshap
+from panelworks.plans import boosting, counterfactual, ml, selection, treeshap
 
 NAMES = ["a", "b", "c", "d"]
 
@@ -289,3 +289,28 @@ def test_selected_features_carry_weight(spark):
     shap = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(flat=0.0, y=2 * x[:, 0] + x[:, 1] + rng.normal(0, 0.5, 800)))
     got = {r["feature"]: (r["t"], r["p"]) for r in ml.shap_select(shap, "y", ["a", "b", "c", "flat"]).collect()}
     assert set(got) == {"a", "b"} and all(t > 10 and p < 0.01 for t, p in got.values())
+
+
+def test_selection_finds_the_planted_features(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(900, 5))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcde")).assign(id=np.arange(900), y=2 * x[:, 0] - 1.9 * x[:, 3] + rng.normal(0, 0.2, 900)))
+    for chosen, steps in (("hybrid_stg_shap", 50), (selection.Selection("path", penalty=0.3, penalties=3, bound=1.0), 12), ("shap_only", None)):
+        found = selection.select_features(df, list("abcde"), "y", chosen, steps=steps)
+        assert {r["feature"] for r in found.where("selected").collect()} == {"a", "d"}
+        assert [r["rank"] for r in found.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+    one = selection.selection_summary(found).first()
+    assert (one["n_total"], one["n_selected"], one["n_eliminated"], one["selection_rate"]) == (5, 2, 3, 0.4)
+    assert (one["selected"], one["eliminated"], one["top_10"]) == (["a", "d"], ["b", "c", "e"], list("abcde"))
+    with pytest.raises(ValueError, match="unknown method"):
+        selection.select_features(df, ["a"], "y", selection.Selection("attention"))
+
+
+def test_elimination_is_slow_and_stops(spark):
+    df = spark.createDataFrame([(f"f{i:02d}", float(i // 2)) for i in range(40)], "feature string, normalised double")
+    got = [tuple(r) for r in selection.eliminate(df, percentile=30.0, keep=10).orderBy("place").collect()]
+    assert got == [("f00", 0.0, 1), ("f01", 0.0, 2), ("f02", 1.0, 3)]
+    assert selection.eliminate(df, percentile=5.0, keep=10).count() == 2
+    assert selection.eliminate(df.where("feature < 'f06'"), percentile=20.0, keep=5).count() == 1
+    assert selection.eliminate(df.where("feature < 'f05'"), percentile=50.0, keep=5).count() == 0
+    assert selection.eliminate(df.where("feature > 'g'")).count() == 0
