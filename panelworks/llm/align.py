@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import SMALL_SLICE, WordCache, give_back, materialise, ragged, ship_package, slices, utf8_buffer
+from panelworks.llm.common import WordCache, give_back, materialise, ragged, ship_package, slices, utf8_buffer
 
 #: Pair counts are broadcast up to so many rows (16 bytes each, about 100 MB as a hash table), else shuffled.
 BROADCAST_PAIRS = 2_000_000
@@ -73,7 +73,7 @@ class _Side:
         self.length = np.fromiter(map(len, entries), np.int64, len(entries))
         self.start = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(entries), np.uint8)
-        self.cache = WordCache(200_000)
+        self.cache = WordCache(300_000)
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
         raise NotImplementedError
@@ -168,7 +168,7 @@ def tokens_of(text: Column, a: str, b: str) -> Column:
     @F.arrow_udf("a array<smallint>, b array<smallint>")
     def run(text: pa.Array) -> pa.Array:
         out = []
-        for _, part in slices([pa.RecordBatch.from_arrays([text], ["text"])], "text", SMALL_SLICE):
+        for _, part in slices([pa.RecordBatch.from_arrays([text], ["text"])], "text"):
             pieces, number = cut_pieces(part)
             pieces = pieces.dictionary_encode()
             lists = [pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(ids)) for ids, bound in (side(x).ids(pieces, number) for x in (a, b))]
@@ -259,7 +259,7 @@ def _by_text(spark: SparkSession, parts: int):
     Spark would join parts that are small as ids and split rows of a text by offset again; it
     cannot know how many rows the ids become. Arrow batches are short, as a text has many ids.
     """
-    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.windowExec.buffer.in.memory.threshold": "65536", "spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.shuffle.partitions": str(parts)}
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.windowExec.buffer.in.memory.threshold": "65536", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.shuffle.partitions": str(parts)}
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
