@@ -92,8 +92,8 @@ def counterfactuals(forest: Forest, rows: DataFrame, actions: Sequence[Action],
     """(key, changes, probability, cost) of the rows below the cut that up to ``most`` changes lift over it.
 
     changes: (feature, before, after) for each. Only features with an action change. Rows over
-    the cut, and rows that no such change lifts, are left out. The model is broadcast once;
-    work and memory of a row depend on the beam and the actions alone.
+    the cut, and rows that no such change lifts, are left out; null and repeated keys stay. The
+    model is broadcast once; work and memory of a row depend on the beam and the actions alone.
     """
     if not forest.classifier:
         raise ValueError("a classifier's trees are needed")
@@ -113,7 +113,11 @@ def counterfactuals(forest: Forest, rows: DataFrame, actions: Sequence[Action],
 
     columns = [F.col(c).cast("double").alias(c) for c in names]
     schema = f"key_ {kind}, changes array<struct<feature:string,before:double,after:double>>, probability double, cost double"
-    return rows.select(F.col(key).alias("key_"), *columns).mapInPandas(run, schema).withColumnRenamed("key_", key)
+    # A row costs milliseconds, so few bytes are much work: rows are spread by key, and adaptive execution must not join the parts.
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spread = rows.select(F.col(key).alias("key_"), *columns).repartition(parts, "key_")
+    return spread.mapInPandas(run, schema).withColumnRenamed("key_", key)
 
 
 def change_clusters(found: DataFrame, actions: Sequence[Action], k: int, *, least: int = 1, key: str = "id") -> tuple[DataFrame, DataFrame]:
