@@ -295,7 +295,7 @@ def test_selection_finds_the_planted_features(spark):
     rng = np.random.default_rng(14)
     x = rng.normal(size=(900, 5))
     df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcde")).assign(id=np.arange(900), y=2 * x[:, 0] - 1.9 * x[:, 3] + rng.normal(0, 0.2, 900)))
-    for chosen, steps in (("hybrid_stg_shap", 50), (selection.Selection("path", penalty=0.3, penalties=3, bound=1.0), 12), ("shap_only", None)):
+    for chosen, steps in (("hybrid_stg_shap", 50), (selection.Selection("path", penalty=0.3, penalties=2, bound=1.0), 30), ("shap_only", None)):
         found = selection.select_features(df, list("abcde"), "y", chosen, steps=steps)
         assert {r["feature"] for r in found.where("selected").collect()} == {"a", "d"}
         assert [r["rank"] for r in found.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
