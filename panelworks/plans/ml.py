@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -30,11 +31,22 @@ def with_validation(df: DataFrame, key: str = "id", share: float = 0.2, seed: in
     return df.withColumn(to, F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10_000)) < int(share * 10_000))
 
 
+def _finite(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The features as finite doubles in the same order: nulls and NaN become the greatest double, infinities the outermost ones.
+
+    The trees refuse to be fitted to other values. In prediction a missing value is at or below
+    no threshold and goes right, as the greatest double does here.
+    """
+    most = F.lit(sys.float_info.max)
+    return df.withColumns({f: F.greatest(F.least(F.coalesce(F.col(f).cast("double"), most), most), -most) for f in features})
+
+
 def _boosted(kind, train: DataFrame, features: Sequence[str], label: str, rounds: int, depth: int, seed: int, validation: str | None, tolerance: float) -> PipelineModel:
+    """Boosted trees over an assembler; missing values of the features are fitted as ones that go right at every split."""
     trees = kind(featuresCol="features_", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed, validationTol=tolerance)
     if validation is not None:
         trees = trees.setValidationIndicatorCol(validation)
-    return _stages(features, trees).fit(train)
+    return _stages(features, trees).fit(_finite(train, features))
 
 
 def fit_regressor(train: DataFrame, features: Sequence[str], target: str, *, rounds: int = 20, depth: int = 4, seed: int = 42, validation: str | None = None, tolerance: float = 0.01) -> PipelineModel:

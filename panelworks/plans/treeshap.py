@@ -60,7 +60,7 @@ class Forest:
 
     def met(self, x: np.ndarray) -> np.ndarray:
         """(rows, leaves, path): whether each row satisfies each path's conditions; padding is met."""
-        v = x[:, np.maximum(self.feature, 0)]
+        v = np.maximum(x, -np.finfo(float).max)[:, np.maximum(self.feature, 0)]  # the lowest infinity goes left too
         return ((v > self.low) & (v <= self.high)) | (np.isnan(v) & self.nan_ok) | (self.feature < 0)
 
     def predict(self, x: np.ndarray) -> np.ndarray:

@@ -314,3 +314,25 @@ def test_elimination_is_slow_and_stops(spark):
     assert selection.eliminate(df.where("feature < 'f06'"), percentile=20.0, keep=5).count() == 1
     assert selection.eliminate(df.where("feature < 'f05'"), percentile=50.0, keep=5).count() == 0
     assert selection.eliminate(df.where("feature > 'g'")).count() == 0
+
+
+def test_trees_are_fitted_with_missing_and_infinite_values(spark):
+    rng = np.random.default_rng(4)
+    x = rng.random(400)
+    rows = [(i, None if i % 5 == 0 else float("nan") if i % 5 == 1 else float("inf") if i == 2 else float("-inf") if i == 3 else float(v), int(i % 5 < 2 or v > 0.5)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, x double, label int").withColumn("y", F.col("label") * 3.0)
+    forest = treeshap.flatten(ml.fit_classifier(df, ["x"], "label", rounds=4, depth=2))
+    odds = forest.predict(np.array([[np.nan], [np.inf], [0.9], [0.1], [-np.inf]]))
+    assert (odds[:3] > 0.3).all() and (odds[3:] < -0.3).all()  # a missing value goes right at every split
+    shap = {r["id"]: r["shap"] for r in treeshap.tree_shapley(forest, df).collect()}
+    assert len(shap) == 400 and shap[0] == shap[1] == pytest.approx(odds[0] - forest.base)
+    rows = ml.with_validation(df)
+    fitted = ml.fit_regressor(rows, ["x"], "y", rounds=12, depth=2, validation="validation_")
+    got = {r["id"]: r["p_"] for r in ml.predict(fitted, rows, "p_").where("id < 2 OR id = 3").collect()}
+    assert got[0] == got[1] > 2 > 1 > got[3]
+
+
+def test_missing_values_only_are_no_split(spark):
+    df = spark.createDataFrame([(i, None, float(i), int(i >= 20)) for i in range(40)], "id long, x double, z double, label int")
+    forest = treeshap.flatten(ml.fit_classifier(df, ["x", "z"], "label", rounds=2, depth=2))
+    assert set(forest.feature.ravel()) <= {-1, 1}
