@@ -14,6 +14,7 @@ from panelworks.operators.explain import name_cluster
 from panelworks.operators.scoring import classify_tiers, column_percentiles, tier_distribution, tier_shift
 from panelworks.plans import ml
 from panelworks.plans.treeshap import Forest
+from panelworks.session import materialise
 
 
 @dataclass(frozen=True)
@@ -123,12 +124,15 @@ def counterfactuals(forest: Forest, rows: DataFrame, actions: Sequence[Action],
 def change_clusters(found: DataFrame, actions: Sequence[Action], k: int, *, least: int = 1, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """((key, cluster) of every row with changes, (cluster, n, centre, name, description)), largest cluster first.
 
-    A row's vector has, for every action, the change as a share of its span (categories: 1). Clusters
-    below ``least`` rows are left out.
+    A row's vector has, for every action, the change as a share of its span (categories, and numbers
+    that were missing before: 1, as they cost). Clusters below ``least`` rows are left out. The vectors
+    are written once, as searching them is the dear part.
     """
-    changed = F.map_from_entries(F.transform("changes", lambda c: F.struct(c["feature"], (c["after"] - c["before"]).alias("d"))))
-    parts = [F.coalesce((F.try_element_at("m_", F.lit(a.feature)) / a.span) if a.span else F.when(F.map_contains_key("m_", a.feature), 1.0), F.lit(0.0)) for a in actions]
+    changed = F.map_from_entries(F.transform("changes", lambda c: F.struct(c["feature"], F.nanvl(c["after"] - c["before"], F.lit(None).cast("double")).alias("d"))))
+    share = lambda a: F.coalesce(F.try_element_at("m_", F.lit(a.feature)) / a.span, F.lit(1.0)) if a.span else F.lit(1.0)
+    parts = [F.when(F.map_contains_key("m_", a.feature), share(a)).otherwise(0.0) for a in actions]
     vectors = found.select(F.col(key).alias("id"), changed.alias("m_")).select("id", F.array(*parts).alias("vector"))
+    vectors = materialise(vectors, "changes")
     members = ml.segments(vectors, "vector", k, least=least)
     mean = F.array(*[F.avg(F.col("vector")[i]) for i in range(len(actions))])
     centres = vectors.join(members, "id").groupBy("cluster").agg(F.count("*").alias("n"), mean.alias("centre"))

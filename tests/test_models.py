@@ -336,3 +336,12 @@ def test_missing_values_only_are_no_split(spark):
     df = spark.createDataFrame([(i, None, float(i), int(i >= 20)) for i in range(40)], "id long, x double, z double, label int")
     forest = treeshap.flatten(ml.fit_classifier(df, ["x", "z"], "label", rounds=2, depth=2))
     assert set(forest.feature.ravel()) <= {-1, 1}
+
+
+def test_change_clusters_of_missing_values(spark):
+    step = lambda b, a: [{"feature": "screens", "before": b, "after": a}]
+    rows = [(i, step(float("nan"), 5.0), 0.7, 1.0) for i in range(4)] + [(9, step(None, 2.0), 0.7, 1.0)] + [(10 + i, step(1.0, 2.0), 0.6, 0.1) for i in range(3)]
+    found = spark.createDataFrame(rows, "id long, changes array<struct<feature:string,before:double,after:double>>, probability double, cost double")
+    members, clusters = counterfactual.change_clusters(found, [counterfactual.Action("screens", (1.0, 2.0, 5.0), 8.0)], 2)
+    assert {r["cluster"]: (r["n"], r["centre"]) for r in clusters.collect()} == {0: (5, [1.0]), 1: (3, [0.125])}
+    assert members.count() == 8
