@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelworks.functions.scalar import EARTH_RADIUS_MILES, haversine_miles, in_polygon
@@ -33,44 +34,73 @@ def _cells(df: DataFrame, lat: Column, lon: Column, size: float) -> DataFrame:
 
 #: Others that a point may find in a cell on average, and the cells in degrees to choose from.
 CELL_POINTS, CELLS = 64, (1.0, 1 / 4, 1 / 16, 1 / 64)
+#: The same for :func:`nearest`, where a point meets nine cells and more, and for the cells of :func:`nearest_segment`.
+FEW_POINTS, FINE = 8, (1.0, 1 / 2, 1 / 4, 1 / 8, 1 / 16, 1 / 32, 1 / 64, 1 / 128)
+FEW_LINES, REACHES = 32, (1.0, 1 / 4, 1 / 16, 1 / 64)
 
 
-def cell_for(others: DataFrame) -> float:
-    """The widest of :data:`CELLS` in which an average row of ``others`` shares its cell with at most ``CELL_POINTS`` rows."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("cell"), F.floor(F.col("lat") / c).alias("y"), F.floor(F.col("lon") / c).alias("x")) for c in CELLS]))
+def cell_for(others: DataFrame, cells: Sequence[float] = CELLS, few: int = CELL_POINTS) -> float:
+    """The widest of ``cells`` (descending) in which an average row of ``others`` shares its cell with at most ``few`` rows."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("cell"), F.floor(F.col("lat") / c).alias("y"), F.floor(F.col("lon") / c).alias("x")) for c in cells]))
     counts = others.select("lat", "lon").dropna().select(each.alias("c")).groupBy("c").agg(F.count("*").cast("double").alias("n"))
     met = counts.groupBy(F.col("c.cell").alias("cell")).agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("m")).collect()  # a row for each size
-    return max((r["cell"] for r in met if r["m"] <= CELL_POINTS), default=CELLS[-1] if met else CELLS[0])
+    return max((r["cell"] for r in met if r["m"] <= few), default=cells[-1] if met else cells[0])
+
+
+def _least(points: DataFrame, spread: Callable[[DataFrame], DataFrame], posted: DataFrame, miles: Column, name: str, keep: Column | None = None) -> DataFrame:
+    """(id, b_): for each point the least (miles, name) of the pairs that meet in a cell.
+
+    First the least distance alone, which is added up without sorting; then the names at it. So
+    no pair is ever sorted or written.
+    """
+
+    def pairs(df: DataFrame) -> DataFrame:
+        met = spread(df).join(posted, ["cy_", "cx_"])
+        return met if keep is None else met.where(keep)
+
+    least = materialise(pairs(points).groupBy("id").agg(F.min(miles).alias("least_")), "least")
+    at = pairs(points.join(least, "id")).where(miles == F.col("least_"))
+    return at.groupBy("id").agg(F.min(F.struct(miles.alias("miles"), F.col(name))).alias("b_"))
 
 
 def nearest(points: DataFrame, others: DataFrame, *, exclude_self: bool = False, cell: float | None = None, rings: Sequence[int] = (1, 4)) -> DataFrame:
     """(id, nearest_id, miles): the nearest of ``others`` (id, lat, lon) to each point (id, lat, lon).
 
-    Both sides fall into grid cells of ``cell`` degrees, by default chosen by the density of
-    ``others`` (:func:`cell_for`); a point meets the cells around its own, (2 ring + 1) squared of
-    them. A distance is final if it is no more than that to the edge of the searched block;
+    Both sides fall into grid cells chosen by the density of ``others`` (:func:`cell_for`), at
+    most ``cell`` degrees wide; a point meets the cells around its own, (2 ring + 1) squared of
+    them. Of ``others`` at one place only the least id counts (two for ``exclude_self``). A distance
+    is final if it is no more than that to the edge of the searched block;
     other points go to the next ring, and then to cells 4 times (from a degree on 15 times) as
     large, until one block covers the earth. Where cells divide the circle evenly,
     longitudes wrap around. What is left is written between rings, so that each ring's work is
     done once. Ties go to the least id; points without coordinates get none.
     """
-    target = others.select(F.col("id").alias("nearest_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).dropna()
-    left = points.select("id", "lat", "lon").dropna()
-    cell = cell or cell_for(others)
+    target = others.select(F.col("id").alias("nearest_id"), "lat", "lon").dropna(subset=["lat", "lon"])
+    if exclude_self:
+        target = target.where("nearest_id IS NOT NULL").distinct()
+    place = F.row_number().over(W.partitionBy("lat", "lon").orderBy("nearest_id"))
+    target = materialise(target.withColumn("place_", place).where(F.col("place_") <= (2 if exclude_self else 1)).drop("place_"), "places")
+    wide = (cell or 1.0,)
+    cell = cell_for(target, (*wide, *[c for c in FINE if c < wide[0]]), FEW_POINTS)
+    target = target.withColumnsRenamed({"lat": "lat2", "lon": "lon2"})
+    return _nearest(points.select("id", "lat", "lon").dropna(), target, exclude_self, cell, rings)
+
+
+def _nearest(left: DataFrame, target: DataFrame, exclude_self: bool, cell: float, rings: Sequence[int]) -> DataFrame:
     around = round(360 / cell) if 360 % cell == 0 else None
     column = (lambda c: F.pmod(c, F.lit(around))) if around else (lambda c: c)
     gridded = _cells(target, F.col("lat2"), F.col("lon2"), cell).withColumn("cx_", column(F.col("cx_")))
     found = None
     for ring in rings:
-        near = _cells(left, F.col("lat"), F.col("lon"), cell)
         span = F.sequence(F.lit(-ring), F.lit(ring))
-        near = near.withColumn("dy_", F.explode(span)).withColumn("dx_", F.explode(span))
-        near = near.withColumn("cy_", F.col("cy_") + F.col("dy_")).withColumn("cx_", column(F.col("cx_") + F.col("dx_")))
-        pairs = near.join(gridded, ["cy_", "cx_"])
-        if exclude_self:
-            pairs = pairs.where("id <> nearest_id")
+
+        def spread(df: DataFrame) -> DataFrame:
+            near = _cells(df, F.col("lat"), F.col("lon"), cell)
+            near = near.withColumn("dy_", F.explode(span)).withColumn("dx_", F.explode(span))
+            return near.withColumn("cy_", F.col("cy_") + F.col("dy_")).withColumn("cx_", column(F.col("cx_") + F.col("dx_"))).drop("dy_", "dx_")
+
         miles = haversine_miles(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-        best = pairs.groupBy("id").agg(F.min(F.struct(miles.alias("miles"), F.col("nearest_id"))).alias("b_"))
+        best = _least(left, spread, gridded, miles, "nearest_id", F.col("id") != F.col("nearest_id") if exclude_self else None)
         # Least distance to the block's edge: rows of latitude, and columns shortened by its cosine.
         lat_edge = F.least(F.col("lat") - (F.floor(F.col("lat") / cell) - ring) * cell, (F.floor(F.col("lat") / cell) + ring + 1) * cell - F.col("lat"))
         lon_edge = F.least(F.col("lon") - (F.floor(F.col("lon") / cell) - ring) * cell, (F.floor(F.col("lon") / cell) + ring + 1) * cell - F.col("lon"))
@@ -86,7 +116,7 @@ def nearest(points: DataFrame, others: DataFrame, *, exclude_self: bool = False,
             return found
     if cell > 360 or target.isEmpty():
         return found
-    return found.union(nearest(left, others, exclude_self=exclude_self, cell=cell * (4 if cell < 1 else 15), rings=rings))
+    return found.union(_nearest(left, target, exclude_self, cell * (4 if cell < 1 else 15), rings))
 
 
 def segment_miles(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -100,28 +130,57 @@ def segment_miles(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Co
     return F.sqrt(x * x + y * y) * MILES_PER_DEGREE
 
 
+def _posted(segments: DataFrame, cell: float, by: float) -> DataFrame:
+    """Every segment in the cells that have a point within ``by`` degrees (of latitude) of it, row by row of cells."""
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    rows = segments.withColumn("cy_", F.explode(F.sequence(F.floor((low - by) / cell), F.floor((high + by) / cell))))
+    # The part of the segment that a point of the row may be near to, and its longitudes.
+    flat = F.col("lat2") - F.col("lat1")
+    share = lambda lat: F.when(flat == 0, 0.0).otherwise(F.least(F.greatest((lat - F.col("lat1")) / F.nullif(flat, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
+    a, b = share(F.col("cy_") * cell - by), F.when(flat == 0, 1.0).otherwise(share((F.col("cy_") + 1) * cell + by))
+    rows = rows.withColumn("a_", F.col("lon1") + a * (F.col("lon2") - F.col("lon1"))).withColumn("b_", F.col("lon1") + b * (F.col("lon2") - F.col("lon1")))
+    # A degree of longitude is shorter by the cosine of the latitude, so the box is the wider; a nudge covers rounding.
+    polar = F.least(F.greatest(F.abs("lat1"), F.abs("lat2")) + by, F.lit(89.0))
+    wide = by / F.cos(F.radians(polar)) + 1e-9
+    cells = F.sequence(F.floor((F.least("a_", "b_") - wide) / cell), F.floor((F.greatest("a_", "b_") + wide) / cell))
+    return rows.withColumn("cx_", F.explode(cells)).drop("a_", "b_")
+
+
+def _reach_for(segments: DataFrame, reach: float) -> float:
+    """``reach``, or the widest below it of :data:`REACHES` in which an average cell of a segment has at most ``FEW_LINES``."""
+    for size in (reach, *[r for r in REACHES if r < reach]):
+        counts = _posted(segments, size, 0.0).groupBy("cy_", "cx_").agg(F.count("*").cast("double").alias("n"))
+        met = counts.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("m")).first()["m"]
+        if met is None or met <= FEW_LINES:
+            break
+    return size
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, *, reach: float = 2.0, limit: float | None = None) -> DataFrame:
     """(id, line, miles): the nearest line to each point, within ``limit`` miles if given (else no row).
 
-    segments: line, lat1, lon1, lat2, lon2. Every segment is posted to the grid cells of its
-    box, widened by ``reach`` degrees, and meets the points of those cells. Points whose
+    segments: line, lat1, lon1, lat2, lon2; of equal ones only the least line counts. Every segment
+    is posted to the grid cells along it, widened by a reach of at most ``reach`` degrees that
+    their density gives, and meets the points of those cells. Points whose
     nearest line is farther than that are searched again with eight times the reach.
     """
-    # A degree of longitude is shorter by the cosine of the latitude, so the box is the wider.
-    polar = F.least(F.greatest(F.abs("lat1"), F.abs("lat2")) + reach, F.lit(89.0))
-    cells = lambda a, b, by: F.sequence(F.floor((F.least(a, b) - by) / reach), F.floor((F.greatest(a, b) + by) / reach))
-    posted = segments.withColumn("cy_", F.explode(cells(F.col("lat1"), F.col("lat2"), F.lit(reach))))
-    posted = posted.withColumn("cx_", F.explode(cells(F.col("lon1"), F.col("lon2"), reach / F.cos(F.radians(polar)))))
-    placed = points.select("id", "lat", "lon").dropna()
-    near = _cells(placed, F.col("lat"), F.col("lon"), reach).join(posted, ["cy_", "cx_"])
+    ends = ["lat1", "lon1", "lat2", "lon2"]
+    once = segments.dropna(subset=ends).groupBy(*ends).agg(F.min(F.struct("line")).alias("l_")).select("l_.line", *ends)
+    once = materialise(once, "segments")
+    return _nearest_segment(points.select("id", "lat", "lon").dropna(), once, _reach_for(once, reach), limit)
+
+
+def _nearest_segment(placed: DataFrame, segments: DataFrame, reach: float, limit: float | None) -> DataFrame:
     miles = segment_miles(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    best = near.groupBy("id").agg(F.min(F.struct(miles.alias("miles"), F.col("line"))).alias("b_"))
+    best = _least(placed, lambda df: _cells(df, F.col("lat"), F.col("lon"), reach), _posted(segments, reach, reach), miles, "line")
     found = best.where(F.col("b_.miles") <= reach * MILES_PER_DEGREE).select("id", "b_.line", "b_.miles")
     if reach < 360 and (limit is None or reach * MILES_PER_DEGREE < limit):
         found = materialise(found, "nearest")
         left = placed.join(found, "id", "left_anti")
         if not left.isEmpty() and not segments.isEmpty():
-            found = found.union(nearest_segment(left, segments, reach=reach * 8, limit=limit))
+            # No farther than the limit, and a little for rounding.
+            farther = reach * 8 if limit is None else min(reach * 8, limit / MILES_PER_DEGREE * 1.000001)
+            found = found.union(_nearest_segment(left, segments, farther, limit))
     return found if limit is None else found.where(F.col("miles") <= limit)
 
 

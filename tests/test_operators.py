@@ -543,3 +543,41 @@ def test_cells_follow_the_density(spark):
         return math.asin(min(1.0, math.sqrt(h)))
 
     assert got == {a[0]: min((miles(a, b), b[0]) for b in city + far)[1] for a in asked}
+
+
+def test_nearest_of_crowded_places_and_copies(spark):
+    """More rows to a cell of the given width than should meet, most of them at one place: finer cells, and the least ids."""
+    schema = "id long, lat double, lon double"
+    at = lambda i: (i, 30.0 + (i * 37 % 50) / 40, -100.0 + (i * 91 % 70) / 35)
+    rows = [at(i) for i in range(300)] + [(1000 - i, 30.51, -99.01) for i in range(200)]
+    others = spark.createDataFrame(rows, schema)
+
+    def miles(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return round(2 * 3958.8 * math.asin(math.sqrt(h)), 6)
+
+    got = {r["id"]: (round(r["miles"], 6), r["nearest_id"]) for r in geo.nearest(others, others, exclude_self=True, cell=2.0).collect()}
+    assert len(got) == 500 and all(got[a[0]] == min((miles(a, b), b[0]) for b in rows if b[0] != a[0]) for a in rows[::7])
+    asked = [(1, 30.5, -99.0), (2, 45.0, -80.0), (3, 30.51, -99.01)]
+    got = {r["id"]: (round(r["miles"], 6), r["nearest_id"]) for r in geo.nearest(spark.createDataFrame(asked, schema), others, cell=2.0).collect()}
+    assert got == {a[0]: min((miles(a, b), b[0]) for b in rows) for a in asked}
+
+
+def test_nearest_segment_of_dense_lines(spark):
+    """Lines of all directions, and copies: their density narrows the reach, and the result is that of trying all."""
+    rows = [(f"l{i:04d}", 30.0 + i * 37 % 101 / 50, -100.0 + i * 91 % 97 / 40, 30.0 + i * 53 % 103 / 50, -100.0 + i * 29 % 107 / 40) for i in range(400)]
+    rows += [("a-copy", *rows[5][1:]), ("level", 31.0, -99.0, 31.0, -98.5), ("spot", 33.5, -97.0, 33.5, -97.0)]
+    lines = spark.createDataFrame(rows, "line string, lat1 double, lon1 double, lat2 double, lon2 double")
+    points = spark.createDataFrame([(i, 29.9 + i * 17 % 89 / 40, -100.1 + i * 23 % 83 / 30) for i in range(80)] + [(99, 36.0, -90.0), (100, None, 1.0)], "id long, lat double, lon double")
+    assert geo._reach_for(lines, 2.0) < 1.0
+    d = geo.segment_miles(*[F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")])
+    want = {r["id"]: r["b"] for r in points.dropna().crossJoin(lines).groupBy("id").agg(F.min(F.struct(d.alias("miles"), "line")).alias("b")).collect()}
+    for limit in (None, 5.0, 0.01, 0.0):
+        got = {r["id"]: (r["miles"], r["line"]) for r in geo.nearest_segment(points, lines, limit=limit).collect()}
+        assert got == {k: tuple(b) for k, b in want.items() if limit is None or b["miles"] <= limit}
+
+
+def test_crowded_cells_are_split(spark):
+    """6,000 places in 2.4 by 5.5 degrees: 7 in a cell of an eighth of a degree, whatever width is asked for."""
+    places = spark.range(6000).select("id", (25 + (F.col("id") * 53 % 240).cast("double") / 100).alias("lat"), (-125 + (F.col("id") * 67 % 550).cast("double") / 100).alias("lon"))
+    assert geo.cell_for(places, (2.0, *geo.FINE), geo.FEW_POINTS) == 1 / 8
