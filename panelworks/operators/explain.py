@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Mapping, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -88,7 +89,10 @@ def gradient_scores(history: DataFrame) -> DataFrame:
 
 
 def hash_split(df: DataFrame, key: str, shares: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
-    """``part`` 0, 1, ...: exact shares (cut to whole rows, the rest in the last part) in the order of a keyed hash."""
+    """``part`` 0, 1, ...: exact shares (cut to whole rows, the rest in the last part) in the order of a keyed hash.
+
+    A share is taken as the fraction that it stands for (0.7 as 7 / 10), not as its binary neighbour.
+    """
     from panelworks.operators.scoring import _numbered
 
     order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
@@ -96,7 +100,10 @@ def hash_split(df: DataFrame, key: str, shares: Sequence[float] = (0.7, 0.15, 0.
     part, cut = F.lit(len(shares) - 1), F.lit(0)
     ends = []
     for s in shares[:-1]:
-        cut = cut + F.floor(F.col("n_") * s)
+        share = Fraction(s).limit_denominator(10**9)
+        a, b = f"{share.numerator}L", f"{share.denominator}L"
+        # Whole numbers that stay within 64 bits at any number of rows.
+        cut = cut + F.expr(f"(n_ div {b}) * {a} + (n_ % {b}) * {a} div {b}")
         ends.append(cut)
     for i in range(len(ends) - 1, -1, -1):
         part = F.when(F.col("at_") <= ends[i], i).otherwise(part)

@@ -581,3 +581,9 @@ def test_crowded_cells_are_split(spark):
     """6,000 places in 2.4 by 5.5 degrees: 7 in a cell of an eighth of a degree, whatever width is asked for."""
     places = spark.range(6000).select("id", (25 + (F.col("id") * 53 % 240).cast("double") / 100).alias("lat"), (-125 + (F.col("id") * 67 % 550).cast("double") / 100).alias("lon"))
     assert geo.cell_for(places, (2.0, *geo.FINE), geo.FEW_POINTS) == 1 / 8
+
+
+def test_hash_split_takes_decimal_shares(spark):
+    counts = lambda n, shares: [r["count"] for r in explain.hash_split(spark.range(n), "id", shares).groupBy("part").count().orderBy("part").collect()]
+    assert counts(90, (0.7, 0.15, 0.15)) == [63, 13, 14]
+    assert counts(100, (0.29, 0.57, 0.14)) == [29, 57, 14] and counts(9, [1 / 3] * 3) == [3, 3, 3]
