@@ -117,8 +117,8 @@ def column_percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[f
     return found.agg(*[F.max(F.when(F.col("name_") == c, F.col("p"))).alias(f"{prefix}{c}") for c in columns])
 
 
-def rank_percentile(df: DataFrame, score: str, *, method: str = "average") -> DataFrame:
-    """``rank`` (1 is the highest) and ``percentile`` = round((n - rank) / n * 100, 1).
+def rank_percentile(df: DataFrame, score: str, *, method: str = "average", digits: int | None = 1) -> DataFrame:
+    """``rank`` (1 is the highest) and ``percentile`` = (n - rank) / n * 100, rounded to ``digits`` (halves to even; None: not at all).
 
     Ties share the average of their ranks, cut to a whole number; ``method='dense'`` numbers
     distinct scores. Null scores have null ranks.
@@ -126,7 +126,8 @@ def rank_percentile(df: DataFrame, score: str, *, method: str = "average") -> Da
     r = value_ranks(df, score)
     average = F.floor(F.col("n_before") + 1 + (F.col("n_equal") - 1) / 2).cast("int")
     r = r.select(score, (average if method == "average" else F.col("dense").cast("int")).alias("rank"), F.col("n_all").alias("n_"))
-    return df.join(r, score, "left").withColumn("percentile", F.round((F.col("n_") - F.col("rank")) / F.col("n_") * 100, 1)).drop("n_")
+    percentile = (F.col("n_") - F.col("rank")) / F.col("n_") * 100
+    return df.join(r, score, "left").withColumn("percentile", percentile if digits is None else F.bround(percentile, digits)).drop("n_")
 
 
 def dual_rank(df: DataFrame, first: str, second: str, key: str = "id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select([(F.round(F.col(c) + 10.0 ** -(digits + 3), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def round_binary(x: Column, digits: int) -> Column:
+    """x rounded as SQL does it for doubles: scaled, rounded to a whole number, scaled back (Spark rounds the decimal that it prints)."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 

@@ -587,3 +587,20 @@ def test_hash_split_takes_decimal_shares(spark):
     counts = lambda n, shares: [r["count"] for r in explain.hash_split(spark.range(n), "id", shares).groupBy("part").count().orderBy("part").collect()]
     assert counts(90, (0.7, 0.15, 0.15)) == [63, 13, 14]
     assert counts(100, (0.29, 0.57, 0.14)) == [29, 57, 14] and counts(9, [1 / 3] * 3) == [3, 3, 3]
+
+
+def test_binary_rounding_is_that_of_sql(spark):
+    import duckdb
+
+    from panelworks.queries.base import round_binary
+
+    xs = [k / 1000 for k in range(5, 1000, 10)]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(round_binary(F.col("x"), 2)).collect()]
+    assert got == [r[0] for r in duckdb.sql(f"SELECT round(CAST(x AS DOUBLE), 2) FROM (SELECT unnest({xs}) AS x, unnest(range({len(xs)})) AS i) ORDER BY i").fetchall()]
+
+
+def test_rank_percentile_at_sizes_where_shares_lie_next_to_halves(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(16)], "id long, s double")
+    shown = {r["rank"]: r["percentile"] for r in scoring.rank_percentile(df, "s").collect()}
+    assert shown[3] == 81.2 and shown[1] == 93.8
+    assert {r["rank"]: r["percentile"] for r in scoring.rank_percentile(df, "s", digits=None).collect()}[3] == 81.25
