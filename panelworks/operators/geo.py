@@ -55,7 +55,8 @@ def _least(points: DataFrame, spread: Callable[[DataFrame], DataFrame], posted:
     """
 
     def pairs(df: DataFrame) -> DataFrame:
-        met = spread(df).join(posted, ["cy_", "cx_"])
+        # Posted rows are many more than their table's size tells, so they must not be broadcast.
+        met = spread(df).join(posted.hint("merge"), ["cy_", "cx_"])
         return met if keep is None else met.where(keep)
 
     least = materialise(pairs(points).groupBy("id").agg(F.min(miles).alias("least_")), "least")
