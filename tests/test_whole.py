@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pytest
 
 from panelworks.operators import explain
 from panelworks.queries import QUERIES
@@ -24,3 +27,21 @@ def test_gower_with_a_large_reference(spark):
     for i, a, b in rows:
         d = (0 if a is None else abs(a - x) / (x.max() - x.min())) / 2 + (s != str(b)) / 2
         assert abs(got[i] - 1 / (1 + np.sort(d)[:10].mean())) < 1e-9
+
+
+@pytest.fixture
+def without_orders(spark, tmp_path):
+    """The tables of 0.1 % with no order for every fourth customer."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    read("customer").write.parquet(f"{tmp_path}/customer.parquet")
+    read("orders").where("o_custkey % 4 <> 1").write.parquet(f"{tmp_path}/orders.parquet")
+    return str(tmp_path)
+
+
+def test_shapley_store_with_customers_without_orders(spark, without_orders):
+    rows = QUERIES["shapley_store"](spark, without_orders).collect()
+    ids = [r["c_custkey"] for r in spark.read.parquet(f"{without_orders}/customer.parquet").collect()]
+    assert sorted({r["id"] for r in rows}) == sorted(ids) and len(rows) == 5 * len(ids)
+    assert all(math.isfinite(r["shap"]) for r in rows)
+    before = sum(i % 3 != 0 for i in ids)
+    assert {(r["computed_before"], r["computed_now"]) for r in rows} == {(before, len(ids) - before)}
