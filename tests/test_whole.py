@@ -45,3 +45,11 @@ def test_shapley_store_with_customers_without_orders(spark, without_orders):
     assert all(math.isfinite(r["shap"]) for r in rows)
     before = sum(i % 3 != 0 for i in ids)
     assert {(r["computed_before"], r["computed_now"]) for r in rows} == {(before, len(ids) - before)}
+
+
+def test_tier_drivers_with_customers_without_orders(spark, without_orders):
+    rows = QUERIES["tier_drivers"](spark, without_orders).collect()
+    n = spark.read.parquet(f"{without_orders}/customer.parquet").count()
+    assert sum(r["n"] for r in rows if r["rank"] == 1) == n  # every row counts in its tier
+    assert all(math.isfinite(r["mean_shap"]) and r["mean_abs"] >= abs(r["mean_shap"]) - 1e-12 for r in rows)
+    assert {r["direction"] for r in rows if r["feature"] == "p"} == {"+", "-"}
