@@ -42,6 +42,20 @@ def test_months_from_late_and_repeated_rows(spark, tmp_path):
     assert collected(months.collect_closed(stream(), folder, late="31 days")) == collected(got)  # nothing comes twice
 
 
+def test_a_late_row_counts_while_its_month_is_open(spark, tmp_path):
+    source, folder = tmp_path / "in", tmp_path.as_uri() + "/out"
+    source.mkdir()
+    names = ["spark.sql.streaming.statefulOperator.allowMultiple", "spark.sql.streaming.multipleWatermarkPolicy"]
+    before = [spark.conf.get(n, None) for n in names]
+    for part in ([(1, "2024-01-28", 1.0), (1, "2024-02-20", 2.0)], [(1, "2024-02-03", 4.0), (1, "2024-01-29", 8.0)], [(1, "2024-03-03", 16.0), (2, "2024-02-29", 32.0)]):
+        rows = spark.createDataFrame(part, "id long, ts string, value double")
+        rows.select("id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value").coalesce(1).write.mode("append").parquet(str(source))
+        got = months.collect_closed(spark.readStream.schema(SCHEMA).parquet(str(source)), folder, late="2 days")
+    # February is open until a row of 2 March has come, so its late row counts; January's comes when that is closed.
+    assert collected(got) == [(1, "2024-01", 1, 1.0), (1, "2024-02", 2, 6.0), (2, "2024-02", 1, 32.0)]
+    assert [spark.conf.get(n, None) for n in names] == before
+
+
 def test_month_ends():
     assert months.month_end_ms("1970-01") == 31 * 86_400_000
     assert months.month_end_ms("1999-12") == 946_684_800_000
