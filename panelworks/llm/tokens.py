@@ -19,6 +19,8 @@ from panelworks.llm.common import WordCache, ragged
 
 #: Every so many new plain words are also encoded by the library, and a difference raises.
 CHECKED = 16
+#: Words that a process keeps, about 50 bytes each: most of those that come a second time.
+KEPT = 400_000
 #: Ends a stretch inside the merger; plain words hold no control characters.
 _END = "\x01"
 #: Fixed value: the pre-tokenizer's stretches. In plain words they are runs of letters, single digits, and runs of other characters.
@@ -68,7 +70,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cache = WordCache()
+        self.cache = WordCache(KEPT)
         spec = json.loads(self.library.to_str())
         steps = [x["type"] for x in spec["normalizer"]["normalizers"]]
         split = spec["pre_tokenizer"]["pretokenizers"][0]

@@ -747,3 +747,15 @@ def test_slices_hold_every_row_once():
 
 def test_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_each_of_350_000_words_is_encoded_once(monkeypatch):
+    own, fresh = tokens.WordTokenizer(TOKENS), []
+    inner = own._encode
+    monkeypatch.setattr(own, "_encode", lambda words: fresh.append(len(words)) or inner(words))
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(350_000)]
+    texts = pa.array([" ".join(words[k : k + 5_000]) for k in range(0, len(words), 5_000)])
+    first = [own.encode(texts.slice(k, 10)) for k in range(0, len(texts), 10)]
+    again = [own.encode(texts.slice(k, 10)) for k in range(0, len(texts), 10)]
+    assert sum(fresh) == len(words)
+    assert all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(first, again))
