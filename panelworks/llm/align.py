@@ -258,8 +258,10 @@ def _by_text(spark: SparkSession, parts: int):
 
     Spark would join parts that are small as ids and split rows of a text by offset again; it
     cannot know how many rows the ids become. Arrow batches are short, as a text has many ids.
+    Joined rows are in the order of texts, so they are grouped as they come: a hash table of
+    texts would be given up after a few and its rows sorted again.
     """
-    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.windowExec.buffer.in.memory.threshold": "65536", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.shuffle.partitions": str(parts)}
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.windowExec.buffer.in.memory.threshold": "65536", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.useObjectHashAggregateExec": "false", "spark.sql.shuffle.partitions": str(parts)}
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)

@@ -93,3 +93,9 @@ def test_alignment_of_real_documents(spark, plain):
 
 def test_alignment_of_no_rows(no_docs):
     assert align.align_corpus(no_docs, A, B).count() == 0
+
+
+def test_joined_rows_are_grouped_as_they_come(docs):
+    with align._by_text(docs.sparkSession, 4):
+        plan = align.align(docs, A, B)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and plan.count("collect_list") > 0
