@@ -1,10 +1,11 @@
 """Alignment of two tokenizers' tokens by the byte offsets at which both end.
 
 The libraries encode in Arrow batches; the alignment is relational. Every different text is
-aligned once: its tokens are exploded with their positions, a window adds up their lengths in
-bytes, and an equi-join on text and end offset gives the cuts. The running count of cuts
-numbers the groups; the tokens that end at a cut are linked. Counts of linked id pairs over
-the corpus are grouped once and joined to every link.
+aligned once: short runs of its tokens are exploded and a window adds up their lengths in
+bytes, the tokens are exploded by the offsets at which they end, and an equi-join on text and
+end offset gives the cuts. The tokens between two cuts are a group; the tokens that end at a
+cut are linked. Counts of linked id pairs over the corpus are grouped once and joined to every
+link.
 """
 
 from __future__ import annotations
@@ -21,17 +22,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelworks.llm.common import WordCache, give_back, materialise, ragged, ship_package, slices, utf8_buffer
 
 #: Pair counts are broadcast up to so many rows (16 bytes each, about 100 MB as a hash table), else shuffled.
 BROADCAST_PAIRS = 2_000_000
-#: Ids have at most 16 bits and travel as shorts, less this.
-_ID, _SHIFT = 16, 1 << 15
+#: Ids have at most 16 bits and travel as shorts of the same bits.
+_ID = 16
 #: Every so many new pieces of the byte-level tokenizer are also encoded by its library, and a difference raises.
 CHECKED = 16
 #: Text whose tokens one task sorts, about, and partitions at most (beyond these, tasks sort on disk).
 PART_BYTES, MOST_PARTS = 3 << 19, 20_000
+#: Tokens whose lengths are added up in one row before the window does, a power of two.
+RUN = 8
 #: Fixed value: the byte-level pre-tokenizer's stretches.
 STRETCHES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -97,7 +101,7 @@ class _Side:
         return ids.astype(np.int32), count
 
     def ids(self, pieces: pa.DictionaryArray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(shifted ids of all texts, number of ids of each) from their pieces; none for a text with a piece that has none."""
+        """(ids of all texts as shorts, number of ids of each) from their pieces; none for a text with a piece that has none."""
         known, starts, lengths = self.cache.get(pieces.dictionary, self._fresh)
         index = pieces.indices.to_numpy()
         each = lengths[index]
@@ -105,7 +109,7 @@ class _Side:
             whole = np.bincount(np.repeat(np.arange(len(number)), number), each == 0, len(number)) == 0
             each = np.where(np.repeat(whole, number), each, 0)
         bound = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(number)])]
-        return (known[ragged(starts[index], each)] - _SHIFT).astype(np.int16), bound
+        return known[ragged(starts[index], each)].astype(np.uint16).view(np.int16), bound
 
 
 class ByteLevel(_Side):
@@ -163,7 +167,7 @@ def side(path: str) -> _Side:
 
 
 def tokens_of(text: Column, a: str, b: str) -> Column:
-    """struct (a, b) of array<short>: every text's ids in both tokenizers less 2**15; empty if either does not spell it out."""
+    """struct (a, b) of array<short>: every text's ids in both tokenizers as shorts of the same 16 bits; empty if either does not spell it out."""
 
     @F.arrow_udf("a array<smallint>, b array<smallint>")
     def run(text: pa.Array) -> pa.Array:
@@ -194,36 +198,41 @@ def _texts(docs: DataFrame, text: str, a: str, b: str) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.count("*").alias("copies"), F.first("a").alias("a"), F.first("b").alias("b"))
 
 
-def _ends(texts: DataFrame, path: str, own: str, other: str) -> DataFrame:
-    """(k1, k2, end, <own>_pos, <other>_of): a row for each token of one side by its end offset.
+def _ends(texts: DataFrame, ids: str, path: str, carried: Column) -> DataFrame:
+    """(k1, k2, end, text): a row for each token of one side by its end offset; the last one has what is ``carried``.
 
-    The last one carries the copies and the other side's ids, so that both sides of the join
-    read one and the same shuffle; all that follows goes by text and needs no other.
+    Lengths in bytes are added up within runs of RUN tokens, and a window adds up the runs before:
+    far fewer rows than tokens go through the window and its sort.
     """
-    # One literal holds the length in bytes of every id.
-    sizes = F.split(F.lit(",".join(map(str, side(path).length.tolist()))), ",").cast("array<int>")
-    tokens = texts.select(*KEY, "copies", own, other, F.posexplode(own).alias("pos", "id"))
-    last = F.when(F.col("pos") == F.size(own) - 1, F.struct("copies", F.col(other).alias("ids")))
-    # Position above 16 bits and length below, so that rows are narrow and in order by one number.
-    token = F.shiftleft(F.col("pos").cast("long"), _ID) + F.get(sizes, F.col("id") + _SHIFT)
-    tokens = tokens.select(*KEY, token.alias("token"), last.alias(f"{other}_of"))
-    end = F.sum(F.col("token").bitwiseAND((1 << _ID) - 1)).over(W.partitionBy(*KEY).orderBy("token").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return tokens.select(*KEY, end.alias("end"), F.shiftright("token", _ID).alias(f"{own}_pos"), f"{other}_of")
+    # Lengths come as a broadcast row: a literal would be folded anew for each use and read by each task.
+    kind = T.StructType([T.StructField("sizes", T.ArrayType(T.IntegerType(), False), False)])
+    sizes = texts.sparkSession.createDataFrame([(side(path).length.tolist(),)], kind)
+    runs = texts.crossJoin(F.broadcast(sizes)).select("*", F.explode(F.sequence(F.lit(0), F.size(ids) - 1, F.lit(RUN))).alias("at"))
+    one = [F.get("sizes", F.get(ids, F.col("at").bitwiseOR(i)).cast("int").bitwiseAND((1 << _ID) - 1)) for i in range(RUN)]
+    last = F.when(F.col("at") + RUN >= F.size(ids), carried)
+    # Beyond the last token sums are null and match nothing.
+    runs = runs.select(*KEY, "at", last.alias("text"), *[x.alias(f"s{i}") for i, x in enumerate(itertools.accumulate(one, lambda x, y: x + y))])
+    runs = runs.withColumn("size", F.greatest(*[f"s{i}" for i in range(RUN)]))
+    before = F.sum("size").over(W.partitionBy(*KEY).orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
+    runs = runs.select("*", before.cast("int").alias("before"))
+    tokens = runs.select(*KEY, "text", (F.col("before") + F.col("size")).alias("reached"), F.explode(F.array(*[F.col("before") + F.col(f"s{i}") for i in range(RUN)])).alias("end"))
+    return tokens.select(*KEY, "end", F.when(F.col("end") == F.col("reached"), F.col("text")).alias("text"))
 
 
 def align(docs: DataFrame, a: str, b: str, *, text: str = "text") -> DataFrame:
-    """(k1, k2, copies, a, b, groups, cuts) of every different text that both tokenizers spell out.
+    """(k1, k2, copies, a, b, cuts) of every different text that both tokenizers spell out.
 
-    a, b: all ids (:func:`tokens_of`). groups: their number. cuts: for every group, in order, the
-    positions of its last token in a (above 32 bits) and in b. Texts without tokens are left out.
+    a, b: all ids (:func:`tokens_of`). cuts: the offsets in bytes, in order, at which tokens of both end.
+    Texts without tokens are left out.
     """
-    texts = _texts(docs, text, a, b)
+    # The condition asks for all columns, so that both sides of the join read one and the same shuffle.
+    texts = _texts(docs, text, a, b).where("copies > 0 AND size(a) > 0 AND size(b) > 0")
+    tokens = _ends(texts, "a", a, F.struct("copies", "a", "b"))
+    others = _ends(texts, "b", b, F.lit(None)).select(*KEY, "end")
     # Sizes of exploded tokens are not known to the planner, so it is told not to broadcast them.
-    cuts = _ends(texts, a, "a", "b").hint("merge").join(_ends(texts, b, "b", "a").hint("merge"), [*KEY, "end"])
-    place = F.shiftleft("a_pos", 32).bitwiseOR(F.col("b_pos"))
-    # In order, a cut's place is the running count of cuts: the number of its group.
-    one = cuts.groupBy(*KEY).agg(F.collect_list("a_of")[0].alias("a"), F.collect_list("b_of")[0].alias("b"), F.count("*").alias("groups"), F.sort_array(F.collect_list(place)).alias("cuts"))
-    return one.where("a IS NOT NULL AND b IS NOT NULL").select(*KEY, "a.copies", F.col("a.ids").alias("a"), F.col("b.ids").alias("b"), "groups", "cuts")
+    cuts = tokens.hint("merge").join(others.hint("merge"), [*KEY, "end"], "left_semi")
+    one = cuts.groupBy(*KEY).agg(F.collect_list("text")[0].alias("text"), F.sort_array(F.collect_list("end")).alias("cuts"))
+    return one.where("text IS NOT NULL").select(*KEY, "text.*", "cuts")
 
 
 class _Digits:
@@ -241,17 +250,6 @@ def _digits() -> _Digits:
     return _Digits(1 << _ID)
 
 
-def _places(counts: np.ndarray, cuts: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of each cut's last token, number of tokens of each group) over all texts of a batch."""
-    first = np.repeat(np.cumsum(counts) - counts, cuts)
-    last = first + pos
-    before = np.concatenate([[-1], last[:-1]])
-    starts = np.zeros(len(last), np.bool_)
-    starts[np.cumsum(cuts) - cuts] = True
-    before[starts] = first[starts] - 1
-    return last, last - before
-
-
 @contextlib.contextmanager
 def _by_text(spark: SparkSession, parts: int):
     """While this holds, shuffles have ``parts`` parts, and a join on text and offset keeps rows where their text is.
@@ -272,7 +270,7 @@ def _by_text(spark: SparkSession, parts: int):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def described(aligned: DataFrame) -> DataFrame:
+def described(aligned: DataFrame, a: str, b: str) -> DataFrame:
     """(k1, k2, copies, n_a, n_b, n_groups, groups_sha256, links) of aligned texts; links: an id pair (a above b) for every cut."""
     ship_package(aligned.sparkSession)
 
@@ -281,12 +279,16 @@ def described(aligned: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k1, k2, copies, a, b, groups, cuts = batch.columns
-            count = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b, cuts)]
-            ids = [x.flatten().to_numpy().astype(np.int64) + _SHIFT for x in (a, b)]
-            cut = cuts.flatten().to_numpy()
-            placed = [_places(count[0], count[2], cut >> 32), _places(count[1], count[2], cut & 0xFFFFFFFF)]
-            (last_a, in_a), (last_b, in_b) = placed
+            k1, k2, copies, *lists, cuts = batch.columns
+            count = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (*lists, cuts)]
+            ids = [x.flatten().to_numpy().view(np.uint16).astype(np.int64) for x in lists]
+            # Offsets over all texts of the batch; each ends with a cut, so the tokens between two cuts are a group.
+            ends = [np.cumsum(side(path).length[x]) for path, x in zip((a, b), ids)]
+            before = np.concatenate([[0], ends[0][np.cumsum(count[0]) - 1]])
+            is_cut = np.zeros(before[-1] + 1, np.bool_)
+            is_cut[cuts.flatten().to_numpy() + np.repeat(before[:-1], count[2])] = True
+            last_a, last_b = (np.flatnonzero(is_cut[x]) for x in ends)
+            in_a, in_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
             # All texts' tokens in the order of the groups, A's before B's, and what follows each.
             total = np.concatenate([[0], np.cumsum(in_a + in_b)])
             at_a, at_b = ragged(total[:-1], in_a), ragged(total[:-1] + in_a, in_b)
@@ -303,10 +305,10 @@ def described(aligned: DataFrame) -> DataFrame:
                 start = end
             pairs = ids[0][last_a] << _ID | ids[1][last_b]
             links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count[2])]), pa.int32()), pa.array(pairs, pa.int64()))
-            yield pa.RecordBatch.from_arrays([k1, k2, copies, pa.array(count[0]), pa.array(count[1]), groups, pa.array(sha), links], ["k1", "k2", "copies", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
+            yield pa.RecordBatch.from_arrays([k1, k2, copies, pa.array(count[0]), pa.array(count[1]), pa.array(count[2]), pa.array(sha), links], ["k1", "k2", "copies", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
             give_back()
 
-    rows = aligned.select(*KEY, "copies", "a", "b", "groups", "cuts")
+    rows = aligned.select(*KEY, "copies", "a", "b", "cuts")
     return rows.mapInArrow(run, "k1 long, k2 long, copies long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>")
 
 
@@ -331,7 +333,7 @@ def align_corpus(docs: DataFrame, a: str, b: str, *, key: str = "doc_id", text:
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     with _by_text(docs.sparkSession, max(least, min(-(-size // PART_BYTES), MOST_PARTS))):
-        found = materialise(described(align(docs, a, b, text=text)), "aligned")
+        found = materialise(described(align(docs, a, b, text=text), a, b), "aligned")
     pairs = pair_counts(found)
     small = pairs.count() <= BROADCAST_PAIRS
     links = found.select(*KEY, F.explode("links").alias("pair")).join(F.broadcast(pairs) if small else pairs, "pair")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelworks.llm import align
@@ -99,3 +102,22 @@ def test_joined_rows_are_grouped_as_they_come(docs):
     with align._by_text(docs.sparkSession, 4):
         plan = align.align(docs, A, B)._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan and plan.count("collect_list") > 0
+
+
+def test_ends_of_runs(spark):
+    rows = [(i, 0, 1, ids, ids[:1]) for i, ids in enumerate([[7 * j % 50_000 for j in range(n)] for n in (1, align.RUN - 1, align.RUN, align.RUN + 1, 1000)])]
+    rows = [(*r[:3], [i - (i >> 15 << 16) for i in r[3]], r[4]) for r in rows]
+    texts = spark.createDataFrame(rows, "k1 long, k2 long, copies long, a array<short>, b array<short>")
+    found = align._ends(texts, "a", A, F.col("copies")).where("end IS NOT NULL").collect()
+    length = align.side(A).length
+    for key, _, _, a, _ in rows:
+        ends = np.cumsum(length[np.array(a, np.int16).view(np.uint16)]).tolist()
+        assert sorted((r["end"], r["text"]) for r in found if r["k1"] == key) == [(e, 1 if e == ends[-1] else None) for e in ends]
+
+
+def test_tokens_are_exploded_after_the_window(docs):
+    with align._by_text(docs.sparkSession, 4):
+        plan = align.align(docs, A, B)._jdf.queryExecution().executedPlan().toString()
+    for branch in re.split("SortMergeJoin|BroadcastExchange", plan)[1:]:
+        assert "Window" not in branch or branch.index("Generate") < branch.index("Window")
+    assert plan.count("Window ") == 2 and plan.count("SortMergeJoin") == 1
