@@ -96,18 +96,12 @@ def hash_split(df: DataFrame, key: str, shares: Sequence[float] = (0.7, 0.15, 0.
     from panelworks.operators.scoring import _numbered
 
     order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
-    numbered = _numbered(df, order, "at_").crossJoin(F.broadcast(df.agg(F.count("*").alias("n_"))))  # one row
-    part, cut = F.lit(len(shares) - 1), F.lit(0)
-    ends = []
-    for s in shares[:-1]:
-        share = Fraction(s).limit_denominator(10**9)
-        a, b = f"{share.numerator}L", f"{share.denominator}L"
-        # Whole numbers that stay within 64 bits at any number of rows.
-        cut = cut + F.expr(f"(n_ div {b}) * {a} + (n_ % {b}) * {a} div {b}")
-        ends.append(cut)
-    for i in range(len(ends) - 1, -1, -1):
-        part = F.when(F.col("at_") <= ends[i], i).otherwise(part)
-    return numbered.withColumn("part", part.cast("int")).drop("at_", "n_")
+    numbered = _numbered(df, order, "at_")
+    n = numbered.count()
+    # The parts' last rows as constants: an expression over n for each part would grow with the square of their number.
+    ends = itertools.accumulate(n * Fraction(s).limit_denominator(10**9) // 1 for s in shares[:-1])
+    past = F.filter(F.array(*[F.lit(e) for e in ends]).cast("array<bigint>"), lambda end: end < F.col("at_"))
+    return numbered.withColumn("part", F.size(past)).drop("at_")
 
 
 #: Reference rows of a block in the last search, about; reference rows of a cell in the first, for each of the k.

@@ -589,6 +589,21 @@ def test_hash_split_takes_decimal_shares(spark):
     assert counts(100, (0.29, 0.57, 0.14)) == [29, 57, 14] and counts(9, [1 / 3] * 3) == [3, 3, 3]
 
 
+def test_hash_split_into_many_parts_has_a_small_plan(spark):
+    """Every part by plain re-computation; the plan of 100 parts once held 4,950 sums, which took 6 GB of the driver to compile."""
+    import hashlib
+    from fractions import Fraction
+
+    for shares in ([0.01] * 100, [0.0, 0.5, 0.0, 0.25, 0.25], [1.0]):
+        split = explain.hash_split(spark.range(250), "id", shares, seed=7)
+        assert len(split._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+        ends = [sum(250 * Fraction(str(s)) // 1 for s in shares[: i + 1]) for i in range(len(shares) - 1)]
+        order = sorted(range(250), key=lambda i: (hashlib.md5(f"7:{i}".encode()).hexdigest(), i))
+        want = {i: next((p for p, end in enumerate(ends) if at <= end), len(shares) - 1) for at, i in enumerate(order, 1)}
+        assert {r["id"]: r["part"] for r in split.collect()} == want and dict(split.dtypes)["part"] == "int"
+    assert explain.hash_split(spark.range(0), "id").count() == 0
+
+
 def test_binary_rounding_is_that_of_sql(spark):
     import duckdb
 
